@@ -7,6 +7,8 @@ feeds, so that one pass of NumPy serves a batch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 _BLANK = np.zeros(256, dtype=bool)
@@ -15,7 +17,12 @@ _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
-_M64 = (1 << 64) - 1
+#: ASCII signs count as blanks too where only letters and digits matter.
+_SIGNS = _BLANK.copy()
+_SIGNS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
+#: Bytes hashed in one go.
+BLOCK_BYTES = 4 << 20
+
 _WORD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 _STEP = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
@@ -46,13 +53,13 @@ def mix(x: np.ndarray) -> np.ndarray:
 class Words:
     """The words of a batch of texts: hashes, byte ranges, and each text's range of words."""
 
-    def __init__(self, texts: list[str | None], lower: bool = False):
+    def __init__(self, texts: list[str | None], lower: bool = False, signs: bool = False):
         parts = [(t or "").encode() for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         raw = np.frombuffer(self.data, dtype=np.uint8)
         if lower:
             raw = _LOWER[raw]
-        solid = ~_BLANK[raw]
+        solid = ~(_SIGNS if signs else _BLANK)[raw]
         edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
         self.starts, self.ends = edge[0::2], edge[1::2]
         ends_of_texts = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
@@ -72,11 +79,21 @@ class Words:
         if not len(self):
             return np.zeros(0, dtype=np.uint64)
         lengths = self.ends - self.starts
-        at = np.flatnonzero(self._solid)
-        begins = np.cumsum(lengths) - lengths
-        place = np.arange(len(at)) - np.repeat(begins, lengths)
-        value = (self._raw[at].astype(np.uint64) + np.uint64(1)) * powers(_WORD[which], int(lengths.max()))[place]
-        return mix(np.add.reduceat(value, begins) + lengths.astype(np.uint64))
+        table = powers(_WORD[which], int(lengths.max()))
+        out = np.empty(len(self), dtype=np.uint64)
+        # A block of words at a time, so that a very long text needs no more memory than it has words.
+        limits = np.searchsorted(self.ends, np.arange(0, len(self._raw) + BLOCK_BYTES, BLOCK_BYTES))
+        limits[-1] = len(self)
+        for a, b in zip(limits[:-1], limits[1:], strict=True):
+            if a == b:
+                continue
+            lo, hi, n = self.starts[a], self.ends[b - 1], lengths[a:b]
+            at = np.flatnonzero(self._solid[lo:hi])
+            begins = np.cumsum(n) - n
+            place = np.arange(len(at)) - np.repeat(begins, n)
+            value = (self._raw[lo:hi][at].astype(np.uint64) + np.uint64(1)) * table[place]
+            out[a:b] = mix(np.add.reduceat(value, begins) + n.astype(np.uint64))
+        return out
 
     def text(self, i: int) -> str:
         """The words of text i, joined by one blank."""
@@ -100,3 +117,15 @@ def runs(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * powers(base, len(hashes)))])
     back = powers(pow(base, -1, 1 << 64), n)
     return mix((sums[k : k + n] - sums[:n]) * back)
+
+
+def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of a list that hold about so many characters each, at least one text."""
+    start = held = 0
+    for i, t in enumerate(texts):
+        if i > start and held + len(t or "") > chars:
+            yield start, i
+            start, held = i, 0
+        held += len(t or "")
+    if start < len(texts):
+        yield start, len(texts)
