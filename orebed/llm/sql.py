@@ -19,4 +19,105 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
-ORACLES = {"op1_warc": OP1}
+
+OP2 = r"""
+WITH l AS (
+  SELECT doc_id, coalesce(text, '') AS body, text,
+    string_split(CASE WHEN regexp_matches(text, '[0-9]')
+      THEN array_to_string(list_transform(string_split(text, chr(10)), lambda x: array_to_string(list_transform(
+        regexp_extract_all(x, '\s+|\S+'), lambda t: CASE WHEN regexp_matches(t, '[0-9]') THEN '<*>' ELSE t END), '')), chr(10))
+      ELSE coalesce(text, '') END, chr(10)) AS shown,
+    string_split(coalesce(text, ''), chr(10)) AS raw
+  FROM documents
+), e AS (
+  SELECT doc_id, body, unnest(range(0, len(shown))) AS no, unnest(shown) AS line FROM l
+), s AS (
+  SELECT *, len(string_split(line, ' ')) AS words, array_to_string(string_split(line, ' ')[1:3], ' ') AS lead
+  FROM e WHERE trim(line, ' ') <> ''
+), kinds AS (
+  SELECT words, lead, line, count(*) AS n FROM (SELECT DISTINCT doc_id, body, no, words, lead, line FROM s) GROUP BY ALL
+), several AS (
+  SELECT words, lead FROM kinds GROUP BY ALL HAVING count(*) > 1
+), tokens AS (
+  SELECT words, lead, place, word, sum(n) AS n FROM (
+    SELECT words, lead, n, unnest(range(0, words)) AS place, unnest(string_split(line, ' ')) AS word
+    FROM kinds SEMI JOIN several USING (words, lead)) GROUP BY ALL
+), most AS (
+  SELECT words, lead, list(word ORDER BY place) AS most FROM (
+    SELECT *, row_number() OVER (PARTITION BY words, lead, place ORDER BY n DESC, word DESC) AS r FROM tokens) WHERE r = 1 GROUP BY ALL
+), under AS (
+  SELECT k.words, k.lead, k.line FROM kinds k JOIN most m USING (words, lead)
+  WHERE len(list_filter(list_zip(string_split(k.line, ' '), m.most), lambda z: z[1] = z[2])) >= 0.8 * k.words
+), named AS (
+  SELECT s.doc_id, s.body, s.no, CASE WHEN u.line IS NULL THEN 'L' || s.line ELSE 'T' || s.words || ' ' || s.lead END AS template
+  FROM s LEFT JOIN under u ON s.line = u.line
+), recur AS (
+  SELECT template, count(*) AS docs, min(doc_id) AS keeper FROM (SELECT DISTINCT template, doc_id, body FROM named) GROUP BY 1 HAVING count(*) >= 10
+), gone AS (
+  SELECT doc_id, body, list(DISTINCT no) AS nos FROM named JOIN recur USING (template) WHERE doc_id <> keeper GROUP BY ALL
+), kept AS (
+  SELECT l.doc_id, CAST(CASE WHEN l.text IS NULL THEN 0 ELSE len(raw) END AS BIGINT) AS n_lines, CAST(coalesce(len(nos), 0) AS BIGINT) AS n_dropped,
+    CASE WHEN nos IS NULL THEN l.text ELSE array_to_string(list_transform(list_filter(range(0, len(raw)), lambda i: NOT list_contains(nos, i)), lambda i: raw[i + 1]), chr(10)) END AS text
+  FROM l LEFT JOIN gone g ON l.doc_id = g.doc_id AND l.body = g.body
+)
+SELECT doc_id, n_lines, n_dropped, sha256(text) AS kept_sha256, text FROM kept
+"""
+
+OP6 = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM w WHERE len(words) >= 50
+), k AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos : pos + 49], ' ')) AS k FROM s
+), m AS (
+  SELECT doc_id, pos, min(doc_id) OVER (PARTITION BY k) AS first_id FROM k
+), c AS (
+  SELECT doc_id, list(pos) AS ats FROM m WHERE first_id < doc_id GROUP BY 1
+), g AS (
+  SELECT DISTINCT doc_id, unnest(range(a, a + 50)) AS place FROM (SELECT doc_id, unnest(ats) AS a FROM c)
+), p AS (
+  SELECT doc_id, list(place) AS places, count(*) AS n FROM g GROUP BY 1
+), x AS (
+  SELECT doc_id, unnest(range(1, len(words) + 1)) AS place, unnest(words) AS word FROM w
+), kept AS (
+  SELECT x.doc_id, string_agg(word, ' ' ORDER BY place) AS body FROM x ANTI JOIN g ON x.doc_id = g.doc_id AND x.place = g.place GROUP BY 1
+)
+SELECT w.doc_id, CAST(len(w.words) AS BIGINT) AS n_words, CAST(coalesce(p.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.body, '')) AS kept_sha256
+FROM w LEFT JOIN p ON w.doc_id = p.doc_id LEFT JOIN kept ON w.doc_id = kept.doc_id
+"""
+
+OP8 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, md5(array_to_string(words[pos : pos + 4], ' ')) AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 4, 1) + 1)) AS pos FROM w WHERE len(words) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY 1
+), b AS (
+  SELECT x.doc_id AS a, y.doc_id AS z, count(*) AS n FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
+), e AS (
+  SELECT a, z FROM b JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = z WHERE 100 * b.n >= 85 * (p.n + q.n - b.n)
+), u AS (
+  SELECT a, z FROM e UNION SELECT z, a FROM e
+), r AS (
+  SELECT doc_id AS node, doc_id AS seen FROM documents
+  UNION
+  SELECT r.node, u.z FROM r JOIN u ON u.a = r.seen
+), c AS (
+  SELECT node, min(seen) AS component_id FROM r GROUP BY 1
+)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id, w.doc_id = c.component_id AS kept
+FROM w LEFT JOIN n USING (doc_id) JOIN c ON c.node = w.doc_id
+"""
+
+OP9 = """
+WITH t AS (
+  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents
+), g AS (
+  SELECT doc_id, body, max(doc_id) OVER (PARTITION BY body) AS keep_id, count(*) OVER (PARTITION BY body) AS group_size FROM t
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM g
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9}
