@@ -1,0 +1,158 @@
+"""Operators on point samples: categories, cell declustering, normal scores, trends, calibration."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalar import floor_bin, inverse_normal
+
+# Lithology codes of the canonical groups, and aliases of codes.
+GROUPS = {"fresh_graphitic": ("GSCH", "GRSC", "GQSC"), "weathered_graphitic": ("SAPR", "SAP")}
+ALIASES = {"GS": "GSCH", "GRAPHITIC SCHIST": "GSCH", "SAPROLITE": "SAP", "SAPROCK": "SAPR"}
+WASTE = "host_waste"
+
+
+def canonical(code: Column, aliases: dict[str, str] | None = None) -> Column:
+    """A code by its alias, looked up in upper case; unknown codes stay, trimmed."""
+    known = F.create_map(*[F.lit(x) for kv in (aliases or ALIASES).items() for x in kv])
+    return F.coalesce(known[F.upper(F.trim(code))], F.trim(code))
+
+
+def category(code: Column, groups: dict[str, tuple[str, ...]] | None = None, aliases: dict[str, str] | None = None) -> Column:
+    """Group of a lithology code; whatever no group lists is waste."""
+    c = F.upper(canonical(code, aliases))
+    out = F.when(F.lit(False), F.lit(WASTE))
+    for name, codes in (groups or GROUPS).items():
+        out = out.when(c.isin(*codes), F.lit(name))
+    return out.otherwise(F.lit(WASTE))
+
+
+def group_stats(df: DataFrame, by: list[str], value: str, least: int = 1) -> DataFrame:
+    """Count, mean, sample deviation, its ratio to the mean (0 for means of 0 or less), extremes, median, share of 3 or more."""
+    mean, dev = F.avg(value), F.stddev_samp(value)
+    out = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), mean.alias("mean"), dev.alias("std"), F.when(mean > 0, dev / mean).otherwise(0.0).alias("cv"), F.min(value).alias("least"), F.max(value).alias("most"), F.median(value).alias("median"), F.avg((F.col(value) >= 3).cast("double")).alias("share_3")
+    )
+    return out.filter(F.col("n") >= least)
+
+
+def decluster(df: DataFrame, size: tuple[float, float, float], value: str = "grade") -> DataFrame:
+    """Adds ``decluster_weight`` and ``cell_count``: one over the samples in the cell, scaled to sum to
+    their number.  Rows without a value weigh 1 and are in no cell.
+
+    Counts are aggregated and joined back, so a crowded cell is split like any skewed join.
+    """
+    real = F.col(value).isNotNull() & ~F.isnan(value)
+    least = df.filter(real).agg(*[F.min(a).alias(f"_{a}") for a in "xyz"])
+    x = df.crossJoin(F.broadcast(least))
+    for a, s in zip("xyz", size, strict=True):
+        x = x.withColumn(f"_c{a}", F.when(real, floor_bin(F.col(a), F.col(f"_{a}"), s)))
+    keys = ["_cx", "_cy", "_cz"]
+    counts = x.filter(real).groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_count"))
+    whole = counts.agg(F.sum("cell_count").alias("_n"), F.count(F.lit(1)).alias("_cells"))
+    out = x.join(counts, keys, "left").crossJoin(F.broadcast(whole))
+    weight = F.col("_n") / F.col("_cells") / F.col("cell_count")
+    return out.select(*df.columns, F.coalesce(weight, F.lit(1.0)).alias("decluster_weight"), F.coalesce("cell_count", F.lit(1)).cast("long").alias("cell_count"))
+
+
+def score_table(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values and their normal scores: the quantile of the centred cumulative weight.  Ties
+    take the score of the last of them.
+
+    Running sums are taken over distinct values in ranges: totals by range are
+    small and broadcast, so no single task sees all rows."""
+    w = F.col(weight) if weight else F.lit(1.0)
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("value")).agg(F.sum(w).alias("w"), F.max(w).alias("last"))
+    v = v.repartitionByRange("value").withColumn("part", F.spark_partition_id())
+    inner = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    v = v.withColumn("within", F.sum("w").over(inner))
+    parts = v.groupBy("part").agg(F.sum("w").alias("t"))
+    base = parts.withColumn("base", F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).withColumn("total", F.sum("t").over(Window.partitionBy(F.lit(1))))
+    v = v.join(F.broadcast(base.select("part", "base", "total")), "part")
+    p = (F.col("base") + F.col("within") - F.col("last") / 2) / F.col("total")
+    v = v.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
+    return v.select("value", inverse_normal("p").alias("score"))
+
+
+def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out: str) -> DataFrame:
+    """Adds the piecewise linear function through the knots at ``at``, level beyond the ends.
+
+    The knots are one value each, so a broadcast array of them serves up to
+    about a million; they are searched, not joined."""
+    import pandas as pd
+
+    rows = sorted((r[0], r[1]) for r in knots.select(x, y).limit(1_000_001).collect())
+    if len(rows) > 1_000_000:
+        raise ValueError("too many knots to broadcast: thin them by quantiles first")
+    held = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+    @F.pandas_udf("double")
+    def at_knots(v: pd.Series) -> pd.Series:
+        import numpy as np
+
+        xs, ys = held.value
+        ok = v.notna()
+        got = pd.Series(np.nan, index=v.index)
+        got[ok] = np.interp(v[ok].to_numpy(float), xs, ys)
+        return got.astype(object).where(ok, None).astype("float64")
+
+    return df.withColumn(out, at_knots(F.col(at)))
+
+
+def normal_scores(df: DataFrame, value: str, weight: str | None = None, out: str = "score") -> DataFrame:
+    """Adds normal scores; rows with equal values get the same one.  An equi-join on the value."""
+    table = score_table(df, value, weight).withColumnRenamed("value", "_v").withColumnRenamed("score", out)
+    return df.join(table, F.col(value) == F.col("_v"), "left").drop("_v")
+
+
+def linear_trend(df: DataFrame, value: str) -> DataFrame:
+    """Slope and intercept of the value against each axis."""
+    out = [f(F.col(value), F.col(a)).alias(f"{n}_{a}") for a in "xyz" for n, f in (("slope", F.regr_slope), ("intercept", F.regr_intercept))]
+    return df.agg(*out)
+
+
+def quantile_map(df: DataFrame, value: str, reference: DataFrame, ref_value: str, n: int = 1001, out: str = "mapped") -> DataFrame:
+    """Adds the value at its own quantile of the reference: two arrays of n quantiles, made strictly
+    rising by steps of 1e-8, and interpolation between them."""
+    marks = [k / (n - 1) for k in range(n)]
+    own = df.agg(F.percentile(value, F.array(*map(F.lit, marks))).alias("q")).first()["q"]
+    ref = reference.agg(F.percentile(ref_value, F.array(*map(F.lit, marks))).alias("q")).first()["q"]
+    for q in (own, ref):
+        for k in range(1, n):
+            if q[k] <= q[k - 1]:
+                q[k] = q[k - 1] + 1e-8
+    knots = df.sparkSession.createDataFrame(list(zip(own, ref, strict=True)), "x double, y double")
+    return interpolated(df, value, knots, "x", "y", out)
+
+
+def top_cut(df: DataFrame, value: str, quantile: float) -> DataFrame:
+    """Values above the quantile are lowered to it."""
+    cap = df.agg(F.percentile(value, F.lit(quantile)).alias("_cap"))
+    return df.crossJoin(F.broadcast(cap)).withColumn(value, F.least(F.col(value), F.col("_cap"))).withColumn("capped", F.col(value) >= F.col("_cap")).drop("_cap")
+
+
+def adjusted(p_values: DataFrame) -> DataFrame:
+    """Holm's step-down adjustment of ``p``, by ``id``."""
+    w = Window.orderBy("p", "id")
+    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
+    raw = p_values.withColumn("_raw", F.least(F.lit(1.0), (n - F.row_number().over(w) + 1) * F.col("p")))
+    return raw.withColumn("adjusted", F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
+
+
+def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
+    """For each pair of groups: sizes, the Mann-Whitney U of the first, and Cliff's delta.
+
+    Counts by distinct value and running sums replace ranks of rows; pairs are
+    of groups, not of rows."""
+    counts = df.groupBy(value, F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    below = Window.partitionBy("g").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    groups = counts.groupBy("g").agg(F.sum("n").alias("size"))
+    grid = counts.select(value).distinct().crossJoin(F.broadcast(groups.select("g")))
+    full = grid.join(counts, [value, "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    full = full.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
+    a, b = full.alias("a"), full.alias("b")
+    u = a.join(b, (F.col(f"a.{value}") == F.col(f"b.{value}")) & (F.col("a.g") < F.col("b.g")))
+    u = u.groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.sum(F.col("a.n") * (F.col("b.less") + F.col("b.n") / 2)).alias("u"))
+    ga, gb = groups.select(F.col("g").alias("a"), F.col("size").alias("n_a")), groups.select(F.col("g").alias("b"), F.col("size").alias("n_b"))
+    return u.join(F.broadcast(ga), "a").join(F.broadcast(gb), "b").withColumn("delta", 2 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1).select("a", "b", "n_a", "n_b", "u", "delta")
