@@ -46,13 +46,14 @@ def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     rows = pick(docs, doc_id=id_column, text=text_column)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     lines = rows.select("doc_id", F.xxhash64("text").alias("key"), F.posexplode(F.split(masked(F.col("text")), "\n", -1)).alias("no", "line"))
-    lines = _sized(lines.filter(F.trim("line") != "")).withColumn("leaf", F.xxhash64("words", "lead"))
+    lines = _sized(lines.filter(F.trim("line") != "")).select("doc_id", "key", "no", "line", F.xxhash64("words", "lead").alias("leaf"))
     # A template cannot recur where its whole leaf does not: most lines go here, on eight bytes each.
     per_doc = rows.select(F.split(masked(F.col("text")), "\n", -1).alias("lines"))
     leaf = F.transform("lines", lambda x: F.when(F.trim(x) != "", F.xxhash64((F.char_length(x) - F.char_length(F.replace(x, F.lit(" "), F.lit(""))) + 1).cast("int"), F.substring_index(x, " ", DEPTH))))
     busy = per_doc.select(F.explode(F.array_distinct(leaf)).alias("leaf")).filter(F.col("leaf").isNotNull())
     busy = busy.groupBy("leaf").count().filter(F.col("count") >= min_docs).select(again("leaf").alias("leaf"))
-    found = lines.join(busy, "leaf", "left_semi").withColumn("line_id", _digest(F.lit("line"), "line"))
+    # Busy leaves grow with the corpus: the same plan at every size, and it moves each line once.
+    found = _sized(lines.join(busy.hint("merge"), "leaf", "left_semi")).withColumn("line_id", _digest(F.lit("line"), "line"))
     found = stored(found.select("doc_id", "key", "no", "words", "lead", "line", "line_id"), "lines")
 
     kinds = stored(found.groupBy("words", "lead", "line", "line_id").agg(F.count(F.lit(1)).alias("n")), "distinct-lines")
