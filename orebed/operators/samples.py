@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -80,8 +82,6 @@ def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out:
 
     The knots are one value each, so a broadcast array of them serves up to
     about a million; they are searched, not joined."""
-    import pandas as pd
-
     rows = sorted((r[0], r[1]) for r in knots.select(x, y).limit(1_000_001).collect())
     if len(rows) > 1_000_000:
         raise ValueError("too many knots to broadcast: thin them by quantiles first")
@@ -89,8 +89,6 @@ def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out:
 
     @F.pandas_udf("double")
     def at_knots(v: pd.Series) -> pd.Series:
-        import numpy as np
-
         xs, ys = held.value
         ok = v.notna()
         got = pd.Series(np.nan, index=v.index)

@@ -1,6 +1,6 @@
 """All queries over the star-schema tables."""
 
-from . import drillholes, ensembles
+from . import drillholes, ensembles, models
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "drillholes", "ensembles"]
+__all__ = ["ORACLES", "QUERIES", "drillholes", "ensembles", "models"]
