@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import again, pick, table
-from .words import Words, mix, runs, slices
+from .common import again, pick, stored, table
+from .words import STEPS, Words, mix, powers, runs, slices
 
 #: Counters in a row of the sketch, as a power of two, at most and at least.
 MAX_BITS, MIN_BITS = 28, 20
@@ -48,29 +48,74 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(a, b - a), texts[a:b]
 
 
-def _counter(window: int, bits: int) -> Callable:
-    """Each partition's sketch, sparse, cut into shards: counters met once, and more than once."""
+def _whole(words: np.ndarray, which: int = 0) -> np.uint64:
+    """A hash of all words of a text."""
+    return mix((words * powers(STEPS[which], len(words))).sum(dtype=np.uint64) + np.uint64(len(words)))
+
+
+class Sketch:
+    """A merged sketch on the workers: ``twice`` has, for each row, the bitmap of counters above 1."""
+
+    def __init__(self, bits: int, twice):
+        self.bits, self.twice, self.rows = bits, twice, None
+
+    def __getstate__(self) -> tuple:
+        return self.bits, self.twice
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, self.twice = state
+        self.rows = None
+
+    def repeated(self, keys: np.ndarray) -> np.ndarray:
+        """Whether each key is estimated to have been counted more than once; never too low."""
+        if self.rows is None:
+            self.rows = [np.frombuffer(x, np.uint8) for x in self.twice.value]
+        hit = np.ones(len(keys), bool)
+        for row in range(DEPTH):
+            c = _counters(keys, row, self.bits)
+            hit &= (self.rows[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
+        return hit
+
+
+def _long_texts(texts: list[str], window: int) -> Iterator[tuple[int, np.ndarray, Words]]:
+    """Number and word hashes of each text with a window or more."""
+    w = Words(texts)
+    h = w.hashes()
+    for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+        if b - a >= window:
+            yield i, h[a:b], w
+
+
+def _counter(window: int, bits: int, copies: Sketch | None, whole: bool) -> Callable:
+    """Each partition's sketch, sparse, cut into shards: counters met once, and more than once.
+    Counts whole texts, or else anchors; with ``copies`` only of texts that it takes for single."""
     per_shard = 1 << min(SHARD_BITS, bits)
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def sketch(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for row in range(DEPTH):
-                c, n = np.unique(_counters(found, row, bits), return_counts=True)
-                cuts = np.searchsorted(c, np.arange(0, (1 << bits) + 1, per_shard))
-                at = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-                once = [(c[cuts[k] : cuts[k + 1]] % per_shard).astype("<u4") for k in at]
-                more = [x[n[cuts[k] : cuts[k + 1]] > 1].tobytes() for k, x in zip(at, once, strict=True)]
-                shard = [row * ((1 << bits) // per_shard) + k for k in at]
-                yield pa.record_batch([pa.array(shard, pa.int64()), pa.array([x.tobytes() for x in once], pa.binary()), pa.array(more, pa.binary())], names=["shard", "once", "more"])
+    def sketch(found: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for row in range(DEPTH):
+            c, n = np.unique(_counters(found, row, bits), return_counts=True)
+            cuts = np.searchsorted(c, np.arange(0, (1 << bits) + 1, per_shard))
+            at = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
+            once = [(c[cuts[k] : cuts[k + 1]] % per_shard).astype("<u4") for k in at]
+            more = [x[n[cuts[k] : cuts[k + 1]] > 1].tobytes() for k, x in zip(at, once, strict=True)]
+            shard = [row * ((1 << bits) // per_shard) + k for k in at]
+            yield pa.record_batch([pa.array(shard, pa.int64()), pa.array([x.tobytes() for x in once], pa.binary()), pa.array(more, pa.binary())], names=["shard", "once", "more"])
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
-        for _, texts in _texts(batches):
-            w = Words(texts)
-            h = w.hashes()
-            for a, b in zip(w.first[:-1], w.first[1:], strict=True):
-                if b - a >= window:
-                    held.append(np.unique(anchors(h[a:b], window)))
-                    size += len(held[-1])
+        for batch, texts in _texts(batches):
+            ids = batch.column("doc_id")
+            for i, h, _ in _long_texts(texts, window):
+                if not ids[i].is_valid:
+                    continue
+                text = np.array([_whole(h)])
+                if whole:
+                    held.append(text)
+                elif copies is None or not copies.repeated(text)[0]:
+                    held.append(np.unique(anchors(h, window)))
+                else:
+                    continue
+                size += len(held[-1])
             if size > 4_000_000:
                 yield from sketch(np.concatenate(held))
                 held, size = [], 0
@@ -80,6 +125,26 @@ def _counter(window: int, bits: int) -> Callable:
     return count
 
 
+def _flagged(window: int, copies: Sketch) -> Callable:
+    """The texts that may have a copy, with two hashes of all their words."""
+
+    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, texts in _texts(batches):
+            at, f0, f1, other = [], [], [], None
+            for i, h, w in _long_texts(texts, window):
+                f = _whole(h)
+                if batch.column("doc_id")[i].is_valid and copies.repeated(np.array([f]))[0]:
+                    other = w.hashes(1) if other is None else other
+                    at.append(i)
+                    f0.append(int(f.view(np.int64)))
+                    f1.append(int(_whole(other[w.first[i] : w.first[i + 1]], 1).view(np.int64)))
+            if at:
+                kept = batch.take(pa.array(at))
+                yield pa.record_batch([kept.column("doc_id"), kept.column("key"), kept.column("text"), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["doc_id", "key", "text", "f0", "f1"])
+
+    return flag
+
+
 def _merger(bits: int) -> Callable:
     """Sums up to two: the rows of a shard come one after the other, one bitmap pair in memory."""
     per_shard = 1 << min(SHARD_BITS, bits)
@@ -108,37 +173,41 @@ def _merger(bits: int) -> Callable:
     return merge
 
 
-def _windows(window: int, bits: int, sketch) -> Callable:
+def _windows(window: int, sketch: Sketch, copies: Sketch | None) -> Callable:
     """Windows that the merged sketch takes for repeated: two hashes, document, place."""
-    cache: list[np.ndarray] = []
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not cache:
-            cache.extend(np.frombuffer(x, np.uint8) for x in sketch.value)
         for batch, texts in _texts(batches):
-            ids, keys = batch.column("doc_id"), batch.column("key").to_numpy()
-            w = Words(texts)
-            h0, h1 = w.hashes(0), w.hashes(1)
+            ids, keys, other = batch.column("doc_id"), batch.column("key").to_numpy(), None
             out: list[list[np.ndarray]] = []
-            for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-                doc_id = ids[i].as_py()
-                if b - a < window or doc_id is None:
+            for i, h, w in _long_texts(texts, window):
+                if not ids[i].is_valid or copies is not None and copies.repeated(np.array([_whole(h)]))[0]:
                     continue
-                low = anchors(h0[a:b], window)
-                hit = np.ones(len(low), bool)
-                for row in range(DEPTH):
-                    c = _counters(low, row, bits)
-                    hit &= (cache[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
-                at = np.flatnonzero(hit)
+                at = np.flatnonzero(sketch.repeated(anchors(h, window)))
                 if len(at):
-                    k0, k1 = runs(h0[a:b], window, 0)[at], runs(h1[a:b], window, 1)[at] >> np.uint64(32)
-                    out.append([k0.view(np.int64), k1.astype(np.int64), np.full(len(at), doc_id, np.int64), np.full(len(at), keys[i], np.int64), at.astype(np.int64)])
+                    other = w.hashes(1) if other is None else other
+                    k0, k1 = runs(h, window, 0)[at], runs(other[w.first[i] : w.first[i + 1]], window, 1)[at] >> np.uint64(32)
+                    out.append([k0.view(np.int64), k1.astype(np.int64), np.full(len(at), ids[i].as_py(), np.int64), np.full(len(at), keys[i], np.int64), at.astype(np.int64)])
             if out:
                 yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k0", "k1", "doc_id", "key", "at"])
 
     return emit
 
 
+def _merged(tables: list[tuple[DataFrame, Sketch | None]], window: int, bits: int, whole: bool) -> Sketch:
+    """One sketch of several tables.  Its size is set by ``bits`` and does not grow with the input."""
+    made = None
+    for df, copies in tables:
+        one = df.mapInArrow(_counter(window, bits, copies, whole), "shard long, once binary, more binary")
+        made = one if made is None else made.unionByName(one)
+    merged = made.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merger(bits), "shard long, twice binary")
+    bitmaps = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
+    flat = bitmaps.reshape(-1, (1 << min(SHARD_BITS, bits)) // 8)
+    for r in merged.collect():
+        flat[r["shard"]] = np.frombuffer(r["twice"], np.uint8)
+    return Sketch(bits, made.sparkSession.sparkContext.broadcast([b.tobytes() for b in bitmaps]))
+
+
 def _cutter(window: int) -> Callable:
     """What is left of each text once the marked windows' words are gone."""
 
@@ -156,6 +225,10 @@ def _cutter(window: int) -> Callable:
                 n = int(total[i])
                 edges = np.zeros(n + 1, np.int64)
                 at = np.array(at)
+                if at[0] < 0:  # a copy
+                    gone.append(n)
+                    kept.append("")
+                    continue
                 np.add.at(edges, at, 1)
                 np.add.at(edges, np.minimum(at + window, n), -1)
                 keep = np.cumsum(edges[:-1]) == 0
@@ -175,12 +248,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id",
     starts in a document with a smaller id; windows are judged on the input.
     ``text`` has the words that stay, joined by one blank.
 
-    Pass 1 gives each partition's count-min sketch of window anchors (see
-    ``anchors``); sketches are merged shard by shard.  An estimate is never
-    too small, so pass 2, which groups the windows estimated repeated by a
-    96-bit hash of their words, loses none.  The sketch has 2**bits counters a
-    row (by the size of the input, at most 2**MAX_BITS: 64 MB in all when
-    broadcast); beyond that it passes more windows, never fewer.
+    Texts that have all their words in common with an earlier one go whole;
+    a first sketch, of texts, says which may have a copy, and only those are
+    compared (by a 128-bit hash of their words).  Of the others, and of the
+    first of each group of copies, pass 1 gives each partition's count-min
+    sketch of window anchors (see ``anchors``); sketches are merged shard by
+    shard.  An estimate is never too small, so pass 2, which groups the windows
+    estimated repeated by a 96-bit hash of their words, loses none.  A sketch
+    has 2**bits counters a row (by the size of the input, at most 2**MAX_BITS:
+    64 MB in all when broadcast); beyond that it passes more windows, never
+    fewer.
 
     Null texts have no words.  Rows with a null id are neither cut nor a
     reason to cut.  Rows that repeat an id do not cut each other.  Empty
@@ -193,22 +270,21 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id",
         chars = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
         # About one anchor in 80 bytes; 8 counters for each.
         bits = int(np.clip(np.ceil(np.log2(max(chars, 1) / 10)), MIN_BITS, MAX_BITS))
-    sketches = rows.mapInArrow(_counter(window, bits), "shard long, once binary, more binary")
-    merged = sketches.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merger(bits), "shard long, twice binary")
-    # 2 bitmaps of 2**bits bits: a bound that does not grow with the input.
-    bitmaps = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    width = (1 << min(SHARD_BITS, bits)) // 8
-    flat = bitmaps.reshape(-1, width)
-    for r in merged.collect():
-        flat[r["shard"]] = np.frombuffer(r["twice"], np.uint8)
-    sketch = spark.sparkContext.broadcast([b.tobytes() for b in bitmaps])
-
     keyed = rows.withColumn("key", F.xxhash64("text"))
-    windows = keyed.mapInArrow(_windows(window, bits, sketch), "k0 long, k1 long, doc_id long, key long, at long")
-    firsts = windows.groupBy("k0", "k1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
-    firsts = firsts.select(again("k0").alias("k0"), "k1", "first")
-    marks = windows.join(firsts, ["k0", "k1"]).filter("doc_id > first").groupBy("doc_id", "key").agg(F.collect_list("at").alias("marks"))
-
+    copies = _merged([(rows, None)], window, max(MIN_BITS, bits - 4), whole=True)
+    may = stored(keyed.mapInArrow(_flagged(window, copies), "doc_id long, key long, text string, f0 long, f1 long"), "may-be-copies")
+    least = may.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")).select(again("f0").alias("f0"), "f1", "least")
+    may = stored(may.join(least, ["f0", "f1"]).select("doc_id", "key", "text", "least"), "copies")
+    firsts = may.filter("doc_id = least").select("doc_id", "text", "key")
+    gone = may.filter("doc_id > least").select("doc_id", "key", F.array(F.lit(-1).cast("long")).alias("marks")).distinct()
+
+    sketch = _merged([(rows, copies), (firsts.select("doc_id", "text"), None)], window, bits, whole=False)
+    schema = "k0 long, k1 long, doc_id long, key long, at long"
+    windows = keyed.mapInArrow(_windows(window, sketch, copies), schema).unionByName(firsts.mapInArrow(_windows(window, sketch, None), schema))
+    first = windows.groupBy("k0", "k1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
+    first = first.select(again("k0").alias("k0"), "k1", "first")
+    marks = windows.join(first, ["k0", "k1"]).filter("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("marks"))
+    marks = marks.unionByName(gone)
     joined = keyed.join(marks, ["doc_id", "key"], "left").select("doc_id", "text", "marks")
     return joined.mapInArrow(_cutter(window), "doc_id long, n_words long, n_removed long, text string")
 

@@ -24,7 +24,7 @@ _SIGNS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 BLOCK_BYTES = 4 << 20
 
 _WORD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-_STEP = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
+STEPS = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -108,7 +108,7 @@ def runs(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    base = _STEP[which]
+    base = STEPS[which]
     if k <= 8:
         total = np.zeros(n, dtype=np.uint64)
         for j in range(k):
