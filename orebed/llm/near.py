@@ -22,6 +22,10 @@ LOW_BITS = 4
 MARGIN = 5.0
 #: Members of a bucket that one block compares at most; larger buckets are compared block by block.
 BLOCK = 1024
+#: ... and shingles of them.
+BLOCK_ITEMS = 1_000_000
+#: Buckets of more members are confirmed where they are compared, and give links, not pairs.
+LARGE = 64
 
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 32, HASHES, dtype=np.uint32)
@@ -97,77 +101,137 @@ def estimated(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return (equal / HASHES - chance) / (1 - chance)
 
 
-def _pairs(percent: int, forest: bool) -> Callable:
-    """Pairs of a bucket that may be linked and aren't in one component yet.
-
-    A pair is met in its first common band alone.  forest: of the pairs whose
-    estimate reaches the threshold, those of a spanning forest of the bucket.
-    Otherwise all whose estimate is within MARGIN deviations of it."""
-    goal = percent / 100
+def _least(percent: int) -> float:
+    """The lowest estimate that does not rule out a link."""
     chance = 2.0**-LOW_BITS
-    p = chance + (1 - chance) * goal
-    least = goal if forest else goal - MARGIN * np.sqrt(p * (1 - p) / HASHES) / (1 - chance)
+    p = chance + (1 - chance) * percent / 100
+    return percent / 100 - MARGIN * np.sqrt(p * (1 - p) / HASHES) / (1 - chance)
+
+
+def _candidates(held: pa.Table, percent: int, least: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs of rows of the same block, not in one component yet, that sizes and estimate don't
+    rule out.  A pair is met in its first common band alone."""
+    cols = {c: held.column(c).to_numpy() for c in ("key", "block", "node", "component", "n", "band", "chunk")}
+    bits = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(held.num_rows, -1)
+    bands = np.stack(held.column("bands").to_numpy()).astype(np.uint32)
+    new = np.flatnonzero((np.diff(cols["key"], prepend=cols["key"][0] - 1) != 0) | (np.diff(cols["block"], prepend=-1) != 0))
+    end = np.repeat(np.append(new[1:], held.num_rows), np.diff(np.append(new, held.num_rows)))
+    whole = cols["block"] % 2 == 0  # a chunk with itself; else two chunks, of which only cross pairs count
+    n, at, d = cols["n"], np.arange(held.num_rows), 0
+    out = []
+    while True:
+        d += 1
+        at = at[at + d < end[at]]
+        if not len(at):
+            break
+        other = at + d
+        small, large = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
+        ok = (cols["component"][at] != cols["component"][other]) & (100 * small >= percent * large) & (whole[at] | (cols["chunk"][at] != cols["chunk"][other]))
+        a, b = at[ok], other[ok]
+        est = estimated(bits[a], bits[b])
+        a, b, est = a[est >= least], b[est >= least], est[est >= least]
+        first = np.argmax(bands[a] == bands[b], axis=1) == cols["band"][a]
+        out.append((a[first], b[first], est[first]))
+    a, b, est = (np.concatenate(x) if out else np.zeros(0, np.int64) for x in (zip(*out, strict=True) if out else ((), (), ())))
+    order = np.argsort(-est, kind="stable")
+    return cols, a[order], b[order], est[order]
+
+
+class _Forest:
+    """Union-find over the components that rows begin with."""
+
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
+
+    def find(self, v: int) -> int:
+        root = self.root
+        while root.setdefault(v, v) != v:
+            root[v] = root[root[v]]
+            v = root[v]
+        return v
+
+    def join(self, u: int, v: int) -> bool:
+        u, v = self.find(u), self.find(v)
+        self.root[max(u, v)] = min(u, v)
+        return u != v
+
+
+def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
-    def chosen(a: np.ndarray, b: np.ndarray, est: np.ndarray) -> Iterator[int]:
-        root: dict[int, int] = {}
 
-        def find(v: int) -> int:
-            while root.setdefault(v, v) != v:
-                root[v] = root[root[v]]
-                v = root[v]
-            return v
-
-        for k in np.argsort(-est, kind="stable").tolist():
-            u, v = find(int(a[k])), find(int(b[k]))
-            if u != v:
-                root[max(u, v)] = min(u, v)
-                yield k
+def _pairs(percent: int, forest: bool) -> Callable:
+    """Candidate pairs, to be confirmed.  forest: of those whose estimate reaches the threshold, a
+    spanning forest of each bucket; otherwise all."""
 
     def compare(held: pa.Table) -> pa.RecordBatch:
-        cols = {c: held.column(c).to_numpy() for c in ("key", "block", "node", "component", "n", "band", "chunk")}
-        bits = np.frombuffer(b"".join(held.column("bits").to_pylist()), np.uint64).reshape(held.num_rows, -1)
-        bands = np.stack(held.column("bands").to_numpy()).astype(np.uint32)
-        new = np.flatnonzero((np.diff(cols["key"], prepend=cols["key"][0] - 1) != 0) | (np.diff(cols["block"], prepend=-1) != 0))
-        end = np.repeat(np.append(new[1:], held.num_rows), np.diff(np.append(new, held.num_rows)))
-        whole = cols["block"] % 2 == 0  # a chunk with itself; else two chunks, of which only cross pairs count
-        n, at, d = cols["n"], np.arange(held.num_rows), 0
-        out_a, out_b, out_e = [], [], []
-        while True:
-            d += 1
-            at = at[at + d < end[at]]
-            if not len(at):
-                break
-            other = at + d
-            small, large = np.minimum(n[at], n[other]), np.maximum(n[at], n[other])
-            ok = (cols["component"][at] != cols["component"][other]) & (100 * small >= percent * large) & (whole[at] | (cols["chunk"][at] != cols["chunk"][other]))
-            a, b = at[ok], other[ok]
-            est = estimated(bits[a], bits[b])
-            a, b, est = a[est >= least], b[est >= least], est[est >= least]
-            first = np.argmax(bands[a] == bands[b], axis=1) == cols["band"][a]
-            out_a.append(a[first])
-            out_b.append(b[first])
-            out_e.append(est[first])
-        a, b, est = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b, out_e))
+        cols, a, b, _ = _candidates(held, percent, percent / 100 if forest else _least(percent))
         if forest and len(a):
-            keep = np.fromiter(chosen(cols["component"][a], cols["component"][b], est), np.int64)
+            tree = _Forest()
+            of = cols["component"]
+            keep = np.fromiter((tree.join(u, v) for u, v in zip(of[a].tolist(), of[b].tolist(), strict=True)), bool, len(a))
             a, b = a[keep], b[keep]
-        u, v = cols["node"][a], cols["node"][b]
-        return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
+        return _edges(cols["node"][a], cols["node"][b])
+
+    return _by_block(compare)
+
+
+def _common(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sizes of intersections of sorted sets, given one after the other in ``values``."""
+    out = np.empty(len(a), np.int64)
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = values[starts[i] : starts[i + 1]], values[starts[j] : starts[j + 1]]
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        out[k] = np.count_nonzero(x[at] == y)
+    return out
+
+
+def _confirmed(percent: int) -> Callable:
+    """Links that make a spanning forest of what is linked within each block: likely pairs first,
+    each confirmed on full sets unless others have joined its components before."""
+
+    def compare(held: pa.Table) -> pa.RecordBatch:
+        cols, a, b, _ = _candidates(held, percent, _least(percent))
+        items = held.column("items").combine_chunks()
+        n = items.value_lengths().to_numpy()
+        values, starts = items.flatten().to_numpy().view(np.uint64), np.concatenate([[0], np.cumsum(n)])
+        tree, of = _Forest(), cols["component"]
+        out_u, out_v = [], []
+        for k in range(0, len(a), 512):
+            u, v = a[k : k + 512], b[k : k + 512]
+            apart = np.fromiter((tree.find(p) != tree.find(q) for p, q in zip(of[u].tolist(), of[v].tolist(), strict=True)), bool, len(u))
+            u, v = u[apart], v[apart]
+            both = _common(values, starts, u, v)
+            sure = 100 * both >= percent * (n[u] + n[v] - both)
+            for p, q in zip(u[sure].tolist(), v[sure].tolist(), strict=True):
+                if tree.join(int(of[p]), int(of[q])):
+                    out_u.append(cols["node"][p])
+                    out_v.append(cols["node"][q])
+        return _edges(np.array(out_u, np.int64), np.array(out_v, np.int64))
+
+    return _by_block(compare)
+
+
+def _by_block(compare: Callable[[pa.Table], pa.RecordBatch]) -> Callable:
+    """Calls on whole blocks of rows sorted by block, several small ones at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, width = [], 0, 0
         for batch in batches:
             held.append(batch)
             size += batch.num_rows
-            if size < 8 * BLOCK:
+            width += batch.nbytes
+            if size < 8 * BLOCK and width < 64 << 20:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             key, block = t.column("key").to_numpy(), t.column("block").to_numpy()
             last = np.flatnonzero((key != key[-1]) | (block != block[-1]))
             cut = int(last[-1]) + 1 if len(last) else 0
             if cut:
-                yield compare(t.slice(0, cut))
-            held, size = t.slice(cut).to_batches(), t.num_rows - cut
+                yield compare(t.slice(0, cut).combine_chunks())
+            held = t.slice(cut).to_batches()
+            size, width = t.num_rows - cut, sum(x.nbytes for x in held)
         if held and size:
             yield compare(pa.Table.from_batches(held).combine_chunks())
 
@@ -184,11 +248,14 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
 
     Rows with the same set form a class, whose smallest id stands for it.
     Of each class's minima the bands make buckets, and the low bits a packed
-    signature.  Within buckets signatures estimate the similarity.  A spanning
-    forest of the likely pairs of every bucket is confirmed on full sets
-    first; then every pair that is not yet connected and that the estimate
-    does not rule out.  Pairs within a component can't change it and are never
-    made.  Buckets have no cap: large ones are compared block by block.
+    signature, which estimates the similarity of pairs within a bucket.  Large
+    buckets are compared with their full sets at hand, block by block, and give
+    the confirmed links of a spanning forest: at most one for each member.
+    Of small buckets a spanning forest of the likely pairs is confirmed first,
+    then every pair that is not yet connected and that the estimate does not
+    rule out.  Pairs within a component can't change it and are never made.
+    Nothing is capped: blocks bound what is held at once, not what is compared.
+
     A link is missed if no band agrees (at 80 percent 1 in 20 million, at 85
     less than 1 in 10 billion) or the estimate is MARGIN deviations too low.
 
@@ -206,12 +273,12 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     member = stored(member.select("doc_id", "n", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("node"), F.col("bits")).alias("bits")), "classes")
     nodes = member.filter("bands IS NOT NULL").select("node", "n", "bands", "bits")
 
-    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select(again("key").alias("key"), "size")
-    chunks = F.ceil(F.col("size") / BLOCK).cast("int")
-    met = banded.join(sizes, "key").select("key", "band", "node", chunks.alias("chunks"), F.pmod(F.xxhash64("node"), chunks).cast("int").alias("chunk"))
+    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).filter("size > 1")
+    sizes = sizes.select(again("key").alias("key"), "size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("chunks"))
+    met = banded.join(sizes, "key").select("key", "band", "node", "size", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
     pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk")))
-    met = met.withColumn("pair", F.explode(pair)).select("key", "band", "node", "chunk", (F.col("pair") * 2 + (F.col("pair") % (F.col("chunks") + 1) != 0).cast("int")).cast("long").alias("block"))
+    met = met.withColumn("pair", F.explode(pair)).select("key", "band", "node", "chunk", (F.col("size") > LARGE).alias("large"), (F.col("pair") * 2 + (F.col("pair") % (F.col("chunks") + 1) != 0).cast("int")).cast("long").alias("block"))
     met = stored(met, "met")
     asked = met.select("node").distinct()
     sets = stored(rows.join(asked, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_shingled, "node long, items array<long>"), "sets")
@@ -221,10 +288,17 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     twice = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
     links = stored(member.select("doc_id", "node").join(twice, "doc_id").select("a", F.col("node").alias("b")), "repeats")
     known = components(links)
+    given = ["key", "block", "node", "component", "n", "band", "chunk", "bands", "bits"]
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        placed = lean.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        return rows.join(placed, "node").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "node")
+
+    work = dealt(met.filter("large").join(sets, "node")).select(*given, "items")
+    links = links.unionByName(stored(work.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links"))
+    known = components(links)
     for forest in (True, False):
-        placed = lean.join(known.select(F.col("node"), "component"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-        work = met.join(placed, "node").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "node")
-        pairs = work.select("key", "block", "node", "component", "n", "band", "chunk", "bands", "bits").mapInArrow(_pairs(percent, forest), "a long, b long")
+        pairs = dealt(met.filter("NOT large")).select(*given).mapInArrow(_pairs(percent, forest), "a long, b long")
         pairs = stored(pairs.distinct(), "pairs")
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))

@@ -26,11 +26,28 @@ def test_near_groups(docs, data, percent):
     cases.same(got, cases.near(data, percent))
 
 
-def test_near_groups_in_blocks(docs, data, monkeypatch):
+@pytest.mark.parametrize("large", [1, 3, 64])
+def test_near_groups_in_blocks(docs, data, monkeypatch, large):
     monkeypatch.setattr(near, "BLOCK", 2)
+    monkeypatch.setattr(near, "LARGE", large)
     cases.same(near.near_groups(docs, 30).toPandas(), cases.near(data, 30))
 
 
+def test_near_crowd(spark):
+    # Many edits of one text: some near it, some near each other, most near nothing.
+    import random
+
+    r = random.Random(9)
+    words = [f"w{i}" for i in range(150)]
+    data = []
+    for i in range(220):
+        w = list(words)
+        for k in r.sample(range(150), r.randrange(0, 14)):
+            w[k] = f"e{i}_{k}"
+        data.append((i, " ".join(w)))
+    cases.same(near.near_groups(cases.frame(spark, data), 85).toPandas(), cases.near(data, 85))
+
+
 def test_near_chain(spark):
     # A chain: each text shares most with the next, the ends share little.
     words = [f"w{i}" for i in range(400)]
