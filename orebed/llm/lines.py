@@ -96,7 +96,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     drops = drops.groupBy(F.col("doc_id").alias("to_doc"), F.col("key").alias("to_key")).agg(F.collect_set("no").alias("gone"))
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
     doc, text = F.col(f"_{names.index(id_column)}").cast("long"), F.col(f"_{names.index(text_column)}")
-    joined = plain.join(drops, doc.eqNullSafe(F.col("to_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("to_key")), "left")
+    # Dropped lines grow with the corpus: by merge at every size, as above.
+    joined = plain.join(drops.hint("merge"), doc.eqNullSafe(F.col("to_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("to_key")), "left")
     gone = F.col("gone")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
     added = [n + "_" if n in names else n for n in ("n_lines", "n_dropped")]
