@@ -57,7 +57,7 @@ def box_cover(points: DataFrame, box: dict[str, tuple[float, float]]) -> DataFra
     for axis, (lo, hi) in box.items():
         least, most = F.min(axis), F.max(axis)
         part = F.greatest(F.lit(0.0), F.least(most, F.lit(float(hi))) - F.greatest(least, F.lit(float(lo))))
-        shares.append((part / (most - least)).alias(f"overlap_{axis}"))
+        shares.append(F.try_divide(part, most - least).alias(f"overlap_{axis}"))
     return points.agg((100 * F.avg(inside.cast("double"))).alias("inside_pct"), *shares)
 
 

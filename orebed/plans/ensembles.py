@@ -236,11 +236,11 @@ def e2_w7_category_draws(spark: SparkSession, sf: str) -> DataFrame:
     return x.withColumn("u", u).select("cell_id", "real_id", ensemble.draw_category(F.col("shares"), F.col("u")).alias("category_id"))
 
 
-@query("a46_variance_ratio", f"{STACK}, {_PCT}, s AS (SELECT iz, avg(p50) AS m FROM pct GROUP BY 1), d AS (SELECT p_partkey // 400 AS iz, avg(p_size) AS d FROM part GROUP BY 1) SELECT {r('corr(m, d)', 'r')}, {r('var_pop(m) / var_pop(d)', 'variance_ratio')}, {r('max(m)', 'max_model')}, {r('max(d)', 'max_data')} FROM s JOIN d USING (iz)")
+@query("a46_variance_ratio", f"{STACK}, {_PCT}, s AS (SELECT iz, avg(p50) AS m FROM pct GROUP BY 1), d AS (SELECT p_partkey // 400 AS iz, avg(p_size) AS d FROM part GROUP BY 1) SELECT {r('corr(m, d)', 'r')}, {r('CASE WHEN var_pop(d) > 0 THEN var_pop(m) / var_pop(d) END', 'variance_ratio')}, {r('max(m)', 'max_model')}, {r('max(d)', 'max_data')} FROM s JOIN d USING (iz)")
 def a46_variance_ratio(spark: SparkSession, sf: str) -> DataFrame:
     d = spark.read.parquet(f"{sf}/part.parquet").groupBy(F.floor(F.col("p_partkey") / 400).cast("long").alias("iz")).agg(F.avg("p_size").alias("d"))
     s = ensemble.cell_percentiles(views.stack(spark, sf)).groupBy("iz").agg(F.avg("p50").alias("m"))
-    return rounded(s.join(d, "iz").agg(F.corr("m", "d").alias("r"), (F.var_pop("m") / F.var_pop("d")).alias("variance_ratio"), F.max("m").alias("max_model"), F.max("d").alias("max_data")))
+    return rounded(s.join(d, "iz").agg(F.corr("m", "d").alias("r"), F.when(F.var_pop("d") > 0, F.try_divide(F.var_pop("m"), F.var_pop("d"))).alias("variance_ratio"), F.max("m").alias("max_model"), F.max("d").alias("max_data")))
 
 
 @query("a52_physical_audit", f"{POINTS} SELECT {r('min(value - 4)', 'least')}, {r('avg(CAST(value - 4 < 0 AS INT))', 'negative_share')}, {r('avg(value - 4)', 'mean')}, {r('avg(greatest(value - 4, 0))', 'floored_mean')} FROM points")
