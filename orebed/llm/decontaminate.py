@@ -13,18 +13,39 @@ from pyspark.sql import functions as F
 from .common import pick, table
 from .words import Words, mix, slices
 
-#: Positions with 1 are hashed, those with 0 may hold any word.
-MASKS = ("1111111", "1101100111", "11100101011", "110010111001")
 #: An overlap counts from so many words on (or the whole item, if that is shorter) ...
 MIN_WORDS = 13
 #: ... if this share of its words is the same.
 SIMILARITY = 0.8
+#: Masks by the words of an item, the last for longer items too: positions with 1 are hashed, those with 0
+#: may hold any word.  At MIN_WORDS and SIMILARITY each set hits every overlap that counts.
+MASKS = {
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("11111", "111101", "111011", "110111", "101111"),
+    7: ("111111", "1111101", "1111011", "1110111", "1101111", "1011111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
+    13: ("1101111", "1111101", "1100010111", "11011000011"),
+}
 #: Words of benchmark items that one broadcast index holds at most; a larger benchmark
 #: takes further passes over the documents.
 INDEX_WORDS = 2_000_000
 _BITS = 22
 
 
+def masks_for(length: int, min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> tuple[str, ...]:
+    """Masks of which at least one fits into every overlap of an item of so many words."""
+    if (min_words, similarity) == (MIN_WORDS, SIMILARITY) and length >= min(MASKS):
+        return MASKS[min(length, max(MASKS))]
+    # Of twice the words or more, one half is an overlap too.  So many words stand between two changed ones at least.
+    sizes = range(max(1, min(min_words, length)), min(length, 2 * min_words - 1) + 1)
+    changed = {n: int(n * (1 - similarity) + 1e-9) for n in sizes}
+    return ("1" * max(1, min(-((k - n) // (k + 1)) for n, k in changed.items())),)
+
+
 def seed_hashes(words: np.ndarray, mask: str) -> np.ndarray:
     """The hash of the mask's words at every place where all of it fits."""
     n = len(words) - len(mask) + 1
@@ -56,14 +77,13 @@ class Index:
     seeds: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]
 
     @staticmethod
-    def build(items: list[tuple[int, str]]) -> Index:
+    def build(items: list[tuple[int, str]], min_words: int = MIN_WORDS, similarity: float = SIMILARITY) -> Index:
         w = Words([t for _, t in items], lower=True, signs=True)
         h = w.hashes()
         words = [h[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True)]
         found: dict[str, list[tuple[np.ndarray, int]]] = {}
         for k, x in enumerate(words):
-            # An item too short for the masks is looked for as it is.
-            for mask in [m for m in MASKS if len(m) <= len(x)] or ["1" * len(x)] * bool(len(x)):
+            for mask in masks_for(len(x), min_words, similarity) if len(x) else ():
                 found.setdefault(mask, []).append((seed_hashes(x, mask), k))
         seeds = {}
         for mask, parts in found.items():
@@ -79,16 +99,17 @@ class Index:
         w = Words(texts, lower=True, signs=True)
         h = w.hashes()
         out: list[dict[int, int]] = [{} for _ in texts]
-        pairs: set[tuple[int, int]] = set()
+        found = [np.zeros((0, 2), np.int64)]
         for mask, (seeds, item, at) in self.seeds.items():
             s = seed_hashes(h, mask)
             sieve = np.zeros(1 << _BITS, bool)
             sieve[seeds >> np.uint64(64 - _BITS)] = True
             hits = np.flatnonzero(sieve[s >> np.uint64(64 - _BITS)])
             lo, hi = np.searchsorted(seeds, s[hits], "left"), np.searchsorted(seeds, s[hits], "right")
-            for p, a, b in zip(hits[hi > lo].tolist(), lo[hi > lo].tolist(), hi[hi > lo].tolist(), strict=True):
-                pairs.update((int(item[k]), p - int(at[k])) for k in range(a, b))
-        for k, place in pairs:
+            n = hi - lo
+            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            found.append(np.unique(np.stack([item[k], np.repeat(hits, n) - at[k]], axis=1), axis=0))
+        for k, place in self._close(h, np.unique(np.concatenate(found), axis=0), min_words, similarity):
             own = self.words[k]
             # The seed lies within the item; the text is the one that holds the item's part there.
             for i in range(int(np.searchsorted(w.first, max(place, 0), "right")) - 1, len(texts)):
@@ -101,6 +122,18 @@ class Index:
                         out[i][self.items[k]] = n
         return out
 
+    def _close(self, h: np.ndarray, pairs: np.ndarray, min_words: int, similarity: float) -> Iterator[tuple[int, int]]:
+        """The pairs (item, place) with as many words the same as the shortest overlap has."""
+        bounds = [*np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)), len(pairs)]
+        for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+            own = self.words[pairs[a, 0]]
+            same = np.zeros(b - a, np.int64)
+            for j, word in enumerate(own):
+                at = pairs[a:b, 1] + j
+                same += (h[np.clip(at, 0, len(h) - 1)] == word) & (at >= 0) & (at < len(h))
+            for i in np.flatnonzero(same >= similarity * min(min_words, len(own)) - 1e-9):
+                yield int(pairs[a, 0]), int(pairs[a + i, 1])
+
 
 def _finder(index, min_words: int, similarity: float) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,8 +155,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     ``overlap`` the words of the longest overlap.  Words are runs of ASCII
     letters, digits and non-ASCII characters, A-Z lower-cased.
 
-    Fixed masks are laid at every place of an item and of a text; places with
-    equal hashes of the unmasked words are hits.  Around each hit the whole
+    Masks, chosen by the item's length so that every overlap is hit, are laid
+    at every place of an item and of a text; places with equal hashes of the
+    unmasked words are hits.  Around each hit the whole
     item is compared with the text word by word: an overlap is a stretch of
     ``min_words`` words or more, ``similarity`` of them the same.
 
@@ -141,7 +175,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     out = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("CAST(array() AS array<bigint>)").alias("items"), F.lit(0).cast("long").alias("overlap"))
     for k in range(blocks):
         block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(Index.build([(r["item"], r["text"]) for r in sorted(block)]))
+        index = spark.sparkContext.broadcast(Index.build([(r["item"], r["text"]) for r in sorted(block)], min_words, similarity))
         out = out.mapInArrow(_finder(index, min_words, similarity), "doc_id long, text string, items array<long>, overlap long")
     return out
 

@@ -1,5 +1,6 @@
 import gzip
 import io
+import itertools
 import random
 import sys
 from pathlib import Path
@@ -64,6 +65,34 @@ def test_longest_overlap_against_plain():
         assert decontaminate.longest_overlap(same, 0.8) == best
 
 
+@pytest.mark.parametrize(("min_words", "similarity"), [(13, 0.8), (6, 0.7)])
+def test_masks_hit_every_overlap(min_words, similarity):
+    for length in range(1, 2 * min_words + 1):
+        masks = [sum(1 << i for i, c in enumerate(m) if c == "1") for m in decontaminate.masks_for(length, min_words, similarity)]
+        spans = [m.bit_length() for m in masks]
+        for n in range(min(min_words, length), min(length, 2 * min_words - 1) + 1):
+            changed = itertools.combinations(range(n), int(n * (1 - similarity) + 1e-9))
+            same = np.array([(1 << n) - 1 - sum(1 << i for i in c) for c in changed])
+            hit = np.zeros(len(same), bool)
+            for m, span in zip(masks, spans, strict=True):
+                for at in range(n - span + 1):
+                    hit |= same & (m << at) == m << at
+            assert hit.all(), (length, n)
+
+
+def test_short_items_with_changed_words():
+    for length in range(1, 21):
+        own = [f"w{i}" for i in range(length)]
+        index = decontaminate.Index.build([(7, " ".join(own))])
+        texts = []
+        for changed in itertools.combinations(range(length), length // 5):
+            texts.append(" ".join(["a", "b", *("zzz" if i in changed else w for i, w in enumerate(own)), "c"]))
+        step = max(1, len(texts) // 300)
+        assert all(x == {7: length} for x in index.overlaps(texts[::step], 13, 0.8)), length
+        too_many = " ".join("zzz" if i <= length // 5 else w for i, w in enumerate(own))
+        assert length > 13 or index.overlaps([too_many], 13, 0.8) == [{}]
+
+
 def test_leaks(spark):
     bench = pd.read_parquet(f"{cases.SF}/benchmark.parquet")
     docs = pd.read_parquet(f"{cases.SF}/documents.parquet")
