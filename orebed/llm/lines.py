@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,11 @@ from .common import again, pick, stored, table
 
 #: Leading words that lead to a leaf of the tree, below the number of words.
 DEPTH = 3
-#: Share of a leaf's constant words that a line has to have to fall under its template.
+#: Share of a template's words that a line has to have to fall under it: of all words for a leaf's
+#: first template, of the constant ones for further templates.
 SIMILARITY = 0.8
+#: Share of the words after the first DEPTH that have to be constant in a further template.
+CONSTANT = 0.5
 #: A template in so many documents or more recurs.
 MIN_DOCS = 10
 
@@ -30,6 +35,49 @@ def _sized(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"words": words, "lead": F.substring_index("line", " ", DEPTH)})
 
 
+def _recurring(lines: DataFrame, min_docs: int) -> DataFrame:
+    """Templates in so many documents or more, their documents, and the smallest id among these."""
+    recur = lines.select("template", "doc_id", "key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("keeper"))
+    return recur.filter(F.col("docs") >= min_docs).select(F.concat("template", F.lit(b"")).alias("template"), "docs", "keeper")
+
+
+def _further(pool: DataFrame, min_docs: int, similarity: float) -> DataFrame | None:
+    """``line_id, template`` of distinct lines ``line_id, part, words, tokens, docs`` that share a template.
+
+    A part starts as a leaf.  Its constant places are those where one word has
+    ``similarity`` of the lines.  If they are CONSTANT of all, the lines near
+    them are a template and the others a new part; otherwise the part is split
+    by the words at the place where most lines have a word in ``min_docs`` lines
+    or more (then the one with fewest words), other words staying together.
+    """
+    found = []
+    while not pool.isEmpty():
+        words = pool.select("part", "words", "docs", F.posexplode("tokens").alias("place", "word")).filter(F.col("place") >= DEPTH)
+        words = stored(words.groupBy("part", "words", "place", "word").agg(F.sum("docs").alias("n")), "words-of-parts")
+        often = F.col("n") >= min_docs
+        places = words.groupBy("part", "words", "place").agg(F.max(F.struct("n", "word")).alias("top"), F.sum("n").alias("total"), F.sum(F.when(often, F.col("n")).otherwise(0)).alias("often"), F.count(F.lit(1)).alias("kinds"))
+        constant = F.col("top.n") >= similarity * F.col("total")
+        parts = places.groupBy("part", "words").agg(
+            F.max("total").alias("total"),
+            F.collect_list(F.when(constant, F.struct("place", "top.word"))).alias("constants"),
+            F.max(F.when(~constant & (F.col("often") > 0), F.struct("often", (-F.col("kinds")).alias("kinds"), (-F.col("place")).alias("place")))).alias("best"),
+        )
+        enough = F.size("constants") >= CONSTANT * (F.col("words") - DEPTH)
+        parts = parts.withColumn("enough", enough).filter((F.col("total") >= min_docs) & (F.col("enough") | F.col("best").isNotNull()))
+        parts = parts.select(F.concat("part", F.lit(b"")).alias("part"), "constants", "enough", (-F.col("best.place")).alias("at"))
+        same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["word"])) + DEPTH
+        under = F.col("enough") & (same >= similarity * (F.size("constants") + DEPTH))
+        lines = pool.join(parts, "part").select("line_id", "part", "words", "tokens", "docs", under.alias("under"), F.when(~F.col("enough"), F.col("at")).alias("at"))
+        lines = stored(lines, "parted")
+        found.append(lines.filter("under").select("line_id", F.col("part").alias("template")))
+        lines = lines.filter(~F.col("under")).withColumn("word", F.get("tokens", F.col("at")))
+        often = words.filter(often).select(F.concat("part", F.lit(b"")).alias("part"), F.col("place").alias("at"), "word", F.lit("=").alias("sign"))
+        lines = lines.join(often, ["part", "at", "word"], "left")
+        part = _digest(F.hex("part"), F.coalesce(F.col("at").cast("string"), F.lit("rest")), F.concat(F.col("sign"), F.col("word")))
+        pool = stored(lines.select("line_id", part.alias("part"), "words", "tokens", "docs"), "parts")
+    return functools.reduce(DataFrame.unionAll, found) if found else None
+
+
 def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A stored table ``doc_id, key, no, template, docs, keeper`` of the lines whose template recurs.
 
@@ -42,6 +90,9 @@ def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     most of its lines have there (of equals the greatest); lines that share
     ``similarity`` of its words or more fall under it, and where they differ is
     a variable field.  Any other line is a template by itself.
+
+    A leaf has further templates among the lines whose template does not recur
+    so: see ``_further``.  Each has a keeper of its own.
     """
     rows = pick(docs, doc_id=id_column, text=text_column)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -71,9 +122,24 @@ def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
 
     lines = found.select("doc_id", "key", "no", "line_id").join(under, "line_id", "left")
     lines = stored(lines.select("doc_id", "key", "no", F.coalesce("leaf_id", "line_id").alias("template")), "templated")
-    recur = lines.select("template", "doc_id", "key").distinct().groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("keeper"))
-    recur = recur.filter(F.col("docs") >= min_docs).select(F.concat("template", F.lit(b"")).alias("template"), "docs", "keeper")
-    return stored(lines.join(recur, "template"), "recurring")
+    recur = stored(_recurring(lines, min_docs), "recurring-templates")
+    out = stored(lines.join(recur, "template"), "recurring")
+
+    rest = kinds.filter(F.col("words") > DEPTH).join(under, "line_id", "left")
+    rest = rest.select("line_id", "words", "lead", "line", "n", F.coalesce("leaf_id", "line_id").alias("template")).join(recur.select("template"), "template", "left_anti")
+    roomy = rest.groupBy("words", "lead").agg(F.count(F.lit(1)).alias("kinds"), F.sum("n").alias("n")).filter((F.col("kinds") > 1) & (F.col("n") >= min_docs))
+    roomy = roomy.select((F.col("words") + F.lit(0) * F.length("lead")).alias("words"), "lead")
+    rest = stored(rest.join(roomy, ["words", "lead"], "left_semi").select("line_id", "words", "lead", F.split("line", " ", -1).alias("tokens")), "unfolded")
+    if rest.isEmpty():
+        return out
+    lines = found.select("doc_id", "key", "no", "line_id")
+    docs_of = lines.join(rest.select("line_id"), "line_id", "left_semi").select("line_id", "doc_id", "key").distinct().groupBy("line_id").agg(F.count(F.lit(1)).alias("docs"))
+    part = _digest(F.lit("part"), F.col("words").cast("string"), "lead")
+    further = _further(stored(rest.join(docs_of, "line_id").select("line_id", part.alias("part"), "words", "tokens", "docs"), "parts"), min_docs, similarity)
+    if further is None:
+        return out
+    lines = stored(lines.join(further, "line_id").select("doc_id", "key", "no", "template"), "further")
+    return out.unionByName(stored(lines.join(_recurring(lines, min_docs), "template"), "recurring-further"))
 
 
 def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float = SIMILARITY, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
