@@ -75,6 +75,27 @@ def members(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[tuple[int, bytes
         raise ValueError("the last record is cut off")
 
 
+def inflated(stream: BinaryIO, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a plain file, or of all members of a gzip file, a piece at a time."""
+    data = stream.read(chunk)
+    if not data.startswith(b"\x1f\x8b"):
+        while data:
+            yield data
+            data = stream.read(chunk)
+        return
+    z, begun = zlib.decompressobj(31), False
+    while data or begun:
+        out = z.decompress(data, chunk)
+        if out:
+            yield out
+        if not (data or out or z.eof):
+            raise ValueError("the last member is cut off")
+        data, begun = (z.unused_data, False) if z.eof else (z.unconsumed_tail, True)
+        if not begun:
+            z = zlib.decompressobj(31)
+        data = data or stream.read(chunk)
+
+
 def arc_header(version: int, url: str, date: str, kind: str, length: int, name: str, offset: int) -> bytes:
     """A header line; white space inside a field would split it, so it is escaped."""
     url = "".join(c if c > " " and c != "\x7f" and not c.isspace() else "".join(f"%{b:02X}" for b in c.encode()) for c in url) or "-"
@@ -91,15 +112,41 @@ def arc_version_block(version: int, name: str) -> bytes:
 
 
 def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
-    """Records of an ARC file of either version, the version block left out."""
+    """Records of an ARC file of either version, the version block left out.
+
+    Header lines and declared lengths say where records are, so that it makes
+    no difference how the file is compressed; bytes that are no record are an
+    error.  Offsets count uncompressed bytes.
+    """
     names: list[str] | None = None
-    for offset, data in members(stream):
-        line, _, rest = data.partition(b"\n")
-        fields = line.decode().split(" ")
-        length = int(fields[-1])  # the declared length is last in both versions
-        if len(rest) < length:
-            raise ValueError(f"record at {offset} declares {length} bytes and has {len(rest)}")
-        content = rest[:length]
+    chunks, held, offset = inflated(stream), bytearray(), 0
+
+    def more() -> bool:
+        held.extend(got := next(chunks, b""))
+        return bool(got)
+
+    while True:
+        while held[:1] in (b"\n", b"\r") or not held and more():
+            n = next((i for i, c in enumerate(held) if c not in b"\r\n"), len(held))
+            del held[:n]
+            offset += n
+            if n == 0:
+                break
+        if not held:
+            return
+        while (end := held.find(b"\n")) < 0:
+            if not more():
+                raise ValueError(f"bytes at {offset} are no record")
+        fields = held[:end].decode().rstrip("\r").split(" ")
+        if not fields[-1].isdecimal():
+            raise ValueError(f"bytes at {offset} are no record")
+        length, place = int(fields[-1]), offset  # the declared length is last in both versions
+        while len(held) < end + 1 + length:
+            if not more():
+                raise ValueError(f"record at {place} declares {length} bytes and has {len(held) - end - 1}")
+        content = bytes(held[end + 1 : end + 1 + length])
+        del held[: end + 1 + length]
+        offset += end + 1 + length
         if names is None:
             if not fields[0].startswith("filedesc://"):
                 raise ValueError("no version block")
@@ -107,8 +154,8 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
             names = ARC_FIELDS[version].split(" ")
             continue
         if len(fields) != len(names):
-            raise ValueError(f"record at {offset} has {len(fields)} header fields, not {len(names)}")
-        yield ArcRecord(offset, dict(zip(names, fields, strict=True)), content)
+            raise ValueError(f"record at {place} has {len(fields)} header fields, not {len(names)}")
+        yield ArcRecord(place, dict(zip(names, fields, strict=True)), content)
 
 
 def http_parts(content: bytes) -> tuple[bytes, bytes, dict[str, str]]:

@@ -29,6 +29,29 @@ def test_arc_versions_and_lengths():
     assert warc.digest(b"") == "3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ"
 
 
+@pytest.mark.parametrize("small", [True, False])
+def test_arc_however_compressed(small, monkeypatch):
+    bodies = [b"HTTP/1.1 200 OK\r\n\r\n" + bytes([65 + i]) * (i * 40) + b"\n\n" for i in range(4)] + [b"x" * 300_000, b""]
+    head = warc.arc_version_block(1, "a.arc")
+    records = [warc.arc_header(1, f"http://x/{i}", "20080430204825", "text/html", len(b), "a.arc", 9) + b + b"\n" for i, b in enumerate(bodies)]
+    plain = head + b"".join(records)
+    pairs = gzip.compress(head + records[0]) + gzip.compress(records[1] + records[2]) + gzip.compress(b"".join(records[3:]))
+    split = gzip.compress(plain[:200]) + gzip.compress(plain[200:])
+    each = gzip.compress(head) + b"".join(map(gzip.compress, records))
+    inflated = warc.inflated
+    if small:
+        monkeypatch.setattr(warc, "inflated", lambda f: inflated(f, 997))
+    for data in (plain, gzip.compress(plain), pairs, split, each):
+        got = list(warc.read_arc(io.BytesIO(data)))
+        assert [r.content for r in got] == bodies
+        assert [r.fields["URL"] for r in got] == [f"http://x/{i}" for i in range(len(bodies))]
+        assert len({r.offset for r in got}) == len(bodies)
+    for junk in (b"left over", b"left over\n"):
+        for data in (plain + junk, gzip.compress(plain + junk)):
+            with pytest.raises(ValueError):
+                list(warc.read_arc(io.BytesIO(data)))
+
+
 @pytest.mark.parametrize("least", [0, 5])
 def test_warc_round_trip(spark, least, monkeypatch):
     monkeypatch.setattr(warc, "FILE_BYTES", 4000)
