@@ -27,16 +27,18 @@ def pick(df: DataFrame, **columns: str) -> DataFrame:
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or one of our own
-    where the session has none (a single machine, as in tests)."""
+    where the session has none and all run on one machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="scratch-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new place in the shared folder.  It lasts until the folder is cleaned."""
+    """A new place in the shared folder.  Results read from it late, so it lasts until the folder is cleaned."""
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
@@ -44,9 +46,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """The rows as a written table: no lineage, and a lost executor costs nothing."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-
-    return out
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def dropped(spark: SparkSession, *paths: str | None) -> None:

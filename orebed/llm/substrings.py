@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import again, pick, stored, table
-from .words import STEPS, Words, mix, powers, runs, slices
-
-#: Counters in a row of the sketch, as a power of two, at most and at least.
-MAX_BITS, MIN_BITS = 28, 20
-DEPTH = 2
-#: Counters in one shard of the sketch; shards are merged apart from each other.
-SHARD_BITS = 18
+from .common import again, committed, file_system, pick, scratch, stored, table
+from .words import Words, mix, runs, slices
+
+#: Characters after which a writer begins the next chunk of texts.
+CHUNK_CHARS = 16_000_000
+#: Bytes of text to each counter in a row of the sketch; about one anchor in 80 bytes.
+COUNTER_BYTES = 10
+#: Rows of the sketch, and the least number of counters in one as a power of two.
+DEPTH, MIN_BITS = 2, 20
+#: Counters in one shard of the sketch as a power of two: least, most, and shards of a row before they grow.
+SHARD_BITS, MAX_SHARD_BITS, SHARDS = 18, 27, 8
 _ROW_KEYS = (np.uint64(0x8CB92BA72F3D8DD7), np.uint64(0xF1357AEA2E62A9C5))
+#: What a message to a chunk says in place of a row: that the chunk is there, or which of its counters repeat.
+_HERE, _HITS = -1, -2
+
+INDEX_SCHEMA = "chunk long, row int, doc_id long, bytes long, words long, f0 long, f1 long"
+TOLD_SCHEMA = "chunk long, row int, at int, hits binary"
 
 
 def anchors(words: np.ndarray, window: int) -> np.ndarray:
@@ -37,205 +47,196 @@ def anchors(words: np.ndarray, window: int) -> np.ndarray:
 
 
 def _counters(a: np.ndarray, row: int, bits: int) -> np.ndarray:
-    return (mix(a ^ _ROW_KEYS[row]) >> np.uint64(64 - bits)).astype(np.int64)
+    return mix(a ^ _ROW_KEYS[row]) >> np.uint64(64 - bits)
 
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Batches cut so that each holds about two million characters."""
+def _grouped(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[int, pa.Table]]:
+    """Rows sorted by a column, one value's at a time."""
+    held, now = [], None
     for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for a, b in slices(texts):
-            yield batch.slice(a, b - a), texts[a:b]
-
-
-def _whole(words: np.ndarray, which: int = 0) -> np.uint64:
-    """A hash of all words of a text."""
-    return mix((words * powers(STEPS[which], len(words))).sum(dtype=np.uint64) + np.uint64(len(words)))
-
-
-class Sketch:
-    """A merged sketch on the workers: ``twice`` has, for each row, the bitmap of counters above 1."""
-
-    def __init__(self, bits: int, twice):
-        self.bits, self.twice, self.rows = bits, twice, None
-
-    def __getstate__(self) -> tuple:
-        return self.bits, self.twice
-
-    def __setstate__(self, state: tuple) -> None:
-        self.bits, self.twice = state
-        self.rows = None
-
-    def repeated(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each key is estimated to have been counted more than once; never too low."""
-        if self.rows is None:
-            self.rows = [np.frombuffer(x, np.uint8) for x in self.twice.value]
-        hit = np.ones(len(keys), bool)
-        for row in range(DEPTH):
-            c = _counters(keys, row, self.bits)
-            hit &= (self.rows[row][c >> 3] >> (7 - (c & 7)).astype(np.uint8)) & 1 > 0
-        return hit
-
-
-def _long_texts(texts: list[str], window: int) -> Iterator[tuple[int, np.ndarray, Words]]:
-    """Number and word hashes of each text with a window or more."""
-    w = Words(texts)
-    h = w.hashes()
-    for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
-        if b - a >= window:
-            yield i, h[a:b], w
-
-
-def _counter(window: int, bits: int, copies: Sketch | None, whole: bool) -> Callable:
-    """Each partition's sketch, sparse, cut into shards: counters met once, and more than once.
-    Counts whole texts, or else anchors; with ``copies`` only of texts that it takes for single."""
-    per_shard = 1 << min(SHARD_BITS, bits)
-
-    def sketch(found: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for row in range(DEPTH):
-            c, n = np.unique(_counters(found, row, bits), return_counts=True)
-            cuts = np.searchsorted(c, np.arange(0, (1 << bits) + 1, per_shard))
-            at = [k for k in range(len(cuts) - 1) if cuts[k] < cuts[k + 1]]
-            once = [(c[cuts[k] : cuts[k + 1]] % per_shard).astype("<u4") for k in at]
-            more = [x[n[cuts[k] : cuts[k + 1]] > 1].tobytes() for k, x in zip(at, once, strict=True)]
-            shard = [row * ((1 << bits) // per_shard) + k for k in at]
-            yield pa.record_batch([pa.array(shard, pa.int64()), pa.array([x.tobytes() for x in once], pa.binary()), pa.array(more, pa.binary())], names=["shard", "once", "more"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch, texts in _texts(batches):
-            ids = batch.column("doc_id")
-            for i, h, _ in _long_texts(texts, window):
-                if not ids[i].is_valid:
-                    continue
-                text = np.array([_whole(h)])
-                if whole:
-                    held.append(text)
-                elif copies is None or not copies.repeated(text)[0]:
-                    held.append(np.unique(anchors(h, window)))
-                else:
-                    continue
-                size += len(held[-1])
-            if size > 4_000_000:
-                yield from sketch(np.concatenate(held))
-                held, size = [], 0
-        if held:
-            yield from sketch(np.concatenate(held))
+        values = batch.column(column).to_numpy()
+        cuts = [0, *(np.flatnonzero(np.diff(values)) + 1).tolist(), len(values)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if a == b:
+                continue
+            if held and values[a] != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = int(values[a])
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield now, pa.Table.from_batches(held)
 
-    return count
 
+def _chunk_path(folder: str, chunk: int) -> str:
+    return f"{folder}/{chunk:013x}.arrow"
 
-def _flagged(window: int, copies: Sketch) -> Callable:
-    """The texts that may have a copy, with two hashes of all their words."""
 
-    def flag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
-            at, f0, f1, other = [], [], [], None
-            for i, h, w in _long_texts(texts, window):
-                f = _whole(h)
-                if batch.column("doc_id")[i].is_valid and copies.repeated(np.array([f]))[0]:
-                    other = w.hashes(1) if other is None else other
-                    at.append(i)
-                    f0.append(int(f.view(np.int64)))
-                    f1.append(int(_whole(other[w.first[i] : w.first[i + 1]], 1).view(np.int64)))
-            if at:
-                kept = batch.take(pa.array(at))
-                yield pa.record_batch([kept.column("doc_id"), kept.column("key"), kept.column("text"), pa.array(f0, pa.int64()), pa.array(f1, pa.int64())], names=["doc_id", "key", "text", "f0", "f1"])
+def _stower(folder: str) -> Callable:
+    """Writes texts in chunk files, and gives each one's place, sizes and a 128-bit digest of its words."""
 
-    return flag
-
-
-def _merger(bits: int) -> Callable:
-    """Sums up to two: the rows of a shard come one after the other, one bitmap pair in memory."""
-    per_shard = 1 << min(SHARD_BITS, bits)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column("text").to_pylist()):
+                yield batch.slice(a, b - a)
+
+    def stow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chunk, todo = TaskContext.get().partitionId() << 20, pieces(batches)
+        batch = next(todo, None)
+        while batch is not None:
+            row, size, index = 0, 0, []
+            with committed(_chunk_path(folder, chunk)) as out, pa.ipc.new_stream(out, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as to:
+                while batch is not None and size < CHUNK_CHARS:
+                    to.write_batch(batch)
+                    w, n = Words(batch.column("text").to_pylist()), batch.num_rows
+                    f = np.frombuffer(b"".join(hashlib.blake2b(w.line(i), digest_size=16).digest() for i in range(n)), "<i8").reshape(n, 2)
+                    size += len(w.data)
+                    index.append([pa.array(np.full(n, chunk)), pa.array(np.arange(row, row + n, dtype=np.int32)), batch.column("doc_id"), pa.array(np.full(n, len(w.data) // n)), pa.array(w.counts), pa.array(f[:, 0]), pa.array(f[:, 1])])
+                    row += n
+                    batch = next(todo, None)
+            for columns in index:
+                yield pa.record_batch(columns, names=["chunk", "row", "doc_id", "bytes", "words", "f0", "f1"])
+            chunk += 1
+
+    return stow
+
+
+def _told(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and places that the messages to a chunk name."""
+    return table.column("row").to_numpy(), table.column("at").to_numpy()
+
+
+def _long_texts(folder: str, chunk: int, gone: np.ndarray, window: int) -> Iterator[tuple[int, int, np.ndarray, Words, int]]:
+    """Of a chunk's texts with a window or more, an id and no earlier copy: row, id, word hashes,
+    words of the batch, and number in it."""
+    skip = set(gone[gone >= 0].tolist())
+    files, path = file_system(_chunk_path(folder, chunk))
+    with files.open_input_stream(path, compression=None) as f:
+        row = 0
+        for batch in pa.ipc.open_stream(f):
+            ids, w = batch.column("doc_id"), Words(batch.column("text").to_pylist())
+            h = w.hashes()
+            for i, (a, b) in enumerate(zip(w.first[:-1], w.first[1:], strict=True)):
+                if b - a >= window and ids[i].is_valid and row + i not in skip:
+                    yield row + i, ids[i].as_py(), h[a:b], w, i
+            row += batch.num_rows
+
+
+def _sketcher(folder: str, window: int, bits: int, shard_bits: int) -> Callable:
+    """Each chunk's sketch, sparse, cut into shards: counters met once or more, and those met more than once."""
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk, told in _grouped(batches, "chunk"):
+            found = [np.unique(anchors(h, window)) for _, _, h, _, _ in _long_texts(folder, chunk, _told(told)[0], window)]
+            if not found:
+                continue
+            found = np.concatenate(found)
+            for row in range(DEPTH):
+                c, n = np.unique(_counters(found, row, bits), return_counts=True)
+                shards = 1 << (bits - shard_bits)
+                cuts = np.searchsorted(c, np.arange(shards + 1, dtype=np.uint64) << np.uint64(shard_bits))
+                at = np.flatnonzero(np.diff(cuts)).tolist()
+                low = (c & np.uint64((1 << shard_bits) - 1)).astype("<u4")
+                once = [low[cuts[k] : cuts[k + 1]].tobytes() for k in at]
+                more = [low[cuts[k] : cuts[k + 1]][n[cuts[k] : cuts[k + 1]] > 1].tobytes() for k in at]
+                yield pa.record_batch([pa.array([row * shards + k for k in at], pa.int32()), pa.array([chunk] * len(at), pa.int64()), pa.array(once, pa.binary()), pa.array(more, pa.binary())], names=["shard", "chunk", "once", "more"])
+
+    return sketch
+
+
+def _merger(shard_bits: int) -> Callable:
+    """Merges the sketches of a shard, and tells each chunk which of its counters are above 1 in all."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen, twice = None, np.zeros(per_shard, bool), np.zeros(per_shard, bool)
-
-        def done() -> pa.RecordBatch:
-            return pa.record_batch([pa.array([now], pa.int64()), pa.array([np.packbits(twice).tobytes()], pa.binary())], names=["shard", "twice"])
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                shard = batch.column("shard")[i].as_py()
-                if shard != now:
-                    if now is not None:
-                        yield done()
-                    now = shard
-                    seen[:] = twice[:] = False
-                c = np.frombuffer(batch.column("once")[i].as_py(), "<u4")
+        seen, twice = np.zeros(1 << shard_bits, bool), np.zeros(1 << shard_bits, bool)
+        for shard, rows in _grouped(batches, "shard"):
+            seen[:] = twice[:] = False
+            once = [np.frombuffer(x, "<u4") for x in rows.column("once").to_pylist()]
+            for c, more in zip(once, rows.column("more").to_pylist(), strict=True):
                 twice[c[seen[c]]] = True
                 seen[c] = True
-                twice[np.frombuffer(batch.column("more")[i].as_py(), "<u4")] = True
-        if now is not None:
-            yield done()
+                twice[np.frombuffer(more, "<u4")] = True
+            n = len(once)
+            hits = [c[twice[c]].tobytes() for c in once]
+            yield pa.record_batch([rows.column("chunk").combine_chunks(), pa.array(np.full(n, _HITS, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array(hits, pa.binary())], names=["chunk", "row", "at", "hits"])
 
     return merge
 
 
-def _windows(window: int, sketch: Sketch, copies: Sketch | None) -> Callable:
-    """Windows that the merged sketch takes for repeated: two hashes, document, place."""
+def _repeated(a: np.ndarray, hits: list[np.ndarray], bits: int) -> np.ndarray:
+    """Whether each anchor is estimated to have been counted more than once; never too low."""
+    new = np.flatnonzero(np.diff(a, prepend=~a[:1]))  # runs of one anchor
+    ok = np.ones(len(new), bool)
+    for row in range(DEPTH):
+        c = _counters(a[new], row, bits)
+        k = np.searchsorted(hits[row], c)
+        ok &= np.append(hits[row], ~np.uint64(0))[k] == c
+    return np.repeat(ok, np.diff(np.append(new, len(a))))
+
+
+def _emitter(folder: str, window: int, bits: int, shard_bits: int) -> Callable:
+    """Windows that the merged sketch takes for repeated: two hashes, document and place."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
-            ids, keys, other = batch.column("doc_id"), batch.column("key").to_numpy(), None
-            out: list[list[np.ndarray]] = []
-            for i, h, w in _long_texts(texts, window):
-                if not ids[i].is_valid or copies is not None and copies.repeated(np.array([_whole(h)]))[0]:
+        for chunk, told in _grouped(batches, "chunk"):
+            rows, at = _told(told)
+            shards, hits = 1 << (bits - shard_bits), [[np.zeros(0, np.uint64)] for _ in range(DEPTH)]
+            answers = told.column("hits").to_pylist()
+            for k in np.flatnonzero(rows == _HITS).tolist():
+                shard = int(at[k])
+                hits[shard // shards].append(np.frombuffer(answers[k], "<u4").astype(np.uint64) + (np.uint64(shard % shards) << np.uint64(shard_bits)))
+            sets = [np.sort(np.concatenate(x)) for x in hits]
+            out, size, words, other = [], 0, None, None
+            for row, doc_id, h, w, i in _long_texts(folder, chunk, rows, window):
+                where = np.flatnonzero(_repeated(anchors(h, window), sets, bits))
+                if not len(where):
                     continue
-                at = np.flatnonzero(sketch.repeated(anchors(h, window)))
-                if len(at):
-                    other = w.hashes(1) if other is None else other
-                    k0, k1 = runs(h, window, 0)[at], runs(other[w.first[i] : w.first[i + 1]], window, 1)[at] >> np.uint64(32)
-                    out.append([k0.view(np.int64), k1.astype(np.int64), np.full(len(at), ids[i].as_py(), np.int64), np.full(len(at), keys[i], np.int64), at.astype(np.int64)])
+                if words is not w:
+                    words, other = w, w.hashes(1)
+                k0, k1 = runs(h, window, 0)[where], runs(other[w.first[i] : w.first[i + 1]], window, 1)[where] >> np.uint64(32)
+                n = len(where)
+                out.append([k0.view(np.int64), k1.astype(np.uint32).view(np.int32), np.full(n, doc_id, np.int64), np.full(n, chunk, np.int64), np.full(n, row, np.int32), where.astype(np.int32)])
+                size += n
+                if size > 200_000:
+                    yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k0", "k1", "doc_id", "chunk", "row", "at"])
+                    out, size = [], 0
             if out:
-                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k0", "k1", "doc_id", "key", "at"])
+                yield pa.record_batch([pa.array(np.concatenate(x)) for x in zip(*out, strict=True)], names=["k0", "k1", "doc_id", "chunk", "row", "at"])
 
     return emit
 
 
-def _merged(tables: list[tuple[DataFrame, Sketch | None]], window: int, bits: int, whole: bool) -> Sketch:
-    """One sketch of several tables.  Its size is set by ``bits`` and does not grow with the input."""
-    made = None
-    for df, copies in tables:
-        one = df.mapInArrow(_counter(window, bits, copies, whole), "shard long, once binary, more binary")
-        made = one if made is None else made.unionByName(one)
-    merged = made.repartition(F.col("shard")).sortWithinPartitions("shard").mapInArrow(_merger(bits), "shard long, twice binary")
-    bitmaps = np.zeros((DEPTH, (1 << bits) // 8), np.uint8)
-    flat = bitmaps.reshape(-1, (1 << min(SHARD_BITS, bits)) // 8)
-    for r in merged.collect():
-        flat[r["shard"]] = np.frombuffer(r["twice"], np.uint8)
-    return Sketch(bits, made.sparkSession.sparkContext.broadcast([b.tobytes() for b in bitmaps]))
-
-
-def _cutter(window: int) -> Callable:
+def _cutter(folder: str, window: int) -> Callable:
     """What is left of each text once the marked windows' words are gone."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in _texts(batches):
-            marks = batch.column("marks")
-            w = Words(texts)
-            total, gone, kept = w.counts, [], []
-            for i in range(len(texts)):
-                at = marks[i].as_py()
-                if not at:
-                    gone.append(0)
-                    kept.append(w.text(i))
-                    continue
-                n = int(total[i])
-                edges = np.zeros(n + 1, np.int64)
-                at = np.array(at)
-                if at[0] < 0:  # a copy
-                    gone.append(n)
-                    kept.append("")
-                    continue
-                np.add.at(edges, at, 1)
-                np.add.at(edges, np.minimum(at + window, n), -1)
-                keep = np.cumsum(edges[:-1]) == 0
-                gone.append(int(n - keep.sum()))
-                words = w.text(i).encode().split()
-                kept.append(b" ".join([words[j] for j in np.flatnonzero(keep)]).decode())
-            yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
+        for chunk, told in _grouped(batches, "chunk"):
+            rows, places = _told(told)
+            files, path = file_system(_chunk_path(folder, chunk))
+            with files.open_input_stream(path, compression=None) as f:
+                row = 0
+                for batch in pa.ipc.open_stream(f):
+                    w = Words(batch.column("text").to_pylist())
+                    total, gone, kept = w.counts, [], []
+                    bounds = np.searchsorted(rows, np.arange(row, row + batch.num_rows + 1))
+                    row += batch.num_rows
+                    for i in range(batch.num_rows):
+                        at, n = places[bounds[i] : bounds[i + 1]], int(total[i])
+                        if not len(at):
+                            gone.append(0)
+                            kept.append(w.line(i))
+                        elif at.min() < 0:  # a copy
+                            gone.append(n)
+                            kept.append(b"")
+                        else:
+                            edges = np.zeros(n + 1, np.int64)
+                            np.add.at(edges, at, 1)
+                            np.add.at(edges, at + window, -1)
+                            keep = np.cumsum(edges[:-1]) == 0
+                            gone.append(int(n - keep.sum()))
+                            words = w.line(i).split(b" ")
+                            kept.append(b" ".join([words[j] for j in np.flatnonzero(keep).tolist()]))
+                    yield pa.record_batch([batch.column("doc_id"), pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string())], names=["doc_id", "n_words", "n_removed", "text"])
 
     return cut
 
@@ -248,45 +249,53 @@ def remove_repeats(docs: DataFrame, window: int = 50, id_column: str = "doc_id",
     starts in a document with a smaller id; windows are judged on the input.
     ``text`` has the words that stay, joined by one blank.
 
-    Texts that have all their words in common with an earlier one go whole;
-    a first sketch, of texts, says which may have a copy, and only those are
-    compared (by a 128-bit hash of their words).  Of the others, and of the
-    first of each group of copies, pass 1 gives each partition's count-min
-    sketch of window anchors (see ``anchors``); sketches are merged shard by
-    shard.  An estimate is never too small, so pass 2, which groups the windows
-    estimated repeated by a 96-bit hash of their words, loses none.  A sketch
-    has 2**bits counters a row (by the size of the input, at most 2**MAX_BITS:
-    64 MB in all when broadcast); beyond that it passes more windows, never
-    fewer.
-
-    Null texts have no words.  Rows with a null id are neither cut nor a
-    reason to cut.  Rows that repeat an id do not cut each other.  Empty
-    tables give empty results; other columns are ignored.
+    Texts are written once, in chunk files, and every later pass is by chunk,
+    so that no text is shuffled.  Texts that have all their words in common
+    with an earlier one (by a 128-bit digest) go whole.  Of the others pass 1
+    gives each chunk's count-min sketch of window anchors (see ``anchors``),
+    cut into shards of counters; each shard is merged by one task, which tells
+    every chunk the ones of its own counters that are above 1.  An estimate is
+    never too small, so pass 2, which groups the windows estimated repeated by
+    a 96-bit hash of their words, loses none.  The sketch has 2**bits counters
+    a row, by the size of the input without a limit; it is nowhere held whole.
+
+    Null and empty texts have no words; very long ones are taken whole, in a
+    chunk of their own.  Rows with a null id are neither cut nor a reason to
+    cut.  Rows that repeat an id do not cut each other.  Empty tables give
+    empty results; other columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_column, text=text_column)
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    folder = scratch(spark, "chunks")
+    index = stored(rows.mapInArrow(_stower(folder), INDEX_SCHEMA), "chunk-index")
+    size, chunks = index.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count_distinct("chunk")).first()
     if bits is None:
-        chars = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-        # About one anchor in 80 bytes; 8 counters for each.
-        bits = int(np.clip(np.ceil(np.log2(max(chars, 1) / 10)), MIN_BITS, MAX_BITS))
-    keyed = rows.withColumn("key", F.xxhash64("text"))
-    copies = _merged([(rows, None)], window, max(MIN_BITS, bits - 4), whole=True)
-    may = stored(keyed.mapInArrow(_flagged(window, copies), "doc_id long, key long, text string, f0 long, f1 long"), "may-be-copies")
-    least = may.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")).select(again("f0").alias("f0"), "f1", "least")
-    may = stored(may.join(least, ["f0", "f1"]).select("doc_id", "key", "text", "least"), "copies")
-    firsts = may.filter("doc_id = least").select("doc_id", "text", "key")
-    gone = may.filter("doc_id > least").select("doc_id", "key", F.array(F.lit(-1).cast("long")).alias("marks")).distinct()
-
-    sketch = _merged([(rows, copies), (firsts.select("doc_id", "text"), None)], window, bits, whole=False)
-    schema = "k0 long, k1 long, doc_id long, key long, at long"
-    windows = keyed.mapInArrow(_windows(window, sketch, copies), schema).unionByName(firsts.mapInArrow(_windows(window, sketch, None), schema))
+        bits = max(MIN_BITS, int(np.ceil(np.log2(max(size, 1) / COUNTER_BYTES))))
+    shard_bits = min(bits, MAX_SHARD_BITS, max(SHARD_BITS, bits - SHARDS))
+    tasks = int(np.clip(chunks, 1, 50_000))
+
+    def told(*others: DataFrame) -> DataFrame:
+        """Messages to chunks, each chunk's together and by row."""
+        out = here
+        for o in others:
+            out = out.unionByName(o, allowMissingColumns=True)
+        return out.repartition(tasks, "chunk").sortWithinPartitions("chunk", "row")
+
+    here = index.filter("row = 0").select("chunk", F.lit(_HERE).alias("row"), F.lit(_HERE).alias("at"), F.lit(None).cast("binary").alias("hits"))
+    whole = index.filter((F.col("words") >= window) & F.col("doc_id").isNotNull())
+    least = whole.groupBy("f0", "f1").agg(F.min("doc_id").alias("least")).select(again("f0").alias("f0"), "f1", "least")
+    gone = stored(whole.join(least, ["f0", "f1"]).filter("doc_id > least").select("chunk", "row", F.lit(-1).alias("at")), "copies")
+
+    sketches = told(gone).mapInArrow(_sketcher(folder, window, bits, shard_bits), "shard int, chunk long, once binary, more binary")
+    shards = DEPTH << (bits - shard_bits)
+    merged = sketches.repartition(min(shards, 50_000), "shard").sortWithinPartitions("shard").mapInArrow(_merger(shard_bits), TOLD_SCHEMA)
+    windows = told(gone, merged).mapInArrow(_emitter(folder, window, bits, shard_bits), "k0 long, k1 int, doc_id long, chunk long, row int, at int")
+    windows = stored(windows, "windows")
     first = windows.groupBy("k0", "k1").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last")
     first = first.select(again("k0").alias("k0"), "k1", "first")
-    marks = windows.join(first, ["k0", "k1"]).filter("doc_id > first").groupBy("doc_id", "key").agg(F.collect_set("at").alias("marks"))
-    marks = marks.unionByName(gone)
-    joined = keyed.join(marks, ["doc_id", "key"], "left").select("doc_id", "text", "marks")
-    return joined.mapInArrow(_cutter(window), "doc_id long, n_words long, n_removed long, text string")
+    marks = windows.join(first, ["k0", "k1"]).filter("doc_id > first").select("chunk", "row", "at")
+    return told(gone, marks).mapInArrow(_cutter(folder, window), "doc_id long, n_words long, n_removed long, text string")
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,7 @@ feeds, so that one pass of NumPy serves a batch.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,24 +24,11 @@ _SIGNS[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = Tru
 #: Bytes hashed in one go.
 BLOCK_BYTES = 4 << 20
 
-_WORD = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
-STEPS = (0xC2B2AE3D27D4EB4F, 0xA0761D6478BD642F)
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
-
-
-_TABLES: dict[int, np.ndarray] = {}
-
-
-def powers(base: int, n: int) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    if len(_TABLES.get(base, ())) < n:
-        _TABLES[base] = _powers(base, max(n, 1 << 16))
-    return _TABLES[base][:n]
+#: Bytes of a word that the tables of random numbers cover; a longer word goes through BLAKE2b.
+TABLE_BYTES = 48
+_PLACES = [np.random.default_rng(71 + k).integers(0, 1 << 64, (TABLE_BYTES, 256), dtype=np.uint64) for k in range(2)]
+_AFTER = (np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0xA0761D6478BD642F))
+_STIR = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -50,6 +38,17 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each run of ``a`` with the run of ``b`` beside it; stirred, so that no sum of
+    products over a run is left whose terms could cancel out."""
+    x = a * _AFTER[which]
+    x += b
+    x ^= x >> np.uint64(32)
+    x *= _STIR
+    x ^= x >> np.uint64(29)
+    return x
+
+
 class Words:
     """The words of a batch of texts: hashes, byte ranges, and each text's range of words."""
 
@@ -75,11 +74,15 @@ class Words:
         return np.diff(self.first)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        """A mixed 64-bit hash of each word; two independent ones are on offer."""
+        """A 64-bit hash of each word; two independent ones are on offer.
+
+        Every byte at every place has a random number of its own, and a word
+        the mixed sum of them.  Words beyond TABLE_BYTES have their BLAKE2b.
+        """
         if not len(self):
             return np.zeros(0, dtype=np.uint64)
         lengths = self.ends - self.starts
-        table = powers(_WORD[which], int(lengths.max()))
+        numbers = _PLACES[which].ravel()
         out = np.empty(len(self), dtype=np.uint64)
         # A block of words at a time, so that a very long text needs no more memory than it has words.
         limits = np.searchsorted(self.ends, np.arange(0, len(self._raw) + BLOCK_BYTES, BLOCK_BYTES))
@@ -90,33 +93,32 @@ class Words:
             lo, hi, n = self.starts[a], self.ends[b - 1], lengths[a:b]
             at = np.flatnonzero(self._solid[lo:hi])
             begins = np.cumsum(n) - n
-            place = np.arange(len(at)) - np.repeat(begins, n)
-            value = (self._raw[lo:hi][at].astype(np.uint64) + np.uint64(1)) * table[place]
+            place = np.minimum(np.arange(len(at)) - np.repeat(begins, n), TABLE_BYTES - 1)
+            value = numbers[place * 256 + self._raw[lo:hi][at]]
             out[a:b] = mix(np.add.reduceat(value, begins) + n.astype(np.uint64))
+        for i in np.flatnonzero(lengths > TABLE_BYTES).tolist():
+            word = self._raw[self.starts[i] : self.ends[i]].tobytes()
+            out[i] = int.from_bytes(hashlib.blake2b(word, digest_size=8, salt=bytes([which])).digest(), "little")
         return out
 
-    def text(self, i: int) -> str:
+    def line(self, i: int) -> bytes:
         """The words of text i, joined by one blank."""
         a, b = int(self.first[i]), int(self.first[i + 1])
-        if a == b:
-            return ""
-        return b" ".join(self.data[int(self.starts[a]) : int(self.ends[b - 1])].split()).decode()
+        return b" ".join(self.data[int(self.starts[a]) : int(self.ends[b - 1])].split()) if a < b else b""
 
 
 def runs(hashes: np.ndarray, k: int, which: int = 0) -> np.ndarray:
-    """A hash of hashes[i : i + k] for every i; runs may cross from one text to the next."""
-    n = len(hashes) - k + 1
-    if n <= 0:
+    """A hash of hashes[i : i + k] for every i; runs may cross from one text to the next.
+
+    Runs of twice the length are made of two beside each other, the last of two that overlap."""
+    if len(hashes) < k:
         return np.zeros(0, dtype=np.uint64)
-    base = STEPS[which]
-    if k <= 8:
-        total = np.zeros(n, dtype=np.uint64)
-        for j in range(k):
-            total += hashes[j : j + n] * np.uint64(pow(base, j, 1 << 64))
-        return mix(total)
-    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * powers(base, len(hashes)))])
-    back = powers(pow(base, -1, 1 << 64), n)
-    return mix((sums[k : k + n] - sums[:n]) * back)
+    out, have = hashes, 1
+    while have < k:
+        step = min(have, k - have)
+        out = joined(out[: len(out) - step], out[step:], which)
+        have += step
+    return out
 
 
 def slices(texts: list[str | None], chars: int = 2_000_000) -> Iterator[tuple[int, int]]:

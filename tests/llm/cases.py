@@ -24,6 +24,11 @@ def rows(n: int = 160) -> list[tuple[int | None, str | None]]:
     own += [(9001, None), (9002, ""), (9003, " \n\t "), (None, a), (None, "no id here"), (9004, a.upper()), (9005, a), (9006, edited)]
     own += [(9007, b + " tail of it"), (9008, "one two"), (9009, "One  two"), (9010, (a + " " + b + "\n") * 300), (9011, "Été     x"), (9012, "<|endoftext|> a")]
     own += [(9005, a), (9013, "lone"), (9013, b), (9014, "w" * 70_000)]
+    # Two Thue-Morse words, and texts of two words in the order of one: sums of products of either kind cancel out.
+    thue = [bin(i).count("1") % 2 for i in range(2048)]
+    one, other = "".join("ab"[k] for k in thue), "".join("ba"[k] for k in thue)
+    own += [(9015, one), (9016, other), (9017, " ".join("ab"[k] for k in thue)), (9018, " ".join("ba"[k] for k in thue))]
+    own += [(9019, " ".join([one] * 50)), (9020, " ".join([other] * 50)), (9021, " ".join(("ab"[k] for k in thue[:64]))), (9022, " ".join("ba"[k] for k in thue[:64]))]
     own += [(9100 + i, f"Order {i} of the day is number {i} and then it ends\nunlike {i * 7919} others\nSame line here for all") for i in range(14)]
     return own
 
