@@ -24,7 +24,7 @@ MARGIN = 5.0
 BLOCK = 1024
 #: ... and shingles of them.
 BLOCK_ITEMS = 1_000_000
-#: Buckets of more members are confirmed where they are compared, and give links, not pairs.
+#: In buckets of more members what is left is confirmed where it is compared, and gives links, not pairs.
 LARGE = 64
 
 _RNG = np.random.default_rng(20)
@@ -160,22 +160,30 @@ def _edges(u: np.ndarray, v: np.ndarray) -> pa.RecordBatch:
     return pa.record_batch([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], names=["a", "b"])
 
 
-def _pairs(percent: int, forest: bool) -> Callable:
-    """Candidate pairs, to be confirmed.  forest: of those whose estimate reaches the threshold, a
-    spanning forest of each bucket; otherwise all."""
+def _pairs(percent: int) -> Callable:
+    """All candidate pairs, to be confirmed."""
 
     def compare(held: pa.Table) -> pa.RecordBatch:
-        cols, a, b, _ = _candidates(held, percent, percent / 100 if forest else _least(percent))
-        if forest and len(a):
-            tree = _Forest()
-            of = cols["component"]
-            keep = np.fromiter((tree.join(u, v) for u, v in zip(of[a].tolist(), of[b].tolist(), strict=True)), bool, len(a))
-            a, b = a[keep], b[keep]
+        cols, a, b, _ = _candidates(held, percent, _least(percent))
         return _edges(cols["node"][a], cols["node"][b])
 
     return _by_block(compare)
 
 
+def _likely(percent: int) -> Callable:
+    """The rows ``a, b, bits_a, bits_b`` whose estimate does not rule out a link."""
+    least = _least(percent)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("bits_a", "bits_b"))
+                ok = pa.array(estimated(x, y) >= least)
+                yield pa.record_batch([batch.column(c).filter(ok) for c in ("a", "b")], names=["a", "b"])
+
+    return check
+
+
 def _common(values: np.ndarray, starts: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Sizes of intersections of sorted sets, given one after the other in ``values``."""
     out = np.empty(len(a), np.int64)
@@ -248,21 +256,29 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
 
     Rows with the same set form a class, whose smallest id stands for it.
     Of each class's minima the bands make buckets, and the low bits a packed
-    signature, which estimates the similarity of pairs within a bucket.  Large
-    buckets are compared with their full sets at hand, block by block, and give
-    the confirmed links of a spanning forest: at most one for each member.
-    Of small buckets a spanning forest of the likely pairs is confirmed first,
-    then every pair that is not yet connected and that the estimate does not
-    rule out.  Pairs within a component can't change it and are never made.
-    Nothing is capped: blocks bound what is held at once, not what is compared.
-
+    signature, which estimates the similarity of pairs within a bucket.
+
+    First every member of a bucket is compared with two of it, those with the
+    smallest and the largest id: at most two pairs a member, by which most
+    groups of near copies become one component.  Then what is left is made up
+    for: all pairs of a bucket that are in different components yet and that
+    the estimate does not rule out.  In a bucket of more than LARGE members
+    only those outside its main component are met with all others, block by
+    block, with full sets at hand, for the links of a spanning forest; in
+    smaller ones pairs are confirmed by a join.  Pairs within a component
+    can't change it and are never made.  Nothing is capped: blocks bound what
+    is held at once, not what is compared.  A large bucket of which no two
+    members are linked, though all are alike, is still compared pair by pair.
+
+    Sets are of 64-bit hashes of shingles, made by tables of random numbers.
     A link is missed if no band agrees (at 80 percent 1 in 20 million, at 85
     less than 1 in 10 billion) or the estimate is MARGIN deviations too low.
 
     Null and empty texts, and those of white space, have no shingles and are
-    linked with nothing.  Rows with a null id have a null component and are
-    kept.  Rows that repeat an id are one document: linked with each other.
-    Empty tables give empty results; other columns are ignored.
+    linked with nothing; very long ones are taken whole.  Rows with a null id
+    have a null component and are kept.  Rows that repeat an id are one
+    document: linked with each other.  Empty tables give empty results; other
+    columns are ignored.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -273,39 +289,69 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     member = stored(member.select("doc_id", "n", "node", F.when(F.col("doc_id") == F.col("node"), F.col("bands")).alias("bands"), F.when(F.col("doc_id") == F.col("node"), F.col("bits")).alias("bits")), "classes")
     nodes = member.filter("bands IS NOT NULL").select("node", "n", "bands", "bits")
 
-    banded = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    sizes = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items")).filter("size > 1")
-    sizes = sizes.select(again("key").alias("key"), "size", F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("chunks"))
-    met = banded.join(sizes, "key").select("key", "band", "node", "size", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    pair = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda j: F.least(j, F.col("chunk")) * F.col("chunks") + F.greatest(j, F.col("chunk")))
-    met = met.withColumn("pair", F.explode(pair)).select("key", "band", "node", "chunk", (F.col("size") > LARGE).alias("large"), (F.col("pair") * 2 + (F.col("pair") % (F.col("chunks") + 1) != 0).cast("int")).cast("long").alias("block"))
-    met = stored(met, "met")
+    banded = nodes.select("node", F.posexplode("bands").alias("band", "key"))
+    ends = banded.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    met = stored(banded.join(ends.select(again("key").alias("key"), "least", "most"), "key"), "met")
     asked = met.select("node").distinct()
     sets = stored(rows.join(asked, F.col("doc_id") == F.col("node"), "left_semi").mapInArrow(_shingled, "node long, items array<long>"), "sets")
     lean = nodes.join(asked, "node", "left_semi").select("node", "n", F.transform("bands", lambda b: b.bitwiseAND(F.lit(0x7FFFFFFF))).cast("array<int>").alias("bands"), "bits")
     lean = stored(lean, "lean")
 
+    def confirmed(pairs: DataFrame) -> DataFrame:
+        x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+        y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
+        both = F.size(F.array_intersect("x", "y"))
+        return pairs.join(y, "b").join(x, "a").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
+
+    star = met.select(F.explode(F.array("least", "most")).alias("end"), "node").filter("end <> node")
+    star = star.select(F.least("end", "node").alias("a"), F.greatest("end", "node").alias("b")).distinct()
+    x = lean.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a"))
+    y = lean.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b"))
+    star = star.join(y, "b").join(x, "a").filter(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "bits_a", "bits_b")
+    star = stored(star.mapInArrow(_likely(percent), "a long, b long"), "star-pairs")
     twice = member.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).filter("a <> z").select("doc_id", "a")
-    links = stored(member.select("doc_id", "node").join(twice, "doc_id").select("a", F.col("node").alias("b")), "repeats")
+    repeats = member.select("doc_id", "node").join(twice, "doc_id").select("a", F.col("node").alias("b"))
+    links = stored(confirmed(star).unionByName(repeats).distinct(), "links")
     known = components(links)
+
+    placed = stored(lean.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+    part = met.select("key", "band", "node").join(placed.select("node", "n", "component"), "node")
+    part = stored(part, "parted")
+    each = part.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    open_keys = each.groupBy("key").agg(F.max(F.struct("size", "items", "component")).alias("main"), F.sum("size").alias("size"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+
+    def chunks(size, items):
+        return F.greatest(F.ceil(size / BLOCK), F.ceil(items / BLOCK_ITEMS)).cast("int")
+
+    large = F.col("size") > LARGE
+    open_keys = open_keys.select(
+        again("key").alias("key"), large.alias("large"), F.col("main.component").alias("main"),
+        F.when(large, chunks(F.col("main.size"), F.col("main.items"))).otherwise(0).alias("ours"),
+        F.when(large, chunks(F.col("size") - F.col("main.size"), F.col("items") - F.col("main.items"))).otherwise(chunks(F.col("size"), F.col("items"))).alias("others"),
+    )
+    part = part.join(open_keys, "key")
+    # Chunks 0 .. others - 1 are met with each other and with those of the main component, which come after.
+    inside = F.col("large") & (F.col("component") == F.col("main"))
+    some = F.xxhash64("node")
+    part = part.withColumn("chunk", F.when(inside, F.col("others") + F.pmod(some, F.col("ours"))).otherwise(F.pmod(some, F.col("others"))).cast("int"))
+    width = F.col("others") + F.col("ours")
+    with_others = F.sequence(F.lit(0), F.col("others") - 1)
+    with_all = F.sequence(F.lit(0), width - 1)
+    part = part.withColumn("other", F.explode(F.when(inside, with_others).otherwise(with_all)))
+    pair = F.least("chunk", "other").cast("long") * width + F.greatest("chunk", "other")
+    block = pair * 2 + (F.col("chunk") != F.col("other")).cast("int")
+    part = stored(part.select("key", "band", "node", "chunk", "large", block.alias("block")), "blocks")
     given = ["key", "block", "node", "component", "n", "band", "chunk", "bands", "bits"]
 
     def dealt(rows: DataFrame) -> DataFrame:
-        placed = lean.join(known, "node", "left").withColumn("component", F.coalesce("component", "node"))
         return rows.join(placed, "node").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "node")
 
-    work = dealt(met.filter("large").join(sets, "node")).select(*given, "items")
-    links = links.unionByName(stored(work.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links"))
-    known = components(links)
-    for forest in (True, False):
-        pairs = dealt(met.filter("NOT large")).select(*given).mapInArrow(_pairs(percent, forest), "a long, b long")
-        pairs = stored(pairs.distinct(), "pairs")
-        x = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
-        both = F.size(F.array_intersect("x", "y"))
-        sure = pairs.join(y, "b").join(x, "a").filter(100 * both >= percent * (F.size("x") + F.size("y") - both)).select("a", "b")
-        links = links.unionByName(stored(sure.distinct(), "links"))
-        known = components(links)
+    work = dealt(part.filter("large").join(sets, "node")).select(*given, "items")
+    near = stored(work.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
+    pairs = stored(dealt(part.filter("NOT large")).select(*given).mapInArrow(_pairs(percent), "a long, b long").distinct(), "pairs")
+    near = near.unionByName(stored(confirmed(pairs).distinct(), "links"))
+    if not near.isEmpty():
+        known = components(links.unionByName(near))
     known = known.select(F.col("node").alias("to"), "component")
     out = member.select("doc_id", F.col("n").alias("n_shingles"), "node").join(known, F.col("node") == F.col("to"), "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "node").alias("component_id"))
