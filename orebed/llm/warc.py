@@ -17,7 +17,6 @@ import zlib
 from collections.abc import Iterator
 from typing import BinaryIO, NamedTuple
 
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +29,7 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
+LENGTH = "Archive-length"
 #: Fixed by the WARC format: what a record that repeats a payload declares.
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = "19700101000000"
@@ -114,9 +114,10 @@ def arc_version_block(version: int, name: str) -> bytes:
 def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
     """Records of an ARC file of either version, the version block left out.
 
-    Header lines and declared lengths say where records are, so that it makes
-    no difference how the file is compressed; bytes that are no record are an
-    error.  Offsets count uncompressed bytes.
+    The version block names the fields of the header lines; these and the
+    declared lengths say where records are, so that it makes no difference how
+    the file is compressed.  Bytes that are no record are an error.  Offsets
+    count uncompressed bytes.
     """
     names: list[str] | None = None
     chunks, held, offset = inflated(stream), bytearray(), 0
@@ -138,9 +139,12 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
             if not more():
                 raise ValueError(f"bytes at {offset} are no record")
         fields = held[:end].decode().rstrip("\r").split(" ")
-        if not fields[-1].isdecimal():
+        where = -1 if names is None else names.index(LENGTH)
+        if names is not None and len(fields) != len(names):
+            raise ValueError(f"record at {offset} has {len(fields)} header fields, not {len(names)}")
+        if not fields[where].isdecimal():
             raise ValueError(f"bytes at {offset} are no record")
-        length, place = int(fields[-1]), offset  # the declared length is last in both versions
+        length, place = int(fields[where]), offset
         while len(held) < end + 1 + length:
             if not more():
                 raise ValueError(f"record at {place} declares {length} bytes and has {len(held) - end - 1}")
@@ -150,11 +154,10 @@ def read_arc(stream: BinaryIO) -> Iterator[ArcRecord]:
         if names is None:
             if not fields[0].startswith("filedesc://"):
                 raise ValueError("no version block")
-            version = int(content.split(b" ", 1)[0])
-            names = ARC_FIELDS[version].split(" ")
+            version, declared = int(content.split(b" ", 1)[0]), content.decode().split("\n")[1:2]
+            # The block names the fields of every header line; one that doesn't has those of its version.
+            names = (declared[0].strip() if declared and LENGTH in declared[0].split() else ARC_FIELDS[version]).split()
             continue
-        if len(fields) != len(names):
-            raise ValueError(f"record at {place} has {len(fields)} header fields, not {len(names)}")
         yield ArcRecord(place, dict(zip(names, fields, strict=True)), content)
 
 
@@ -197,18 +200,20 @@ def read_warc(stream: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
         yield fields, rest[: int(fields["content-length"])]
 
 
-def write_arc(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+def write_arc(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html", date_column: str | None = None) -> DataFrame:
     """Pages as ARC files, versions 1 and 2 by turns; returns ``path, records``, a row a file.
 
     A null payload is empty and a null URL is ``-``.  The page's id (none if
-    null) is a field of the archived HTTP head.
+    null) is a field of the archived HTTP head.  ``date_column`` has the time
+    of capture (UTC); without one, and for nulls, it is the epoch.
     """
-    rows = pick(pages, page_id=id_column, url=url_column, html=html_column)
-    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    rows = pick(pages, page_id=id_column, url=url_column, html=html_column, **({"at": date_column} if date_column else {}))
+    at = F.date_format(F.to_utc_timestamp(F.col("at").cast("timestamp"), F.current_timezone()), "yyyyMMddHHmmss") if date_column else F.lit(None).cast("string")
+    rows = rows.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("url", F.lit("")).alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"), F.coalesce(at, F.lit(EPOCH)).alias("at"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k = TaskContext.get().partitionId(), 0
-        pages = ((b.column("page_id")[i].as_py(), b.column("url")[i].as_py(), b.column("payload")[i].as_py()) for b in batches for i in range(b.num_rows))
+        pages = ((b.column("page_id")[i].as_py(), b.column("url")[i].as_py(), b.column("payload")[i].as_py(), b.column("at")[i].as_py()) for b in batches for i in range(b.num_rows))
         page = next(pages, None)
         while page is not None:
             version, name = 1 + (part + k) % 2, f"part-{part:06d}-{k:05d}.arc.gz"
@@ -218,10 +223,10 @@ def write_arc(pages: DataFrame, folder: str, id_column: str = "page_id", url_col
                 out.write(data)
                 at += len(data)
                 while page is not None and held < FILE_BYTES:
-                    page_id, url, payload = page
+                    page_id, url, payload, date = page
                     mark = b"" if page_id is None else b"X-Page-Id: %d\r\n" % page_id
                     content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n" + mark + b"Content-Length: %d\r\n\r\n" % len(payload) + payload
-                    data = _squeeze(arc_header(version, url, EPOCH, "text/html", len(content), name, at) + content + b"\n")
+                    data = _squeeze(arc_header(version, url, date, "text/html", len(content), name, at) + content + b"\n")
                     out.write(data)
                     at, records, held = at + len(data), records + 1, held + len(payload)
                     page = next(pages, None)
@@ -231,9 +236,21 @@ def write_arc(pages: DataFrame, folder: str, id_column: str = "page_id", url_col
     return stored(rows.mapInArrow(write, "path string, records long"), "arc-files")
 
 
+def _tasks(files: DataFrame) -> int:
+    """As many tasks as files; files have bounded sizes."""
+    return max(1, min(files.count(), 50_000))
+
+
 def _spread(files: DataFrame) -> DataFrame:
-    """A task for each file, as far as hashing allows; files have bounded sizes."""
-    return files.select("path").repartition(max(1, min(files.count(), 20_000)), "path")
+    """A task for each file, as far as hashing allows."""
+    return files.select("path").repartition(_tasks(files), "path")
+
+
+def _columns(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    """Rows, or none, as a batch of a schema of longs and strings."""
+    fields = [f.split(" ") for f in schema.split(", ")]
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in fields]
+    return pa.record_batch([pa.array(c, pa.int64() if t == "long" else pa.string()) for c, (_, t) in zip(columns, fields, strict=True)], names=[n for n, _ in fields])
 
 
 def convert(files: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
@@ -243,7 +260,8 @@ def convert(files: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     Of records with equal payloads of at least ``min_payload`` bytes, the one
     with the smallest page id (a null id comes last, then by file and place)
     is a response, the others revisit it.  The second pass reads each ARC file
-    once more and writes its records in order.
+    once more and writes its records in order; an archive without records
+    becomes one with the description of the file alone.
     """
     schema = "path string, offset long, page_id long, bytes long, digest string"
 
@@ -257,7 +275,7 @@ def convert(files: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
                         _, payload, head = http_parts(r.content)
                         page = head.get("x-page-id")
                         rows.append((path, r.offset, None if page is None else int(page), len(payload), digest(payload)))
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], names=["path", "offset", "page_id", "bytes", "digest"])
+                yield _columns(rows, schema)
 
     parsed = stored(_spread(files).mapInArrow(parse, schema), "arc-records")
     rank = F.struct(F.col("page_id").isNull().alias("last"), "page_id", "path", "offset")
@@ -265,9 +283,10 @@ def convert(files: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
     firsts = firsts.select("digest", again("bytes").alias("bytes"), F.col("first.path").alias("to_path"), F.col("first.offset").alias("to_offset"), F.col("first.page_id").alias("to_page"))
     plan = parsed.join(firsts, ["digest", "bytes"], "left").select("path", "offset", "digest", "to_path", "to_offset", "to_page")
 
-    def write(key: tuple, plan: pd.DataFrame) -> pd.DataFrame:
-        path = key[0]
-        todo = {o: (d, p, None if p is None else int(to), None if pd.isna(page) else int(page)) for o, d, p, to, page in zip(plan["offset"], plan["digest"], plan["to_path"], plan["to_offset"], plan["to_page"], strict=True)}
+    def write(key: tuple, plan: pa.Table) -> pa.Table:
+        path = key[0].as_py()
+        names = ("offset", "digest", "to_path", "to_offset", "to_page")
+        todo = {o: rest for o, *rest in zip(*(plan.column(c).to_pylist() for c in names), strict=True)}
         name = path.rpartition("/")[2].replace(".arc.gz", ".warc.gz")
         files, p = file_system(path)
         n = 0
@@ -287,9 +306,12 @@ def convert(files: DataFrame, folder: str, min_payload: int = 0) -> DataFrame:
                         fields["X-Refers-To-Page-Id"] = str(to_page)
                 out.write(warc_record(fields, block))
                 n += 1
-        return pd.DataFrame({"path": [f"{folder}/{name}"], "records": [n]})
+        return pa.table({"path": [f"{folder}/{name}"], "records": pa.array([n], pa.int64())})
 
-    return stored(plan.groupBy("path").applyInPandas(write, "path string, records long"), "warc-files")
+    # The plan is light, the files behind it are not: a task for each file, not for so many bytes of plan.
+    # A file without records has a row too.
+    plan = files.select("path").join(plan, "path", "left").repartition(_tasks(files), "path")
+    return stored(plan.groupBy("path").applyInArrow(write, "path string, records long"), "warc-files")
 
 
 READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, refers_to_record string, target_uri string, warc_date string"
@@ -320,9 +342,7 @@ def read_archives(files: DataFrame) -> DataFrame:
                             raise ValueError(f"a payload in {path} differs from its digest")
                         number = [int(x) if x is not None else None for x in (head.get("x-page-id"), fields.get("x-refers-to-page-id"))]
                         rows.append((number[0], n, sha, fields["warc-type"], number[1], fields["warc-record-id"], fields.get("warc-refers-to"), fields["warc-target-uri"], fields["warc-date"]))
-                names = [x.split()[0] for x in READ_SCHEMA.split(", ")]
-                kinds = [pa.int64() if x.endswith("long") else pa.string() for x in READ_SCHEMA.split(", ")]
-                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                yield _columns(rows, READ_SCHEMA)
 
     return _spread(files).mapInArrow(read, READ_SCHEMA)
 
@@ -331,8 +351,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page archived, converted and read back.
 
     Null payloads are empty; empty payloads repeat each other as any others do.
-    A null page id stays null.  Repeated ids keep their rows.  No pages, no
-    files, no rows.  Other columns are ignored.
+    Very long ones are taken whole, one in memory at a time.  A null page id
+    stays null.  Repeated ids keep their rows.  No pages, no files, no rows.
+    Other columns are ignored.
     """
     arcs = write_arc(table(spark, sf_dir, "pages"), scratch(spark, "arc"))
-    return read_archives(convert(arcs, scratch(spark, "warc")))
+    records = read_archives(convert(arcs, scratch(spark, "warc")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
