@@ -16,15 +16,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import tokens
-from .common import committed, file_system, pick, rows_of, scratch, stored, table
+from .common import committed, file_system, pick, scratch, stored, table
 
 MAGIC = b"OBPL1\n"
 BLOCK_IDS = 1 << 16
 LEVEL = 3
+#: Ids, and documents, after which a writer begins the next shard.
+SHARD_IDS, SHARD_DOCS = 1 << 24, 1 << 20
 READ_SCHEMA = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
@@ -127,9 +129,12 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
     Returns one row for each shard: ``shard, path, n_docs, n_tokens, base`` with
     ``base`` the ids in all shards before it.  Rows are dealt out by ranges of
-    (id, hash of the text), so ties and repeated ids spread; null ids come
-    first.  Null texts count as empty and hold the end id alone.  An empty
-    table writes no shard.  Other columns are ignored.
+    (id, hash of the text), so ties and repeated ids spread; a task begins a
+    new shard after SHARD_IDS ids or SHARD_DOCS documents, so that shards have
+    a bounded size at any number of partitions.  Null ids come first.  Null
+    texts count as empty and hold the end id alone; very long ones go whole
+    into one shard.  An empty table writes no shard.  Other columns are
+    ignored.
     """
     spark = docs.sparkSession
     rows = pick(docs, doc_id=id_column, text=text_column)
@@ -138,32 +143,27 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie", "text").drop("tie")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = TaskContext.get().partitionId()
+        part, k = TaskContext.get().partitionId(), 0
         enc, end = tokens.encoder(tokenizer), np.array([end_id], "<u4").tobytes()
-        batch = next(batches, None)
-        while batch is not None and not batch.num_rows:
-            batch = next(batches, None)
-        if batch is None:
-            return
-        path = f"{folder}/shard-{shard:06d}.planes"
-        with committed(path) as out:
-            to = Writer(out, kind)
-            while batch is not None:
-                ids, texts = batch.column("doc_id"), batch.column("text")
-                for i in range(batch.num_rows):
-                    to.add(ids[i].as_py(), enc.encode(texts[i].as_py()) + end)
-                batch = next(batches, None)
-            total = to.close()
-        yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(to.ids)], "n_tokens": [total]})
+        todo = ((b.column("doc_id")[i].as_py(), b.column("text")[i].as_py()) for b in batches for i in range(b.num_rows))
+        row = next(todo, None)
+        while row is not None:
+            path, n_ids = f"{folder}/shard-{part:06d}-{k:06d}.planes", 0
+            with committed(path) as out:
+                to = Writer(out, kind)
+                while row is not None and n_ids < SHARD_IDS and len(to.ids) < SHARD_DOCS:
+                    data = enc.encode(row[1]) + end
+                    to.add(row[0], data)
+                    n_ids += len(data) // 4
+                    row = next(todo, None)
+                total = to.close()
+            yield pa.RecordBatch.from_pydict({"shard": [part << 32 | k], "path": [path], "n_docs": [len(to.ids)], "n_tokens": [total]})
+            k += 1
 
     written = stored(rows.mapInArrow(write, "shard long, path string, n_docs long, n_tokens long"), "shards")
-    # One short row for each shard, so as many as there were write tasks.
-    shards, base = sorted(written.collect()), 0
-    out = []
-    for s in shards:
-        out.append((*s, base))
-        base += s["n_tokens"]
-    return rows_of(spark, out, "shard long, path string, n_docs long, n_tokens long, base long")
+    # One task over one short row for each shard.
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    return written.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0).cast("long")))
 
 
 def read_tokens(shards: DataFrame) -> DataFrame:
@@ -183,7 +183,8 @@ def read_tokens(shards: DataFrame) -> DataFrame:
                 if rows:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=names)
 
-    return shards.mapInArrow(read, READ_SCHEMA)
+    tasks = max(1, min(shards.count(), 50_000))
+    return shards.select("path", "base").repartition(tasks, "path").mapInArrow(read, READ_SCHEMA)
 
 
 def op3_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,6 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -91,8 +90,3 @@ def committed(uri: str) -> Iterator[Any]:
             files.delete_file(hidden)
         raise
 
-
-def rows_of(spark: SparkSession, rows: list[tuple], schema: str, parts: int | None = None) -> DataFrame:
-    """A small driver-side list as a table, one row to a partition unless told otherwise."""
-    frame = spark.createDataFrame(rows, T._parse_datatype_string(schema))
-    return frame.repartition(max(1, parts or len(rows)))
