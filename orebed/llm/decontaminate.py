@@ -33,6 +33,8 @@ MASKS = {
 #: Words of benchmark items that one broadcast index holds at most; a larger benchmark
 #: takes further passes over the documents.
 INDEX_WORDS = 2_000_000
+#: Words that are compared in one go.
+BLOCK_PLACES = 1 << 20
 _BITS = 22
 
 
@@ -109,21 +111,27 @@ class Index:
             n = hi - lo
             k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
             found.append(np.unique(np.stack([item[k], np.repeat(hits, n) - at[k]], axis=1), axis=0))
-        for k, place in self._close(h, np.unique(np.concatenate(found), axis=0), min_words, similarity):
+        for k, places in self._close(h, np.unique(np.concatenate(found), axis=0), min_words, similarity):
             own = self.words[k]
-            # The seed lies within the item; the text is the one that holds the item's part there.
-            for i in range(int(np.searchsorted(w.first, max(place, 0), "right")) - 1, len(texts)):
-                a, b = max(place, int(w.first[i])), min(place + len(own), int(w.first[i + 1]))
-                if a >= place + len(own):
-                    break
-                if a < b:
-                    n = longest_overlap(h[a:b] == own[a - place : b - place], similarity)
-                    if n >= min(min_words, len(own)) and n > out[i].get(self.items[k], 0):
-                        out[i][self.items[k]] = n
+            # The seed lies within the item; texts that the item reaches over at its place are cut apart.
+            text = np.searchsorted(w.first, np.maximum(places, 0), "right") - 1
+            while len(places):
+                at = places[:, None] + np.arange(len(own))
+                inside = (at >= w.first[text][:, None]) & (at < w.first[text + 1][:, None])
+                same = (h[np.clip(at, 0, len(h) - 1)] == own) & inside
+                # Places that agree in the same words have the same overlap: repetitive texts have few kinds.
+                key = np.packbits(np.concatenate([same, inside], axis=1), axis=1)
+                _, one, kind = np.unique(key, axis=0, return_index=True, return_inverse=True)
+                most = np.array([longest_overlap(same[i][inside[i]], similarity) for i in one.tolist()])[kind.ravel()]
+                for i in np.flatnonzero(most >= min(min_words, len(own))).tolist():
+                    mine = out[int(text[i])]
+                    mine[self.items[k]] = max(int(most[i]), mine.get(self.items[k], 0))
+                further = (w.first[text + 1] < places + len(own)) & (text + 1 < len(texts))
+                places, text = places[further], text[further] + 1
         return out
 
-    def _close(self, h: np.ndarray, pairs: np.ndarray, min_words: int, similarity: float) -> Iterator[tuple[int, int]]:
-        """The pairs (item, place) with as many words the same as the shortest overlap has."""
+    def _close(self, h: np.ndarray, pairs: np.ndarray, min_words: int, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
+        """By item, and BLOCK_PLACES at a time, the places with as many words the same as the shortest overlap has."""
         bounds = [*np.flatnonzero(np.diff(pairs[:, 0], prepend=-1)), len(pairs)]
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
             own = self.words[pairs[a, 0]]
@@ -131,8 +139,10 @@ class Index:
             for j, word in enumerate(own):
                 at = pairs[a:b, 1] + j
                 same += (h[np.clip(at, 0, len(h) - 1)] == word) & (at >= 0) & (at < len(h))
-            for i in np.flatnonzero(same >= similarity * min(min_words, len(own)) - 1e-9):
-                yield int(pairs[a, 0]), int(pairs[a + i, 1])
+            places = pairs[a:b, 1][same >= similarity * min(min_words, len(own)) - 1e-9]
+            step = max(1, BLOCK_PLACES // len(own))
+            for i in range(0, len(places), step):
+                yield int(pairs[a, 0]), places[i : i + step]
 
 
 def _finder(index, min_words: int, similarity: float) -> Callable:
@@ -164,9 +174,11 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     The index is broadcast; it holds ``index_words`` words of items at most,
     and a larger benchmark is taken in blocks, a pass over the documents each.
 
-    Null texts overlap nothing; null item texts and null items are left out;
-    items that repeat an id are looked for each.  An empty benchmark finds
-    nothing.  Other columns are ignored.
+    Null and empty texts overlap nothing; very long ones are searched whole.
+    Rows that repeat an id or a text are searched each.  Null item texts and
+    null items are left out; items that repeat an id are looked for each.  An
+    empty benchmark finds nothing, an empty table gives an empty result.
+    Other columns are ignored.
     """
     spark = docs.sparkSession
     items = pick(benchmark, item=item_column, text="text").filter("item IS NOT NULL AND text IS NOT NULL").select(F.col("item").cast("long").alias("item"), "text")
