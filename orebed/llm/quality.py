@@ -15,6 +15,8 @@ from .common import pick, stored, table
 
 #: Labelled rows that a fit uses at most, those with the least hash of id and text.
 FIT_ROWS = 20_000
+#: Classes of strength over which scored texts are counted, and standard errors of the fitted share that the cut may be off.
+CLASSES, SLACK = 8192, 4.0
 #: Preferred texts that each rejected text is compared with, and the reverse.
 PARTNERS = 16
 NAMES = (
@@ -51,38 +53,64 @@ def measured(texts: pd.Series) -> pd.Series:
 
 @dataclasses.dataclass
 class Ranker:
-    """Strength of a text is weights . (x - mean) / scale; its score is monotone in that."""
+    """Strength of a text is weights . (x - mean) / scale; its score is monotone in that.
+
+    ``quantile`` is the share of texts to reject, ``slack`` how far it may be off, and ``near`` the
+    strength that parted the labels best."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    cut: float
-    threshold: float
-
-    def strength(self, x: np.ndarray) -> np.ndarray:
-        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+    quantile: float
+    slack: float
+    near: float = 0.0
 
-    def score(self, x: Column) -> Column:
-        """From 0 to 1, and exactly the threshold where the strength is the cut."""
+    def strength(self, x: Column) -> Column:
         terms = [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (x[i] - float(m)) / float(s))) * float(w) for i, (m, s, w) in enumerate(zip(self.mean, self.scale, self.weights, strict=True))]
         strength = terms[0]
         for t in terms[1:]:
             strength = strength + t
-        shift = float(np.log(self.threshold / (1 - self.threshold)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(strength - self.cut + shift)))
+        return strength
+
+    def cut(self, x: DataFrame) -> float:
+        """The strength at the quantile of all texts ``x``: counted in CLASSES classes, one row each.
+
+        The share that a bounded sample gives is a little off.  Of the shares
+        within its slack the one at ``near`` is taken, or else the closest."""
+        reach = 8.0 * float(np.abs(self.weights).sum())
+        if not reach:
+            return -1.0
+        k = F.least(F.floor((self.strength(F.col("x")) + reach) * (CLASSES / (2 * reach))), F.lit(CLASSES - 1)).cast("int")
+        count = np.zeros(CLASSES, np.int64)
+        for r in x.groupBy(k.alias("k")).count().collect():
+            count[r["k"]] = r["count"]
+        edge = np.concatenate([[0], np.cumsum(count)]) / max(1, count.sum())
+        at = int(np.clip((self.near + reach) * (CLASSES / (2 * reach)), 0, CLASSES))
+        lo, hi = self.quantile - self.slack, self.quantile + self.slack
+        if edge[at] < lo or edge[at] > hi:
+            at = int(np.searchsorted(edge, lo if edge[at] < lo else hi))
+        # Edges of the same share are one gap, in whose middle the cut is put, unless it is an open end.
+        same = np.flatnonzero(edge == edge[at])
+        middle = at if edge[at] in (0.0, 1.0) else (int(same[0]) + int(same[-1])) / 2
+        return middle * (2 * reach / CLASSES) - reach
+
+    def score(self, x: Column, cut: float, threshold: float) -> Column:
+        """From 0 to 1, and exactly the threshold where the strength is the cut."""
+        shift = float(np.log(threshold / (1 - threshold)))
+        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(self.strength(x) - cut + shift)))
 
 
-def fit(x: np.ndarray, label: np.ndarray, threshold: float, quantile: float | None = None, seed: int = 5, ridge: float = 1.0) -> Ranker:
+def fit(x: np.ndarray, label: np.ndarray, quantile: float | None = None, seed: int = 5, ridge: float = 1.0) -> Ranker:
     """Weights by Newton's method on the logistic loss of feature differences.
 
     Each rejected text is paired with PARTNERS preferred ones and the reverse.
-    The cut is the strength at ``quantile`` of the fitted texts; without one,
-    the quantile that separates the two labels best (balanced accuracy).
-    With one label only, or none, all weights are 0 and every text passes.
+    Without ``quantile`` the share to reject is the one that parts the two
+    labels best (balanced accuracy).  With one label only, or none, all weights
+    are 0 and every text passes.
     """
     d = x.shape[1] if x.size else len(NAMES)
     if not len(x) or label.min() == label.max():
-        return Ranker(np.zeros(d), np.ones(d), np.zeros(d), -1.0, threshold)
+        return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.0)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     z = np.clip((x - mean) / scale, -8, 8)
@@ -100,19 +128,16 @@ def fit(x: np.ndarray, label: np.ndarray, threshold: float, quantile: float | No
         w -= step
         if np.abs(step).max() < 1e-6:
             break
+    if quantile is not None:
+        return Ranker(mean, scale, w, quantile, 0.0)
     s = z @ w
-    if quantile is None:
-        order = np.argsort(s, kind="stable")
-        below = np.cumsum(label[order] == 0) / len(bad)
-        lost = np.cumsum(label[order] == 1) / len(good)
-        gain = below - lost
-        best = np.flatnonzero(gain >= gain.max() - 1e-12)
-        k = int(best[len(best) // 2])
-        quantile = (k + 1) / len(s)
-        cut = (s[order[k]] + s[order[min(k + 1, len(s) - 1)]]) / 2
-    else:
-        cut = float(np.quantile(s, quantile))
-    return Ranker(mean, scale, w, float(cut), threshold)
+    order = np.argsort(s, kind="stable")
+    gain = np.cumsum(label[order] == 0) / len(bad) - np.cumsum(label[order] == 1) / len(good)
+    best = np.flatnonzero(gain >= gain.max() - 1e-12)
+    k = int(best[len(best) // 2])
+    share = (k + 1) / len(x)
+    near = float(s[order[k]] + s[order[min(k + 1, len(x) - 1)]]) / 2
+    return Ranker(mean, scale, w, share, SLACK * float(np.sqrt(share * (1 - share) / len(x))), near)
 
 
 def held_out(column: str = "doc_id", folds: int = 5) -> Column:
@@ -120,39 +145,55 @@ def held_out(column: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(x: DataFrame, labels: DataFrame, label_column: str, threshold: float, quantile: float | None, fit_rows: int, id_column: str) -> Ranker:
-    """Fit on labelled rows of a features table (``doc_id, x``), those that aren't held out."""
+def learn(x: DataFrame, labels: DataFrame, label_column: str, quantile: float | None, fit_rows: int, id_column: str) -> Ranker:
+    """Fit on labelled rows of a features table (``doc_id, x``), those that aren't held out.
+
+    Of more than ``fit_rows`` the ones with the least hash of id and text: the
+    rows are counted first, and only about so many as are wanted move."""
     marks = pick(labels, doc_id=id_column, label=label_column).filter(F.col("label").isin(0, 1) & ~held_out())
     known = x.join(marks, "doc_id").select("x", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "x").alias("tie"))
-    sample = known.orderBy("tie", "label").limit(fit_rows).collect()
-    return fit(np.array([r["x"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=int), threshold, quantile)
+    known = stored(known, "labelled")
+    n = known.count()
+    if n > fit_rows:
+        # Below the limit by four deviations of what a hash lets through.
+        share = max(0.5 * fit_rows, fit_rows - 4 * fit_rows**0.5) / n
+        known = known.filter(F.pmod("tie", F.lit(1 << 40)) < int(share * (1 << 40)))
+    sample = sorted(known.collect(), key=lambda r: (r["tie"], r["label"]))[:fit_rows]
+    return fit(np.array([r["x"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=int), quantile)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", threshold: float = 0.3, quantile: float | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows ``doc_id, held_out, score, predicted``, one for each input row.
 
     Learns from labelled rows that are not held out, at most ``fit_rows`` of
-    them; only features of the text enter a score.  Null texts count as empty
-    and are scored; null ids are never learnt from; repeated ids are learnt
-    from as often as they are labelled, and null labels not at all.  Without
-    usable labels every text passes.  An empty table gives an empty result.
-    Other columns are ignored.
+    them; only features of the text enter a score.  The texts below the
+    ``quantile`` of all scores are rejected (without one, the share that parts
+    the labels best, see ``Ranker.cut``); the score there is ``threshold``.
+
+    Null and empty texts are scored alike, very long ones whole; null ids are
+    never learnt from; repeated ids are learnt from as often as they are
+    labelled, and null labels not at all.  Without usable labels every text
+    passes.  An empty table gives an empty result.  Other columns are ignored.
     """
     x = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("x"))
     x = stored(x, "features")
-    ranker = learn(x, labels, label_column, threshold, quantile, fit_rows, id_column)
-    scored = x.select("doc_id", held_out().alias("held_out"), ranker.score(F.col("x")).alias("score"))
+    ranker = learn(x, labels, label_column, quantile, fit_rows, id_column)
+    scored = x.select("doc_id", held_out().alias("held_out"), ranker.score(F.col("x"), ranker.cut(x), threshold).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", threshold: float = 0.3, quantile: float | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The input rows whose text ``score_quality`` accepts, with all their columns."""
+    """The input rows whose text ``score_quality`` accepts, with all their columns.
+
+    Features are taken once for the fit and the cut, and again where rows are
+    filtered: joining them back would move every text."""
     x = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("x"))
-    ranker = learn(stored(x, "features"), labels, label_column, threshold, quantile, fit_rows, id_column)
+    x = stored(x, "features")
+    ranker = learn(x, labels, label_column, quantile, fit_rows, id_column)
     names = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
     plain = plain.withColumn("x", measured(F.col(f"_{names.index(text_column)}")))
-    return plain.filter(ranker.score(F.col("x")) >= threshold).drop("x").toDF(*names)
+    return plain.filter(ranker.score(F.col("x"), ranker.cut(x), threshold) >= threshold).drop("x").toDF(*names)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
