@@ -54,8 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     Round 0 encodes and cuts each partition's texts and packs its pieces by
     best fit, largest first.  Bins that are nearly full stay as they are; the
     others become items, which later rounds pack in the same way, in groups of
-    at most ``GROUP`` items, until one group holds them all or rounds no longer
-    help (then what is left stays unmerged: groups never grow beyond the bound).
+    about ``GROUP`` items, until no two of them fit into one sequence.
 
     Null texts count as empty: one piece with the end id alone.  Only texts of
     more than ``capacity`` ids are cut.  Repeated and null ids keep their rows.
@@ -114,27 +113,53 @@ def _merger(capacity: int, mark: int) -> Callable[[tuple, pd.DataFrame], pd.Data
     return merge
 
 
+def _open(items: DataFrame, capacity: int) -> tuple[int, np.ndarray]:
+    """The largest fill with which an item still fits with the smallest other one (0 if no two fit),
+    and the number of items of each fill."""
+    count = np.zeros(capacity + 1, np.int64)
+    for r in items.groupBy("fill").count().collect():  # at most one row for each fill up to the capacity
+        count[r["fill"]] = r["count"]
+    fills = np.flatnonzero(count)
+    if not len(fills):
+        return 0, count
+    least = int(fills[0])
+    # Once the smallest two do not fit, none do.
+    second = least if count[least] > 1 else int(fills[1]) if len(fills) > 1 else capacity
+    return (capacity - least if least + second <= capacity else 0), count
+
+
 def _merged(items: DataFrame, capacity: int, nearly: int) -> DataFrame | None:
-    """Rows ``bin, parent, place``: where each underfull bin of round 0 ends up."""
+    """Rows ``bin, parent, place``: where each underfull bin of round 0 ends up.
+
+    In odd rounds bins meet in groups dealt by hash, in even ones in groups of
+    like fill: the smallest bins are one group, and if any two fit, the
+    smallest two do.  So every second round merges something, and bins that
+    are at most half full all but vanish.  Bins that fit with none are left out.
+    """
     total: DataFrame | None = None
-    left = items.count()
     stage = 1
-    while left > 1:
+    most, count = _open(items, capacity)
+    while most:
+        items = items.filter(F.col("fill") <= most)
+        left = int(count[: most + 1].sum())
         groups = -(-left // GROUP)
-        # Another seed in each round: bins meet others than before.
-        dealt = items.withColumn("group", F.pmod(F.xxhash64("bin", F.lit(stage)), F.lit(groups)).cast("int"))
+        if groups > 1 and stage % 2 == 0:
+            before = np.cumsum(count) - count
+            place = F.lit(before.tolist())[F.col("fill").cast("int")] + F.pmod(F.xxhash64("bin"), F.lit(count.tolist())[F.col("fill").cast("int")])
+            group = F.floor(place / GROUP)
+        else:
+            # Another seed in each round: bins meet others than before.
+            group = F.pmod(F.xxhash64("bin", F.lit(stage)), F.lit(groups))
+        dealt = items.withColumn("group", group.cast("int"))
         moves = stored(dealt.groupBy("group").applyInPandas(_merger(capacity, -(stage << 52)), MOVE_SCHEMA), f"merge-{stage}")
         if total is None:
             total = moves.select("bin", "parent", "place")
         else:
             step = moves.select(F.col("bin").alias("parent"), F.col("parent").alias("next"), F.col("place").alias("further"))
             total = total.join(step, "parent", "left").select("bin", F.coalesce("next", "parent").alias("parent"), (F.col("place") + F.coalesce("further", F.lit(0))).alias("place"))
-        if groups == 1:
-            break
         items = moves.filter((F.col("place") == 0) & (F.col("fill") < nearly)).select(F.col("parent").alias("bin"), "fill")
-        before, left, stage = left, items.count(), stage + 1
-        if left > 0.98 * before:
-            break
+        most, count = _open(items, capacity)
+        stage += 1
     return total
 
 
