@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import again, pick, stored, table
@@ -24,31 +24,47 @@ def block_hashes(block: Column, seed: int) -> list[Column]:
     return [F.xxhash64(F.lit(2 * seed + 1), block), F.xxhash64(F.lit(2 * seed + 2), block)]
 
 
+def ranked(rows: DataFrame, keys: list[str], what: str) -> DataFrame:
+    """A stored table of the distinct rows with ``name``, their place in the order of the keys from 0.
+
+    Ranges are sorted apart; a row's place is that in its range and the size of
+    all ranges before, which are as few as there are partitions."""
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
+    placed = stored(placed, what).withColumn("part", F.shiftright("at", 33))
+    parts = placed.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
+    name = F.col("base") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1))
+    return placed.join(F.broadcast(parts), "part").select(*rows.columns, name.alias("name"))
+
+
 def names_of_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", block_bytes: int = BLOCK_BYTES, hashes: Callable[[Column, int], list[Column]] = block_hashes) -> DataFrame:
     """A stored table ``row, doc_id, sha256, blocks, name``: equal texts, and only they, have
     equal (blocks, name).
 
-    Distinct blocks are sorted within their partition and numbered: a block's
-    integer name.  Adjacent pairs of names are then named in the same way,
-    level by level, until one name is left for each document.
+    Distinct blocks are sorted, by two 64-bit hashes, and numbered: a block's
+    integer name, which depends on the corpus alone, not on partitions.
+    Adjacent pairs of names are then sorted and numbered in the same way, level
+    by level, until one name is left for each document.
 
-    A place finds its block's name by two hashes of the block, not by the
-    bytes, which so are moved only once.  That two different blocks share both
-    hashes is tested for over all names; then naming begins anew with other
-    seeds.  So no name depends on luck.
+    A place finds its block's name by the two hashes, not by the bytes, which
+    so are moved only once.  That two different blocks share both hashes is
+    tested for over all names; then naming begins anew with other seeds.  So no
+    name depends on luck.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).withColumn("text", lower_ascii(F.coalesce("text", F.lit(""))))
     data = F.encode("text", "UTF-8")
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("int")
     cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
-    distinct = rows.select(F.explode(cut).alias("block")).distinct().sortWithinPartitions("block")
+    distinct = rows.select(F.explode(cut).alias("block")).distinct()
     seed = 0
     while True:
         h = hashes(F.col("block"), seed)
-        names = stored(distinct.select(F.monotonically_increasing_id().alias("name"), h[0].alias("h0"), h[1].alias("h1")), "block-names")
-        if names.groupBy("h0", "h1").count().filter("count > 1").isEmpty():
+        found = stored(distinct.select(h[0].alias("h0"), h[1].alias("h1")), "block-hashes")
+        if found.groupBy("h0", "h1").count().filter("count > 1").isEmpty():
             break
         seed += 1
+    names = ranked(found, ["h0", "h1"], "block-names")
     marks = F.transform(cut, lambda b: F.struct(*[c.alias(f"h{k}") for k, c in enumerate(hashes(b, seed))]))
     light = rows.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("sha256"), count.alias("blocks"), marks.alias("marks")
@@ -69,8 +85,7 @@ def names_of_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str
             F.max(F.when(half == 0, F.col("name"))).alias("a"), F.coalesce(F.max(F.when(half == 1, F.col("name"))), F.lit(-1)).alias("b")
         )
         pairs = stored(pairs, "pairs")
-        named = pairs.select("a", "b").distinct().sortWithinPartitions("a", "b").withColumn("name", F.monotonically_increasing_id())
-        named = stored(named, "pair-names")
+        named = ranked(stored(pairs.select("a", "b").distinct(), "pair-kinds"), ["a", "b"], "pair-names")
         level = pairs.join(named, ["a", "b"]).select("row", "place", "name")
         longest = (longest + 1) // 2
     long = light.filter("blocks > 1").select("row", "doc_id", "sha256", "blocks").join(level.select("row", "name"), "row")
