@@ -27,7 +27,8 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, id_column: str = "
     """Rows ``doc_id, n_bytes, n_tokens``, one for each input row.
 
     A text's key is the SHA-256 of its UTF-8 bytes together with the SHA-256 of
-    the tokenizer file and its options.  Only distinct texts whose key the
+    the tokenizer file, the library's version and its options; content is
+    normalised in that a null text is an empty one.  Only distinct texts whose key the
     cache lacks are encoded; their counts are appended to the cache (Parquet,
     a folder for each tokenizer version), and every row takes its count from it.
 

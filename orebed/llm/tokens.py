@@ -1,22 +1,26 @@
 """Whole-text token ids from a public tokenizer file, with a memo over words.
 
-The library encodes about one megabyte a second.  Both vocabularies used here
-split a text at white space before any merge is applied, so the ids of a text
-are the ids of its words in order.  Each worker process therefore keeps a
+The library encodes about one megabyte a second.  Vocabularies of two kinds
+split a text at white space before any merge is applied, so that the ids of a
+text are the ids of its words in order.  For these each worker process keeps a
 bounded memo from a word (with the blank before it, where the vocabulary keeps
 blanks) to its ids; the library encodes every word that the memo lacks.  Texts
-whose white space could make a difference are given to the library whole.
+whose white space could make a difference are given to the library whole, and
+so are all texts where the file is of neither kind.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 
 import numpy as np
 
-#: Entries that the memo of one worker process holds at most (about 200 bytes each).
-MEMO_ENTRIES = 1_000_000
+#: Bytes that the memo of one worker process takes at most; it then begins anew.
+MEMO_BYTES = 96 << 20
+#: ... and what an entry takes besides its characters and ids.
+ENTRY_BYTES = 200
 #: Longer words are encoded but not kept.
 MEMO_WORD_CHARS = 48
 
@@ -25,6 +29,8 @@ MEMO_WORD_CHARS = 48
 _OTHER_BLANKS = re.compile("[\t\v\f\r\0\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 #: For a vocabulary that drops white space only the separators matter.
 _SEPARATORS = re.compile(r"[\x1c-\x1f]")
+#: The pre-token of a vocabulary that drops white space, as its file has it.
+WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Letters, then ASCII signs: two pre-tokens at most, whichever the vocabulary.
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!-/:-@\[-`{-~]*)\Z")
 
@@ -43,14 +49,37 @@ class _Memo(dict):
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.bytes = 0
 
     def __missing__(self, word: str) -> bytes:
         ids = self.encode(word)
-        if len(self) < MEMO_ENTRIES and len(word) <= MEMO_WORD_CHARS:
+        if len(word) <= MEMO_WORD_CHARS:
+            self.bytes += ENTRY_BYTES + len(word) + len(ids)
+            if self.bytes > MEMO_BYTES:
+                self.clear()
+                self.bytes = ENTRY_BYTES + len(word) + len(ids)
             self[word] = ids
         return ids
 
 
+def _kind(file: dict) -> str | None:
+    """How a tokenizer file may be cut at words: ``blanks`` keeps the blank before a word with it,
+    ``words`` drops white space; None for any other file."""
+    model = file.get("model", {})
+    plain = model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    if not plain or any(t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"] for t in file.get("added_tokens", [])):
+        return None
+    before, shape = file.get("normalizer"), file.get("pre_tokenizer") or {}
+    if before is None and shape.get("type") == "ByteLevel" and not shape["add_prefix_space"] and shape["use_regex"] and not model.get("end_of_word_suffix"):
+        return "blanks"
+    steps, parts = (before or {}).get("normalizers", []), shape.get("pretokenizers", [])
+    if [x["type"] for x in steps] != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in parts] != ["Split", "ByteLevel"]:
+        return None
+    same = steps[1]["pattern"] == {"Regex": r"\s+"} and steps[1]["content"] == " " and parts[0]["pattern"] == {"Regex": WORD_PATTERN}
+    same &= parts[0]["behavior"] == "Removed" and parts[0]["invert"] and not parts[1]["add_prefix_space"] and not parts[1]["use_regex"]
+    return "words" if same else None
+
+
 class Encoder:
     """Ids of whole texts as little-endian unsigned 32-bit integers.
 
@@ -65,7 +94,9 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.drops_blanks = self.library.normalizer is not None
+        with open(path, encoding="utf-8") as f:
+            self.kind = _kind(json.load(f))
+        self.drops_blanks = self.kind == "words"
         self.merge = self.library.model.tokenize
         self.letters = _byte_letters()
         self.memo = _Memo(self._word)
@@ -99,7 +130,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        words = self._words(text)
+        words = self._words(text) if self.kind else None
         return self.direct(text) if words is None else b"".join(map(self.memo.__getitem__, words))
 
 
@@ -114,9 +145,11 @@ def encoder(path: str) -> Encoder:
 
 
 def version_digest(path: str) -> str:
-    """Names a vocabulary file and the options it is used with."""
+    """Names a vocabulary file, the library's version and the options it is used with."""
+    import tokenizers
+
     with open(path, "rb") as f:
-        return hashlib.sha256(f.read() + b"|add_special_tokens=False").hexdigest()
+        return hashlib.sha256(f.read() + f"|tokenizers {tokenizers.__version__}|add_special_tokens=False".encode()).hexdigest()
 
 
 def tokenizer_path(name: str) -> str:
