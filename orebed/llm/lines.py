@@ -154,7 +154,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     the added ones are not replaced: the added ones then end in ``_``.  Null
     texts stay null, with 0 lines.  Rows that repeat an id and a text count
     once and are treated alike.  Of rows with a null id a recurring line goes,
-    unless no row with an id has it.  Empty tables give empty results.
+    unless no row with an id has it.  Very long texts and lines are taken whole.
+    Empty tables give empty results.
     """
     names = docs.columns
     drops = line_templates(docs, min_docs, similarity, id_column, text_column)
@@ -166,7 +167,8 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     joined = plain.join(drops.hint("merge"), doc.eqNullSafe(F.col("to_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("to_key")), "left")
     gone = F.col("gone")
     left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
-    added = [n + "_" if n in names else n for n in ("n_lines", "n_dropped")]
+    taken = {n.lower() for n in names}
+    added = [n + "_" if n in taken else n for n in ("n_lines", "n_dropped")]
     columns = [F.when(gone.isNull(), text).otherwise(left).alias(n) if n == text_column else F.col(f"_{i}").alias(n) for i, n in enumerate(names)]
     total = F.when(text.isNull(), F.lit(0)).otherwise(F.char_length(text) - F.char_length(F.replace(text, F.lit("\n"), F.lit(""))) + 1)
     return joined.select(*columns, total.cast("long").alias(added[0]), F.coalesce(F.size(gone), F.lit(0)).cast("long").alias(added[1]))

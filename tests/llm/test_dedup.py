@@ -84,6 +84,14 @@ def test_exact(docs, data, block):
     cases.same(naming.exact_groups(docs, block_bytes=block).toPandas(), cases.exact(data))
 
 
+def test_exact_names_do_not_depend_on_partitions(docs):
+    def names(df):
+        return {(x["doc_id"], x["sha256"].hex(), x["name"]) for x in naming.names_of_texts(df, block_bytes=64).filter("length(sha256) > 0 AND blocks < 100").collect()}
+
+    one = names(docs.repartition(1))
+    assert one == names(docs.repartition(5)) and len({n for *_, n in one}) > 50
+
+
 def test_exact_with_colliding_hashes(docs, data):
     def weak(block, seed):
         return [F.lit(0).cast("long"), F.lit(0).cast("long")] if seed < 2 else naming.block_hashes(block, seed)
