@@ -53,10 +53,14 @@ def names_of_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str
     name depends on luck.
     """
     rows = pick(docs, doc_id=id_column, text=text_column).withColumn("text", lower_ascii(F.coalesce("text", F.lit(""))))
-    data = F.encode("text", "UTF-8")
     count = F.greatest(F.lit(1), F.ceil(F.octet_length("text") / block_bytes)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))
-    distinct = rows.select(F.explode(cut).alias("block")).distinct()
+
+    def per_block(make: Callable[[Column], Column]) -> Column:
+        # The bytes are bound to a variable: written inside, they would be made anew for every block.
+        blocks = F.transform(F.array(F.encode("text", "UTF-8")), lambda data: F.transform(F.sequence(F.lit(0), count - 1), lambda i: make(F.substring(data, i * block_bytes + 1, F.lit(block_bytes)))))
+        return blocks[0]
+
+    distinct = rows.select(F.explode(per_block(lambda b: b)).alias("block")).distinct()
     seed = 0
     while True:
         h = hashes(F.col("block"), seed)
@@ -65,7 +69,7 @@ def names_of_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str
             break
         seed += 1
     names = ranked(found, ["h0", "h1"], "block-names")
-    marks = F.transform(cut, lambda b: F.struct(*[c.alias(f"h{k}") for k, c in enumerate(hashes(b, seed))]))
+    marks = per_block(lambda b: F.struct(*[c.alias(f"h{k}") for k, c in enumerate(hashes(b, seed))]))
     light = rows.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.sha2("text", 256)).alias("sha256"), count.alias("blocks"), marks.alias("marks")
     )
