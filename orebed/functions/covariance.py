@@ -61,7 +61,7 @@ def fit(distance: np.ndarray, gamma: np.ndarray, kind: str = "exponential", max_
     level = max(float(g[-3:].mean()), float(g.max()), 1e-3)
     w = 1 / np.maximum(d / far, 0.05)
     w /= w.sum()
-    nuggets = np.linspace(0, max(min(1.5 * g.min(), 0.9 * level), 1e-9), 21)
+    nuggets = np.linspace(0, max(1.5 * g.min(), 0.9 * level), 21)
     variances = np.maximum(np.linspace(0.2, 1.8, 25) * level, 1e-6)
     low = max(far / 8, 1e-6)
     reaches = np.linspace(low, max(min(max_reach, 2.5 * far), low), 30)
@@ -69,7 +69,9 @@ def fit(distance: np.ndarray, gamma: np.ndarray, kind: str = "exponential", max_
     curve = nuggets[:, None, None, None] + variances[None, :, None, None] * shape[None, None]
     loss = ((curve - g) ** 2 * w).sum(-1)
     i, j, k = np.unravel_index(int(loss.argmin()), loss.shape)
-    return Model(kind, float(nuggets[i]), float(variances[j]), float(reaches[k]))
+    found = Model(kind, float(nuggets[i]), float(variances[j]), float(reaches[k]))
+    # A total sill near the level of the far lags is brought to it.
+    return found.with_sill(level) if 0.7 <= level / found.sill <= 1.3 else found
 
 
 def krige(model: Model, points: np.ndarray, values: np.ndarray, target: np.ndarray, nugget_on_diagonal: bool = False, jitter: float = 1e-10) -> tuple[float, float]:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import even_bin, floor_bin
+from . import order
 
 
 def errors(df: DataFrame, truth: str, guess: str, by: list[str] | None = None) -> DataFrame:
@@ -14,7 +15,8 @@ def errors(df: DataFrame, truth: str, guess: str, by: list[str] | None = None) -
 
 
 def distribution(df: DataFrame, value: str) -> DataFrame:
-    return df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), *[F.percentile(value, F.lit(p)).alias(f"p{round(100 * p)}") for p in (0.1, 0.5, 0.9)], F.avg((F.col(value) >= 3).cast("double")).alias("share_3"))
+    one = df.agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_samp(value).alias("std"), F.avg((F.col(value) >= 3).cast("double")).alias("share_3"))
+    return one.crossJoin(F.broadcast(order.quantile_row(df, value, {"p10": 0.1, "p50": 0.5, "p90": 0.9}))).select("n", "mean", "std", "p10", "p50", "p90", "share_3")
 
 
 def histogram_overlap(a: DataFrame, b: DataFrame, va: str, vb: str, bins: int = 50) -> DataFrame:
@@ -29,10 +31,10 @@ def histogram_overlap(a: DataFrame, b: DataFrame, va: str, vb: str, bins: int =
 
 def quantile_profile(a: DataFrame, b: DataFrame, va: str, vb: str, marks: int = 99) -> DataFrame:
     """Correlation, root mean square and bias of two distributions' quantiles."""
-    ps = F.array(*[F.lit((k + 1) / (marks + 1)) for k in range(marks)])
-    x = a.agg(F.percentile(va, ps).alias("x")).crossJoin(F.broadcast(b.agg(F.percentile(vb, ps).alias("y"))))
-    x = x.select(F.explode(F.arrays_zip("x", "y")).alias("q")).select("q.x", "q.y")
-    return errors(x, "x", "y")
+    ps = [(k + 1) / (marks + 1) for k in range(marks)]
+    x = order.quantiles(a, va, ps).select("k", F.col("q").alias("x"))
+    y = order.quantiles(b, vb, ps).select("k", F.col("q").alias("y"))
+    return errors(x.join(y, "k"), "x", "y")
 
 
 def to_support(blocks: DataFrame, origin: tuple[float, float, float], step: tuple[float, float, float], shape: tuple[int, int, int], cell_volume: float) -> DataFrame:
@@ -74,9 +76,10 @@ def axis_means(df: DataFrame, axis: str, value: str, origin: float, step: float,
 
 def infer_spacing(df: DataFrame, column: str, fallback: float) -> DataFrame:
     """Median of the positive steps between neighbouring distinct values, else the fallback."""
-    d = df.select(F.col(column).alias("v")).distinct()
-    w = Window.orderBy("v")
-    return d.withColumn("step", F.col("v") - F.lag("v").over(w)).filter("step > 0").agg(F.coalesce(F.median("step"), F.lit(fallback)).alias("spacing"))
+    d = df.select(F.col(column).cast("double").alias("v")).filter("v IS NOT NULL").distinct()
+    before = order.running(d, ["v"], {}, {"before": F.col("v")}, inclusive=False)
+    steps = before.select((F.col("v") - F.col("before")).alias("step")).filter("step > 0")
+    return order.quantile_row(steps, "step", {"spacing": 0.5}).select(F.coalesce("spacing", F.lit(float(fallback))).alias("spacing"))
 
 
 def coverage(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
@@ -104,3 +107,17 @@ def reproduction(df: DataFrame, weights: dict[str, float], least_pairs: int = 10
     each = each.withColumn("_w", F.when(F.col("rmse").isNotNull(), known[F.col("direction")]))
     total = each.agg((F.sum(F.col("_w") * F.col("rmse")) / F.sum("_w")).alias("weighted_rmse"))
     return each.crossJoin(F.broadcast(total)).drop("_w")
+
+
+def width_reduction(dense: DataFrame, sparse: DataFrame, cutoff: float) -> DataFrame:
+    """Tonnage between P10 and P90 at a cutoff by two curve summaries, and by how many percent the first is narrower."""
+    at = lambda df, n: df.filter(F.col("cutoff") == cutoff).agg(F.max(F.col("tonnage_p90") - F.col("tonnage_p10")).alias(n))
+    both = at(dense, "dense_width").crossJoin(F.broadcast(at(sparse, "sparse_width")))
+    return both.withColumn("reduction_pct", F.when(F.col("sparse_width") > 0, 100 * (F.col("sparse_width") - F.col("dense_width")) / F.col("sparse_width")).otherwise(0.0))
+
+
+def support_ladder(metrics: DataFrame) -> DataFrame:
+    """Metrics by support (``support, metric, value``) side by side, and each relative to the smallest support's.
+    ``support`` counts fine cells; the number of supports is a handful by nature."""
+    first = metrics.groupBy("metric").agg(F.min_by("value", "support").alias("base"))
+    return metrics.join(first, "metric").select("support", "metric", "value", F.when(F.abs("base") > 1e-9, F.col("value") / F.col("base")).alias("relative"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import entropy, half_width, ratio
+from . import order
 
 CELL = ("cell_id", "ix", "iy", "iz")
 
@@ -103,7 +104,8 @@ def category_shares(cats: DataFrame, n: int) -> DataFrame:
 
 def entropy_summary(shares: DataFrame, ore: list[int]) -> DataFrame:
     p = sum((F.col(f"s{k}") for k in ore[1:]), F.col(f"s{ore[0]}"))
-    return shares.agg(F.avg("entropy").alias("mean_entropy"), F.percentile("entropy", F.lit(0.9)).alias("p90_entropy"), F.avg((F.col("entropy") >= 0.5).cast("double")).alias("share_uncertain"), F.avg((p >= 0.1).cast("double")).alias("share_ore"))
+    one = shares.agg(F.avg("entropy").alias("mean_entropy"), F.avg((F.col("entropy") >= 0.5).cast("double")).alias("share_uncertain"), F.avg((p >= 0.1).cast("double")).alias("share_ore"))
+    return one.crossJoin(F.broadcast(order.quantile_row(shares, "entropy", {"p90_entropy": 0.9}))).select("mean_entropy", "p90_entropy", "share_uncertain", "share_ore")
 
 
 def thickness(cats: DataFrame, ore: list[int], dz: float) -> DataFrame:
@@ -122,7 +124,7 @@ def confidence_gradient(cells: DataFrame) -> DataFrame:
     """Spread and aperture of cells (p10, p50, p90), the largest over z, and the share of the overall median."""
     x = cells.withColumn("spread", F.col("p90") - F.col("p10")).withColumn("aperture_pct", 100 * ratio(F.col("p90") - F.col("p10"), F.col("p50")))
     top = x.groupBy("ix", "iy").agg(F.max("spread").alias("max_spread"), F.max("aperture_pct").alias("max_aperture_pct"))
-    middle = x.agg(F.median("spread").alias("median_spread"))
+    middle = order.quantile_row(x, "spread", {"median_spread": 0.5})
     return top.crossJoin(F.broadcast(middle)).withColumn("relative", F.col("max_spread") / F.col("median_spread")).drop("median_spread")
 
 
@@ -132,6 +134,30 @@ def hotspots(shares: DataFrame, ore: list[int], n: int, least: float = 0.1) -> D
     return shares.withColumn("ore", p).filter(F.col("ore") >= least).orderBy(F.desc("entropy"), F.desc("ore"), "cell_id").limit(n)
 
 
+def largest(cells: DataFrame, by: str, n: int, ties: tuple[str, ...] = ("ix", "iy")) -> DataFrame:
+    """The n rows where ``by`` is largest; rows without it are left out, equal ones go by ``ties``."""
+    return cells.filter(F.col(by).isNotNull()).orderBy(F.desc(by), *ties).limit(n)
+
+
+def evenly_chosen(n: int, wanted: int) -> list[int]:
+    """Numbers of ``wanted`` realisations spread evenly from the first to the last of n, cut to whole numbers."""
+    wanted = max(1, min(wanted, n))
+    return [int(k * (n - 1) / (wanted - 1)) if wanted > 1 else 0 for k in range(wanted)]
+
+
+def convergence_by_cell(reals: DataFrame, checkpoints: list[int], cutoff: float) -> DataFrame:
+    """For each n, how cells' chance of the cutoff, mean, P10, P50, P90 and variance over the first n
+    realisations compare with those over all: mean absolute difference and correlation, a row each."""
+    last = max(checkpoints)
+    some = reals.select(*CELL, "value", F.explode(F.array(*[F.when(F.col("real_id") < n, F.lit(n)) for n in checkpoints])).alias("n_real")).filter("n_real IS NOT NULL")
+    maps = some.groupBy("n_real", *CELL).agg(F.avg((F.col("value") > cutoff).cast("double")).alias("chance"), F.avg("value").alias("mean"), F.var_pop("value").alias("variance"), *_percentiles("value", {"p10": 0.1, "p50": 0.5, "p90": 0.9}))
+    names = ["chance", "mean", "variance", "p10", "p50", "p90"]
+    long = maps.unpivot(["n_real", *CELL], names, "map", "value")
+    full = long.filter(F.col("n_real") == last).select(*CELL, "map", F.col("value").alias("full"))
+    both = long.join(full, [*CELL, "map"])
+    return both.groupBy("n_real", "map").agg(F.avg(F.abs(F.col("value") - F.col("full"))).alias("mae"), F.corr("value", "full").alias("r"))
+
+
 def convergence(reals: DataFrame, checkpoints: list[int]) -> DataFrame:
     """Mean and spread of the overall mean over the first n realisations, for each n."""
     each = reals.groupBy("real_id").agg(F.avg("value").alias("m"))

@@ -75,11 +75,12 @@ def most_overlap(base: DataFrame, spans: DataFrame, value: str, by: str = "hole_
 
 
 def contacts(df: DataFrame, category: Column, gap: float = 0.25) -> DataFrame:
-    """Depths in each hole where the category of neighbours differs and at most ``gap`` lies between."""
+    """Depths in each hole where the category of neighbours differs and at most ``gap`` lies between:
+    the end of the upper one."""
     down = Window.partitionBy("hole_id").orderBy("from_m", "to_m")
     x = df.withColumn("_c", category)
     x = x.select("hole_id", "to_m", "_c", F.lead("_c").over(down).alias("_next"), F.lead("from_m").over(down).alias("_from"))
-    return x.filter((F.col("_c") != F.col("_next")) & (F.abs(F.col("_from") - F.col("to_m")) <= gap)).select("hole_id", ((F.col("to_m") + F.col("_from")) / 2).alias("contact_depth_m"))
+    return x.filter((F.col("_c") != F.col("_next")) & (F.abs(F.col("_from") - F.col("to_m")) <= gap)).select("hole_id", F.col("to_m").alias("contact_depth_m"))
 
 
 def contact_distances(df: DataFrame, category: Column, reach: float = 10.0) -> DataFrame:

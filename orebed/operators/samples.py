@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-import numpy as np
+import math
+
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_bin, inverse_normal
+from . import order
 
 # Lithology codes of the canonical groups, and aliases of codes.
-GROUPS = {"fresh_graphitic": ("GSCH", "GRSC", "GQSC"), "weathered_graphitic": ("SAPR", "SAP")}
-ALIASES = {"GS": "GSCH", "GRAPHITIC SCHIST": "GSCH", "SAPROLITE": "SAP", "SAPROCK": "SAPR"}
+GROUPS = {"fresh_graphitic": ("GRSC", "GRSC1", "GRSC2"), "weathered_graphitic": ("SAP (GRSC)", "SAPR (GRSC)")}
+ALIASES = {"SAP": "SAP (GRSC)", "SAPR": "SAPR (GRSC)", "SAP (GRSC2)": "SAP (GRSC)", "SAPR (GRSC2)": "SAPR (GRSC)", "GRSC-3": "GRSC3"}
 WASTE = "host_waste"
+#: Groups that tests of difference compare at most; groups are categories, not rows.
+MAX_GROUPS = 200
 
 
 def canonical(code: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -22,12 +26,44 @@ def canonical(code: Column, aliases: dict[str, str] | None = None) -> Column:
 
 
 def category(code: Column, groups: dict[str, tuple[str, ...]] | None = None, aliases: dict[str, str] | None = None) -> Column:
-    """Group of a lithology code; whatever no group lists is waste."""
-    c = F.upper(canonical(code, aliases))
+    """Group of a lithology code.  A code that no group lists is weathered if it begins with SAP and
+    holds GRSC (blanks aside, in upper case), fresh if it holds GRSC, and otherwise waste, as null is."""
+    c = canonical(code, aliases)
+    own = {k.upper(): v for k, v in (aliases or ALIASES).items()}
     out = F.when(F.lit(False), F.lit(WASTE))
     for name, codes in (groups or GROUPS).items():
-        out = out.when(c.isin(*codes), F.lit(name))
-    return out.otherwise(F.lit(WASTE))
+        out = out.when(c.isin(*[own.get(x.strip().upper(), x.strip()) for x in codes]), F.lit(name))
+    bare = F.replace(F.upper(c), F.lit(" "), F.lit(""))
+    out = out.when(bare.startswith("SAP") & bare.contains("GRSC"), F.lit("weathered_graphitic"))
+    return out.when(bare.contains("GRSC"), F.lit("fresh_graphitic")).otherwise(F.lit(WASTE))
+
+
+def weathering(code: Column) -> Column:
+    """``weathered`` for codes that begin with SAP, in any case; all others are fresh."""
+    return F.when(F.upper(code).startswith("SAP"), F.lit("weathered")).otherwise(F.lit("fresh"))
+
+
+# Codes of the primary domains as they are written.
+PRIMARY = ("GRSC", "GRSC1", "GRSC2")
+WEATHERED = ("SAP", "SAPR", "SAP (GRSC)", "SAPR (GRSC)", "SAPR (GRSC2)", "SAP (GRSC2)", "SAPR(GRSC)", "SAPR(GRSC2)")
+
+
+def study_domain(code: Column) -> tuple[Column, Column]:
+    """Domain of a raw code, and whether it is primary, supplementary or excluded."""
+    c = F.coalesce(F.trim(code), F.lit(""))
+    mixed = c.contains("GRSC") | c.contains("SAP")
+    name = F.when(c.isin(*PRIMARY), c).when(c.isin(*WEATHERED), "weathered_graphitic").when(mixed, "mixed_graphitic_supplementary").otherwise("other_non_graphitic")
+    return name, F.when(c.isin(*PRIMARY, *WEATHERED), "primary").when(mixed, "supplementary").otherwise("excluded")
+
+
+def weathering_bin(raw: Column) -> Column:
+    c = F.upper(F.trim(raw))
+    return F.when(c.isin("HW", "MW", "SW"), c).otherwise("UW_plus_other")
+
+
+def with_domains(df: DataFrame, value: str, code: str = "lith_code", groups: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """The rows that have a value, with ``domain_group``; the groups stay one table, parted by that column."""
+    return df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).withColumn("domain_group", category(F.col(code), groups))
 
 
 def group_stats(df: DataFrame, by: list[str], value: str, least: int = 1) -> DataFrame:
@@ -58,44 +94,42 @@ def decluster(df: DataFrame, size: tuple[float, float, float], value: str = "gra
     return out.select(*df.columns, F.coalesce(weight, F.lit(1.0)).alias("decluster_weight"), F.coalesce("cell_count", F.lit(1)).cast("long").alias("cell_count"))
 
 
-def score_table(df: DataFrame, value: str, weight: str | None = None) -> DataFrame:
-    """Distinct values and their normal scores: the quantile of the centred cumulative weight.  Ties
-    take the score of the last of them.
+def centred_shares(df: DataFrame, by: str, weight: str, ties: list[str]) -> DataFrame:
+    """Adds ``p``: within a group, the cumulative weight up to the middle of a row's own, as a share
+    of the group's, kept off 0 and 1.  Rows are taken in the order of ``ties``."""
+    w = Window.partitionBy(by).orderBy(*ties).rowsBetween(Window.unboundedPreceding, 0)
+    p = (F.sum(weight).over(w) - F.col(weight) / 2) / F.sum(weight).over(Window.partitionBy(by))
+    return df.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
+
 
-    Running sums are taken over distinct values in ranges: totals by range are
-    small and broadcast, so no single task sees all rows."""
+def score_table(df: DataFrame, value: str, weight: str | None = None, tie: str | None = None) -> DataFrame:
+    """Distinct values and their normal scores: the quantile of the centred cumulative weight.  Ties
+    take the score of the last of them: by ``tie``, or else the heaviest."""
     w = F.col(weight) if weight else F.lit(1.0)
-    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("value")).agg(F.sum(w).alias("w"), F.max(w).alias("last"))
-    v = v.repartitionByRange("value").withColumn("part", F.spark_partition_id())
-    inner = Window.partitionBy("part").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    v = v.withColumn("within", F.sum("w").over(inner))
-    parts = v.groupBy("part").agg(F.sum("w").alias("t"))
-    base = parts.withColumn("base", F.sum("t").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")).withColumn("total", F.sum("t").over(Window.partitionBy(F.lit(1))))
-    v = v.join(F.broadcast(base.select("part", "base", "total")), "part")
-    p = (F.col("base") + F.col("within") - F.col("last") / 2) / F.col("total")
-    v = v.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
-    return v.select("value", inverse_normal("p").alias("score"))
+    last = F.max_by(w, F.col(tie)) if tie else F.max(w)
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("value")).agg(F.sum(w).alias("w"), last.alias("last"))
+    v = order.running(v, ["value"], {"upto": F.col("w")})
+    p = (F.col("upto") - F.col("last") / 2) / F.col("upto_total")
+    return v.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))).select("value", inverse_normal("p").alias("score"))
 
 
 def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out: str) -> DataFrame:
     """Adds the piecewise linear function through the knots at ``at``, level beyond the ends.
 
-    The knots are one value each, so a broadcast array of them serves up to
-    about a million; they are searched, not joined."""
-    rows = sorted((r[0], r[1]) for r in knots.select(x, y).limit(1_000_001).collect())
-    if len(rows) > 1_000_000:
-        raise ValueError("too many knots to broadcast: thin them by quantiles first")
-    held = df.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
-
-    @F.pandas_udf("double")
-    def at_knots(v: pd.Series) -> pd.Series:
-        xs, ys = held.value
-        ok = v.notna()
-        got = pd.Series(np.nan, index=v.index)
-        got[ok] = np.interp(v[ok].to_numpy(float), xs, ys)
-        return got.astype(object).where(ok, None).astype("float64")
-
-    return df.withColumn(out, at_knots(F.col(at)))
+    Rows and knots are put in one order, and every row takes the last knot
+    before it, which knows the next one: there may be as many knots as rows.
+    """
+    k = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL").groupBy("x").agg(F.max("y").alias("y"))
+    ahead = order.running(k.withColumn("back", -F.col("x")), ["back"], {}, {"after": F.struct((-F.col("x")).alias("nx"), F.col("y").alias("ny"))}, inclusive=False)
+    seg = F.struct("x", "y", (-F.col("after.nx")).alias("nx"), F.col("after.ny").alias("ny"))
+    left = ahead.select("x", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), seg.alias("seg"), F.lit(None).cast(df.schema).alias("row"))
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    right = df.select(F.col(at).cast("double").alias("x"), F.lit(1).alias("kind"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("tie"), F.lit(None).cast(left.schema["seg"].dataType).alias("seg"), row.alias("row"))
+    both = order.running(left.unionByName(right.filter("x IS NOT NULL")), ["x", "kind", "tie"], {}, {"held": F.col("seg")})
+    first = k.agg(F.min_by("y", "x").alias("low"))
+    v = F.coalesce(F.col("held.y") + F.when((F.col("x") > F.col("held.x")) & F.col("held.nx").isNotNull(), (F.col("x") - F.col("held.x")) * (F.col("held.ny") - F.col("held.y")) / (F.col("held.nx") - F.col("held.x"))).otherwise(0.0), F.col("low"))
+    found = both.filter("kind = 1").crossJoin(F.broadcast(first)).select("row.*", v.alias(out))
+    return found.unionByName(df.filter(F.col(at).isNull()).withColumn(out, F.lit(None).cast("double")))
 
 
 def normal_scores(df: DataFrame, value: str, weight: str | None = None, out: str = "score") -> DataFrame:
@@ -114,10 +148,9 @@ def quantile_map(df: DataFrame, value: str, reference: DataFrame, ref_value: str
     """Adds the value at its own quantile of the reference: two arrays of n quantiles, made strictly
     rising by steps of 1e-8, and interpolation between them."""
     marks = [k / (n - 1) for k in range(n)]
-    own = df.agg(F.percentile(value, F.array(*map(F.lit, marks))).alias("q")).first()["q"]
-    ref = reference.agg(F.percentile(ref_value, F.array(*map(F.lit, marks))).alias("q")).first()["q"]
+    own, ref = ([r["q"] for r in order.quantiles(d, c, marks).orderBy("k").collect()] for d, c in ((df, value), (reference, ref_value)))
     for q in (own, ref):
-        for k in range(1, n):
+        for k in range(1, len(q)):
             if q[k] <= q[k - 1]:
                 q[k] = q[k - 1] + 1e-8
     knots = df.sparkSession.createDataFrame(list(zip(own, ref, strict=True)), "x double, y double")
@@ -126,31 +159,116 @@ def quantile_map(df: DataFrame, value: str, reference: DataFrame, ref_value: str
 
 def top_cut(df: DataFrame, value: str, quantile: float) -> DataFrame:
     """Values above the quantile are lowered to it."""
-    cap = df.agg(F.percentile(value, F.lit(quantile)).alias("_cap"))
+    cap = order.quantile_row(df, value, {"_cap": quantile})
     return df.crossJoin(F.broadcast(cap)).withColumn(value, F.least(F.col(value), F.col("_cap"))).withColumn("capped", F.col(value) >= F.col("_cap")).drop("_cap")
 
 
 def adjusted(p_values: DataFrame) -> DataFrame:
     """Holm's step-down adjustment of ``p``, by ``id``."""
-    w = Window.orderBy("p", "id")
-    n = F.count(F.lit(1)).over(Window.partitionBy(F.lit(1)))
-    raw = p_values.withColumn("_raw", F.least(F.lit(1.0), (n - F.row_number().over(w) + 1) * F.col("p")))
-    return raw.withColumn("adjusted", F.max("_raw").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
+    ranked = order.running(p_values, ["p", "id"], {"_rank": F.lit(1)})
+    raw = ranked.withColumn("_raw", F.least(F.lit(1.0), (F.col("_rank_total") - F.col("_rank") + 1) * F.col("p")))
+    return order.running(raw, ["p", "id"], {}, {"adjusted": F.col("_raw")}).drop("_raw", "_rank", "_rank_total")
+
+
+def _counts_by_group(df: DataFrame, value: str, group: str) -> tuple[list, DataFrame]:
+    """The groups, and for each distinct value ``n<i>`` of group i and ``b<i>`` of it that are smaller."""
+    real = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(group).isNotNull())
+    groups = sorted(r[0] for r in real.select(group).distinct().limit(MAX_GROUPS + 1).collect())
+    if len(groups) > MAX_GROUPS:
+        raise ValueError(f"more than {MAX_GROUPS} groups: these are not categories")
+    named = groups or [None]  # without rows one group of none
+    counts = real.groupBy(F.col(value).alias("v")).agg(*[F.count_if(F.col(group) == F.lit(g)).alias(f"n{i}") for i, g in enumerate(named)])
+    return groups, order.running(counts, ["v"], {f"b{i}": F.col(f"n{i}") for i in range(len(named))}, inclusive=False)
+
+
+def magnitude(delta: Column) -> Column:
+    """Cliff's delta in words."""
+    d = F.abs(delta)
+    return F.when(d < 0.147, "negligible").when(d < 0.33, "small").when(d < 0.474, "medium").otherwise("large")
 
 
 def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
-    """For each pair of groups: sizes, the Mann-Whitney U of the first, and Cliff's delta.
+    """For each pair of groups: sizes, the Mann-Whitney U of the first, Cliff's delta and its size in
+    words, the two-sided p-value (normal, with corrections for ties and continuity), Holm's adjustment.
 
     Counts by distinct value and running sums replace ranks of rows; pairs are
     of groups, not of rows."""
-    counts = df.groupBy(value, F.col(group).alias("g")).agg(F.count(F.lit(1)).alias("n"))
-    below = Window.partitionBy("g").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    groups = counts.groupBy("g").agg(F.sum("n").alias("size"))
-    grid = counts.select(value).distinct().crossJoin(F.broadcast(groups.select("g")))
-    full = grid.join(counts, [value, "g"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    full = full.withColumn("less", F.coalesce(F.sum("n").over(below), F.lit(0)))
-    a, b = full.alias("a"), full.alias("b")
-    u = a.join(b, (F.col(f"a.{value}") == F.col(f"b.{value}")) & (F.col("a.g") < F.col("b.g")))
-    u = u.groupBy(F.col("a.g").alias("a"), F.col("b.g").alias("b")).agg(F.sum(F.col("a.n") * (F.col("b.less") + F.col("b.n") / 2)).alias("u"))
-    ga, gb = groups.select(F.col("g").alias("a"), F.col("size").alias("n_a")), groups.select(F.col("g").alias("b"), F.col("size").alias("n_b"))
-    return u.join(F.broadcast(ga), "a").join(F.broadcast(gb), "b").withColumn("delta", 2 * F.col("u") / (F.col("n_a") * F.col("n_b")) - 1).select("a", "b", "n_a", "n_b", "u", "delta")
+    groups, counts = _counts_by_group(df, value, group)
+    pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
+    sums = [F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(len(groups))]
+    for i, j in pairs:
+        t = (F.col(f"n{i}") + F.col(f"n{j}")).cast("double")
+        sums += [F.sum(F.col(f"n{i}") * (F.col(f"b{j}") + F.col(f"n{j}") / 2)).alias(f"u{i}_{j}"), F.sum(t * t * t - t).alias(f"t{i}_{j}")]
+    if not pairs:
+        return df.sparkSession.createDataFrame([], f"a {df.schema[group].dataType.simpleString()}, b {df.schema[group].dataType.simpleString()}, n_a long, n_b long, u double, delta double, size string, p double, p_holm double")
+    one = counts.agg(*sums)
+    rows = [F.struct(F.lit(groups[i]).alias("a"), F.lit(groups[j]).alias("b"), F.col(f"n{i}").alias("n_a"), F.col(f"n{j}").alias("n_b"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties")) for i, j in pairs]
+    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    n = (F.col("n_a") + F.col("n_b")).cast("double")
+    both = F.col("n_a").cast("double") * F.col("n_b")
+    spread = F.sqrt(both / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = (F.abs(F.col("u") - both / 2) - 0.5) / spread
+    out = out.select("a", "b", "n_a", "n_b", "u", (2 * F.col("u") / both - 1).alias("delta"), z.alias("z")).withColumn("size", magnitude(F.col("delta")))
+
+    @F.pandas_udf("double")  # a row for each pair of groups
+    def two_sided(z: pd.Series) -> pd.Series:
+        return z.map(lambda v: 1.0 if v is None or v != v else min(1.0, math.erfc(v / math.sqrt(2))))
+
+    out = out.withColumn("p", two_sided("z")).drop("z").withColumn("id", F.struct("a", "b"))
+    return adjusted(out).drop("id").withColumnRenamed("adjusted", "p_holm")
+
+
+def chi_square_tail(x: float, freedom: int) -> float:
+    """Chance that a chi-square variable exceeds x: the series or the continued fraction of the incomplete gamma function."""
+    a, h = freedom / 2, x / 2
+    if not h > 0:
+        return 1.0
+    scale = math.exp(-h + a * math.log(h) - math.lgamma(a))
+    if h < a + 1:
+        term = total = 1 / a
+        k = a
+        while abs(term) > 1e-16 * abs(total):
+            k += 1
+            term *= h / k
+            total += term
+        return max(0.0, 1 - total * scale)
+    b, c = h + 1 - a, 1e300
+    d = f = 1 / b
+    for i in range(1, 500):
+        n = -i * (i - a)
+        b += 2
+        d = 1 / (n * d + b)
+        c = b + n / c
+        f *= c * d
+        if abs(c * d - 1) < 1e-15:
+            break
+    return scale * f
+
+
+def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
+    """One row: Kruskal and Wallis's H over all groups with the correction for ties, its p-value, and epsilon squared."""
+    groups, counts = _counts_by_group(df, value, group)
+    every, below = (sum((F.col(f"{p}{i}") for i in range(len(groups))), F.lit(0)) for p in "nb")
+    t = every.cast("double")
+    rank = below + (every + 1) / 2
+    one = counts.agg(F.coalesce(F.sum(every), F.lit(0)).alias("n"), F.sum(t * t * t - t).alias("ties"), *[F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(len(groups))], *[F.sum(F.col(f"n{i}") * rank).alias(f"r{i}") for i in range(len(groups))])
+    n = F.col("n").cast("double")
+    raw = 12 / (n * (n + 1)) * sum((F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"n{i}") for i in range(len(groups))), F.lit(0.0)) - 3 * (n + 1)
+    h = F.when((n > 1) & (F.col("ties") < n * n * n - n), raw / (1 - F.col("ties") / (n * n * n - n)))
+    k = len(groups)
+
+    @F.pandas_udf("double")  # one row
+    def tail(h: pd.Series) -> pd.Series:
+        return h.map(lambda v: None if v is None or v != v else chi_square_tail(v, max(1, k - 1)))
+
+    out = one.select("n", F.lit(k).alias("groups"), h.alias("h"))  # null for a single value or none
+    return out.withColumns({"p": tail("h"), "epsilon_squared": F.when(F.col("n") > k, (F.col("h") - k + 1) / (F.col("n") - k))})
+
+
+def synthetic_field(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
+    """n points with a linear and a wavy part and noise, kept within 0 and 15.  Digests of the id
+    draw them, so that they are the same on any number of partitions."""
+    u = lambda salt: (F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{salt}"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    p = spark.range(n).select("id", *[(u(seed + k) * 1000).alias(a) for k, a in enumerate("xyz")], u(seed + 4).alias("_e"))
+    g = 3 + 0.002 * F.col("x") + F.sin(F.col("y") / 150) + 0.5 * F.cos(F.col("z") / 80) + 0.3 * inverse_normal("_e")
+    return p.select("id", "x", "y", "z", F.greatest(F.lit(0.0), F.least(F.lit(15.0), g)).alias("grade"))

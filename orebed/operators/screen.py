@@ -6,9 +6,35 @@ from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import order
+
+# Prefixes of encoded categories that are features of their own.
+CATEGORY_PREFIXES = ("paper_domain_", "weathering_bin_", "geo_ALTERATION_", "geo_SULPHIDES_", "geo_STRUCTURE_")
+
+
+def feature_group(name: Column) -> Column:
+    """The feature that an encoded column (``num__...``, ``cat__...``) belongs to: a number's own name,
+    a known prefix of a category, or else what stands before its first underscore."""
+    body = F.substring(name, 6, 1 << 20)
+    out = F.when(name.startswith("num__"), body)
+    for p in CATEGORY_PREFIXES:
+        out = out.when(name.startswith("cat__" + p), F.lit(p[:-1]))
+    return out.when(name.startswith("cat__"), F.substring_index(body, "_", 1)).otherwise(name)
+
+
+def importance_by_group(df: DataFrame) -> DataFrame:
+    """Importances (``feature, importance``) summed by feature group, with the number of columns and their mean."""
+    return df.groupBy(feature_group(F.col("feature")).alias("feature")).agg(F.sum("importance").alias("importance"), F.avg("importance").alias("mean"), F.count(F.lit(1)).alias("columns"))
+
+
+def side_by_side(a: DataFrame, b: DataFrame, names: tuple[str, str]) -> DataFrame:
+    """Importances by two methods; a feature that one lacks has 0 there."""
+    x, y = (d.select("feature", F.col("importance").alias(n)) for d, n in zip((a, b), names, strict=True))
+    return x.join(y, "feature", "full").na.fill(0.0, list(names))
+
 
 def stages(numbers: list[str], texts: list[str], scale: bool) -> list:
     """Medians for missing numbers, a class of its own for missing or new texts, one-hot, optional scaling."""
@@ -23,14 +49,14 @@ def stages(numbers: list[str], texts: list[str], scale: bool) -> list:
 
 
 def scores(predicted: DataFrame) -> DataFrame:
-    """Balanced accuracy, F1 and the area under the curve (by average ranks) of ``label, prediction, p``."""
+    """Balanced accuracy, F1 and the area under the curve (by average ranks) of ``label, prediction, p``;
+    null where a fold has one class only."""
     counts = predicted.agg(*[F.count_if((F.col("label") == a) & (F.col("prediction") == b)).alias(n) for n, a, b in (("tp", 1, 1), ("fn", 1, 0), ("fp", 0, 1), ("tn", 0, 0))])
     each = predicted.groupBy("p").agg(F.sum("label").alias("pos"), F.sum(1 - F.col("label")).alias("neg"))
-    w = Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)
-    auc = each.withColumn("less", F.coalesce(F.sum("neg").over(w), F.lit(0))).agg((F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)) / (F.sum("pos") * F.sum("neg"))).alias("auc"))
+    auc = order.running(each, ["p"], {"less": F.col("neg")}, inclusive=False).agg(F.try_divide(F.sum(F.col("pos") * (F.col("less") + F.col("neg") / 2)), F.sum("pos") * F.sum("neg")).alias("auc"))
     x = counts.crossJoin(auc)
     return x.select(
-        ((F.col("tp") / (F.col("tp") + F.col("fn")) + F.col("tn") / (F.col("tn") + F.col("fp"))) / 2).alias("balanced_accuracy"),
+        ((F.try_divide("tp", F.col("tp") + F.col("fn")) + F.try_divide("tn", F.col("tn") + F.col("fp"))) / 2).alias("balanced_accuracy"),
         F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0).alias("f1"),
         "auc",
     )

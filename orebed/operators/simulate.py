@@ -9,7 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariance import Buckets, Model, krige
+from ..functions.covariance import Buckets, Model, fit, krige
+from . import compare, ensemble, pairs, samples
+from .grid import Grid
 
 #: Conditioning points that are broadcast at most; more are thinned by the caller (one a cell, say).
 MAX_POINTS = 500_000
@@ -86,23 +88,113 @@ def folds(df: DataFrame, k: int, seed: int, block: float | None = None, key: str
     return df.withColumn("fold", F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(k)).cast("int"))
 
 
-def cross_validate(df: DataFrame, model: Model, search: Search, least: int = 1) -> DataFrame:
-    """Rows ``id, fold, score, estimate, variance``: each fold kriged from all others (``id, x, y, z, score, fold``).
-    With fewer than ``least`` neighbours the mean of the training values stands in."""
-    held = df.sparkSession.sparkContext.broadcast(_held(df, ["id", "x", "y", "z", "score", "fold"], "samples").sort_values("id"))
+class Scores:
+    """Normal scores of values, and back, in NumPy: the rule of ``samples.score_table`` for one fold's values."""
+
+    def __init__(self, values: np.ndarray, weights: np.ndarray | None = None):
+        from statistics import NormalDist
+
+        order = np.argsort(values, kind="stable")
+        self.values = values[order]
+        w = np.ones(len(values)) if weights is None else weights[order]
+        p = np.clip((np.cumsum(w) - w / 2) / w.sum(), 1e-6, 1 - 1e-6)
+        self.scores = np.array([NormalDist().inv_cdf(x) for x in p.tolist()])
+
+    def to(self, v: np.ndarray) -> np.ndarray:
+        return np.interp(v, self.values, self.scores)
+
+    def back(self, s: np.ndarray) -> np.ndarray:
+        return np.interp(s, self.scores, self.values)
+
+
+def cross_validate(df: DataFrame, model: Model, search: Search, least: int = 1, trend: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``id, fold, value, estimate``: each fold kriged from all others (``id, x, y, z, value, fold``).
+
+    Each fold fits its own linear trend over the coordinates ``trend`` and its
+    own normal scores on its training rows alone, kriges in scores, and takes
+    estimates back to values and trend.  With fewer than ``least`` neighbours
+    the mean of the training values stands in.
+    """
+    held = df.sparkSession.sparkContext.broadcast(_held(df, ["id", "x", "y", "z", "value", "fold"], "samples").sort_values("id"))
 
     def kernel(group: pd.DataFrame) -> pd.DataFrame:
         train = held.value[held.value["fold"] != group["fold"].iloc[0]]
-        xyz, v = train[["x", "y", "z"]].to_numpy(float), train["score"].to_numpy(float)
-        buckets = Buckets(search.scaled(xyz)) if len(xyz) else Buckets(np.empty((0, 3)))
-        at = group[["x", "y", "z"]].to_numpy(float)
-        rows = []
-        for p, s in zip(at, search.scaled(at), strict=True):
-            near = buckets.near(tuple(s.tolist()), search.k)
-            rows.append(krige(model, xyz[near], v[near], p) if len(near) >= max(1, least) else (float(v.mean()) if len(v) else 0.0, model.sill))
-        return pd.DataFrame({"id": group["id"], "fold": group["fold"], "score": group["score"], "estimate": [r[0] for r in rows], "variance": [r[1] for r in rows]})
+        if not len(train):
+            return pd.DataFrame({"id": group["id"], "fold": group["fold"], "value": group["value"], "estimate": np.nan})
+        xyz, v = train[["x", "y", "z"]].to_numpy(float), train["value"].to_numpy(float)
+        design = lambda d: np.column_stack([np.ones(len(d)), *[d[c].to_numpy(float) for c in trend]])
+        slope = np.linalg.lstsq(design(train), v, rcond=None)[0] if trend else np.zeros(1)
+        left = v - design(train) @ slope if trend else v
+        scores = Scores(left)
+        s = scores.to(left)
+        buckets, at = Buckets(search.scaled(xyz)), group[["x", "y", "z"]].to_numpy(float)
+        out = np.empty(len(group))
+        lift = design(group) @ slope if trend else np.zeros(len(group))
+        for i, (p, q) in enumerate(zip(at, search.scaled(at), strict=True)):
+            near = buckets.near(tuple(q.tolist()), search.k)
+            out[i] = scores.back(krige(model, xyz[near], s[near], p)[0]) + lift[i] if len(near) >= max(1, least) else v.mean()
+        return pd.DataFrame({"id": group["id"], "fold": group["fold"], "value": group["value"], "estimate": out})
+
+    return df.select("id", "x", "y", "z", "value", "fold").groupBy("fold").applyInPandas(kernel, "id long, fold int, value double, estimate double")
+
+
+def fitted(points: DataFrame, reach: float, lags: int, kind: str = "exponential", value: str = "score") -> Model:
+    """Model of the points' omnidirectional variogram, its total sill brought to 1."""
+    v = sorted(pairs.variogram(points, reach, lags, {"all": (1.0, 0.0, 0.0)}, 90.0, value=value).collect(), key=lambda r: r["lag"])
+    return fit([r["distance"] for r in v], [r["gamma"] for r in v], kind).with_sill(1.0)
+
+
+def prepare_domains(df: DataFrame, names: list[str], size: tuple[float, float, float], reach: float, lags: int, kind: str = "exponential") -> dict[str, tuple[DataFrame, DataFrame, Model]]:
+    """For each domain (``domain_group``) with samples ``id, x, y, z, value``: the samples with declustering
+    weights, weighted normal scores and the number ``domain``; the table of scores; the fitted model."""
+    out = {}
+    for k, name in enumerate(names):
+        own = samples.decluster(df.filter(F.col("domain_group") == name), size, "value")
+        table = samples.score_table(own, "value", "decluster_weight", "id")
+        scored = own.join(table.withColumnRenamed("value", "_v"), F.col("value") == F.col("_v")).drop("_v").withColumn("domain", F.lit(k))
+        out[name] = (scored, table, fitted(scored, reach, lags, kind))
+    return out
+
 
-    return df.select("id", "x", "y", "z", "score", "fold").groupBy("fold").applyInPandas(kernel, "id long, fold int, score double, estimate double, variance double")
+def simulated_curve(points: DataFrame, grid: Grid, n_real: int, search: Search, seed: int, cutoffs: list[float], density: float, reach: float, lags: int) -> DataFrame:
+    """Summary over realisations of the cutoff curve: scores and model fitted on the points
+    (``id, x, y, z, value``), simulated on the grid, and taken back to values."""
+    table = samples.score_table(points, "value")
+    scored = points.join(table.withColumnRenamed("value", "_v"), F.col("value") == F.col("_v")).drop("_v").withColumn("domain", F.lit(0))
+    cells = grid.cells(points.sparkSession).withColumn("real_id", F.explode(F.sequence(F.lit(0), F.lit(n_real - 1)))).withColumn("domain", F.lit(0))
+    drawn = simulate(cells, scored, {0: fitted(scored, reach, lags)}, search, seed).withColumnRenamed("value", "drawn")
+    back = samples.interpolated(drawn, "drawn", table, "score", "value", "value")
+    return ensemble.curve_summary(ensemble.cutoff_curve(back, cutoffs, grid.volume, density))
+
+
+def spacing_sensitivity(points: DataFrame, share: float, cutoff: float, hole_seed: int = 42, by: str = "hole_id", **given) -> DataFrame:
+    """Tonnage widths at a cutoff, simulated from all holes and from a seeded share of them, and by how much all narrow it."""
+    both = [simulated_curve(p, cutoffs=[cutoff], **given) for p in (points, hole_subset(points, share, hole_seed, by))]
+    return compare.width_reduction(*both, cutoff)
+
+
+def model_warnings(model: Model, grid: Grid) -> list[str]:
+    """What makes a model doubtful for simulation on a grid: its range against the grid's extent and in itself, nugget and sill."""
+    extent = max(n * s for n, s in zip(grid.shape, grid.step, strict=True))
+    found = []
+    if model.reach < 0.05 * extent:
+        found.append("range is very small for the grid")
+    elif model.reach > 10 * extent:
+        found.append("range is extremely large for the grid")
+    if model.sill > 0 and model.nugget / model.sill > 0.8:
+        found.append("nugget effect is high")
+    if model.sill > 0 and model.variance < 0.01:
+        found.append("variance is very small")
+    if not 10 <= model.reach <= 10_000:
+        found.append("error: range is unrealistic")
+    return found
+
+
+def with_trend(cells: DataFrame, coefficients: list[float], columns: list[str], value: str = "value") -> DataFrame:
+    """The value and the trend at each cell's coordinates."""
+    if len(coefficients) != len(columns) + 1 or not set(columns) <= set("xyz"):
+        raise ValueError("a trend has an intercept and a slope for each of x, y and z that it uses")
+    return cells.withColumn(value, F.col(value) + sum((F.col(c) * b for c, b in zip(columns, coefficients[1:], strict=True)), F.lit(coefficients[0])))
 
 
 def hole_subset(df: DataFrame, share: float, seed: int, by: str = "hole_id") -> DataFrame:
@@ -112,13 +204,22 @@ def hole_subset(df: DataFrame, share: float, seed: int, by: str = "hole_id") ->
 
 
 def bootstrap_median(df: DataFrame, value: str, resamples: int, seed: int) -> DataFrame:
-    """5, 50 and 95 percent marks of the median over resamples of the values, drawn by Poisson weights:
-    each row decides by a hash how often each resample holds it, so no row is moved to be drawn."""
-    u = F.pmod(F.xxhash64("_row", "resample", F.lit(seed)), F.lit(1_000_003)).cast("double") / 1_000_003
-    cuts = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015]
-    times = sum((F.when(u > c, 1).otherwise(0) for c in cuts[1:]), F.when(u > cuts[0], 1).otherwise(0))
-    x = df.select(F.col(value).alias("v"), F.xxhash64(*df.columns).alias("_row"), F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("resample"))
-    med = x.withColumn("n", times).filter("n > 0").groupBy("resample").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("m"))
+    """5, 50 and 95 percent marks of the median over resamples of the values, drawn by Poisson weights.
+
+    A value that n rows have is drawn a Poisson number of times with mean n: as
+    often as n rows that draw apart from each other.  So rows are first counted
+    by value, and equal rows share no luck.
+    """
+    counts = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
+
+    def draw(batches):
+        for batch in batches:
+            times = np.stack([np.random.default_rng([seed, int(np.float64(v).view(np.uint64))]).poisson(n, resamples) for v, n in zip(batch["v"], batch["n"], strict=True)]) if len(batch) else np.zeros((0, resamples), int)
+            row, sample = np.nonzero(times)
+            yield pd.DataFrame({"resample": sample, "v": batch["v"].to_numpy()[row], "n": times[row, sample]})
+
+    drawn = counts.mapInPandas(draw, "resample long, v double, n long")
+    med = drawn.groupBy("resample").agg(F.percentile("v", F.lit(0.5), F.col("n")).alias("m"))
     return med.agg(*[F.percentile("m", F.lit(p)).alias(f"p{round(100 * p):02d}") for p in (0.05, 0.5, 0.95)])
 
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import axis_angle, half_width, inverse_normal_sql, number, unit_vector
-from ..operators import checks, intervals, samples, trajectory
+from ..operators import checks, intervals, order, samples, trajectory
 from ..sources import tables
 from . import views
 from .registry import query, r, rounded
@@ -114,7 +114,7 @@ def a38_coverage(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(coverage(x, {"matched_pct": F.col("lith") != "UNKNOWN", "graded_pct": F.col("grade").isNotNull()}))
 
 
-_CONTACTS = "marked AS (SELECT *, lith_code IN ('click', 'error') AS c FROM intervals), contacts AS (SELECT hole_id, (to_m + nf) / 2 AS d FROM (SELECT *, lead(c) OVER w AS nc, lead(from_m) OVER w AS nf FROM marked WINDOW w AS (PARTITION BY hole_id ORDER BY from_m, to_m)) WHERE c <> nc AND abs(nf - to_m) <= 0.25), near AS (SELECT event_id, c, grade, d, (from_m + to_m) / 2 - d AS s FROM (SELECT m.*, k.d, row_number() OVER (PARTITION BY event_id ORDER BY abs((from_m + to_m) / 2 - k.d), k.d) AS r FROM marked m JOIN contacts k ON m.hole_id = k.hole_id) WHERE r = 1 AND abs((from_m + to_m) / 2 - d) <= 10)"
+_CONTACTS = "marked AS (SELECT *, lith_code IN ('click', 'error') AS c FROM intervals), contacts AS (SELECT hole_id, to_m AS d FROM (SELECT *, lead(c) OVER w AS nc, lead(from_m) OVER w AS nf FROM marked WINDOW w AS (PARTITION BY hole_id ORDER BY from_m, to_m)) WHERE c <> nc AND abs(nf - to_m) <= 0.25), near AS (SELECT event_id, c, grade, d, (from_m + to_m) / 2 - d AS s FROM (SELECT m.*, k.d, row_number() OVER (PARTITION BY event_id ORDER BY abs((from_m + to_m) / 2 - k.d), k.d) AS r FROM marked m JOIN contacts k ON m.hole_id = k.hole_id) WHERE r = 1 AND abs((from_m + to_m) / 2 - d) <= 10)"
 
 
 def _contacts(spark: SparkSession, sf: str) -> DataFrame:
@@ -246,10 +246,27 @@ def g14_axis_angle(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(views.stations(spark, sf).select("hole_id", "depth", axis_angle(F.col("azimuth_deg"), F.lit(30.0)).alias("angle")))
 
 
-@query("g15_categories", f"{with_views('intervals')} SELECT CASE lith_code WHEN 'click' THEN 'fresh_graphitic' WHEN 'error' THEN 'weathered_graphitic' ELSE 'host_waste' END AS domain_group, count(*) AS n FROM intervals GROUP BY ALL")
+# Codes as they are logged, with blanks, aliases, other cases and codes that only the fallback rules know.
+_CODES = ["GRSC", " GRSC2 ", "SAP", "sapr", "SAPR (GRSC2)", "GRSC-3", "SAPROCK GRSC9", "xgrscx", "QV", "grsc"]
+_CODED = "coded AS (SELECT *, CASE WHEN event_id % 11 < 10 THEN [" + ", ".join(f"'{c}'" for c in _CODES) + "][event_id % 11 + 1] END AS code FROM intervals)"
+
+
+def _coded(spark: SparkSession, sf: str) -> DataFrame:
+    k = (F.col("event_id") % 11).cast("int")
+    return views.intervals(spark, sf).withColumn("code", F.when(k < 10, F.element_at(F.array(*map(F.lit, _CODES)), k + 1)))
+
+
+@query("g15_categories", f"{with_views('intervals')}, {_CODED} SELECT CASE WHEN code IS NULL OR code = 'QV' THEN 'host_waste' WHEN trim(code) IN ('GRSC', 'GRSC2', 'GRSC-3', 'xgrscx', 'grsc') THEN 'fresh_graphitic' ELSE 'weathered_graphitic' END AS domain_group, count(*) AS n FROM coded GROUP BY ALL")
 def g15_categories(spark: SparkSession, sf: str) -> DataFrame:
-    group = samples.category(F.concat(F.lit(" "), "lith_code"), {"fresh_graphitic": ("GSCH",), "weathered_graphitic": ("SAP",)}, {"CLICK": "GSCH", "ERROR": "sap"})
-    return views.intervals(spark, sf).groupBy(group.alias("domain_group")).agg(F.count(F.lit(1)).alias("n"))
+    return _coded(spark, sf).groupBy(samples.category(F.col("code")).alias("domain_group")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("g16_g17_study_domains", f"{with_views('intervals')}, {_CODED} SELECT CASE WHEN upper(code) LIKE 'SAP%' THEN 'weathered' ELSE 'fresh' END AS weathering, CASE trim(code) WHEN 'GRSC' THEN 'GRSC' WHEN 'GRSC2' THEN 'GRSC2' WHEN 'SAP' THEN 'weathered_graphitic' WHEN 'SAPR (GRSC2)' THEN 'weathered_graphitic' WHEN 'GRSC-3' THEN 'mixed_graphitic_supplementary' WHEN 'SAPROCK GRSC9' THEN 'mixed_graphitic_supplementary' ELSE 'other_non_graphitic' END AS domain, CASE WHEN trim(code) IN ('GRSC', 'GRSC2', 'SAP', 'SAPR (GRSC2)') THEN 'primary' WHEN trim(code) IN ('GRSC-3', 'SAPROCK GRSC9') THEN 'supplementary' ELSE 'excluded' END AS tier, CASE event_id % 4 WHEN 0 THEN 'HW' WHEN 1 THEN 'MW' ELSE 'UW_plus_other' END AS bin, count(*) AS n FROM coded GROUP BY ALL")
+def g16_g17_study_domains(spark: SparkSession, sf: str) -> DataFrame:
+    name, tier = samples.study_domain(F.col("code"))
+    raw = F.element_at(F.array(F.lit(" hw"), F.lit("MW"), F.lit("UW"), F.lit(None).cast("string")), (F.col("event_id") % 4 + 1).cast("int"))
+    x = _coded(spark, sf).select(samples.weathering(F.col("code")).alias("weathering"), name.alias("domain"), tier.alias("tier"), samples.weathering_bin(raw).alias("bin"))
+    return x.groupBy("weathering", "domain", "tier", "bin").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("g18_top_cut", f"{with_views('intervals')} SELECT event_id, {r('least(grade, cap)', 'grade')}, least(grade, cap) >= cap AS capped FROM intervals, (SELECT quantile_cont(grade, 0.95) AS cap FROM intervals)")
@@ -273,12 +290,34 @@ def m1_normal_scores(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(samples.normal_scores(views.intervals(spark, sf), "grade").select("event_id", "score"))
 
 
-@query("m16_rank_sums", f"{with_views('intervals')}, k AS (SELECT lith_code, grade FROM intervals) SELECT a.lith_code AS a, b.lith_code AS b, {r('sum(CASE WHEN a.grade > b.grade THEN 1e0 WHEN a.grade = b.grade THEN 0.5e0 ELSE 0 END)', 'u')}, {r('2 * sum(CASE WHEN a.grade > b.grade THEN 1e0 WHEN a.grade = b.grade THEN 0.5e0 ELSE 0 END) / count(*) - 1', 'delta')} FROM k a JOIN k b ON a.lith_code < b.lith_code GROUP BY ALL")
+@query("m16_rank_sums", f"{with_views('intervals')}, k AS (SELECT lith_code, grade FROM intervals), d AS (SELECT a.lith_code AS a, b.lith_code AS b, sum(CASE WHEN a.grade > b.grade THEN 1e0 WHEN a.grade = b.grade THEN 0.5e0 ELSE 0 END) AS u, 2 * sum(CASE WHEN a.grade > b.grade THEN 1e0 WHEN a.grade = b.grade THEN 0.5e0 ELSE 0 END) / count(*) - 1 AS delta FROM k a JOIN k b ON a.lith_code < b.lith_code GROUP BY ALL) SELECT a, b, {r('u', 'u')}, {r('delta', 'delta')}, CASE WHEN abs(delta) < 0.147 THEN 'negligible' WHEN abs(delta) < 0.33 THEN 'small' WHEN abs(delta) < 0.474 THEN 'medium' ELSE 'large' END AS size FROM d")
 def m16_rank_sums(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(samples.rank_sums(views.intervals(spark, sf), "grade", "lith_code").select("a", "b", "u", "delta"))
+    return rounded(samples.rank_sums(views.intervals(spark, sf), "grade", "lith_code").select("a", "b", "u", "delta", "size"))
 
 
-@query("t1_sorted_rows", f"{with_views('intervals')} SELECT hole_id, from_m, k FROM (SELECT hole_id, from_m, row_number() OVER (PARTITION BY hole_id ORDER BY from_m, to_m) AS k FROM intervals) WHERE k <= 3")
+@query("m16_kruskal", f"{with_views('intervals')}, k AS (SELECT lith_code, rank() OVER (ORDER BY grade) + (count(*) OVER (PARTITION BY grade) - 1) / 2e0 AS rk, grade FROM intervals), t AS (SELECT sum(n * n * n - n) AS ties FROM (SELECT CAST(count(*) AS DOUBLE) AS n FROM k GROUP BY grade)), g AS (SELECT lith_code, count(*) AS n, sum(rk) AS s FROM k GROUP BY 1), h AS (SELECT sum(n) AS n, count(*) AS c, (12 / (sum(n) * (sum(n) + 1e0)) * sum(s * s / n) - 3 * (sum(n) + 1)) / (1 - (SELECT ties FROM t) / (sum(n) * 1e0 * sum(n) * sum(n) - sum(n))) AS h FROM g) SELECT CAST(n AS BIGINT) AS n, CAST(c AS INT) AS groups, {r('h', 'h', 5)}, {r('(h - c + 1) / (n - c)', 'epsilon_squared')} FROM h")
+def m16_kruskal(spark: SparkSession, sf: str) -> DataFrame:
+    x = samples.kruskal(views.intervals(spark, sf), "grade", "lith_code")
+    return x.select("n", "groups", (F.round("h", 5) + 0.0).alias("h"), (F.round("epsilon_squared", 6) + 0.0).alias("epsilon_squared"))
+
+
+@query("t1_sorted_rows", f"{with_views('intervals')} SELECT hole_id, from_m, row_number() OVER (ORDER BY hole_id, from_m, to_m, event_id) AS k FROM intervals")
 def t1_sorted_rows(spark: SparkSession, sf: str) -> DataFrame:
-    w = Window.partitionBy("hole_id").orderBy("from_m", "to_m")
-    return views.intervals(spark, sf).select("hole_id", "from_m", F.row_number().over(w).cast("long").alias("k")).filter("k <= 3")
+    """All rows by hole and depth, with their place in that order."""
+    keys = ["hole_id", "from_m", "to_m", "event_id"]
+    placed = order.running(views.intervals(spark, sf).select(*keys), keys, {"k": F.lit(1)})
+    return placed.sort(*keys).select("hole_id", "from_m", F.col("k").cast("long").alias("k"))
+
+
+@query("s8_vendor_tables", f"{with_views('collars')} SELECT hole_id, unnest([0e0, coalesce(CASE WHEN x > 100 THEN total_depth END, 100)]) AS depth, 0e0 AS azimuth_deg, -90e0 AS dip_deg FROM collars WHERE x >= 100")
+def s8_vendor_tables(spark: SparkSession, sf: str) -> DataFrame:
+    """A vendor's collars, known by position, and the vertical stations that stand in for a missing survey."""
+    c = views.collars(spark, sf).select(F.when(F.col("x") >= 100, F.concat(F.lit(" "), "hole_id")).alias("Hole No"), F.col("x").cast("string").alias("E"), F.col("y").cast("string").alias("N"), F.when(F.col("x") > 100, F.col("total_depth").cast("string")).otherwise("-").alias("EOH"))
+    return tables.straight_down(tables.from_vendor(c, {"hole_id": 0, "x": 1, "y": 2, "total_depth": 3}, "collar"))
+
+
+@query("s15_s17_reference_data", "SELECT CAST(p_partkey AS DOUBLE) AS x, p_retailprice AS grade FROM part WHERE p_size % 2 = 0")
+def s15_s17_reference_data(spark: SparkSession, sf: str) -> DataFrame:
+    """The first table that has the columns, as numbers under our names, complete rows only."""
+    p = spark.read.parquet(f"{sf}/part.parquet").select(F.col("p_partkey").cast("string").alias("X"), F.when(F.col("p_size") % 2 == 0, F.col("p_retailprice").cast("string")).otherwise("n/a").alias("TGC_%"))
+    return tables.reference_data(tables.first_with([p.select("X"), p], {"X", "TGC_%"}), {"x": "X", "grade": "TGC_%"})

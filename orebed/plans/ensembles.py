@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import even_bin
-from ..operators import compare, ensemble, pairs, samples
+from ..operators import compare, ensemble, order, pairs, samples
 from . import views
 from .registry import query, r, rounded
 from .views import with_views
@@ -275,8 +275,8 @@ def a41_linear_trend(spark: SparkSession, sf: str) -> DataFrame:
 @query("a40_panel_slopes", f"{POINTS}, q AS (SELECT quantile_cont(z, [0.25, 0.5, 0.75]) AS q FROM points) SELECT CAST(CASE WHEN z <= q[1] THEN 0 WHEN z <= q[2] THEN 1 WHEN z <= q[3] THEN 2 ELSE 3 END AS INT) AS panel, count(*) AS n, {r('regr_slope(value, x)', 'slope_x')}, {r('regr_slope(value, y)', 'slope_y')} FROM points, q GROUP BY 1 HAVING count(*) >= 20")
 def a40_panel_slopes(spark: SparkSession, sf: str) -> DataFrame:
     p = views.points(spark, sf)
-    q = p.agg(F.percentile("z", F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q"))
-    panel = F.when(F.col("z") <= F.col("q")[0], 0).when(F.col("z") <= F.col("q")[1], 1).when(F.col("z") <= F.col("q")[2], 2).otherwise(3)
+    q = order.quantile_row(p, "z", {"q1": 0.25, "q2": 0.5, "q3": 0.75})
+    panel = F.when(F.col("z") <= F.col("q1"), 0).when(F.col("z") <= F.col("q2"), 1).when(F.col("z") <= F.col("q3"), 2).otherwise(3)
     return rounded(p.crossJoin(F.broadcast(q)).groupBy(panel.alias("panel")).agg(F.count(F.lit(1)).alias("n"), F.regr_slope("value", "x").alias("slope_x"), F.regr_slope("value", "y").alias("slope_y")).filter("n >= 20"))
 
 
@@ -360,3 +360,29 @@ def g9_grid_cells(spark: SparkSession, sf: str) -> DataFrame:
     from ..operators.grid import cells
 
     return cells(spark, 4, 5, 6)
+
+
+@query("t4_t5_largest_spreads", f"{STACK}, {_PCT} SELECT cell_id, {r('p90 - p10', 'spread')} FROM pct ORDER BY round(p90 - p10, 9) DESC, cell_id LIMIT 5")
+def t4_t5_largest_spreads(spark: SparkSession, sf: str) -> DataFrame:
+    """The five cells of largest spread: the limit is the feature."""
+    x = ensemble.cell_percentiles(views.stack(spark, sf)).withColumn("spread", F.round(F.col("p90") - F.col("p10"), 9))
+    return rounded(ensemble.largest(x, "spread", 5, ("cell_id",)).select("cell_id", "spread"))
+
+
+@query("t9_chosen_realisations", f"{STACK} SELECT real_id, count(*) AS n, {r('avg(value)', 'mean')} FROM stack WHERE real_id IN (0, 2, 4, 6, 9) GROUP BY 1")
+def t9_chosen_realisations(spark: SparkSession, sf: str) -> DataFrame:
+    s = views.stack(spark, sf)
+    return rounded(s.filter(F.col("real_id").isin(ensemble.evenly_chosen(10, 5))).groupBy("real_id").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")))
+
+
+@query("w8_convergence_by_cell", f"{STACK}, s AS (SELECT n, cell_id, avg(CAST(value > 25 AS INT)) AS chance, avg(value) AS mean, var_pop(value) AS variance, quantile_cont(value, 0.1) AS p10, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.9) AS p90 FROM stack JOIN (SELECT unnest([2, 5, 10]) AS n) ON real_id < n GROUP BY ALL), l AS (UNPIVOT s ON chance, mean, variance, p10, p50, p90 INTO NAME map VALUE v) SELECT a.n AS n_real, a.map, {r('avg(abs(a.v - b.v))', 'mae', 5)}, {r('corr(a.v, b.v)', 'r', 5)} FROM l a JOIN l b ON b.n = 10 AND a.cell_id = b.cell_id AND a.map = b.map GROUP BY ALL")
+def w8_convergence_by_cell(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(ensemble.convergence_by_cell(views.stack(spark, sf), [2, 5, 10], 25.0), 5)
+
+
+@query("a34_support_ladder", f"{STACK}, m AS (SELECT 1 AS support, 'std' AS metric, stddev_samp(value) AS value FROM stack UNION ALL SELECT 4, 'std', stddev_samp(v) FROM (SELECT avg(value) AS v FROM stack GROUP BY real_id, ix // 2, iy // 2, iz)) SELECT CAST(support AS INT) AS support, metric, {r('value', 'value')}, {r('value / (SELECT value FROM m WHERE support = 1)', 'relative')} FROM m")
+def a34_support_ladder(spark: SparkSession, sf: str) -> DataFrame:
+    """Spread of values by support, and relative to the finest."""
+    s = views.stack(spark, sf)
+    one = lambda df, n: df.agg(F.stddev_samp("value").alias("value")).select(F.lit(n).alias("support"), F.lit("std").alias("metric"), "value")
+    return rounded(compare.support_ladder(one(s, 1).unionByName(one(ensemble.regularise(s, 2, 2, 1), 4))))

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import covariance
+from ..functions.scalar import inverse_normal_sql
 from ..operators import compare, ensemble, pairs, samples, screen, simulate
 from ..operators.grid import Grid
 from . import views
@@ -37,10 +38,32 @@ def m5_m6_detrended(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(p.select("id", (F.col("value") - (i + s * F.col("z"))).alias("residual")), 5)
 
 
-@query("m8_w9_quantile_map")
+@query("m5_m7_trend_round_trip", f"{POINTS} SELECT id, {r('value', 'back', 5)} FROM points")
+def m5_m7_trend_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Trend taken off, residuals to normal scores and back again, and the trend put on again."""
+    p = views.points(spark, sf)
+    trend = simulate.least_squares(p, "value", ["z"])
+    left = simulate.with_trend(p, [-c for c in trend], ["z"])
+    knots = samples.score_table(left, "value")
+    scores = samples.interpolated(left, "value", knots, "value", "score", "score").drop("value")
+    back = samples.interpolated(scores, "score", knots, "score", "value", "value")
+    return rounded(simulate.with_trend(back, trend, ["z"]).select("id", F.col("value").alias("back")), 5)
+
+
+_MARKS = ", ".join(f"{k / 1000}" for k in range(1001))
+
+
+@query(
+    "m8_w9_quantile_map",
+    f"""{with_views('points', 'blocks')}, k AS (SELECT generate_series AS k FROM generate_series(0, 1000)),
+  a AS (SELECT quantile_cont(value, [{_MARKS}]) AS qs FROM points), b AS (SELECT quantile_cont(grade, [{_MARKS}]) AS qs FROM blocks),
+  q AS (SELECT k, max(x - k * 1e-8) OVER w + k * 1e-8 AS qx, max(y - k * 1e-8) OVER w + k * 1e-8 AS qy FROM (SELECT k, a.qs[k + 1] AS x, b.qs[k + 1] AS y FROM k, a, b) WINDOW w AS (ORDER BY k)),
+  s AS (SELECT *, lead(qx) OVER (ORDER BY k) AS nx, lead(qy) OVER (ORDER BY k) AS ny FROM q)
+  SELECT id, {r('value', 'value', 4)}, {r('CASE WHEN nx IS NULL THEN qy ELSE qy + (value - qx) * (ny - qy) / (nx - qx) END', 'mapped', 4)} FROM points ASOF JOIN s ON value + 1e-12 >= qx""",
+)
 def m8_w9_quantile_map(spark: SparkSession, sf: str) -> DataFrame:
     """Points' values at their own quantiles of the blocks' grades."""
-    return samples.quantile_map(views.points(spark, sf), "value", views.blocks(spark, sf), "grade").select("id", "value", "mapped")
+    return rounded(samples.quantile_map(views.points(spark, sf), "value", views.blocks(spark, sf), "grade").select("id", "value", "mapped"), 4)
 
 
 @query("m12_m15_fitted_models")
@@ -55,9 +78,11 @@ def m12_m15_fitted_models(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(out, "variable string, kind string, nugget double, variance double, reach double, nugget_ratio double")
 
 
+GRID = Grid((-0.2, -0.2, -0.2), (0.1, 0.1, 0.1), (5, 5, 5))
+
+
 def _cells(spark: SparkSession, n_real: int) -> DataFrame:
-    grid = Grid((-0.2, -0.2, -0.2), (0.1, 0.1, 0.1), (5, 5, 5))
-    return grid.cells(spark).withColumn("real_id", F.explode(F.sequence(F.lit(0), F.lit(n_real - 1))))
+    return GRID.cells(spark).withColumn("real_id", F.explode(F.sequence(F.lit(0), F.lit(n_real - 1))))
 
 
 @query("e6_e7_simulation")
@@ -80,36 +105,48 @@ def e9_cascade(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("e10_cross_validation")
 def e10_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
-    """Errors of kriging by random and by blocked folds, in normal scores."""
+    """Errors of kriging, in values, by random and by blocked folds; each fold is detrended and scored by its training rows."""
     out = None
     for name, block in (("random", None), ("blocked", 0.1)):
-        x = simulate.folds(scored(spark, sf), 5, 42, block)
-        e = compare.errors(simulate.cross_validate(x, MODEL, SEARCH), "score", "estimate").select(F.lit(name).alias("family"), "*")
+        x = simulate.folds(views.points(spark, sf), 5, 42, block)
+        e = compare.errors(simulate.cross_validate(x, MODEL, SEARCH, trend=("z",)), "value", "estimate").select(F.lit(name).alias("family"), "*")
         out = e if out is None else out.unionByName(e)
     return out
 
 
 @query("e11_fallback_mean")
 def e11_fallback_mean(spark: SparkSession, sf: str) -> DataFrame:
-    x = simulate.folds(scored(spark, sf), 5, 42)
-    return compare.errors(simulate.cross_validate(x, MODEL, SEARCH, least=8), "score", "estimate", ["fold"])
+    x = simulate.folds(views.points(spark, sf), 5, 42)
+    return compare.errors(simulate.cross_validate(x, MODEL, SEARCH, least=8), "value", "estimate", ["fold"])
 
 
 @query("e12_a45_hole_subset")
 def e12_a45_hole_subset(spark: SparkSession, sf: str) -> DataFrame:
-    """Grade spread from all holes and from a seeded 60 percent of them."""
-    i = views.intervals(spark, sf)
-    one = lambda df, n: df.agg(F.lit(n).alias("holes"), F.count(F.lit(1)).alias("n"), (F.percentile("grade", F.lit(0.9)) - F.percentile("grade", F.lit(0.1))).alias("width"))
-    return one(i, "all").unionByName(one(simulate.hole_subset(i, 0.6, 42), "subset"))
+    """Tonnage width at a cutoff from all holes and from a seeded 60 percent, fitted and simulated anew; labels stand for holes."""
+    p = views.points(spark, sf).withColumn("hole_id", F.concat(F.lit("H"), "label"))
+    return simulate.spacing_sensitivity(p, 0.6, 5.0, grid=GRID, n_real=5, search=SEARCH, seed=1337, density=2.0, reach=0.3, lags=8)
 
 
 @query("e13_block_sizes")
 def e13_block_sizes(spark: SparkSession, sf: str) -> DataFrame:
-    """Cutoff curves at two supports."""
-    s = views.stack(spark, sf)
-    coarse = ensemble.regularise(s, 2, 2, 1)
-    a = ensemble.curve_summary(ensemble.cutoff_curve(s, [20.0, 25.0], 100.0, 2.0)).withColumn("support", F.lit("1x1x1"))
-    return a.unionByName(ensemble.curve_summary(ensemble.cutoff_curve(coarse, [20.0, 25.0], 400.0, 2.0)).withColumn("support", F.lit("2x2x1")))
+    """Cutoff curves simulated on cells of two sizes over the same box."""
+    p, out = views.points(spark, sf), None
+    for grid in (GRID, Grid((-0.15, -0.15, -0.15), (0.2, 0.2, 0.2), (2, 2, 2))):
+        c = simulate.simulated_curve(p, grid, 4, SEARCH, 1337, [3.0, 5.0], 2.0, 0.3, 8).withColumn("cell", F.lit(grid.step[0]))
+        out = c if out is None else out.unionByName(c)
+    return out
+
+
+@query("e3_e4_domains", f"{POINTS}, d AS (SELECT *, CASE WHEN label % 2 = 0 THEN 'host_waste' ELSE 'fresh_graphitic' END AS g FROM points), m AS (SELECT g, min(x) AS mx, min(y) AS my, min(z) AS mz FROM d GROUP BY 1), c AS (SELECT d.*, count(*) OVER (PARTITION BY d.g, floor((x - mx) / 0.2), floor((y - my) / 0.2), floor((z - mz) / 0.2)) AS k FROM d JOIN m USING (g)), w AS (SELECT *, count(*) OVER (PARTITION BY g) / sum(1e0 / k) OVER (PARTITION BY g) / k AS w FROM c), v AS (SELECT g, value, sum(w) AS s, arg_max(w, id) AS last FROM w GROUP BY ALL), p AS (SELECT g, value, greatest(1e-6, least(1 - 1e-6, (sum(s) OVER (PARTITION BY g ORDER BY value) - last / 2) / sum(s) OVER (PARTITION BY g))) AS p FROM v) SELECT w.g AS domain_group, id, {r('w', 'weight')}, {r(inverse_normal_sql('p'), 'score', 4)} FROM w JOIN p ON w.g = p.g AND w.value = p.value")
+def e3_e4_domains(spark: SparkSession, sf: str) -> DataFrame:
+    """Declustering weights and weighted normal scores, by domain."""
+    p = views.points(spark, sf).withColumn("lith_code", F.when(F.col("label") % 2 == 0, "QV").otherwise("GRSC4"))
+    made = simulate.prepare_domains(samples.with_domains(p, "value"), ["fresh_graphitic", "host_waste"], (0.2, 0.2, 0.2), 0.3, 8)
+    out = None
+    for scored_points, _, _ in made.values():
+        x = scored_points.select("domain_group", "id", F.col("decluster_weight").alias("weight"), "score")
+        out = x if out is None else out.unionByName(x)
+    return out.select("domain_group", "id", (F.round("weight", 6) + 0.0).alias("weight"), (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("e14_simulated_variograms")
@@ -134,7 +171,7 @@ def a43_bootstrap_median(spark: SparkSession, sf: str) -> DataFrame:
 def l1_l2_screen(spark: SparkSession, sf: str) -> DataFrame:
     """Is an interval's grade above 50? From its depth, length and lithology, tested on other holes."""
     i = views.intervals(spark, sf).select("hole_id", F.when(F.col("event_id") % 17 > 0, F.col("from_m")).alias("from_m"), "length", "lith_code", (F.col("grade") >= 50).alias("rich"))
-    return screen.screen(i, ["from_m", "length"], ["lith_code"], "rich", "hole_id", k=2, trees=10)
+    return screen.screen(i, ["from_m", "length"], ["lith_code"], "rich", "hole_id", trees=400)
 
 
 @query("w10_holm", "WITH p AS (SELECT l_suppkey AS id, (l_suppkey * 37 % 101 + 1) / 2000e0 AS p FROM (SELECT DISTINCT l_suppkey FROM lineitem)), k AS (SELECT *, least(1e0, (count(*) OVER () - row_number() OVER (ORDER BY p, id) + 1) * p) AS raw FROM p) SELECT id, round(p, 9) + 0e0 AS p, round(max(raw) OVER (ORDER BY p, id ROWS UNBOUNDED PRECEDING), 9) + 0e0 AS adjusted FROM k")
@@ -143,10 +180,10 @@ def w10_holm(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(samples.adjusted(x.withColumn("p", (F.col("id") * 37 % 101 + 1) / 2000.0)), 9)
 
 
-@query("t8_seeded_sample")
+@query("t8_seeded_sample", f"{POINTS} SELECT id FROM points ORDER BY md5(id || ':42'), id LIMIT 100")
 def t8_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
-    """A hundred points by the order of a seeded hash: the feature is the limit."""
-    return views.points(spark, sf).orderBy(F.xxhash64("id", F.lit(42)), "id").limit(100).select("id")
+    """A hundred points by the order of a seeded digest: the feature is the limit."""
+    return views.points(spark, sf).orderBy(F.md5(F.concat(F.col("id").cast("string"), F.lit(":42"))), "id").limit(100).select("id")
 
 
 @query("p4_inventory", "SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes, regexp_extract(url, '^[a-z]+') AS kind FROM pages")
@@ -170,12 +207,13 @@ def p6_drift_ids(spark: SparkSession, sf: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(flat).alias("distinct_texts"), F.sum(F.size(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).cast("long")).alias("ids"))
 
 
-@query("s16_synthetic_field")
+def _uniform_sql(salt: int) -> str:
+    return f"((CAST('0x' || substr(md5(id || ':{salt}'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
+
+
+@query("s16_synthetic_field", f"WITH i AS (SELECT range AS id FROM range(1000)), u AS (SELECT id, {_uniform_sql(7)} * 1000 AS x, {_uniform_sql(8)} * 1000 AS y, {_uniform_sql(9)} * 1000 AS z, {_uniform_sql(11)} AS e FROM i) SELECT id, {r('x', 'x', 4)}, {r('y', 'y', 4)}, {r('z', 'z', 4)}, {r('greatest(0, least(15, 3 + 0.002e0 * x + sin(y / 150) + 0.5e0 * cos(z / 80) + 0.3e0 * (' + inverse_normal_sql('e') + ')))', 'grade', 4)} FROM u")
 def s16_synthetic_field(spark: SparkSession, sf: str) -> DataFrame:
-    """Seeded points with a linear and a wavy part and noise, kept within 0 and 15."""
-    p = spark.range(1000).select("id", *[(F.rand(7 + k) * 1000).alias(a) for k, a in enumerate("xyz")])
-    g = 3 + 0.002 * F.col("x") + F.sin(F.col("y") / 150) + 0.5 * F.cos(F.col("z") / 80) + 0.3 * F.randn(11)
-    return p.withColumn("grade", F.greatest(F.lit(0.0), F.least(F.lit(15.0), g)))
+    return rounded(samples.synthetic_field(spark, 1000), 4)
 
 
 @query("a24_support_errors", f"{with_views('stack', 'blocks')}, c AS (SELECT CAST(round_even(x / 12.5, 0) AS BIGINT) AS ix, CAST(round_even(y / 12.5, 0) AS BIGINT) AS iy, CAST(round_even(z / 2.5, 0) AS BIGINT) AS iz, sum(grade * volume * density) / sum(volume * density) AS grade, sum(volume) / 20 AS filled FROM blocks GROUP BY ALL), p AS (SELECT ix, iy, iz, quantile_cont(value, 0.5) AS p50 FROM stack GROUP BY ALL) SELECT count(*) AS n, {r('avg(p50 - grade)', 'bias')}, {r('avg(abs(p50 - grade))', 'mae')}, {r('sqrt(avg((p50 - grade) * (p50 - grade)))', 'rmse')}, {r('corr(grade, p50)', 'r')} FROM c JOIN p USING (ix, iy, iz)")
@@ -191,18 +229,40 @@ def t6_ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(x.filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc(F.round("score", 9)), "candidate").limit(10))
 
 
-@query("j13_importances", "WITH a AS (SELECT l_shipmode AS k, 1 AS v FROM (SELECT DISTINCT l_returnflag AS l_shipmode FROM lineitem)), b AS (SELECT DISTINCT l_linestatus AS k, 2 AS v FROM lineitem) SELECT coalesce(a.k, b.k) AS feature, CAST(coalesce(a.v, 0) AS BIGINT) AS first, CAST(coalesce(b.v, 0) AS BIGINT) AS second FROM a FULL JOIN b ON a.k = b.k")
+_FEATURES = "f AS (SELECT unnest(['num__l_tax', 'num__l_discount', 'cat__l_returnflag_A', 'cat__l_returnflag_R', 'cat__weathering_bin_HW']) AS feature, unnest([abs(corr(l_tax, l_quantity)), abs(corr(l_discount, l_quantity)), avg(CAST(l_returnflag = 'A' AS INT)), avg(CAST(l_returnflag = 'R' AS INT)), avg(l_tax)]) AS importance FROM lineitem), g AS (SELECT CASE feature WHEN 'num__l_tax' THEN 'l_tax' WHEN 'num__l_discount' THEN 'l_discount' WHEN 'cat__weathering_bin_HW' THEN 'weathering_bin' ELSE 'l' END AS feature, sum(importance) AS importance, avg(importance) AS mean, count(*) AS columns FROM f GROUP BY 1)"
+
+
+def _importances(spark: SparkSession, sf: str) -> DataFrame:
+    flag = lambda v: F.avg((F.col("l_returnflag") == v).cast("double"))
+    named = {"num__l_tax": F.abs(F.corr("l_tax", "l_quantity")), "num__l_discount": F.abs(F.corr("l_discount", "l_quantity")), "cat__l_returnflag_A": flag("A"), "cat__l_returnflag_R": flag("R"), "cat__weathering_bin_HW": F.avg("l_tax")}
+    one = spark.read.parquet(f"{sf}/lineitem.parquet").agg(*[c.alias(n) for n, c in named.items()])
+    return one.unpivot([], list(named), "feature", "importance")
+
+
+@query("l3_grouped_importances", f"WITH {_FEATURES} SELECT feature, {r('importance', 'importance')}, {r('mean', 'mean')}, columns FROM g")
+def l3_grouped_importances(spark: SparkSession, sf: str) -> DataFrame:
+    """Strengths of encoded columns, summed by the feature that they encode."""
+    return rounded(screen.importance_by_group(_importances(spark, sf)))
+
+
+@query("j13_importances", f"WITH {_FEATURES}, o AS (SELECT l_linestatus AS feature, avg(l_tax) AS importance FROM lineitem GROUP BY 1 UNION ALL SELECT 'l_tax', 1e0) SELECT coalesce(g.feature, o.feature) AS feature, {r('coalesce(g.importance, 0)', 'first')}, {r('coalesce(o.importance, 0)', 'second')} FROM g FULL JOIN o ON g.feature = o.feature")
 def j13_importances(spark: SparkSession, sf: str) -> DataFrame:
-    x = spark.read.parquet(f"{sf}/lineitem.parquet")
-    a = x.select(F.col("l_returnflag").alias("feature")).distinct().withColumn("first", F.lit(1).cast("long"))
-    b = x.select(F.col("l_linestatus").alias("feature")).distinct().withColumn("second", F.lit(2).cast("long"))
-    return a.join(b, "feature", "full").na.fill(0, ["first", "second"])
+    """Importances by two methods, features of both."""
+    line = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_linestatus").alias("feature")).agg(F.avg("l_tax").alias("importance"))
+    other = line.unionByName(spark.createDataFrame([("l_tax", 1.0)], "feature string, importance double"))
+    return rounded(screen.side_by_side(screen.importance_by_group(_importances(spark, sf)), other, ("first", "second")))
 
 
-@query("w4_centred_shares", f"{POINTS} SELECT id, {r('(sum(value) OVER (ORDER BY value, id ROWS UNBOUNDED PRECEDING) - value / 2) / sum(value) OVER ()', 'p', 5)} FROM points WHERE label = 3")
+@query("w4_centred_shares", f"{POINTS} SELECT id, {r('greatest(1e-6, least(1 - 1e-6, (sum(w) OVER (PARTITION BY label ORDER BY value, id ROWS UNBOUNDED PRECEDING) - w / 2) / sum(w) OVER (PARTITION BY label)))', 'p', 5)} FROM (SELECT *, abs(value) + 1 AS w FROM points)")
 def w4_centred_shares(spark: SparkSession, sf: str) -> DataFrame:
-    """Centred cumulative weights within one label."""
-    w = Window.partitionBy("label").orderBy("value", "id")
-    total = F.sum("value").over(Window.partitionBy("label"))
-    p = views.points(spark, sf).filter("label = 3")
-    return rounded(p.select("id", ((F.sum("value").over(w.rowsBetween(Window.unboundedPreceding, 0)) - F.col("value") / 2) / total).alias("p")), 5)
+    """Centred cumulative weights within each label."""
+    p = views.points(spark, sf).withColumn("w", F.abs("value") + 1)
+    return rounded(samples.centred_shares(p, "label", "w", ["value", "id"]).select("id", "p"), 5)
+
+
+@query("v10_model_warnings", "SELECT * FROM (VALUES ('short', 'range is very small for the grid'), ('short', 'error: range is unrealistic'), ('long', 'range is extremely large for the grid'), ('long', 'error: range is unrealistic'), ('noisy', 'nugget effect is high'), ('flat', 'variance is very small')) AS t(model, warning)")
+def v10_model_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    grid = Grid((0.0, 0.0, 0.0), (25.0, 25.0, 2.0), (52, 184, 135))
+    models = {"fine": (0.2, 0.8, 300.0), "short": (0.2, 0.8, 5.0), "long": (0.2, 0.8, 50_000.0), "noisy": (0.9, 0.1, 300.0), "flat": (0.005, 0.009, 300.0)}
+    rows = [(n, w) for n, m in models.items() for w in simulate.model_warnings(covariance.Model("exponential", *m), grid)]
+    return spark.createDataFrame(rows, "model string, warning string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,7 +13,7 @@ from ..functions.scalar import cleaned, number
 
 # Names that vendors give to the columns.
 SYNONYMS = {
-    "collar": {"bhid": "hole_id", "easting": "x", "northing": "y", "elevation": "z", "elevation (m)": "z", "final_depth": "total_depth", "final_depth (m)": "total_depth"},
+    "collar": {"bhid": "hole_id", "easting": "x", "northing": "y", "elevation (m)": "z", "elevation": "z", "final_depth (m)": "total_depth", "final_depth": "total_depth"},
     "survey": {"bhid": "hole_id", "at": "depth", "depth_m": "depth", "final_depth": "depth", "final_depth (m)": "depth", "brg": "azimuth_deg", "azimuth": "azimuth_deg", "dip": "dip_deg", "angle": "dip_deg"},
     "assay": {"bhid": "hole_id", "from": "from_m", "to": "to_m", "graphitic carbon": "tgc_pct", "predicted_value": "tgc_pct", "tgc_%": "tgc_pct", "tgc": "tgc_pct", "litho code": "lith_code"},
     "lithology": {"bhid": "hole_id", "from": "from_m", "to": "to_m", "litho": "lith_code", "lithology": "lith_code"},
@@ -53,22 +54,57 @@ def normalise(df: DataFrame, kind: str) -> DataFrame:
     return df
 
 
-def find_file(folder: str | Path, kind: str) -> Path | None:
-    """A preferred name, else the first CSV whose name contains a token of the table."""
-    folder = Path(folder)
+def find_file(spark: SparkSession, folder: str, kind: str) -> str | None:
+    """A preferred name, else the first CSV whose name contains a token of the table, in any
+    file system that Spark reads."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(str(folder))
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    found = {f.getPath().getName(): f.getPath().toString() for f in files.listStatus(path)}
     for name in FILES[kind]:
-        if (folder / name).exists():
-            return folder / name
-    found = [p for p in sorted(folder.glob("*.csv")) if any(t in p.name.lower() for t in TOKENS[kind])]
-    return found[0] if found else None
+        if name in found:
+            return found[name]
+    named = [n for n in sorted(found) if n.endswith(".csv") and any(t in n.lower() for t in TOKENS[kind])]
+    return found[named[0]] if named else None
 
 
-def read_drillholes(spark: SparkSession, folder: str | Path) -> dict[str, DataFrame] | None:
+def read_drillholes(spark: SparkSession, folder: str) -> dict[str, DataFrame] | None:
     """The four tables, normalised; None if a file is missing."""
-    paths = {kind: find_file(folder, kind) for kind in FILES}
+    paths = {kind: find_file(spark, folder, kind) for kind in FILES}
     if None in paths.values():
         return None
-    return {kind: normalise(spark.read.csv(str(p), header=True), kind) for kind, p in paths.items()}
+    return {kind: normalise(spark.read.csv(p, header=True), kind) for kind, p in paths.items()}
+
+
+def from_vendor(df: DataFrame, positions: dict[str, int], kind: str) -> DataFrame:
+    """A vendor's table whose columns are known by position: named, then normalised; rows without a hole are left out."""
+    plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
+    named = normalise(plain.select(*[F.col(f"_{i}").alias(n) for n, i in positions.items()]), kind)
+    return named.filter("hole_id IS NOT NULL")
+
+
+def straight_down(collars: DataFrame, depth: float = 100.0) -> DataFrame:
+    """Two survey stations of a vertical hole for each collar, to its depth or a default one."""
+    end = F.coalesce(F.col("total_depth"), F.lit(float(depth))) if "total_depth" in collars.columns else F.lit(float(depth))
+    holes = collars.filter("hole_id IS NOT NULL").select("hole_id", end.alias("_end")).groupBy("hole_id").agg(F.max("_end").alias("_end"))
+    return holes.select("hole_id", F.explode(F.array(F.lit(0.0), "_end")).alias("depth"), F.lit(0.0).alias("azimuth_deg"), F.lit(-90.0).alias("dip_deg"))
+
+
+def reference_data(df: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """A table to validate against: columns chosen and renamed (ours by theirs), numbers read, incomplete rows left out."""
+    lacking = sorted(set(columns.values()) - set(df.columns))
+    if lacking:
+        raise ValueError(f"reference data lacks {lacking}")
+    return df.select(*[number(F.col(theirs).cast("string")).alias(ours) for ours, theirs in columns.items()]).dropna()
+
+
+def first_with(tables: list[DataFrame], columns: set[str]) -> DataFrame:
+    """The first table that has the columns."""
+    for t in tables:
+        if columns <= set(t.columns):
+            return t
+    raise ValueError(f"no table has {sorted(columns)}")
 
 
 def read_blocks(df: DataFrame, density: float | None = None) -> DataFrame:
@@ -95,6 +131,11 @@ def merged_config(base: dict, *layers: dict) -> dict:
     return out
 
 
+def active_profile(config: dict, variable: str = "OREBED_PROFILE") -> dict:
+    """The configuration with the profile laid over it that the environment, or else its own ``active_profile``, names."""
+    return with_profile(config, os.environ.get(variable) or config.get("active_profile"))
+
+
 def with_profile(config: dict, profile: str | None) -> dict:
     """The configuration with one of its ``profiles`` laid over it."""
     if profile is None:

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orebed.functions import covariance, scalar
-from orebed.operators import checks, compare, ensemble, grid, intervals, pairs, samples, simulate, trajectory
+from orebed.operators import checks, compare, ensemble, grid, intervals, order, pairs, samples, screen, simulate, trajectory
 from orebed.sources import tables
 from orebed.streaming.refresh import follow_curve
 
@@ -108,6 +108,103 @@ def test_contact_distance_bins(spark):
     assert got[5.0] == (6.0, -0.5) and got[15.0] == (6.0, 9.5) and 16.0 not in got and len(got) == 16
 
 
+def test_contact_is_the_end_of_the_upper_interval(spark):
+    rows = [("A", 0.0, 1.9, "G"), ("A", 2.1, 4.0, "W"), ("B", 0.0, 1.0, "G"), ("B", 1.3, 4.0, "W")]
+    df = spark.createDataFrame(rows, "hole_id string, from_m double, to_m double, lith_code string")
+    assert [tuple(r) for r in intervals.contacts(df, F.col("lith_code") == "G").collect()] == [("A", 1.9)]
+
+
+def test_first_collar_row_and_depth_fallback(spark):
+    collars = spark.createDataFrame([("A", 1.0, 0.0, 0.0, 9.0), ("A", 5.0, 0.0, 0.0, 9.0), ("B", 0.0, 0.0, 0.0, None), ("C", 0.0, 0.0, 0.0, None), ("D", 0.0, 0.0, 0.0, float("nan"))], "hole_id string, x double, y double, z double, total_depth double").coalesce(1)
+    stations = spark.createDataFrame([("A", 0.0, 0.0, -90.0), ("A", 9.0, 0.0, -90.0)], "hole_id string, depth double, azimuth_deg double, dip_deg double")
+    assays = spark.createDataFrame([("A", 3.0), ("B", 4.0), ("B", 7.0), ("D", -1.0)], "hole_id string, to_m double")
+    path = trajectory.desurvey(stations, collars, assays).collect()
+    assert sorted((r["hole_id"], r["depth"], r["x"]) for r in path) == [("A", 0.0, 1.0), ("A", 9.0, 1.0), ("B", 0.0, 0.0), ("B", 7.0, 0.0)]
+    assert {r["hole_id"] for r in trajectory.complete_stations(stations, collars).collect()} == {"A"}
+    assert {r["hole_id"] for r in trajectory.complete_stations(stations, collars, assays.filter("hole_id = 'B'")).collect()} == {"B"}
+
+
+def test_header_that_counts(spark):
+    df = spark.createDataFrame([("A", "1", "2", "3", "4")], "BHID string, Elevation string, `Elevation (m)` string, Final_Depth string, `Final_Depth (m)` string")
+    r = tables.normalise(df, "collar").first()
+    assert (r["z"], r["total_depth"]) == (2.0, 4.0)
+
+
+def test_categories_and_fallbacks(spark):
+    want = {"GRSC": "fresh_graphitic", " sap ": "weathered_graphitic", "SAPR(GRSC7)": "weathered_graphitic", "GRSC-3": "fresh_graphitic", "a grsc b": "fresh_graphitic", "QV": "host_waste", None: "host_waste"}
+    df = spark.createDataFrame([(c,) for c in want], "code string")
+    assert {r["code"]: r["g"] for r in df.select("code", samples.category(F.col("code")).alias("g")).collect()} == want
+
+
+def test_order_statistics_against_plain(spark):
+    r = np.random.default_rng(4)
+    v = np.round(r.normal(size=500), 1).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate([*v, None, float("nan")])], "id long, v double").repartition(5)
+    marks = [0.0, 0.1, 0.333, 0.5, 0.99, 1.0]
+    got = [x["q"] for x in order.quantiles(df, "v", marks).orderBy("k").collect()]
+    assert got == pytest.approx(np.quantile(v, marks).tolist())
+    assert order.quantiles(df.limit(0), "v", marks).count() == 0
+    run = order.running(df.filter("id < 500"), ["v", "id"], {"s": F.col("id")}, {"m": F.col("id")}).collect()
+    total, top = 0, -1
+    for x in sorted(run, key=lambda x: (x["v"], x["id"])):
+        total, top = total + x["id"], max(top, x["id"])
+        assert (x["s"], x["m"], x["s_total"]) == (total, top, 499 * 250)
+    knots = spark.createDataFrame([(float(a), float(b)) for a, b in zip(sorted(r.normal(size=40)), r.normal(size=40), strict=True)], "x double, y double")
+    k = knots.toPandas()
+    out = samples.interpolated(df.filter("id < 501"), "v", knots, "x", "y", "o").toPandas()
+    ok = out["v"].notna()
+    assert len(out) == 501 and np.allclose(out["o"][ok], np.interp(out["v"][ok], k["x"], k["y"])) and out["o"][~ok].isna().all()
+
+
+def test_tests_of_difference(spark):
+    # Worked by hand from the ranks; tails of chi-square against their closed forms.
+    assert samples.chi_square_tail(3.0, 2) == pytest.approx(math.exp(-1.5)) and samples.chi_square_tail(30.0, 2) == pytest.approx(math.exp(-15))
+    assert samples.chi_square_tail(3.841458820694124, 1) == pytest.approx(0.05) and samples.chi_square_tail(0.0, 3) == 1.0
+    rows = [("a", x) for x in (1.0, 2.0, 3.0, 4.0)] + [("b", x) for x in (5.0, 6.0, 7.0, 8.0)] + [("c", x) for x in (2.0, 3.0, 9.0, None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    pair = {(r["a"], r["b"]): r for r in samples.rank_sums(df, "v", "g").collect()}
+    ab = pair["a", "b"]
+    assert (ab["u"], ab["delta"], ab["size"]) == (0.0, -1.0, "large") and ab["p"] == pytest.approx(math.erfc((8 - 0.5) / math.sqrt(12) / math.sqrt(2)))
+    assert max(r["p_holm"] for r in pair.values()) <= 1.0 and ab["p_holm"] == pytest.approx(3 * ab["p"])
+    k = samples.kruskal(df.filter("g <> 'c'"), "v", "g").first()
+    assert (k["n"], k["groups"]) == (8, 2) and k["h"] == pytest.approx(16 / 3) and k["p"] == pytest.approx(samples.chi_square_tail(16 / 3, 1))
+    assert samples.rank_sums(df.limit(0), "v", "g").count() == 0
+
+
+def test_equal_rows_draw_apart(spark):
+    df = spark.createDataFrame([(1.0,)] * 50 + [(2.0,)] * 51, "v double")
+    r = simulate.bootstrap_median(df, "v", 200, 3).first()
+    assert (r["p05"], r["p95"]) == (1.0, 2.0) and r == simulate.bootstrap_median(df.repartition(7), "v", 200, 3).first()
+
+
+def test_folds_see_their_training_rows_only(spark):
+    rows = [(i, float(i % 20), float(i // 20), 0.0, float(i % 20) + (1000.0 if i == 7 else 0.0), 0 if i == 7 else 1 + i % 3) for i in range(200)]
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, value double, fold int")
+    out = {r["id"]: r["estimate"] for r in simulate.cross_validate(df, covariance.Model("exponential", 0.0, 1.0, 5.0), simulate.Search((3.0, 3.0, 3.0), 8)).collect()}
+    assert out[7] <= 19.0 and max(out.values()) <= 1007.0
+    s = simulate.Scores(np.array([3.0, 1.0, 2.0]))
+    assert np.allclose(s.back(s.to(np.array([1.0, 2.5, 3.0]))), [1.0, 2.5, 3.0])
+
+
+def test_screen_scores(spark):
+    r = random.Random(1)
+    rows = [(f"H{i % 12}", float(i % 7) if i % 5 else None, "g" if i % 2 else "w", i % 7 > 3) for i in range(240) if r.random() < 0.9]
+    df = spark.createDataFrame(rows, "hole_id string, n double, t string, rich boolean")
+    out = screen.screen(df, ["n"], ["t"], "rich", "hole_id", k=2, trees=5).toPandas()
+    assert set(out["method"]) == {"forest", "logistic", "prior"} and (out.loc[out["method"] == "forest", "auc"] > 0.8).all() and (out.loc[out["method"] == "prior", "auc"] == 0.5).all()
+
+
+def test_widths_and_models(spark):
+    curve = lambda lo, hi: spark.createDataFrame([(5.0, lo, hi), (6.0, 0.0, 0.0)], "cutoff double, tonnage_p10 double, tonnage_p90 double")
+    assert compare.width_reduction(curve(4.0, 7.0), curve(2.0, 8.0), 5.0).first()["reduction_pct"] == 50.0
+    assert compare.width_reduction(curve(4.0, 7.0), curve(2.0, 8.0), 6.0).first()["reduction_pct"] == 0.0
+    m = covariance.fit(np.arange(1.0, 9.0), 0.3 + 0.7 * (1 - np.exp(-np.arange(1.0, 9.0) / 2)))
+    assert m.sill == pytest.approx(0.3 + 0.7 * (1 - math.exp(-4)), rel=0.05) and m.nugget == pytest.approx(0.3, abs=0.1)
+    assert ensemble.evenly_chosen(100, 4) == [0, 33, 66, 99] and ensemble.evenly_chosen(3, 9) == [0, 1, 2] and ensemble.evenly_chosen(5, 1) == [0]
+    with pytest.raises(ValueError, match="trend"):
+        simulate.with_trend(curve(1.0, 2.0), [1.0], ["x"])
+
+
 def test_declustering(spark):
     rows = [(1, 0.1, 0.1, 0.1, 1.0), (2, 0.2, 0.2, 0.2, 2.0), (3, 0.3, 0.1, 0.1, 3.0), (4, 5.0, 5.0, 5.0, 9.0), (5, 0.1, 0.1, 0.1, None), (6, 0.1, 0.1, 0.1, float("nan"))]
     out = {r["id"]: (r["decluster_weight"], r["cell_count"]) for r in samples.decluster(spark.createDataFrame(rows, "id int, x double, y double, z double, grade double"), (1.0, 1.0, 1.0)).collect()}
@@ -233,7 +330,7 @@ def test_simulation_is_repeatable_and_honours_data(spark):
 
 def test_cross_validation_falls_back(spark):
     rows = [(i, float(i), 0.0, 0.0, float(i % 2), i % 2) for i in range(6)]
-    df = spark.createDataFrame(rows, "id long, x double, y double, z double, score double, fold int")
+    df = spark.createDataFrame(rows, "id long, x double, y double, z double, value double, fold int")
     out = simulate.cross_validate(df, covariance.Model(), simulate.Search((0.1, 0.1, 0.1)), least=8).collect()
     assert all(r["estimate"] == 1 - r["fold"] for r in out)
 
