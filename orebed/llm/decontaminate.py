@@ -101,17 +101,26 @@ class Index:
         w = Words(texts, lower=True, signs=True)
         h = w.hashes()
         out: list[dict[int, int]] = [{} for _ in texts]
-        found = [np.zeros((0, 2), np.int64)]
+        # A hit is an item and the place in the text where its first word would be, as one number.
+        longest = max(map(len, self.words), default=0)
+        span = len(h) + longest + 1
+        found = [np.zeros(0, np.int64)]
         for mask, (seeds, item, at) in self.seeds.items():
             s = seed_hashes(h, mask)
             sieve = np.zeros(1 << _BITS, bool)
             sieve[seeds >> np.uint64(64 - _BITS)] = True
             hits = np.flatnonzero(sieve[s >> np.uint64(64 - _BITS)])
             lo, hi = np.searchsorted(seeds, s[hits], "left"), np.searchsorted(seeds, s[hits], "right")
-            n = hi - lo
-            k = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            found.append(np.unique(np.stack([item[k], np.repeat(hits, n) - at[k]], axis=1), axis=0))
-        for k, places in self._close(h, np.unique(np.concatenate(found), axis=0), min_words, similarity):
+            upto = np.cumsum(hi - lo)
+            # Repetitive texts hit the same item over and over: so many at a time, each kept once.
+            cuts = np.searchsorted(upto, np.arange(BLOCK_PLACES, (upto[-1] if len(upto) else 0) + BLOCK_PLACES, BLOCK_PLACES), "left") + 1
+            for i, j in zip([0, *cuts[:-1].tolist()], cuts.tolist(), strict=True) if len(cuts) else ():
+                n = hi[i:j] - lo[i:j]
+                k = np.repeat(lo[i:j] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append(np.unique(item[k] * span + np.repeat(hits[i:j], n) - at[k] + longest))
+        keys = np.unique(np.concatenate(found))
+        pairs = np.stack([keys // span, keys % span - longest], axis=1)
+        for k, places in self._close(h, pairs, min_words, similarity):
             own = self.words[k]
             # The seed lies within the item; texts that the item reaches over at its place are cut apart.
             text = np.searchsorted(w.first, np.maximum(places, 0), "right") - 1
