@@ -17,8 +17,8 @@ import re
 
 import numpy as np
 
-#: Bytes that the memo of one worker process takes at most; it then begins anew.
-MEMO_BYTES = 96 << 20
+#: Bytes that the memo of one worker process takes at most.
+MEMO_BYTES = 128 << 20
 #: ... and what an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Longer words are encoded but not kept.
@@ -44,18 +44,26 @@ def _byte_letters() -> dict[int, str]:
 
 
 class _Memo(dict):
-    """From a word to the bytes of its ids; a word that it lacks is encoded."""
+    """From a word to the bytes of its ids; a word that it lacks is encoded.
+
+    Once half of the room is taken a new half begins; words of the old one are
+    moved over when they are met again, and what is left of it goes with the next turn.
+    """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
+        self.old: dict[str, bytes] = {}
         self.bytes = 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= MEMO_WORD_CHARS:
             self.bytes += ENTRY_BYTES + len(word) + len(ids)
-            if self.bytes > MEMO_BYTES:
+            if self.bytes > MEMO_BYTES // 2:
+                self.old = dict(self)
                 self.clear()
                 self.bytes = ENTRY_BYTES + len(word) + len(ids)
             self[word] = ids
