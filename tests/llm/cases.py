@@ -96,6 +96,34 @@ def repeats(data: list[tuple], window: int) -> list[tuple]:
     return out
 
 
+def plain_words(text: str | None) -> list[bytes]:
+    """Words of decontamination: runs of ASCII letters, digits and bytes beyond ASCII, A-Z lower-cased."""
+    return re.findall(rb"[0-9a-z\x00-\x08\x0e-\x1f\x7f-\xff]+", (text or "").encode().lower())
+
+
+def overlaps(data: list[tuple], items: list[tuple], min_words: int, similarity: float) -> list[tuple]:
+    """By laying every item at every place of every text, and trying every stretch there."""
+    out = []
+    for doc, t in data:
+        w, found = plain_words(t), {}
+        for item, text in items:
+            own = plain_words(text)
+            least = min(min_words, len(own))
+            for at in range(1 - len(own), len(w)) if own else ():
+                lo, hi = max(0, -at), min(len(own), len(w) - at)
+                same = [0]
+                for j in range(lo, hi):
+                    same.append(same[-1] + (own[j] == w[at + j]))
+                n = hi - lo
+                if same[-1] < similarity * least - 1e-9:
+                    continue
+                best = max((b - a for a in range(n) for b in range(a + least, n + 1) if same[b] - same[a] >= similarity * (b - a) - 1e-9), default=0)
+                if best > found.get(item, 0):
+                    found[item] = best
+        out.append((doc, " ".join(map(str, sorted(found))), max(found.values(), default=0)))
+    return out
+
+
 def lower_ascii(text: str | None) -> str:
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 

@@ -3,11 +3,13 @@ import io
 import itertools
 import random
 import sys
+import time
 from pathlib import Path
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import cases  # noqa: E402
@@ -146,3 +148,51 @@ def test_leaks(spark):
         assert not [d for d in clean if found[d]]
     assert decontaminate.find_overlaps(df, b.limit(0)).filter("size(items) > 0").isEmpty()
     assert decontaminate.find_overlaps(df.limit(0), b).count() == 0
+
+
+def test_leaks_against_every_place(spark):
+    r = random.Random(12)
+    word = lambda: "abcdefg"[r.randrange(7)] * r.randint(1, 2)
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate([1, 2, 3, 5, 6, 8, 9, 11, 12, 13, 14, 17, 22, 30, 30])]
+    data = [(i, " ".join(word() for _ in range(r.randrange(0, 60)))) for i in range(60)]
+    for i in range(60, 200):
+        own = items[r.randrange(len(items))][1].split()
+        part = own[r.randrange(0, 3) :]
+        part = [word() if r.random() < 0.15 else w for w in part]
+        data.append((i, ", ".join([*(word() for _ in range(r.randrange(4))), *part, *(word().upper() for _ in range(r.randrange(4)))])))
+    data += [(200, None), (201, ""), (None, items[9][1]), (60, data[60][1]), (202, "a " * 300)]
+    items += [(100, "a " * 40)]
+    got = decontaminate.find_overlaps(cases.frame(spark, data), spark.createDataFrame(items, "item_id long, text string"))
+    got = got.select("doc_id", F.array_join(F.col("items").cast("array<string>"), " ").alias("items"), "overlap").toPandas()
+    cases.same(got, cases.overlaps(data, items, 13, 0.8))
+
+
+def test_one_word_text_is_quick():
+    items = [(k, "word " * 200) for k in range(5)]
+    index = decontaminate.Index.build(items)
+    began = time.perf_counter()
+    assert index.overlaps(["word " * 8000], 13, 0.8) == [dict.fromkeys(range(5), 200)]
+    assert time.perf_counter() - began < 5
+
+
+def test_warc_ids_and_empty_archives(spark):
+    pages = [(1152921504606846977, "u", "same"), (1152921504606846979, "u", "same"), (None, "u", "alone")]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1)
+    arcs = warc.write_arc(df, folder := common.scratch(spark, "arc"))
+    with common.committed(f"{folder}/none.arc.gz") as out:
+        out.write(gzip.compress(warc.arc_version_block(1, "none.arc.gz")))
+    arcs = arcs.unionByName(spark.createDataFrame([(f"{folder}/none.arc.gz", 0)], "path string, records long"))
+    files = warc.convert(arcs, common.scratch(spark, "warc"))
+    assert sorted(r["records"] for r in files.collect())[0] == 0
+    got = {r["page_id"]: r["refers_to"] for r in warc.read_archives(files).collect()}
+    assert got == {1152921504606846977: None, 1152921504606846979: 1152921504606846977, None: None}
+
+
+def test_arc_names_its_fields_and_dates(spark):
+    body = b"1 0 x\nURL Archive-length Archive-date IP-address Content-type\n"
+    head = b"filedesc://a 0.0.0.0 20080430204825 text/plain %d\n" % len(body) + body + b"\n"
+    (r,) = warc.read_arc(io.BytesIO(head + b"http://x 3 20080430204825 1.2.3.4 text/html\nabc\n"))
+    assert r.content == b"abc" and r.fields["Archive-date"] == "20080430204825" and r.fields["IP-address"] == "1.2.3.4"
+    df = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, TIMESTAMP '2008-04-30 20:48:25' AS at UNION ALL SELECT 2L, 'u', 'y', NULL")
+    files = warc.convert(warc.write_arc(df, common.scratch(spark, "arc"), date_column="at"), common.scratch(spark, "warc"))
+    assert {r["page_id"]: r["warc_date"] for r in warc.read_archives(files).collect()} == {1: "2008-04-30T20:48:25Z", 2: "1970-01-01T00:00:00Z"}
