@@ -18,7 +18,9 @@ import re
 import numpy as np
 
 #: Bytes that the memo of one worker process takes at most.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 224 << 20
+#: Misses of a full memo, for each word that it holds, after which it begins anew.
+MEMO_PATIENCE = 4
 #: ... and what an entry takes besides its characters and ids.
 ENTRY_BYTES = 200
 #: Longer words are encoded but not kept.
@@ -46,27 +48,27 @@ def _byte_letters() -> dict[int, str]:
 class _Memo(dict):
     """From a word to the bytes of its ids; a word that it lacks is encoded.
 
-    Once half of the room is taken a new half begins; words of the old one are
-    moved over when they are met again, and what is left of it goes with the next turn.
+    When full it keeps what it has: the words met first are mostly the common
+    ones.  It begins anew once it has missed often enough to be out of date.
     """
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.old: dict[str, bytes] = {}
-        self.bytes = 0
+        self.bytes = self.missed = 0
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.old.get(word)
-        if ids is None:
-            ids = self.encode(word)
+        ids = self.encode(word)
         if len(word) <= MEMO_WORD_CHARS:
-            self.bytes += ENTRY_BYTES + len(word) + len(ids)
-            if self.bytes > MEMO_BYTES // 2:
-                self.old = dict(self)
-                self.clear()
-                self.bytes = ENTRY_BYTES + len(word) + len(ids)
-            self[word] = ids
+            size = ENTRY_BYTES + len(word) + len(ids)
+            if self.bytes + size <= MEMO_BYTES:
+                self[word] = ids
+                self.bytes += size
+            else:
+                self.missed += 1
+                if self.missed > MEMO_PATIENCE * len(self):
+                    self.clear()
+                    self.bytes = self.missed = 0
         return ids
 
 
