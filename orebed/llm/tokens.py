@@ -14,11 +14,12 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import struct
 
 import numpy as np
 
 #: Bytes that the memo of one worker process takes at most.
-MEMO_BYTES = 224 << 20
+MEMO_BYTES = 160 << 20
 #: Misses of a full memo, for each word that it holds, after which it begins anew.
 MEMO_PATIENCE = 4
 #: ... and what an entry takes besides its characters and ids.
@@ -125,7 +126,7 @@ class Encoder:
                 part = part.lower() if self.drops_blanks else part
                 part = part.encode().decode("latin-1").translate(self.letters)
                 ids += [t.id for t in self.merge(part)]
-        return np.array(ids, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _words(self, text: str) -> list[str] | None:
         """The pieces whose ids can be joined, or None if the text must stay whole."""
