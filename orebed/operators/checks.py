@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,6 +50,17 @@ def summary(intervals: DataFrame) -> DataFrame:
     return intervals.agg(F.count_distinct("hole_id").alias("holes"), F.count(F.lit(1)).alias("n"), F.sum(F.col("to_m") - F.col("from_m")).alias("metres"))
 
 
+def report(tables: dict[str, DataFrame], checks: list[DataFrame]) -> DataFrame:
+    """By table: rows, distinct holes, metres (null without depths), rows at fault by its checks, and whether it passes."""
+    out = []
+    for name, df in tables.items():
+        metres = F.sum(F.col("to_m") - F.col("from_m")) if {"from_m", "to_m"} <= set(df.columns) else F.lit(None).cast("double")
+        out.append(df.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hole_id").alias("holes"), metres.alias("metres")).select(F.lit(name).alias("table_name"), "*"))
+    faults = reduce(DataFrame.unionByName, checks).groupBy("table_name").agg(F.sum("n").alias("faults"))
+    joined = reduce(DataFrame.unionByName, out).join(faults, "table_name", "left").withColumn("faults", F.coalesce("faults", F.lit(0)))
+    return joined.withColumn("passes", F.col("faults") == 0)
+
+
 def box_cover(points: DataFrame, box: dict[str, tuple[float, float]]) -> DataFrame:
     """Share of the points in a box, percent, and share of the data's extent that the box covers, by axis."""
     inside = F.lit(True)

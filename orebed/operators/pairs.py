@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
+
 
 def _cells(df: DataFrame, size: float, around: bool) -> DataFrame:
     keys = [F.floor(F.col(a) / size).cast("long") for a in "xyz"]
@@ -32,6 +34,33 @@ def neighbours(targets: DataFrame, samples: DataFrame, radius: float, k: int) ->
     return near.select(F.col("t.id").alias("target"), F.col("s.id").alias("sample"), F.col("s.label").alias("label"), "distance", "rank")
 
 
+def search_space(df: DataFrame, radii: tuple[float, float, float], axes: tuple[tuple[float, float, float], ...] | None = None) -> DataFrame:
+    """The rows with x, y and z in units of an ellipsoid's radii, along its axes: within it means within distance 1.
+    Without axes the ellipsoid lies along x, y and z.  ``neighbours`` of radius 1 then search it."""
+    along = [F.col(a) for a in "xyz"] if axes is None else [sum((F.col(a) * v for a, v in zip("yz", axis[1:], strict=True)), F.col("x") * axis[0]) for axis in axes]
+    return df.select(*[c for c in df.columns if c not in "xyz"], *[(v / size).alias(a) for a, v, size in zip("xyz", along, radii, strict=True)])
+
+
+def nearest_anywhere(targets: DataFrame, samples: DataFrame, radius: float) -> DataFrame:
+    """Label and distance of the nearest sample of each target, however far; null where there are no samples.
+
+    Targets without one within the radius are tried again with twice the
+    radius, until none is left; each round keeps only those that are.
+    """
+    spread = samples.select("x", "y", "z").unionByName(targets.select("x", "y", "z")).agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
+    reach = math.sqrt(sum((spread[a] or 0.0) ** 2 for a in "xyz"))
+    left, out = targets.select("id", "x", "y", "z"), None
+    while True:
+        tried = stored(left.join(nearest_label(left, samples, radius).withColumnRenamed("target", "id"), "id"), "nearest")
+        done = radius > reach or tried.filter("distance IS NULL").isEmpty()
+        now = tried if done else tried.filter("distance IS NOT NULL")
+        now = now.select(F.col("id").alias("target"), "label", "distance")
+        out = now if out is None else out.unionByName(now)
+        if done:
+            return out
+        left, radius = tried.filter("distance IS NULL").select("id", "x", "y", "z"), 2 * radius
+
+
 def local_shares(targets: DataFrame, samples: DataFrame, radius: float, k: int, prior_weight: float, waste: int, classes: list[int]) -> DataFrame:
     """For each target the share of each class.
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cleaned, number
+from .scratch import scratch
 
 # Names that vendors give to the columns.
 SYNONYMS = {
@@ -77,6 +78,38 @@ def read_drillholes(spark: SparkSession, folder: str) -> dict[str, DataFrame] |
     return {kind: normalise(spark.read.csv(p, header=True), kind) for kind, p in paths.items()}
 
 
+def csv_in_zip(spark: SparkSession, path: str, member: str) -> DataFrame:
+    """The CSV member of a ZIP file, by its whole name, else the first of that name in any folder and case.
+
+    The member is unpacked as a stream, in any file system that Spark reads,
+    into the shared folder, and read from there by all tasks.
+    """
+    java = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    source = java.org.apache.hadoop.fs.Path(str(path))
+
+    def entries():
+        stream = java.java.util.zip.ZipInputStream(source.getFileSystem(conf).open(source))
+        try:
+            while (entry := stream.getNextEntry()) is not None:
+                yield entry.getName(), stream
+        finally:
+            stream.close()
+
+    names = [n for n, _ in entries()]
+    alike = [n for n in names if n == member] or [n for n in names if ("/" + n.lower()).endswith("/" + member.lower())]
+    if not alike:
+        raise FileNotFoundError(f"no {member} in {path}")
+    target = java.org.apache.hadoop.fs.Path(scratch(spark, "member") + "/member.csv")
+    for name, stream in entries():
+        if name == alike[0]:
+            out = target.getFileSystem(conf).create(target)
+            java.org.apache.hadoop.io.IOUtils.copyBytes(stream, out, 65_536, False)
+            out.close()
+            break
+    return spark.read.csv(target.toString(), header=True)
+
+
 def from_vendor(df: DataFrame, positions: dict[str, int], kind: str) -> DataFrame:
     """A vendor's table whose columns are known by position: named, then normalised; rows without a hole are left out."""
     plain = df.toDF(*[f"_{i}" for i in range(len(df.columns))])
