@@ -77,6 +77,70 @@ def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], sea
     return cells.groupBy("real_id", "domain").applyInPandas(kernel, "real_id int, domain int, cell_id long, value double")
 
 
+def wave_numbers(model: Model, n: int, rng: np.random.Generator) -> np.ndarray:
+    """Wave vectors whose cosines, of random phase, have the model's correlation on average."""
+    g = rng.standard_normal((n, 3))
+    if model.kind == "gaussian":
+        return g * np.sqrt(2) / model.reach
+    if model.kind == "exponential":
+        return g / (np.abs(rng.standard_normal((n, 1))) * model.reach)
+    raise ValueError(f"no wave numbers for a {model.kind} model")
+
+
+def waves(xyz: np.ndarray, model: Model, n_real: int, seed: int, modes: int) -> np.ndarray:
+    """The structured part of ``n_real`` unconditional fields at the points, one column each."""
+    out = np.empty((len(xyz), n_real))
+    for r in range(n_real):
+        rng = np.random.default_rng([seed, r])
+        k = wave_numbers(model, modes, rng)
+        out[:, r] = np.cos(xyz @ k.T + rng.uniform(0, 2 * np.pi, modes)).sum(1) * np.sqrt(2 * model.variance / modes)
+    return out
+
+
+def conditional_fields(cells: DataFrame, samples: DataFrame, model: Model, search: Search, n_real: int, seed: int, modes: int = 1000) -> DataFrame:
+    """Rows ``real_id, cell_id, value`` of random fields at cells ``cell_id, x, y, z`` that honour samples ``id, x, y, z, score``.
+
+    A field is a sum of cosine waves, the same at any place however rows are
+    dealt out, so cells don't wait for each other: each is lifted by the kriged
+    difference of its neighbours' scores from the field.  Weights are found once
+    for all fields; nothing is broadcast.  The nugget is noise of each cell,
+    but where a sample lies.  Without neighbours a cell keeps the bare field;
+    rows without a place or a score are left out; ids should be unique.
+    """
+    held = samples.select("id", "x", "y", "z", F.col("score").cast("double").alias("score")).dropna()
+    at = cells.select(F.col("cell_id").cast("long").alias("id"), "x", "y", "z").dropna()
+
+    def apart(batches):
+        for b in batches:
+            left = b["score"].to_numpy()[:, None] - waves(b[["x", "y", "z"]].to_numpy(float), model, n_real, seed, modes)
+            yield b.assign(left=list(left))[["id", "x", "y", "z", "left"]]
+
+    known = held.mapInPandas(apart, f"id {dict(held.dtypes)['id']}, x double, y double, z double, left array<double>").withColumnsRenamed({"id": "sample", "x": "sx", "y": "sy", "z": "sz"})
+    space = lambda d: pairs.search_space(d, search.radii, search.axes)
+    near = pairs.neighbours(space(at), space(held.withColumn("label", F.lit(0))), 1.0, search.k).select("target", "sample", "rank")
+    listed = near.join(known, "sample").groupBy(F.col("target").alias("id")).agg(F.array_sort(F.collect_list(F.struct("rank", "sx", "sy", "sz", "left"))).alias("near"))
+
+    def kernel(batches):
+        for b in batches:
+            places = b[["x", "y", "z"]].to_numpy(float)
+            field = waves(places, model, n_real, seed, modes)
+            for i, (cell, near) in enumerate(zip(b["id"], b["near"], strict=True)):
+                on_sample = False
+                if near is not None and len(near):
+                    xyz = np.array([[s["sx"], s["sy"], s["sz"]] for s in near])
+                    left = np.array([s["left"] for s in near])
+                    between = model.covariance(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1)))
+                    between[np.diag_indices_from(between)] += 1e-10
+                    away = np.sqrt(((xyz - places[i]) ** 2).sum(-1))
+                    field[i] += np.linalg.lstsq(between, model.covariance(away), rcond=None)[0] @ left
+                    on_sample = bool(away.min() == 0)
+                if not on_sample:
+                    field[i] += np.sqrt(model.nugget) * np.random.default_rng([seed, int(cell) % 2**64, 1]).standard_normal(n_real)
+            yield pd.DataFrame({"real_id": np.tile(np.arange(n_real), len(b)), "cell_id": np.repeat(b["id"].to_numpy(), n_real), "value": field.ravel()})
+
+    return at.join(listed, "id", "left").mapInPandas(kernel, "real_id int, cell_id long, value double")
+
+
 def complete(simulated: DataFrame, cells: DataFrame) -> DataFrame:
     """Cells that no domain has filled; a mosaic is whole if there are none."""
     return cells.select("real_id", "cell_id").join(simulated, ["real_id", "cell_id"], "left_anti")

@@ -94,6 +94,12 @@ def e6_e7_simulation(spark: SparkSession, sf: str) -> DataFrame:
     return ensemble.cell_percentiles(out.join(cells.select("real_id", "cell_id", "ix", "iy", "iz"), ["real_id", "cell_id"]))
 
 
+@query("e8_conditional_fields")
+def e8_conditional_fields(spark: SparkSession, sf: str) -> DataFrame:
+    """Five random fields that honour the points' scores, on a small grid."""
+    return simulate.conditional_fields(GRID.cells(spark), scored(spark, sf), MODEL, SEARCH, 5, 1337)
+
+
 @query("e9_cascade")
 def e9_cascade(spark: SparkSession, sf: str) -> DataFrame:
     """Each domain of each realisation simulated from its own samples, then put together."""

@@ -2,9 +2,11 @@
 
 import zipfile
 
+import numpy as np
 import pytest
 
-from orebed.operators import pairs, reports, search
+from orebed.functions.covariance import Model
+from orebed.operators import pairs, reports, search, simulate
 from orebed.sources import tables
 from orebed.streaming.refresh import follow_curve
 
@@ -76,3 +78,24 @@ def test_a_realisation_in_two_batches(spark, tmp_path):
         spark.createDataFrame([(0, 2 * k + c, float(2 * k + c)) for c in range(2)], schema).coalesce(1).write.mode("append").parquet(src)
         follow_curve(spark.readStream.schema(schema).parquet(src), out, mark, [1.0, 9.0], 1.0, 1.0).awaitTermination()
     assert [tuple(r) for r in spark.read.parquet(out).orderBy("cutoff").select("cutoff", "blocks", "avg_grade", "tonnage", "real_id").collect()] == [(1.0, 3, 2.0, 3.0, 0), (9.0, 0, 0.0, 0.0, 0)]
+
+
+def test_fields_honour_samples_at_any_partitioning(spark):
+    cells = spark.createDataFrame([(k, 10.0 * k, 0.0, 0.0) for k in range(6)] + [(9, 9000.0, 0.0, 0.0), (10, None, 0.0, 0.0)], "cell_id long, x double, y double, z double")
+    points = spark.createDataFrame([(1, 0.0, 0.0, 0.0, 1.5), (2, 50.0, 0.0, 0.0, -0.5), (3, 50.0, 0.0, 0.0, None)], "id int, x double, y double, z double, score double")
+    model, reach = Model("exponential", 0.2, 0.8, 30.0), simulate.Search((100.0, 100.0, 100.0), 4)
+    got = {tuple(r)[:2]: r["value"] for r in simulate.conditional_fields(cells, points, model, reach, 3, 7).collect()}
+    again = {tuple(r)[:2]: r["value"] for r in simulate.conditional_fields(cells.repartition(5), points.repartition(3), model, reach, 3, 7).collect()}
+    assert len(got) == 21 and got.keys() == again.keys() and all(abs(got[k] - again[k]) < 1e-9 for k in got)
+    assert all(abs(got[r, 0] - 1.5) < 1e-6 and abs(got[r, 5] + 0.5) < 1e-6 for r in range(3))
+    assert len({got[r, 9] for r in range(3)}) == 3
+    assert simulate.conditional_fields(cells, points.filter("id > 3"), model, reach, 2, 7).count() == 14
+
+
+@pytest.mark.parametrize("kind", ["exponential", "gaussian"])
+def test_waves_have_the_models_covariance(kind):
+    model = Model(kind, 0.2, 0.8, 30.0)
+    v = simulate.waves(np.array([[0.0, 0.0, 0.0], [20.0, 0.0, 0.0], [0.0, 40.0, 0.0]]), model, 3000, 1, 200)
+    assert np.allclose(np.cov(v), model.covariance(np.array([[0, 20, 40], [20, 0, 2000**0.5], [40, 2000**0.5, 0]])), atol=0.07)
+    with pytest.raises(ValueError):
+        simulate.wave_numbers(Model("spherical"), 3, np.random.default_rng(0))
