@@ -90,16 +90,21 @@ def nearest_label(targets: DataFrame, samples: DataFrame, radius: float) -> Data
     return targets.select(F.col("id").alias("target")).join(best, "target", "left")
 
 
-def variogram(points: DataFrame, reach: float, lags: int, directions: dict[str, tuple[float, float, float]], tolerance: float, least_distance: float = 0.0, value: str = "value") -> DataFrame:
+def variogram(points: DataFrame, reach: float, lags: int, directions: dict[str, tuple[float, float, float]], tolerance: float, least_distance: float = 0.0, value: str = "value", one_in: int = 1, seed: int = 1337) -> DataFrame:
     """By direction and lag: pairs, mean distance, half the mean squared difference.
 
     Each pair of points within reach counts once, in each direction whose axis
     it lies within ``tolerance`` degrees of; a pair at ``reach`` itself is out.
-    Pairs meet in cells of the size of the reach.
+    Pairs meet in cells of the size of the reach.  With ``one_in`` above 1 a
+    seeded sample of the pairs counts, about one in so many: points are dealt
+    into classes by a digest of their id, and a class meets only the one with
+    which its number adds up to 0.  Other pairs are never made, and the points
+    of a crowded cell are split by class.
     """
-    a = _cells(points, reach, around=True).alias("a")
-    b = _cells(points, reach, around=False).alias("b")
-    p = a.join(b, [F.col(f"a._c{c}") == F.col(f"b._c{c}") for c in "xyz"] + [F.col("a.id") < F.col("b.id")]).withColumn("h", _distance("a", "b"))
+    number = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") if one_in > 1 else F.lit(0)
+    a = _cells(points, reach, around=True).withColumn("_class", F.pmod(-number, F.lit(one_in))).alias("a")
+    b = _cells(points, reach, around=False).withColumn("_class", F.pmod(number, F.lit(one_in))).alias("b")
+    p = a.join(b, [F.col(f"a._c{c}") == F.col(f"b._c{c}") for c in "xyz"] + [F.col("a._class") == F.col("b._class"), F.col("a.id") < F.col("b.id")]).withColumn("h", _distance("a", "b"))
     p = p.filter((F.col("h") < reach) & (F.col("h") >= least_distance) & (F.col("h") > 0))
     names = []
     for n, (x, y, z) in directions.items():

@@ -146,6 +146,14 @@ def complete(simulated: DataFrame, cells: DataFrame) -> DataFrame:
     return cells.select("real_id", "cell_id").join(simulated, ["real_id", "cell_id"], "left_anti")
 
 
+def require_complete(simulated: DataFrame, cells: DataFrame) -> DataFrame:
+    """The simulated rows; an error if a cell lacks a value."""
+    gap = complete(simulated, cells).first()
+    if gap is not None:
+        raise ValueError(f"no value for cell {gap['cell_id']} of realisation {gap['real_id']}")
+    return simulated
+
+
 def folds(df: DataFrame, k: int, seed: int, block: float | None = None, key: str = "id") -> DataFrame:
     """Adds ``fold``: by row, or the same for all rows of a block of the plan."""
     parts = [F.col(key)] if block is None else [F.floor(F.col(a) / block) for a in "xy"]

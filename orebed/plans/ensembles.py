@@ -332,6 +332,16 @@ def j10_a49_variogram(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(_variogram(spark, sf))
 
 
+_DIGEST = "CAST('0x' || substr(md5({0}.id || ':1337'), 1, 8) AS BIGINT)"
+_SAMPLED = _PAIRS.replace("WHERE a.id < b.id", f"WHERE a.id < b.id AND ({_DIGEST.format('a')} + {_DIGEST.format('b')}) % 4 = 0")
+
+
+@query("m9_sampled_variogram", f"{POINTS}, {_SAMPLED} SELECT direction, lag, pairs, {r('distance', 'distance')}, {r('gamma', 'gamma')} FROM vg")
+def m9_sampled_variogram(spark: SparkSession, sf: str) -> DataFrame:
+    """About a quarter of the pairs, by a seeded digest: the feature is the sample."""
+    return rounded(pairs.variogram(views.points(spark, sf), 0.3, 6, {"east": (1.0, 0.0, 0.0), "north": (0.0, 1.0, 0.0)}, 22.5, one_in=4))
+
+
 @query("a50_lag_shares", f"{POINTS}, {_PAIRS} SELECT direction, lag, pairs, {r('100e0 * pairs / sum(pairs) OVER (PARTITION BY direction)', 'pct')} FROM vg")
 def a50_lag_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(pairs.lag_shares(_variogram(spark, sf)).select("direction", "lag", "pairs", "pct"))

@@ -99,3 +99,10 @@ def test_waves_have_the_models_covariance(kind):
     assert np.allclose(np.cov(v), model.covariance(np.array([[0, 20, 40], [20, 0, 2000**0.5], [40, 2000**0.5, 0]])), atol=0.07)
     with pytest.raises(ValueError):
         simulate.wave_numbers(Model("spherical"), 3, np.random.default_rng(0))
+
+
+def test_a_mosaic_with_a_gap(spark):
+    cells = spark.createDataFrame([(0, 1), (0, 2)], "real_id int, cell_id long")
+    assert simulate.require_complete(cells, cells) is cells
+    with pytest.raises(ValueError, match="cell 2 of realisation 0"):
+        simulate.require_complete(cells.filter("cell_id = 1"), cells)
