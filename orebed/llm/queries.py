@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, lines, naming, near, packing, quality, substrings, token_counts, warc
+from . import bitplanes, decontaminate, lines, merkle, naming, near, packing, quality, substrings, token_counts, warc
 from .sql import ORACLES
 
 QUERIES = {
@@ -16,5 +16,6 @@ QUERIES = {
     "op8_near": near.op8_near,
     "op9_exact": naming.op9_exact,
     "op10_token_counts": token_counts.op10_token_counts,
+    "op11_merkle": merkle.op11_merkle,
 }
 __all__ = ["ORACLES", "QUERIES"]

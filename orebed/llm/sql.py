@@ -121,4 +121,39 @@ WITH t AS (
 SELECT doc_id, keep_id, group_size, kept, sha256(body) AS text_sha256 FROM g
 """
 
-ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9}
+
+def _op11(levels: int = 6, upper: int = 4) -> str:
+    """Trees of up to 16 ** levels leaves a source and 16 ** upper sources, a common table expression a level."""
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    value = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || {0} END"
+    digest = lambda text: "sha256(concat(" + ", ".join(value.format(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + "))"
+    crc = "list_reduce([4294967295] || flatten(list_transform(range(1, length(id) + 1), lambda i: [ascii(substr(id, i, 1)), -1, -1, -1, -1, -1, -1, -1, -1])), lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)"
+    out = [
+        f"d AS (SELECT doc_id, source, CAST(doc_id AS VARCHAR) AS id, {digest('text')} AS leaf, {digest('(' + lower + ')')} AS touched FROM documents)",
+        f"l AS (SELECT *, CASE WHEN xor({crc}, 4294967295) % 5 = 0 THEN touched ELSE leaf END AS cur, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d)",
+        "n0 AS (SELECT source AS g, pos, leaf AS h FROM l)",
+    ]
+
+    def climb(name: str, depth: int) -> None:
+        for k in range(depth):
+            out.append(f"{name}r{k} AS (SELECT g, pos // 16 AS run, list(h ORDER BY pos) AS hs, any_value(n) AS n FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}{k}) GROUP BY ALL)")
+            out.append(f"{name}{k + 1} AS (SELECT g, run AS pos, CASE WHEN n = 1 THEN hs[1] ELSE sha256(array_to_string(hs, '')) END AS h FROM {name}r{k})")
+
+    climb("n", levels)
+    out.append(f"t0 AS (SELECT 0 AS g, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, h, g AS source FROM n{levels})")
+    climb("t", upper)
+    out.append("p0 AS (SELECT l.doc_id, l.leaf, l.cur, l.pos, l.source, t0.pos AS top, t0.h AS subroot, '' AS sib FROM l JOIN t0 ON l.source IS NOT DISTINCT FROM t0.source)")
+    steps = [(f"nr{k}", "p.source", f"p.pos // {16**k}") for k in range(levels)] + [(f"tr{k}", "0", f"p.top // {16**k}") for k in range(upper)]
+    for k, (runs, g, at) in enumerate(steps):
+        j = f"CAST(({at}) % 16 AS BIGINT)"
+        before, after = f"array_to_string(hs[1:{j}], '')", f"array_to_string(hs[{j} + 2:], '')"
+        out.append(
+            f"p{k + 1} AS (SELECT p.doc_id, p.leaf, p.pos, p.source, p.top, p.subroot, CASE WHEN n = 1 THEN p.sib ELSE concat(p.sib, {before}, {after}) END AS sib,"
+            f" CASE WHEN n = 1 THEN p.cur ELSE sha256(concat({before}, p.cur, {after})) END AS cur FROM p{k} p JOIN {runs} r ON r.g IS NOT DISTINCT FROM {g} AND r.run = ({at}) // 16)"
+        )
+    return f"WITH {', '.join(out)} SELECT doc_id, leaf, subroot, h AS root, sha256(sib) AS proof_sha256, cur AS folded_root, cur = h AS verified FROM p{len(steps)}, t{upper}"
+
+
+OP11 = _op11()
+
+ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9, "op11_merkle": OP11}
