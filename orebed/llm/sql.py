@@ -156,4 +156,7 @@ def _op11(levels: int = 6, upper: int = 4) -> str:
 
 OP11 = _op11()
 
-ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9, "op11_merkle": OP11}
+# As for op8, on runs of four words.
+OP13 = OP8.replace("pos + 4", "pos + 3").replace("len(words) - 4", "len(words) - 3").replace("c.component_id, w.doc_id = c.component_id AS kept", "c.component_id")
+
+ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9, "op11_merkle": OP11, "op13_ngram_join": OP13}
