@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bitplanes, decontaminate, lines, merkle, naming, near, ngram_join, packing, quality, substrings, token_counts, warc
+from . import bitplanes, decontaminate, lexical, lines, merkle, naming, near, ngram_join, packing, quality, substrings, token_counts, warc
 from .sql import ORACLES
 
 QUERIES = {
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_exact": naming.op9_exact,
     "op10_token_counts": token_counts.op10_token_counts,
     "op11_merkle": merkle.op11_merkle,
+    "op12_lexical": lexical.op12_lexical,
     "op13_ngram_join": ngram_join.op13_ngram_join,
 }
 __all__ = ["ORACLES", "QUERIES"]

@@ -159,4 +159,24 @@ OP11 = _op11()
 # As for op8, on runs of four words.
 OP13 = OP8.replace("pos + 4", "pos + 3").replace("len(words) - 4", "len(words) - 3").replace("c.component_id, w.doc_id = c.component_id AS kept", "c.component_id")
 
-ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9, "op11_merkle": OP11, "op13_ngram_join": OP13}
+OP12 = r"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), s AS (
+  SELECT count(*) FILTER (len(terms) > 0) AS N, CAST(sum(len(terms)) AS BIGINT) AS L FROM t
+), p AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM t) GROUP BY ALL
+), q AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), w AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * N + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w FROM p, s WHERE term IN (SELECT term FROM q) GROUP BY term, N
+), d AS (
+  SELECT r, doc_id, 50 + (50 * len(terms) * N) // L AS m FROM t, s WHERE len(terms) > 0
+), x AS (
+  SELECT item_id, r, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score FROM q JOIN p USING (term) JOIN w USING (term) JOIN d USING (r) GROUP BY ALL
+)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM x JOIN d USING (r) WHERE score > 0) WHERE rank <= 50
+"""
+
+ORACLES = {"op1_warc": OP1, "op2_lines": OP2, "op6_substrings": OP6, "op8_near": OP8, "op9_exact": OP9, "op11_merkle": OP11, "op12_lexical": OP12, "op13_ngram_join": OP13}

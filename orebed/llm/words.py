@@ -50,15 +50,17 @@ def joined(a: np.ndarray, b: np.ndarray, which: int = 0) -> np.ndarray:
 
 
 class Words:
-    """The words of a batch of texts: hashes, byte ranges, and each text's range of words."""
+    """The words of a batch of texts: hashes, byte ranges, and each text's range of words.
 
-    def __init__(self, texts: list[str | None], lower: bool = False, signs: bool = False):
+    ``blank`` marks the bytes that part words; a line feed has to be one."""
+
+    def __init__(self, texts: list[str | None], lower: bool = False, signs: bool = False, blank: np.ndarray | None = None):
         parts = [(t or "").encode() for t in texts]
         self.data = b"\n".join(parts) + b"\n"
         raw = np.frombuffer(self.data, dtype=np.uint8)
         if lower:
             raw = _LOWER[raw]
-        solid = ~(_SIGNS if signs else _BLANK)[raw]
+        solid = ~(blank if blank is not None else _SIGNS if signs else _BLANK)[raw]
         edge = np.flatnonzero(np.diff(solid, prepend=False, append=False))
         self.starts, self.ends = edge[0::2], edge[1::2]
         ends_of_texts = np.cumsum([len(p) + 1 for p in parts], dtype=np.int64)
