@@ -23,15 +23,22 @@ def _distance(a: str, b: str) -> Column:
     return F.sqrt(sum(((F.col(f"{a}.{c}") - F.col(f"{b}.{c}")) ** 2 for c in "yz"), (F.col(f"{a}.x") - F.col(f"{b}.x")) ** 2))
 
 
-def neighbours(targets: DataFrame, samples: DataFrame, radius: float, k: int) -> DataFrame:
+def neighbours(targets: DataFrame, samples: DataFrame, radius: float, k: int, apart: str | None = None, within: str | None = None) -> DataFrame:
     """The k nearest samples (``id, x, y, z, label``) within the radius of each target (``id, x, y, z``);
-    equal distances by sample id.  Targets are repeated to the 27 cells around them, of radius size."""
-    t = _cells(targets.select("id", "x", "y", "z"), radius, around=True).alias("t")
-    s = _cells(samples.select("id", "x", "y", "z", "label"), radius, around=False).alias("s")
-    near = t.join(s, [F.col(f"t._c{a}") == F.col(f"s._c{a}") for a in "xyz"]).withColumn("distance", _distance("t", "s")).filter(F.col("distance") <= radius)
-    w = Window.partitionBy(F.col("t.id")).orderBy("distance", F.col("s.id"))
+    equal distances by sample id.  Targets are repeated to the 27 cells around them, of radius size.
+
+    With ``apart``, a column of both, only samples that differ from the target in
+    it count (for a fold, those of all others), with ``within`` only those that
+    are equal in it, and a target is an id of one ``within``."""
+    own, same = [c for c in (apart, within) if c], [within] if within else []
+    t = _cells(targets.select("id", "x", "y", "z", *own), radius, around=True).alias("t")
+    s = _cells(samples.select("id", "x", "y", "z", "label", *own), radius, around=False).alias("s")
+    on = [F.col(f"t._c{a}") == F.col(f"s._c{a}") for a in "xyz"] + [F.col(f"t.{c}") == F.col(f"s.{c}") for c in same]
+    on += [F.col(f"t.{apart}") != F.col(f"s.{apart}")] if apart else []
+    near = t.join(s, on).withColumn("distance", _distance("t", "s")).filter(F.col("distance") <= radius)
+    w = Window.partitionBy(F.col("t.id"), *[F.col(f"t.{c}") for c in same]).orderBy("distance", F.col("s.id"))
     near = near.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-    return near.select(F.col("t.id").alias("target"), F.col("s.id").alias("sample"), F.col("s.label").alias("label"), "distance", "rank")
+    return near.select(F.col("t.id").alias("target"), F.col("s.id").alias("sample"), F.col("s.label").alias("label"), "distance", "rank", *[F.col(f"t.{c}").alias(c) for c in same])
 
 
 def search_space(df: DataFrame, radii: tuple[float, float, float], axes: tuple[tuple[float, float, float], ...] | None = None) -> DataFrame:
@@ -90,30 +97,63 @@ def nearest_label(targets: DataFrame, samples: DataFrame, radius: float) -> Data
     return targets.select(F.col("id").alias("target")).join(best, "target", "left")
 
 
-def variogram(points: DataFrame, reach: float, lags: int, directions: dict[str, tuple[float, float, float]], tolerance: float, least_distance: float = 0.0, value: str = "value", one_in: int = 1, seed: int = 1337) -> DataFrame:
-    """By direction and lag: pairs, mean distance, half the mean squared difference.
-
-    Each pair of points within reach counts once, in each direction whose axis
-    it lies within ``tolerance`` degrees of; a pair at ``reach`` itself is out.
-    Pairs meet in cells of the size of the reach.  With ``one_in`` above 1 a
-    seeded sample of the pairs counts, about one in so many: points are dealt
-    into classes by a digest of their id, and a class meets only the one with
-    which its number adds up to 0.  Other pairs are never made, and the points
-    of a crowded cell are split by class.
-    """
+def _pairs(points: DataFrame, reach: float, least_distance: float, value: str, one_in: int, seed: int, by: tuple[str, ...]) -> DataFrame:
+    """Each pair of points of one group within reach once: ``_dx, _dy, _dz, _h, _half`` (half the squared difference) and ``by``."""
     number = F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{seed}"))), 1, 8), 16, 10).cast("long") if one_in > 1 else F.lit(0)
     a = _cells(points, reach, around=True).withColumn("_class", F.pmod(-number, F.lit(one_in))).alias("a")
     b = _cells(points, reach, around=False).withColumn("_class", F.pmod(number, F.lit(one_in))).alias("b")
-    p = a.join(b, [F.col(f"a._c{c}") == F.col(f"b._c{c}") for c in "xyz"] + [F.col("a._class") == F.col("b._class"), F.col("a.id") < F.col("b.id")]).withColumn("h", _distance("a", "b"))
+    same = [F.col(f"a._c{c}") == F.col(f"b._c{c}") for c in "xyz"] + [F.col("a._class") == F.col("b._class")] + [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in by]
+    p = a.join(b, [*same, F.col("a.id") < F.col("b.id")]).withColumn("h", _distance("a", "b"))
     p = p.filter((F.col("h") < reach) & (F.col("h") >= least_distance) & (F.col("h") > 0))
+    half = F.pow(F.col(f"a.{value}") - F.col(f"b.{value}"), 2) / 2
+    return p.select(*[F.col(f"a.{c}").alias(c) for c in by], *[(F.col(f"b.{c}") - F.col(f"a.{c}")).alias(f"_d{c}") for c in "xyz"], F.col("h").alias("_h"), half.alias("_half"))
+
+
+def _cosine(axis: tuple[float, float, float]) -> Column:
+    x, y, z = axis
+    return F.abs(F.col("_dx") * x + F.col("_dy") * y + F.col("_dz") * z) / F.col("_h")
+
+
+def variogram(points: DataFrame, reach: float, lags: int, directions: dict[str, tuple[float, float, float]], tolerance: float | dict[str, float], least_distance: float = 0.0, value: str = "value", one_in: int = 1, seed: int = 1337, by: tuple[str, ...] = ()) -> DataFrame:
+    """By direction and lag: pairs, mean distance, half the mean squared difference.
+
+    Each pair of points within reach counts once, in each direction whose axis
+    it lies within ``tolerance`` degrees of (one number, or one for each
+    direction; 90 takes every pair); a pair at ``reach`` itself is out.
+    Pairs meet in cells of the size of the reach, and only within groups of
+    equal ``by`` (realisations, domains), all of which one job serves.  With
+    ``one_in`` above 1 a seeded sample of the pairs counts, about one in so
+    many: points are dealt into classes by a digest of their id, and a class
+    meets only the one with which its number adds up to 0.  Other pairs are
+    never made, and the points of a crowded cell are split by class.
+    """
+    p = _pairs(points, reach, least_distance, value, one_in, seed, by)
     names = []
-    for n, (x, y, z) in directions.items():
-        dot = (F.col("b.x") - F.col("a.x")) * x + (F.col("b.y") - F.col("a.y")) * y + (F.col("b.z") - F.col("a.z")) * z
-        names.append(F.when(F.abs(dot) / F.col("h") >= math.cos(math.radians(tolerance)), F.lit(n)))
+    for n, axis in directions.items():
+        degrees = tolerance[n] if isinstance(tolerance, dict) else tolerance
+        names.append(F.lit(n) if degrees >= 90 else F.when(_cosine(axis) >= math.cos(math.radians(degrees)), F.lit(n)))
     p = p.withColumn("direction", F.explode(F.array_compact(F.array(*names))))
-    lag = F.floor(F.col("h") / (reach / lags)).cast("int").alias("lag")
-    half = F.pow(F.col(f"a.{value}") - F.col(f"b.{value}"), 2) / 2
-    return p.groupBy("direction", lag).agg(F.count(F.lit(1)).alias("pairs"), F.avg("h").alias("distance"), F.avg(half).alias("gamma"))
+    lag = F.floor(F.col("_h") / (reach / lags)).cast("int").alias("lag")
+    return p.groupBy(*by, "direction", lag).agg(F.count(F.lit(1)).alias("pairs"), F.avg("_h").alias("distance"), F.avg("_half").alias("gamma"))
+
+
+def pair_funnel(points: DataFrame, reach: float, directions: dict[str, tuple[float, float, float]], tolerance: float, least_distance: float = 0.0, step: int = 5, one_in: int = 1, seed: int = 1337, by: tuple[str, ...] = ()) -> DataFrame:
+    """What becomes of the pairs, by direction: ``points``, ``possible`` pairs, those ``within`` reach, those
+    ``accepted`` by the angle, and ``angles``, the number of pairs within reach in each ``step`` degrees off the axis.
+
+    One pass over the pairs, aggregated by group and direction."""
+    p = _pairs(points, reach, least_distance, "id", one_in, seed, by)
+    n = points.groupBy(*by).agg(F.count(F.lit(1)).alias("points")).select(*by, "points", (F.col("points") * (F.col("points") - 1) / 2).cast("long").alias("possible"))
+    each = [F.struct(F.lit(d).alias("direction"), F.degrees(F.acos(F.least(F.lit(1.0), _cosine(axis)))).alias("angle"), (_cosine(axis) >= math.cos(math.radians(tolerance))).alias("in")) for d, axis in directions.items()]
+    p = p.select(*by, F.explode(F.array(*each)).alias("e")).select(*by, "e.*")
+    steps = range(0, 90, step)
+    place = F.least(F.floor(F.col("angle") / step), F.lit(len(steps) - 1))
+    sums = p.groupBy(*by, "direction").agg(F.count(F.lit(1)).alias("within"), F.count_if("in").alias("accepted"), *[F.count_if(place == k).alias(f"_{k}") for k in range(len(steps))])
+    every = n.withColumn("direction", F.explode(F.array(*[F.lit(d) for d in directions])))
+    sums = sums.withColumnsRenamed({c: f"_{c}" for c in by})
+    on = [every["direction"] == sums["direction"], *[every[c].eqNullSafe(sums[f"_{c}"]) for c in by]]
+    zero = F.lit(0).cast("long")
+    return every.join(sums, on, "left").select(*by, every["direction"], "points", "possible", *[F.coalesce(c, zero).alias(c) for c in ("within", "accepted")], F.array(*[F.coalesce(f"_{k}", zero) for k in range(len(steps))]).alias("angles"))
 
 
 def lag_shares(v: DataFrame) -> DataFrame:

@@ -9,14 +9,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_bin, inverse_normal
+from ..sources.scratch import stored
 from . import order
 
 # Lithology codes of the canonical groups, and aliases of codes.
 GROUPS = {"fresh_graphitic": ("GRSC", "GRSC1", "GRSC2"), "weathered_graphitic": ("SAP (GRSC)", "SAPR (GRSC)")}
 ALIASES = {"SAP": "SAP (GRSC)", "SAPR": "SAPR (GRSC)", "SAP (GRSC2)": "SAP (GRSC)", "SAPR (GRSC2)": "SAPR (GRSC)", "GRSC-3": "GRSC3"}
 WASTE = "host_waste"
-#: Groups that tests of difference compare at most; groups are categories, not rows.
-MAX_GROUPS = 200
 
 
 def canonical(code: Column, aliases: dict[str, str] | None = None) -> Column:
@@ -75,21 +74,26 @@ def group_stats(df: DataFrame, by: list[str], value: str, least: int = 1) -> Dat
     return out.filter(F.col("n") >= least)
 
 
-def decluster(df: DataFrame, size: tuple[float, float, float], value: str = "grade") -> DataFrame:
+def decluster(df: DataFrame, size: tuple[float, float, float], value: str = "grade", by: str | None = None) -> DataFrame:
     """Adds ``decluster_weight`` and ``cell_count``: one over the samples in the cell, scaled to sum to
-    their number.  Rows without a value weigh 1 and are in no cell.
+    their number.  Rows without a value weigh 1 and are in no cell.  With ``by`` each group has cells and
+    sums of its own.
 
     Counts are aggregated and joined back, so a crowded cell is split like any skewed join.
     """
     real = F.col(value).isNotNull() & ~F.isnan(value)
-    least = df.filter(real).agg(*[F.min(a).alias(f"_{a}") for a in "xyz"])
-    x = df.crossJoin(F.broadcast(least))
+    of = [] if by is None else [F.col(by).alias("_of")]
+
+    def along(x: DataFrame, groups: DataFrame) -> DataFrame:
+        return x.crossJoin(F.broadcast(groups)) if by is None else x.join(groups, F.col(by).eqNullSafe(F.col("_of")), "left").drop("_of")
+
+    x = along(df, df.filter(real).groupBy(*of).agg(*[F.min(a).alias(f"_{a}") for a in "xyz"]))
     for a, s in zip("xyz", size, strict=True):
         x = x.withColumn(f"_c{a}", F.when(real, floor_bin(F.col(a), F.col(f"_{a}"), s)))
-    keys = ["_cx", "_cy", "_cz"]
+    keys = [*([] if by is None else [by]), "_cx", "_cy", "_cz"]
     counts = x.filter(real).groupBy(*keys).agg(F.count(F.lit(1)).alias("cell_count"))
-    whole = counts.agg(F.sum("cell_count").alias("_n"), F.count(F.lit(1)).alias("_cells"))
-    out = x.join(counts, keys, "left").crossJoin(F.broadcast(whole))
+    whole = counts.groupBy(*of).agg(F.sum("cell_count").alias("_n"), F.count(F.lit(1)).alias("_cells"))
+    out = along(x.join(counts, keys, "left"), whole)
     weight = F.col("_n") / F.col("_cells") / F.col("cell_count")
     return out.select(*df.columns, F.coalesce(weight, F.lit(1.0)).alias("decluster_weight"), F.coalesce("cell_count", F.lit(1)).cast("long").alias("cell_count"))
 
@@ -102,34 +106,54 @@ def centred_shares(df: DataFrame, by: str, weight: str, ties: list[str]) -> Data
     return df.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p)))
 
 
-def score_table(df: DataFrame, value: str, weight: str | None = None, tie: str | None = None) -> DataFrame:
+def score_table(df: DataFrame, value: str, weight: str | None = None, tie: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
     """Distinct values and their normal scores: the quantile of the centred cumulative weight.  Ties
-    take the score of the last of them: by ``tie``, or else the heaviest."""
+    take the score of the last of them: by ``tie``, or else the heaviest.  With ``by``, a table of each
+    group's own values, all made by one sort: a group lies over as many ranges as it needs."""
     w = F.col(weight) if weight else F.lit(1.0)
     last = F.max_by(w, F.col(tie)) if tie else F.max(w)
-    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(F.col(value).alias("value")).agg(F.sum(w).alias("w"), last.alias("last"))
-    v = order.running(v, ["value"], {"upto": F.col("w")})
+    v = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*by, F.col(value).alias("value")).agg(F.sum(w).alias("w"), last.alias("last"))
+    v = order.running(v, [*by, "value"], {"upto": F.col("w")})
+    if by:
+        # A row for each group: what the groups before it add up to.
+        ends = v.groupBy(*by).agg(F.max("upto").alias("end"), F.sum("w").alias("whole"))
+        ends = ends.select(*[F.col(c).alias(f"_{c}") for c in by], (F.col("end") - F.col("whole")).alias("base"), F.col("whole"))
+        v = v.join(ends, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in by]).withColumns({"upto": F.col("upto") - F.col("base"), "upto_total": F.col("whole")})
     p = (F.col("upto") - F.col("last") / 2) / F.col("upto_total")
-    return v.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))).select("value", inverse_normal("p").alias("score"))
+    return v.withColumn("p", F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), p))).select(*by, "value", inverse_normal("p").alias("score"))
 
 
-def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out: str) -> DataFrame:
+def interpolated(df: DataFrame, at: str, knots: DataFrame, x: str, y: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Adds the piecewise linear function through the knots at ``at``, level beyond the ends.
 
     Rows and knots are put in one order, and every row takes the last knot
     before it, which knows the next one: there may be as many knots as rows.
+    With ``by``, columns of both, each group has knots of its own; rows of a
+    group without any get null.
     """
-    k = knots.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL").groupBy("x").agg(F.max("y").alias("y"))
-    ahead = order.running(k.withColumn("back", -F.col("x")), ["back"], {}, {"after": F.struct((-F.col("x")).alias("nx"), F.col("y").alias("ny"))}, inclusive=False)
-    seg = F.struct("x", "y", (-F.col("after.nx")).alias("nx"), F.col("after.ny").alias("ny"))
-    left = ahead.select("x", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), seg.alias("seg"), F.lit(None).cast(df.schema).alias("row"))
+    g = [f"_{c}" for c in by]
+    k = knots.select(*[F.col(c).alias(n) for c, n in zip(by, g, strict=True)], F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).filter("x IS NOT NULL").groupBy(*g, "x").agg(F.max("y").alias("y"))
+    same = lambda held: F.lit(True) if not by else every_one([F.col(f"{held}.{n}").eqNullSafe(F.col(n)) for n in g])
+    ahead = order.running(k.withColumn("back", -F.col("x")), [*g, "back"], {}, {"after": F.struct(*g, (-F.col("x")).alias("nx"), F.col("y").alias("ny"))}, inclusive=False)
+    seg = F.struct(*g, "x", "y", F.when(same("after"), -F.col("after.nx")).alias("nx"), F.when(same("after"), F.col("after.ny")).alias("ny"))
+    left = ahead.select(*g, "x", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("tie"), seg.alias("seg"), F.lit(None).cast(df.schema).alias("row"))
     row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-    right = df.select(F.col(at).cast("double").alias("x"), F.lit(1).alias("kind"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("tie"), F.lit(None).cast(left.schema["seg"].dataType).alias("seg"), row.alias("row"))
-    both = order.running(left.unionByName(right.filter("x IS NOT NULL")), ["x", "kind", "tie"], {}, {"held": F.col("seg")})
-    first = k.agg(F.min_by("y", "x").alias("low"))
-    v = F.coalesce(F.col("held.y") + F.when((F.col("x") > F.col("held.x")) & F.col("held.nx").isNotNull(), (F.col("x") - F.col("held.x")) * (F.col("held.ny") - F.col("held.y")) / (F.col("held.nx") - F.col("held.x"))).otherwise(0.0), F.col("low"))
-    found = both.filter("kind = 1").crossJoin(F.broadcast(first)).select("row.*", v.alias(out))
-    return found.unionByName(df.filter(F.col(at).isNull()).withColumn(out, F.lit(None).cast("double")))
+    right = df.select(*[F.col(c).alias(n) for c, n in zip(by, g, strict=True)], F.col(at).cast("double").alias("x"), F.lit(1).alias("kind"), F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]).alias("tie"), F.lit(None).cast(left.schema["seg"].dataType).alias("seg"), row.alias("row"))
+    both = order.running(left.unionByName(right.filter("x IS NOT NULL")), [*g, "x", "kind", "tie"], {}, {"held": F.col("seg")})
+    first = k.groupBy(*g).agg(F.min_by("y", "x").alias("low")).withColumnsRenamed({n: f"{n}_of" for n in g})
+    own = F.col("held.y") + F.when((F.col("x") > F.col("held.x")) & F.col("held.nx").isNotNull(), (F.col("x") - F.col("held.x")) * (F.col("held.ny") - F.col("held.y")) / (F.col("held.nx") - F.col("held.x"))).otherwise(0.0)
+    v = F.coalesce(F.when(same("held"), own), F.col("low"))
+    found = both.filter("kind = 1")
+    found = found.join(first, [F.col(n).eqNullSafe(F.col(f"{n}_of")) for n in g], "left") if by else found.crossJoin(F.broadcast(first))
+    return found.select("row.*", v.alias(out)).unionByName(df.filter(F.col(at).isNull()).withColumn(out, F.lit(None).cast("double")))
+
+
+def every_one(conditions: list[Column]) -> Column:
+    """All of them."""
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out
 
 
 def normal_scores(df: DataFrame, value: str, weight: str | None = None, out: str = "score") -> DataFrame:
@@ -163,22 +187,27 @@ def top_cut(df: DataFrame, value: str, quantile: float) -> DataFrame:
     return df.crossJoin(F.broadcast(cap)).withColumn(value, F.least(F.col(value), F.col("_cap"))).withColumn("capped", F.col(value) >= F.col("_cap")).drop("_cap")
 
 
+#: Rows that one window adjusts; more are adjusted by ranges.
+FEW_ROWS = 10_000
+
+
 def adjusted(p_values: DataFrame) -> DataFrame:
     """Holm's step-down adjustment of ``p``, by ``id``."""
+    p_values = stored(p_values, "p-values")
+    n = p_values.count()
+    if n <= FEW_ROWS:
+        down = Window.orderBy("p", "id")
+        raw = F.least(F.lit(1.0), (n + 1 - F.row_number().over(down)) * F.col("p"))
+        return p_values.withColumn("_raw", raw).withColumn("adjusted", F.max("_raw").over(down.rowsBetween(Window.unboundedPreceding, 0))).drop("_raw")
     ranked = order.running(p_values, ["p", "id"], {"_rank": F.lit(1)})
     raw = ranked.withColumn("_raw", F.least(F.lit(1.0), (F.col("_rank_total") - F.col("_rank") + 1) * F.col("p")))
     return order.running(raw, ["p", "id"], {}, {"adjusted": F.col("_raw")}).drop("_raw", "_rank", "_rank_total")
 
 
-def _counts_by_group(df: DataFrame, value: str, group: str) -> tuple[list, DataFrame]:
-    """The groups, and for each distinct value ``n<i>`` of group i and ``b<i>`` of it that are smaller."""
+def _counts_by_group(df: DataFrame, value: str, group: str) -> DataFrame:
+    """Rows ``g, v, n``: how often each group has each value."""
     real = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")) & F.col(group).isNotNull())
-    groups = sorted(r[0] for r in real.select(group).distinct().limit(MAX_GROUPS + 1).collect())
-    if len(groups) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} groups: these are not categories")
-    named = groups or [None]  # without rows one group of none
-    counts = real.groupBy(F.col(value).alias("v")).agg(*[F.count_if(F.col(group) == F.lit(g)).alias(f"n{i}") for i, g in enumerate(named)])
-    return groups, order.running(counts, ["v"], {f"b{i}": F.col(f"n{i}") for i in range(len(named))}, inclusive=False)
+    return real.groupBy(F.col(group).alias("g"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def magnitude(delta: Column) -> Column:
@@ -191,31 +220,35 @@ def rank_sums(df: DataFrame, value: str, group: str) -> DataFrame:
     """For each pair of groups: sizes, the Mann-Whitney U of the first, Cliff's delta and its size in
     words, the two-sided p-value (normal, with corrections for ties and continuity), Holm's adjustment.
 
-    Counts by distinct value and running sums replace ranks of rows; pairs are
-    of groups, not of rows."""
-    groups, counts = _counts_by_group(df, value, group)
-    pairs = [(i, j) for i in range(len(groups)) for j in range(i + 1, len(groups))]
-    sums = [F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(len(groups))]
-    for i, j in pairs:
-        t = (F.col(f"n{i}") + F.col(f"n{j}")).cast("double")
-        sums += [F.sum(F.col(f"n{i}") * (F.col(f"b{j}") + F.col(f"n{j}") / 2)).alias(f"u{i}_{j}"), F.sum(t * t * t - t).alias(f"t{i}_{j}")]
-    if not pairs:
-        return df.sparkSession.createDataFrame([], f"a {df.schema[group].dataType.simpleString()}, b {df.schema[group].dataType.simpleString()}, n_a long, n_b long, u double, delta double, size string, p double, p_holm double")
-    one = counts.agg(*sums)
-    rows = [F.struct(F.lit(groups[i]).alias("a"), F.lit(groups[j]).alias("b"), F.col(f"n{i}").alias("n_a"), F.col(f"n{j}").alias("n_b"), F.col(f"u{i}_{j}").alias("u"), F.col(f"t{i}_{j}").alias("ties")) for i, j in pairs]
-    out = one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
+    Counts by group and value take the place of rows.  A count is handed to each
+    later group, in whose values it finds by running sums how many are smaller;
+    there may be any number of groups, and pairs are of groups, not of rows."""
+    counts = stored(_counts_by_group(df, value, group), "group-counts")
+    sizes = counts.groupBy("g").agg(F.sum("n").alias("size"), F.sum(F.pow(F.col("n").cast("double"), 3) - F.col("n")).alias("own_ties"))
+    # One row: the groups.
+    groups = counts.agg(F.array_sort(F.collect_set("g")).alias("groups"))
+    asked = counts.crossJoin(F.broadcast(groups)).select(F.explode(F.filter("groups", lambda x: x > F.col("g"))).alias("of"), "v", F.lit(1).alias("kind"), "g", "n")
+    own = counts.select(F.col("g").alias("of"), "v", F.lit(0).alias("kind"), "g", "n")
+    both = order.running(own.unionByName(asked), ["of", "v", "kind", "g"], {"upto": F.when(F.col("kind") == 0, F.col("n")).otherwise(0)}, {"last": F.when(F.col("kind") == 0, F.struct("of", "v", "n"))})
+    before = order.running(sizes.select("g", "size"), ["g"], {"base": F.col("size")}, inclusive=False).select(F.col("g").alias("of"), F.col("size").alias("n_b"), "base")
+    at = both.filter("kind = 1").join(before, "of")
+    tied = F.when((F.col("last.of") == F.col("of")) & (F.col("last.v") == F.col("v")), F.col("last.n")).otherwise(0)
+    at = at.select(F.col("g").alias("a"), F.col("of").alias("b"), "n", "n_b", tied.alias("m"), (F.col("upto") - F.col("base")).alias("upto"))
+    n, m = F.col("n").cast("double"), F.col("m").cast("double")
+    sums = at.groupBy("a", "b", "n_b").agg(F.sum(n * (F.col("upto") - m / 2)).alias("u"), F.sum(3 * n * m * (n + m)).alias("cross"))
+    of_a, of_b = (sizes.select(F.col("g").alias(c), F.col("size").alias(f"size_{c}"), F.col("own_ties").alias(f"ties_{c}")) for c in "ab")
+    out = sums.join(of_a, "a").join(of_b, "b").select("a", "b", F.col("size_a").alias("n_a"), "n_b", "u", (F.col("cross") + F.col("ties_a") + F.col("ties_b")).alias("ties"))
     n = (F.col("n_a") + F.col("n_b")).cast("double")
-    both = F.col("n_a").cast("double") * F.col("n_b")
-    spread = F.sqrt(both / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
-    z = (F.abs(F.col("u") - both / 2) - 0.5) / spread
-    out = out.select("a", "b", "n_a", "n_b", "u", (2 * F.col("u") / both - 1).alias("delta"), z.alias("z")).withColumn("size", magnitude(F.col("delta")))
+    pair = F.col("n_a").cast("double") * F.col("n_b")
+    spread = F.sqrt(pair / 12 * (n + 1 - F.col("ties") / (n * (n - 1))))
+    z = F.when(spread > 0, (F.abs(F.col("u") - pair / 2) - 0.5) / spread)
+    out = out.select("a", "b", "n_a", "n_b", "u", (2 * F.col("u") / pair - 1).alias("delta"), z.alias("z")).withColumn("size", magnitude(F.col("delta")))
 
     @F.pandas_udf("double")  # a row for each pair of groups
     def two_sided(z: pd.Series) -> pd.Series:
         return z.map(lambda v: 1.0 if v is None or v != v else min(1.0, math.erfc(v / math.sqrt(2))))
 
-    out = out.withColumn("p", two_sided("z")).drop("z").withColumn("id", F.struct("a", "b"))
-    return adjusted(out).drop("id").withColumnRenamed("adjusted", "p_holm")
+    return adjusted(out.withColumn("p", two_sided("z")).drop("z").withColumn("id", F.struct("a", "b"))).drop("id").withColumnRenamed("adjusted", "p_holm")
 
 
 def chi_square_tail(x: float, freedom: int) -> float:
@@ -246,23 +279,25 @@ def chi_square_tail(x: float, freedom: int) -> float:
 
 
 def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
-    """One row: Kruskal and Wallis's H over all groups with the correction for ties, its p-value, and epsilon squared."""
-    groups, counts = _counts_by_group(df, value, group)
-    every, below = (sum((F.col(f"{p}{i}") for i in range(len(groups))), F.lit(0)) for p in "nb")
-    t = every.cast("double")
-    rank = below + (every + 1) / 2
-    one = counts.agg(F.coalesce(F.sum(every), F.lit(0)).alias("n"), F.sum(t * t * t - t).alias("ties"), *[F.sum(F.col(f"n{i}")).alias(f"n{i}") for i in range(len(groups))], *[F.sum(F.col(f"n{i}") * rank).alias(f"r{i}") for i in range(len(groups))])
-    n = F.col("n").cast("double")
-    raw = 12 / (n * (n + 1)) * sum((F.col(f"r{i}") * F.col(f"r{i}") / F.col(f"n{i}") for i in range(len(groups))), F.lit(0.0)) - 3 * (n + 1)
+    """One row: Kruskal and Wallis's H over all groups, of which there may be any number, with the correction for ties, its p-value, and epsilon squared."""
+    counts = stored(_counts_by_group(df, value, group), "group-counts")
+    every = order.running(counts.groupBy("v").agg(F.sum("n").alias("all")), ["v"], {"below": F.col("all")}, inclusive=False)
+    every = every.select(F.col("v").alias("at"), "all", "below")
+    t = F.col("all").cast("double")
+    ties = every.agg(F.coalesce(F.sum("all"), F.lit(0)).alias("n"), F.sum(t * t * t - t).alias("ties"))
+    ranks = counts.join(every, F.col("v") == F.col("at")).groupBy("g").agg(F.sum("n").alias("size"), F.sum(F.col("n") * (F.col("below") + (F.col("all") + 1) / 2)).alias("rank"))
+    parts = ranks.agg(F.count(F.lit(1)).alias("groups"), F.sum(F.col("rank") * F.col("rank") / F.col("size")).alias("parts"))
+    one = ties.crossJoin(parts)  # one row each
+    n, k = F.col("n").cast("double"), F.col("groups")
+    raw = 12 / (n * (n + 1)) * F.col("parts") - 3 * (n + 1)
     h = F.when((n > 1) & (F.col("ties") < n * n * n - n), raw / (1 - F.col("ties") / (n * n * n - n)))
-    k = len(groups)
 
     @F.pandas_udf("double")  # one row
-    def tail(h: pd.Series) -> pd.Series:
-        return h.map(lambda v: None if v is None or v != v else chi_square_tail(v, max(1, k - 1)))
+    def tail(h: pd.Series, k: pd.Series) -> pd.Series:
+        return pd.Series([None if v is None or v != v else chi_square_tail(v, max(1, int(m) - 1)) for v, m in zip(h, k, strict=True)], dtype=float)
 
-    out = one.select("n", F.lit(k).alias("groups"), h.alias("h"))  # null for a single value or none
-    return out.withColumns({"p": tail("h"), "epsilon_squared": F.when(F.col("n") > k, (F.col("h") - k + 1) / (F.col("n") - k))})
+    out = one.select("n", k.cast("int").alias("groups"), h.alias("h"))  # null for a single value or none
+    return out.withColumns({"p": tail("h", "groups"), "epsilon_squared": F.when(F.col("n") > F.col("groups"), (F.col("h") - F.col("groups") + 1) / (F.col("n") - F.col("groups")))})
 
 
 def synthetic_field(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:

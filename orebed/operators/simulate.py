@@ -1,4 +1,4 @@
-"""Sequential Gaussian simulation and kriging tests: grouped kernels, one group a realisation or a fold."""
+"""Sequential Gaussian simulation block by block, kriging of held-out folds, conditional fields and what is built on them."""
 
 from __future__ import annotations
 
@@ -6,75 +6,149 @@ import dataclasses
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.covariance import Buckets, Model, fit, krige
+from ..functions.covariance import Buckets, Model, basis, directional, fit, krige
+from ..sources.scratch import stored
 from . import compare, ensemble, pairs, samples
 from .grid import Grid
 
-#: Conditioning points that are broadcast at most; more are thinned by the caller (one a cell, say).
-MAX_POINTS = 500_000
+#: Edge of the blocks that are simulated apart, in radii of the search: 2 at least.
+BLOCK = 4.0
 
 
 @dataclasses.dataclass(frozen=True)
 class Search:
-    """Ellipsoid radii (after an optional rotation), and how many neighbours count."""
+    """Ellipsoid radii (after an optional rotation), how many neighbours count, and how many there should be."""
 
     radii: tuple[float, float, float]
     k: int = 20
     axes: tuple[tuple[float, float, float], ...] | None = None
+    least: int = 0
+    #: A node without any neighbour is an error.
+    required: bool = False
 
     def scaled(self, xyz: np.ndarray) -> np.ndarray:
         return (xyz @ np.array(self.axes).T if self.axes else xyz) / np.array(self.radii)
 
 
-def _held(df: DataFrame, columns: list[str], check: str) -> pd.DataFrame:
-    n = df.count()
-    if n > MAX_POINTS:
-        raise ValueError(f"{n} {check}, more than {MAX_POINTS} can't be broadcast")
-    return df.select(*columns).toPandas()
-
-
-def simulate_one(cells: np.ndarray, points: np.ndarray, values: np.ndarray, model: Model, search: Search, seed: int, nugget_on_diagonal: bool = False) -> np.ndarray:
-    """One realisation at the cells, in a random order, each conditioned on data and on cells before it.
-    Without any neighbour a cell is drawn from the model's whole variance."""
+def simulate_one(cells: np.ndarray, points: np.ndarray, values: np.ndarray, model: Model, search: Search, seed: int | list[int], nugget_on_diagonal: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """One realisation at the cells, in a random order, each conditioned on data and on cells before it, and how many
+    neighbours each had.  Without any a cell is drawn from the model's whole variance."""
     rng = np.random.default_rng(seed)
     everything = np.concatenate([points, np.empty((len(cells), 3))])
     known = np.concatenate([values, np.empty(len(cells))])
     scaled = search.scaled(cells)
     buckets = Buckets(search.scaled(points) if len(points) else np.empty((0, 3)))
-    out = np.empty(len(cells))
+    out, met = np.empty(len(cells)), np.zeros(len(cells), int)
     n = len(points)
     noise = rng.standard_normal(len(cells))
     for step, c in enumerate(rng.permutation(len(cells)).tolist()):
         at = tuple(scaled[c].tolist())
         near = buckets.near(at, search.k)
+        met[c] = len(near)
+        if not near and search.required:
+            raise RuntimeError(f"no neighbour for a node; {search.least} are wanted")
         mean, variance = krige(model, everything[near], known[near], cells[c], nugget_on_diagonal) if near else (0.0, model.sill)
         out[c] = mean + np.sqrt(variance) * noise[step]
         everything[n], known[n] = cells[c], out[c]
         n += 1
         buckets.add(at)
-    return out
-
+    return out, met
 
-def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], search: Search, seed: int, nugget_on_diagonal: bool = False) -> DataFrame:
-    """Rows ``real_id, domain, cell_id, value`` for cells ``real_id, domain, cell_id, x, y, z``.
 
-    A group is one domain of one realisation; it sees the samples of its own
-    domain only (``domain, x, y, z, score``).  A group run again gives the same
-    values: its cells are sorted and its seed is ``seed + real_id + 100000 * domain``.
+@dataclasses.dataclass(frozen=True)
+class _Blocks:
+    """Cubes of search space, ``size`` search radii wide, from ``origin`` on."""
+
+    search: Search
+    size: float
+    origin: tuple[float, float, float] = (0.0, 0.0, 0.0)
+
+    def _scaled(self, df: DataFrame) -> tuple[DataFrame, list[Column]]:
+        out = pairs.search_space(df.select("*", *[F.col(a).alias(f"_{a}") for a in "xyz"]), self.search.radii, self.search.axes)
+        return out, [F.col(a) - o for a, o in zip("xyz", self.origin, strict=True)]
+
+    def snapped(self, df: DataFrame) -> _Blocks:
+        """The same with their origin at the least place of the rows."""
+        scaled, place = self._scaled(df)
+        least = scaled.agg(*[F.min(p).alias(a) for p, a in zip(place, "xyz", strict=True)]).first()
+        return dataclasses.replace(self, origin=tuple(least[a] or 0.0 for a in "xyz"))
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        """Adds the block of each row, ``bx, by, bz``, and its colour: 0 to 7 by odd and even."""
+        scaled, place = self._scaled(df)
+        out = scaled.select(*[F.col(f"_{c}").alias(c) if c in "xyz" else F.col(c) for c in df.columns], *[F.floor(p / self.size).cast("long").alias(f"b{a}") for p, a in zip(place, "xyz", strict=True)])
+        return out.withColumn("colour", (F.pmod("bx", F.lit(2)) + 2 * F.pmod("by", F.lit(2)) + 4 * F.pmod("bz", F.lit(2))).cast("int"))
+
+    def around(self, df: DataFrame) -> DataFrame:
+        """The rows, once for each block that they lie in or within reach of: 8 at most."""
+        scaled, place = self._scaled(df)
+        reach = [F.sequence(*[F.floor((p + d) / self.size).cast("long") for d in (-1.0, 1.0)]) for p in place]
+        out = scaled.select(*[F.col(f"_{c}").alias(c) if c in "xyz" else F.col(c) for c in df.columns], *[r.alias(f"_b{a}") for r, a in zip(reach, "xyz", strict=True)])
+        for a in "xyz":
+            out = out.withColumn(f"b{a}", F.explode(f"_b{a}"))
+        return out.drop("_bx", "_by", "_bz")
+
+
+def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], search: Search, seed: int, nugget_on_diagonal: bool = False, block: float = BLOCK) -> DataFrame:
+    """Rows ``real_id, domain, cell_id, value, neighbours`` for cells ``real_id, domain, cell_id, x, y, z``.
+
+    A domain of a realisation sees the samples of its own domain only
+    (``domain, x, y, z, score``), and its own cells that came before.
+
+    Space is cut in blocks of ``block`` search radii.  Blocks of one colour, of
+    eight, lie more than a radius apart, so they don't see each other: the path
+    goes through all blocks of a colour, then of the next, in random order
+    within each block.  So one task holds one block of one domain of one
+    realisation, with the samples and earlier cells within a radius of it, and a
+    path of any number of cells takes eight rounds at most.  What is simulated
+    is written after each.  A block run again gives the same values: its rows
+    are sorted, and its seed is made of ``seed + real_id + 100000 * domain`` and
+    its place.  Rows without a place are left out, as are samples without a score.
     """
-    held = cells.sparkSession.sparkContext.broadcast(_held(samples, ["domain", "x", "y", "z", "score"], "samples"))
-
-    def kernel(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        real_id, domain = int(key[0]), int(key[1])
+    if block < 2:
+        raise ValueError("blocks are 2 search radii wide at least")
+    here = ["real_id", "domain", "bx", "by", "bz"]
+    at = cells.select(F.col("real_id").cast("int").alias("real_id"), F.col("domain").cast("int").alias("domain"), F.col("cell_id").cast("long").alias("cell_id"), *[F.col(a).cast("double").alias(a) for a in "xyz"]).dropna()
+    blocks = _Blocks(search, block).snapped(at)
+    at = stored(blocks.dealt(at), "blocks")
+    data = samples.select(F.col("domain").cast("int").alias("domain"), *[F.col(a).cast("double").alias(a) for a in ("x", "y", "z", "score")]).dropna()
+    data = blocks.around(data)
+
+    def kernel(key: tuple, group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(group):
+            return pd.DataFrame({"real_id": [], "domain": [], "cell_id": [], "value": [], "neighbours": [], "x": [], "y": [], "z": []})
+        real_id, domain, *place = (int(k) for k in key)
         group = group.sort_values("cell_id")
-        own = held.value[held.value["domain"] == domain].sort_values(["x", "y", "z", "score"])
-        v = simulate_one(group[["x", "y", "z"]].to_numpy(float), own[["x", "y", "z"]].to_numpy(float), own["score"].to_numpy(float), models[domain], search, seed + real_id + 100_000 * domain, nugget_on_diagonal)
-        return pd.DataFrame({"real_id": group["real_id"], "domain": group["domain"], "cell_id": group["cell_id"], "value": v})
-
-    return cells.groupBy("real_id", "domain").applyInPandas(kernel, "real_id int, domain int, cell_id long, value double")
+        known = known.sort_values(["x", "y", "z", "score"])
+        seeds = [(seed + real_id + 100_000 * domain) % 2**64, *[p % 2**64 for p in place]]
+        v, met = simulate_one(group[["x", "y", "z"]].to_numpy(float), known[["x", "y", "z"]].to_numpy(float), known["score"].to_numpy(float), models[domain], search, seeds, nugget_on_diagonal)
+        return pd.DataFrame({"real_id": group["real_id"], "domain": group["domain"], "cell_id": group["cell_id"], "value": v, "neighbours": met, "x": group["x"], "y": group["y"], "z": group["z"]})
+
+    out: DataFrame | None = None
+    for colour in sorted(r["colour"] for r in at.select("colour").distinct().collect()):
+        own = at.filter(F.col("colour") == colour)
+        asked = own.select(*here).distinct()
+        known = asked.join(data, ["domain", "bx", "by", "bz"]).select(*here, "x", "y", "z", "score")
+        if out is not None:
+            before = blocks.around(out.select("real_id", "domain", "x", "y", "z", F.col("value").alias("score")))
+            known = known.unionByName(before.join(asked, here, "left_semi").select(*here, "x", "y", "z", "score"))
+        known = known.withColumnsRenamed({c: f"of_{c}" for c in here})
+        drawn = own.groupBy(*here).cogroup(known.groupBy(*[f"of_{c}" for c in here])).applyInPandas(kernel, "real_id int, domain int, cell_id long, value double, neighbours int, x double, y double, z double")
+        drawn = stored(drawn, "simulated")
+        out = drawn if out is None else out.unionByName(drawn)
+    if out is None:
+        return at.select("real_id", "domain", "cell_id", F.lit(0.0).alias("value"), F.lit(0).alias("neighbours"))
+    return out.select("real_id", "domain", "cell_id", "value", "neighbours")
+
+
+def neighbourhoods(simulated: DataFrame, least: int) -> DataFrame:
+    """By realisation and domain: nodes, the mean number of neighbours, and the percentage with fewer than ``least`` and with none."""
+    share = lambda c: 100 * F.avg(c.cast("double"))
+    n = F.col("neighbours")
+    return simulated.groupBy("real_id", "domain").agg(F.count(F.lit(1)).alias("nodes"), F.avg(n).alias("avg_neighbours"), share(n < least).alias("under_least_pct"), share(n == 0).alias("none_pct"))
 
 
 def wave_numbers(model: Model, n: int, rng: np.random.Generator) -> np.ndarray:
@@ -89,6 +163,7 @@ def wave_numbers(model: Model, n: int, rng: np.random.Generator) -> np.ndarray:
 
 def waves(xyz: np.ndarray, model: Model, n_real: int, seed: int, modes: int) -> np.ndarray:
     """The structured part of ``n_real`` unconditional fields at the points, one column each."""
+    xyz = model.space(xyz)
     out = np.empty((len(xyz), n_real))
     for r in range(n_real):
         rng = np.random.default_rng([seed, r])
@@ -129,11 +204,10 @@ def conditional_fields(cells: DataFrame, samples: DataFrame, model: Model, searc
                 if near is not None and len(near):
                     xyz = np.array([[s["sx"], s["sy"], s["sz"]] for s in near])
                     left = np.array([s["left"] for s in near])
-                    between = model.covariance(np.sqrt(((xyz[:, None] - xyz[None]) ** 2).sum(-1)))
+                    between = model.between(xyz, xyz)
                     between[np.diag_indices_from(between)] += 1e-10
-                    away = np.sqrt(((xyz - places[i]) ** 2).sum(-1))
-                    field[i] += np.linalg.lstsq(between, model.covariance(away), rcond=None)[0] @ left
-                    on_sample = bool(away.min() == 0)
+                    field[i] += np.linalg.lstsq(between, model.between(xyz, places[i : i + 1])[:, 0], rcond=None)[0] @ left
+                    on_sample = bool((xyz == places[i]).all(1).any())
                 if not on_sample:
                     field[i] += np.sqrt(model.nugget) * np.random.default_rng([seed, int(cell) % 2**64, 1]).standard_normal(n_real)
             yield pd.DataFrame({"real_id": np.tile(np.arange(n_real), len(b)), "cell_id": np.repeat(b["id"].to_numpy(), n_real), "value": field.ravel()})
@@ -160,54 +234,132 @@ def folds(df: DataFrame, k: int, seed: int, block: float | None = None, key: str
     return df.withColumn("fold", F.pmod(F.xxhash64(*parts, F.lit(seed)), F.lit(k)).cast("int"))
 
 
-class Scores:
-    """Normal scores of values, and back, in NumPy: the rule of ``samples.score_table`` for one fold's values."""
+def section_folds(df: DataFrame, width: float, axis: str = "y") -> DataFrame:
+    """Adds ``fold``: one for each section of so much width across an axis."""
+    return df.withColumn("fold", F.floor(F.col(axis) / width).cast("int"))
 
-    def __init__(self, values: np.ndarray, weights: np.ndarray | None = None):
-        from statistics import NormalDist
 
-        order = np.argsort(values, kind="stable")
-        self.values = values[order]
-        w = np.ones(len(values)) if weights is None else weights[order]
-        p = np.clip((np.cumsum(w) - w / 2) / w.sum(), 1e-6, 1 - 1e-6)
-        self.scores = np.array([NormalDist().inv_cdf(x) for x in p.tolist()])
+def hole_folds(df: DataFrame, by: str = "hole_id") -> DataFrame:
+    """Adds ``fold``: one for each hole."""
+    return df.withColumn("fold", F.col(by))
 
-    def to(self, v: np.ndarray) -> np.ndarray:
-        return np.interp(v, self.values, self.scores)
 
-    def back(self, s: np.ndarray) -> np.ndarray:
-        return np.interp(s, self.scores, self.values)
+def _families(df: DataFrame, family: str | None) -> DataFrame:
+    """Rows ``_family, id, x, y, z, value, fold`` that have all of these, written once."""
+    one = F.lit("") if family is None else F.col(family).cast("string")
+    return stored(df.select(one.alias("_family"), "id", *[F.col(a).cast("double").alias(a) for a in ("x", "y", "z", "value")], "fold").dropna(), "folded")
 
 
-def cross_validate(df: DataFrame, model: Model, search: Search, least: int = 1, trend: tuple[str, ...] = ()) -> DataFrame:
-    """Rows ``id, fold, value, estimate``: each fold kriged from all others (``id, x, y, z, value, fold``).
+def _held_apart(held: DataFrame, search: Search) -> DataFrame:
+    """Neighbours of each row in the other folds of its family, within the search: ``_family, target, sample, rank, distance``."""
+    scaled = pairs.search_space(held.select("id", "x", "y", "z", "fold", "_family", F.lit(0).alias("label")), search.radii, search.axes)
+    return pairs.neighbours(scaled, scaled, 1.0, search.k, apart="fold", within="_family").select("_family", "target", "sample", "rank", "distance")
+
+
+KRIGING = ("simple_kriging", "ordinary_kriging")
+
+
+def kriged(df: DataFrame, model: Model, methods: tuple[str, ...] = KRIGING[:1]) -> DataFrame:
+    """The rows, once for each method, with ``method`` and ``estimate`` from ``near``, an array of neighbours
+    ``rank, x, y, z, score``; null without any."""
+    names = [c for c in df.columns if c != "near"]
+    schema = ", ".join(f"{c} {t}" for c, t in df.dtypes if c != "near") + ", method string, estimate double"
+
+    def kernel(batches):
+        for b in batches:
+            out = np.full((len(methods), len(b)), np.nan)
+            for i, (place, near) in enumerate(zip(b[["x", "y", "z"]].to_numpy(float), b["near"], strict=True)):
+                if near is not None and len(near):
+                    xyz, scores = np.array([[s["x"], s["y"], s["z"]] for s in near]), np.array([s["score"] for s in near])
+                    for m, method in enumerate(methods):
+                        out[m, i] = krige(model, xyz, scores, place, ordinary=method == KRIGING[1])[0]
+            for m, method in enumerate(methods):
+                yield b[names].assign(method=method, estimate=out[m])
+
+    return df.mapInPandas(kernel, schema).withColumn("estimate", F.nanvl("estimate", F.lit(None).cast("double")))
+
+
+def cross_validated(df: DataFrame, model: Model, search: Search, least: int = 1, trend: tuple[str, ...] = (), methods: tuple[str, ...] = KRIGING[:1], family: str | None = None) -> DataFrame:
+    """Rows ``family, method, id, fold, value, estimate``: each fold kriged from all others (``id, x, y, z, value, fold``).
 
     Each fold fits its own linear trend over the coordinates ``trend`` and its
     own normal scores on its training rows alone, kriges in scores, and takes
     estimates back to values and trend.  With fewer than ``least`` neighbours
-    the mean of the training values stands in.
+    the mean of the training values stands in; without training rows the
+    estimate is null.  Rows without a place, a value or a fold are left out.
+    ``family`` names a column of tables of folds that are tested side by side,
+    each id once in each: they share all jobs.
+
+    Nothing is collected but sums, one row a fold.  Every row is handed to the
+    folds that it trains, as many copies as there are other folds; scores of all
+    folds come of one sort, neighbours of one join that leaves the row's own
+    fold out, and only rows with their neighbours are kriged.
     """
-    held = df.sparkSession.sparkContext.broadcast(_held(df, ["id", "x", "y", "z", "value", "fold"], "samples").sort_values("id"))
-
-    def kernel(group: pd.DataFrame) -> pd.DataFrame:
-        train = held.value[held.value["fold"] != group["fold"].iloc[0]]
-        if not len(train):
-            return pd.DataFrame({"id": group["id"], "fold": group["fold"], "value": group["value"], "estimate": np.nan})
-        xyz, v = train[["x", "y", "z"]].to_numpy(float), train["value"].to_numpy(float)
-        design = lambda d: np.column_stack([np.ones(len(d)), *[d[c].to_numpy(float) for c in trend]])
-        slope = np.linalg.lstsq(design(train), v, rcond=None)[0] if trend else np.zeros(1)
-        left = v - design(train) @ slope if trend else v
-        scores = Scores(left)
-        s = scores.to(left)
-        buckets, at = Buckets(search.scaled(xyz)), group[["x", "y", "z"]].to_numpy(float)
-        out = np.empty(len(group))
-        lift = design(group) @ slope if trend else np.zeros(len(group))
-        for i, (p, q) in enumerate(zip(at, search.scaled(at), strict=True)):
-            near = buckets.near(tuple(q.tolist()), search.k)
-            out[i] = scores.back(krige(model, xyz[near], s[near], p)[0]) + lift[i] if len(near) >= max(1, least) else v.mean()
-        return pd.DataFrame({"id": group["id"], "fold": group["fold"], "value": group["value"], "estimate": out})
-
-    return df.select("id", "x", "y", "z", "value", "fold").groupBy("fold").applyInPandas(kernel, "id long, fold int, value double, estimate double")
+    held = _families(df, family)
+    kind = dict(held.dtypes)["fold"]
+    # Sums over all rows less those of the fold: its training rows' trend and mean.
+    cols = [F.lit(1.0), *[F.col(c) for c in trend]]
+    sums = [F.sum(a * b).alias(f"a{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j] + [F.sum(a * F.col("value")).alias(f"b{i}") for i, a in enumerate(cols)]
+    by_fold = [r.asDict() for r in held.groupBy("_family", "fold").agg(*sums).collect()]
+    whole: dict[str, dict[str, float]] = {}
+    for r in by_fold:
+        own = whole.setdefault(r["_family"], dict.fromkeys(set(r) - {"_family", "fold"}, 0.0))
+        for c in own:
+            own[c] += r[c]
+    rows, n = [], len(cols)
+    for r in by_fold:
+        left = {c: v - r[c] for c, v in whole[r["_family"]].items()}
+        a = np.array([[left[f"a{min(i, j)}_{max(i, j)}"] for j in range(n)] for i in range(n)])
+        b = np.array([left[f"b{i}"] for i in range(n)])
+        slope = np.linalg.lstsq(a, b, rcond=None)[0] if trend else np.zeros(1)
+        rows.append((r["_family"], r["fold"], slope.tolist(), float(b[0] / a[0, 0]) if a[0, 0] > 0 else None))
+    fits = df.sparkSession.createDataFrame(rows, f"_f string, of {kind}, slope array<double>, mean double")
+
+    def lift(slope: str) -> Column:
+        return sum((F.col(slope)[i + 1] * F.col(c) for i, c in enumerate(trend)), F.col(slope)[0])
+
+    train = held.join(fits, (F.col("_family") == F.col("_f")) & (F.col("fold") != F.col("of")))
+    train = stored(train.select("_family", F.col("of").alias("_fold"), "id", "x", "y", "z", (F.col("value") - lift("slope")).alias("left")), "training")
+    table = stored(samples.score_table(train, "left", by=("_family", "_fold")), "fold-scores")
+    known = table.withColumnsRenamed({"_family": "_f", "_fold": "_o", "value": "_v"})
+    scored = train.join(known, (F.col("left") == F.col("_v")) & (F.col("_fold") == F.col("_o")) & (F.col("_family") == F.col("_f")))
+    scored = scored.select("_family", "_fold", F.col("id").alias("sample"), F.col("x").alias("sx"), F.col("y").alias("sy"), F.col("z").alias("sz"), "score")
+    near = _held_apart(held, search).join(held.select("_family", F.col("id").alias("target"), F.col("fold").alias("_fold")), ["_family", "target"])
+    listed = F.array_sort(F.collect_list(F.struct("rank", F.col("sx").alias("x"), F.col("sy").alias("y"), F.col("sz").alias("z"), "score"))).alias("near")
+    near = near.join(scored, ["_family", "_fold", "sample"]).groupBy(F.col("_family").alias("_f"), "target").agg(listed)
+    at = held.join(near, (F.col("id") == F.col("target")) & (F.col("_family") == F.col("_f")), "left").drop("target", "_f")
+    enough = F.coalesce(F.size("near") >= max(1, least), F.lit(False))
+    at = kriged(at.withColumn("near", F.when(enough, F.col("near"))), model, methods).withColumnRenamed("estimate", "drawn")
+    back = samples.interpolated(at, "drawn", table.withColumnRenamed("_fold", "fold"), "score", "value", "back", by=("_family", "fold"))
+    out = back.join(fits, (F.col("fold") == F.col("of")) & (F.col("_family") == F.col("_f")), "left")
+    return out.select(F.col("_family").alias("family"), "method", "id", "fold", "value", F.coalesce(F.col("back") + lift("slope"), F.col("mean")).alias("estimate"))
+
+
+def cross_validate(df: DataFrame, model: Model, search: Search, least: int = 1, trend: tuple[str, ...] = ()) -> DataFrame:
+    """Rows ``id, fold, value, estimate`` of simple kriging, see ``cross_validated``."""
+    return cross_validated(df, model, search, least, trend).select("id", "fold", "value", "estimate")
+
+
+def inverse_distances(df: DataFrame, search: Search, power: float = 2.0, least: int = 1, family: str | None = None) -> DataFrame:
+    """Rows ``family, id, fold, value, estimate`` as ``cross_validated`` has them, by inverse distances (at least 1e-6) in search space."""
+    held = _families(df, family)
+    near = _held_apart(held, search).join(held.select("_family", F.col("id").alias("sample"), F.col("value").alias("known")), ["_family", "sample"])
+    weight = F.pow(F.greatest("distance", F.lit(1e-6)), -power)
+    near = near.groupBy(F.col("_family").alias("_f"), "target").agg(F.count(F.lit(1)).alias("n"), (F.sum(weight * F.col("known")) / F.sum(weight)).alias("near"))
+    sums = held.groupBy("_family", "fold").agg(F.sum("value").alias("s"), F.count(F.lit(1)).alias("c"))
+    whole = sums.groupBy("_family").agg(F.sum("s").alias("whole_s"), F.sum("c").alias("whole_c"))
+    mean = F.when(F.col("whole_c") > F.col("c"), (F.col("whole_s") - F.col("s")) / (F.col("whole_c") - F.col("c")))
+    mean = sums.join(whole, "_family").select(F.col("_family").alias("_m"), F.col("fold").alias("of"), mean.alias("mean"))
+    out = held.join(near, (F.col("id") == F.col("target")) & (F.col("_family") == F.col("_f")), "left").join(mean, (F.col("fold") == F.col("of")) & (F.col("_family") == F.col("_m")))
+    return out.select(F.col("_family").alias("family"), "id", "fold", "value", F.when(F.col("n") >= max(1, least), F.col("near")).otherwise(F.col("mean")).alias("estimate"))
+
+
+def baselines(df: DataFrame, model: Model, search: Search, least: int = 1, trend: tuple[str, ...] = ()) -> DataFrame:
+    """Errors by family of folds and method: inverse distances, ordinary and simple kriging beside each other, all
+    from the same folds (``family, id, x, y, z, value, fold``)."""
+    drawn = inverse_distances(df, search, least=least, family="family").withColumn("method", F.lit("inverse_distance"))
+    both = cross_validated(df, model, search, least, trend, KRIGING, "family").unionByName(drawn)
+    return compare.errors(both, "value", "estimate", ["family", "method"])
 
 
 def fitted(points: DataFrame, reach: float, lags: int, kind: str = "exponential", value: str = "score") -> Model:
@@ -216,18 +368,85 @@ def fitted(points: DataFrame, reach: float, lags: int, kind: str = "exponential"
     return fit([r["distance"] for r in v], [r["gamma"] for r in v], kind).with_sill(1.0)
 
 
-def prepare_domains(df: DataFrame, names: list[str], size: tuple[float, float, float], reach: float, lags: int, kind: str = "exponential") -> dict[str, tuple[DataFrame, DataFrame, Model]]:
-    """For each domain (``domain_group``) with samples ``id, x, y, z, value``: the samples with declustering
-    weights, weighted normal scores and the number ``domain``; the table of scores; the fitted model."""
+@dataclasses.dataclass(frozen=True)
+class Orientation:
+    """Strike and dip of a body, the tolerance of its directional variograms, the longest range that counts, and ranges that
+    are given rather than fitted."""
+
+    strike: float
+    dip: float
+    dip_direction: float | None = None
+    tolerance: float = 22.5
+    max_reach: float = float("inf")
+    ranges: tuple[float, float, float] | None = None
+
+    @property
+    def axes(self) -> np.ndarray:
+        return basis(self.strike, self.dip, self.dip_direction)
+
+
+AXES = ("strike", "dip", "normal")
+
+
+def fitted_by(points: DataFrame, by: str, reach: float, lags: int, kind: str = "exponential", value: str = "score", orientation: Orientation | None = None) -> dict:
+    """A model for each value of ``by``: sill and nugget of the omnidirectional variogram, and with an
+    orientation the ranges of three directional ones.  One job makes all variograms; what is collected are
+    four rows a lag for each value."""
+    directions, tolerance = {"all": (1.0, 0.0, 0.0)}, {"all": 90.0}
+    if orientation is not None:
+        directions |= {n: tuple(a) for n, a in zip(AXES, orientation.axes.tolist(), strict=True)}
+        tolerance |= dict.fromkeys(AXES, orientation.tolerance)
+    rows = pairs.variogram(points, reach, lags, directions, tolerance, value=value, by=(by,)).collect()
     out = {}
-    for k, name in enumerate(names):
-        own = samples.decluster(df.filter(F.col("domain_group") == name), size, "value")
-        table = samples.score_table(own, "value", "decluster_weight", "id")
-        scored = own.join(table.withColumnRenamed("value", "_v"), F.col("value") == F.col("_v")).drop("_v").withColumn("domain", F.lit(k))
-        out[name] = (scored, table, fitted(scored, reach, lags, kind))
+    for k in sorted({r[by] for r in rows}):
+        curves = {d: sorted(((r["distance"], r["gamma"]) for r in rows if r[by] == k and r["direction"] == d)) for d in directions}
+        one = {d: fit(*map(np.array, zip(*c, strict=True)), kind, 2.5 * reach) if len(c) >= 3 else None for d, c in curves.items()}
+        base = one["all"] or Model(kind)
+        if orientation is not None:
+            ranges = dict(zip(AXES, orientation.ranges, strict=True)) if orientation.ranges else {n: one[n].reach if one[n] else None for n in AXES}
+            base = directional(base, ranges, orientation.axes, orientation.max_reach)
+        out[k] = base.with_sill(1.0)
     return out
 
 
+@dataclasses.dataclass
+class Prepared:
+    """Samples with ``domain_group, domain, decluster_weight, score``, their score tables by domain, and models by its number."""
+
+    samples: DataFrame
+    scores: DataFrame
+    models: dict[int, Model]
+
+
+def prepare_domains(df: DataFrame, names: list[str], size: tuple[float, float, float], reach: float, lags: int, kind: str = "exponential", orientation: Orientation | None = None) -> Prepared:
+    """For each domain (``domain_group``) with samples ``id, x, y, z, value``: declustering weights within the
+    domain, weighted normal scores, and a model, all domains in the same jobs.  ``domain`` is the place of its
+    name.  A domain without samples is an error."""
+    number = F.create_map(*[F.lit(v) for k, n in enumerate(names) for v in (n, k)])
+    own = df.withColumn("domain", number[F.col("domain_group")]).filter(F.col("domain").isNotNull())
+    own = samples.decluster(own, size, "value", by="domain")
+    table = stored(samples.score_table(own, "value", "decluster_weight", "id", by=("domain",)), "domain-scores")
+    known = table.withColumnsRenamed({"value": "_v", "domain": "_d"})
+    scored = stored(own.join(known, (F.col("value") == F.col("_v")) & (F.col("domain") == F.col("_d"))).drop("_v", "_d"), "domain-samples")
+    found = {r["domain"] for r in scored.select("domain").distinct().collect()}
+    if len(found) < len(names):
+        raise ValueError(f"no samples in {[n for k, n in enumerate(names) if k not in found]}")
+    models = fitted_by(scored, "domain", reach, lags, kind, orientation=orientation)
+    return Prepared(scored, table, {k: models.get(k, Model(kind).with_sill(1.0)) for k in range(len(names))})
+
+
+def cascade(prepared: Prepared, cells: DataFrame, search: Search, seed: int, trend: tuple[list[float], list[str]] | None = None) -> DataFrame:
+    """Rows ``real_id, domain, cell_id, value, neighbours`` in the samples' units: each domain of each realisation
+    (cells ``real_id, domain, cell_id, x, y, z``) simulated from its own samples by its own model, taken back by its own
+    scores, and the trend put on again."""
+    drawn = simulate(cells, prepared.samples, prepared.models, search, seed).withColumnRenamed("value", "drawn")
+    out = samples.interpolated(drawn, "drawn", prepared.scores, "score", "value", "value", by=("domain",)).drop("drawn")
+    if trend is not None:
+        places = cells.select("real_id", "cell_id", "x", "y", "z")
+        out = with_trend(out.join(places, ["real_id", "cell_id"]), *trend)
+    return out.select("real_id", "domain", "cell_id", "value", "neighbours")
+
+
 def simulated_curve(points: DataFrame, grid: Grid, n_real: int, search: Search, seed: int, cutoffs: list[float], density: float, reach: float, lags: int) -> DataFrame:
     """Summary over realisations of the cutoff curve: scores and model fitted on the points
     (``id, x, y, z, value``), simulated on the grid, and taken back to values."""

@@ -94,21 +94,73 @@ def e6_e7_simulation(spark: SparkSession, sf: str) -> DataFrame:
     return ensemble.cell_percentiles(out.join(cells.select("real_id", "cell_id", "ix", "iy", "iz"), ["real_id", "cell_id"]))
 
 
+@query("e7_neighbourhoods")
+def e7_neighbourhoods(spark: SparkSession, sf: str) -> DataFrame:
+    """How many neighbours the simulated nodes had, by realisation."""
+    cells = _cells(spark, 3).withColumn("domain", F.lit(0))
+    s = scored(spark, sf).withColumn("domain", F.lit(0))
+    return simulate.neighbourhoods(simulate.simulate(cells, s, {0: MODEL}, SEARCH, 1337), 3)
+
+
 @query("e8_conditional_fields")
 def e8_conditional_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Five random fields that honour the points' scores, on a small grid."""
     return simulate.conditional_fields(GRID.cells(spark), scored(spark, sf), MODEL, SEARCH, 5, 1337)
 
 
+ORIENTATION = simulate.Orientation(30.0, 40.0, tolerance=30.0)
+DOMAINS = ["fresh_graphitic", "host_waste"]
+
+
+def prepared(spark: SparkSession, sf: str, orientation: simulate.Orientation | None = None) -> simulate.Prepared:
+    p = views.points(spark, sf).withColumn("lith_code", F.when(F.col("label") % 2 == 0, "QV").otherwise("GRSC4"))
+    return simulate.prepare_domains(samples.with_domains(p, "value"), DOMAINS, (0.2, 0.2, 0.2), 0.3, 8, orientation=orientation)
+
+
 @query("e9_cascade")
 def e9_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Each domain of each realisation simulated from its own samples, then put together."""
+    """Each domain of each realisation by its own samples, scores and directional model, then put together."""
     cells = _cells(spark, 3).withColumn("domain", (F.pmod(F.col("ix") + F.col("real_id"), F.lit(2))).cast("int"))
-    s = scored(spark, sf).withColumn("domain", (F.col("label") % 2).cast("int"))
-    out = simulate.simulate(cells, s, {0: MODEL, 1: MODEL.tuned(0.5)}, SEARCH, 1337)
+    out = simulate.require_complete(simulate.cascade(prepared(spark, sf, ORIENTATION), cells, SEARCH, 1337), cells)
     return out.groupBy("real_id", "domain").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
 
 
+@query("m14_directional_models")
+def m14_directional_models(spark: SparkSession, sf: str) -> DataFrame:
+    """Nugget, sill, ranges along strike, dip and normal, and their ratios, by domain."""
+    out = []
+    for k, m in sorted(prepared(spark, sf, ORIENTATION).models.items()):
+        ranges = dict(zip(simulate.AXES, m.ranges(), strict=True))
+        reach, (dip, normal) = covariance.anisotropy(ranges)
+        out.append((DOMAINS[k], m.nugget, m.variance, reach, dip, normal, *ranges.values()))
+    return spark.createDataFrame(out, "domain string, nugget double, variance double, reach double, strike_over_dip double, strike_over_normal double, strike double, dip double, normal double")
+
+
+_AXIS_SQL = "list_sum(list_transform(range(1, 4), lambda i: [b.x - a.x, b.y - a.y, b.z - a.z][i] * d.axis[i]))"
+
+
+def _directions_sql() -> str:
+    rows = [f"('{n}', [{', '.join(f'{v!r}e0' if 'e' not in repr(v) else repr(v) for v in a)}], {30})" for n, a in zip(simulate.AXES, ORIENTATION.axes.tolist(), strict=True)]
+    return f"d AS (SELECT * FROM (VALUES ('all', [1e0, 0e0, 0e0], 90), {', '.join(rows)}) AS t(direction, axis, degrees))"
+
+
+@query("g1_m14_directional_variograms", f"{POINTS}, {_directions_sql()}, p AS (SELECT *, label % 2 AS half FROM points), q AS (SELECT a.half, a.value AS va, b.value AS vb, d.direction, d.degrees, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS h, {_AXIS_SQL} AS dot FROM p a JOIN p b ON a.id < b.id AND a.half = b.half, d) SELECT half, direction, CAST(floor(h / 0.0375e0) AS INT) AS lag, count(*) AS pairs, {r('avg(h)', 'distance')}, {r('avg((va - vb) * (va - vb) / 2)', 'gamma')} FROM q WHERE h < 0.3e0 AND h > 0 AND (degrees >= 90 OR abs(dot) / h >= cos(radians(degrees))) GROUP BY ALL")
+def g1_m14_directional_variograms(spark: SparkSession, sf: str) -> DataFrame:
+    """Variograms of both halves of the points along strike, dip and normal and in all directions, in one job."""
+    p = views.points(spark, sf).withColumn("half", F.col("label") % 2)
+    directions = {"all": (1.0, 0.0, 0.0)} | {n: tuple(a) for n, a in zip(simulate.AXES, ORIENTATION.axes.tolist(), strict=True)}
+    v = pairs.variogram(p, 0.3, 8, directions, {"all": 90.0} | dict.fromkeys(simulate.AXES, 30.0), by=("half",))
+    return rounded(v)
+
+
+@query("a49_pair_funnel", f"{POINTS}, {_directions_sql()}, q AS (SELECT d.direction, degrees(acos(least(1e0, abs({_AXIS_SQL}) / h))) AS angle, abs({_AXIS_SQL}) / h >= cos(radians(30)) AS ok FROM (SELECT a.id AS i, b.id AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS h FROM points a JOIN points b ON a.id < b.id) JOIN points a ON a.id = i JOIN points b ON b.id = j, d WHERE h < 0.3e0 AND h > 0 AND d.direction <> 'all'), n AS (SELECT count(*) AS points FROM points) SELECT direction, any_value(points) AS points, any_value(points * (points - 1) // 2) AS possible, count(*) AS within, count(*) FILTER (ok) AS accepted, {', '.join(f'count(*) FILTER (least(CAST(floor(angle / 15) AS INT), 5) = {k}) AS from_{15 * k}' for k in range(6))} FROM q, n GROUP BY direction")
+def a49_pair_funnel(spark: SparkSession, sf: str) -> DataFrame:
+    """How many pairs each rule lets through, and their angles off each axis in steps of 15 degrees."""
+    directions = {n: tuple(a) for n, a in zip(simulate.AXES, ORIENTATION.axes.tolist(), strict=True)}
+    f = pairs.pair_funnel(views.points(spark, sf), 0.3, directions, 30.0, step=15)
+    return f.select("direction", "points", "possible", "within", "accepted", *[F.col("angles")[k].alias(f"from_{15 * k}") for k in range(6)])
+
+
 @query("e10_cross_validation")
 def e10_cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Errors of kriging, in values, by random and by blocked folds; each fold is detrended and scored by its training rows."""
@@ -126,6 +178,30 @@ def e11_fallback_mean(spark: SparkSession, sf: str) -> DataFrame:
     return compare.errors(simulate.cross_validate(x, MODEL, SEARCH, least=8), "value", "estimate", ["fold"])
 
 
+def _families(spark: SparkSession, sf: str) -> DataFrame:
+    """Spatial blocks, holes (labels) and sections of the points."""
+    p = views.points(spark, sf)
+    blocks = p.withColumn("fold", F.pmod(F.floor(F.col("x") / 0.1) * 3 + F.floor(F.col("y") / 0.1) * 5, F.lit(5)))
+    named = {"block": blocks, "hole": simulate.hole_folds(p, "label"), "section": simulate.section_folds(p, 0.1)}
+    made = [x.select(F.lit(n).alias("family"), "id", "x", "y", "z", "value", F.col("fold").cast("long").alias("fold")) for n, x in named.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
+
+
+@query("b1_fold_baselines")
+def b1_fold_baselines(spark: SparkSession, sf: str) -> DataFrame:
+    """Inverse distances, ordinary and simple kriging beside each other, in three families of folds."""
+    return simulate.baselines(_families(spark, sf), MODEL, SEARCH)
+
+
+_FAMILY_SQL = "f AS (SELECT 'block' AS family, *, CAST(((CAST(floor(x / 0.1e0) AS BIGINT) * 3 + CAST(floor(y / 0.1e0) AS BIGINT) * 5) % 5 + 5) % 5 AS BIGINT) AS fold FROM points UNION ALL SELECT 'hole', *, label FROM points UNION ALL SELECT 'section', *, CAST(floor(y / 0.1e0) AS BIGINT) FROM points)"
+
+
+@query("b1_inverse_distance", f"{POINTS}, {_FAMILY_SQL}, n AS (SELECT t.family, t.id, s.value, sqrt((t.x / 0.15e0 - s.x / 0.15e0) * (t.x / 0.15e0 - s.x / 0.15e0) + (t.y / 0.15e0 - s.y / 0.15e0) * (t.y / 0.15e0 - s.y / 0.15e0) + (t.z / 0.15e0 - s.z / 0.15e0) * (t.z / 0.15e0 - s.z / 0.15e0)) AS h, s.id AS sid FROM f t JOIN f s ON t.family = s.family AND t.fold <> s.fold), k AS (SELECT *, row_number() OVER (PARTITION BY family, id ORDER BY h, sid) AS rank FROM n WHERE h <= 1), e AS (SELECT family, id, sum(value / greatest(h, 1e-6) ** 2) / sum(1 / greatest(h, 1e-6) ** 2) AS near FROM k WHERE rank <= 8 GROUP BY ALL), m AS (SELECT a.family, a.fold, avg(b.value) AS mean FROM (SELECT DISTINCT family, fold FROM f) a JOIN f b ON a.family = b.family AND a.fold <> b.fold GROUP BY ALL) SELECT f.family, f.id, {r('coalesce(near, mean)', 'estimate', 5)} FROM f LEFT JOIN e ON f.family = e.family AND f.id = e.id LEFT JOIN m ON f.family = m.family AND f.fold = m.fold")
+def b1_inverse_distance(spark: SparkSession, sf: str) -> DataFrame:
+    """Estimates of held-out points by inverse distances, in three families of folds."""
+    return rounded(simulate.inverse_distances(_families(spark, sf), SEARCH, family="family").select("family", "id", "estimate"), 5)
+
+
 @query("e12_a45_hole_subset")
 def e12_a45_hole_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Tonnage width at a cutoff from all holes and from a seeded 60 percent, fitted and simulated anew; labels stand for holes."""
@@ -146,13 +222,8 @@ def e13_block_sizes(spark: SparkSession, sf: str) -> DataFrame:
 @query("e3_e4_domains", f"{POINTS}, d AS (SELECT *, CASE WHEN label % 2 = 0 THEN 'host_waste' ELSE 'fresh_graphitic' END AS g FROM points), m AS (SELECT g, min(x) AS mx, min(y) AS my, min(z) AS mz FROM d GROUP BY 1), c AS (SELECT d.*, count(*) OVER (PARTITION BY d.g, floor((x - mx) / 0.2), floor((y - my) / 0.2), floor((z - mz) / 0.2)) AS k FROM d JOIN m USING (g)), w AS (SELECT *, count(*) OVER (PARTITION BY g) / sum(1e0 / k) OVER (PARTITION BY g) / k AS w FROM c), v AS (SELECT g, value, sum(w) AS s, arg_max(w, id) AS last FROM w GROUP BY ALL), p AS (SELECT g, value, greatest(1e-6, least(1 - 1e-6, (sum(s) OVER (PARTITION BY g ORDER BY value) - last / 2) / sum(s) OVER (PARTITION BY g))) AS p FROM v) SELECT w.g AS domain_group, id, {r('w', 'weight')}, {r(inverse_normal_sql('p'), 'score', 4)} FROM w JOIN p ON w.g = p.g AND w.value = p.value")
 def e3_e4_domains(spark: SparkSession, sf: str) -> DataFrame:
     """Declustering weights and weighted normal scores, by domain."""
-    p = views.points(spark, sf).withColumn("lith_code", F.when(F.col("label") % 2 == 0, "QV").otherwise("GRSC4"))
-    made = simulate.prepare_domains(samples.with_domains(p, "value"), ["fresh_graphitic", "host_waste"], (0.2, 0.2, 0.2), 0.3, 8)
-    out = None
-    for scored_points, _, _ in made.values():
-        x = scored_points.select("domain_group", "id", F.col("decluster_weight").alias("weight"), "score")
-        out = x if out is None else out.unionByName(x)
-    return out.select("domain_group", "id", (F.round("weight", 6) + 0.0).alias("weight"), (F.round("score", 4) + 0.0).alias("score"))
+    x = prepared(spark, sf).samples
+    return x.select("domain_group", "id", (F.round("decluster_weight", 6) + 0.0).alias("weight"), (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("e14_simulated_variograms")
@@ -161,8 +232,8 @@ def e14_simulated_variograms(spark: SparkSession, sf: str) -> DataFrame:
     cells = _cells(spark, 3).withColumn("domain", F.lit(0))
     sim = simulate.simulate(cells, scored(spark, sf).withColumn("domain", F.lit(0)), {0: MODEL}, SEARCH, 1337)
     at = sim.join(cells.select("real_id", "cell_id", "x", "y", "z"), ["real_id", "cell_id"])
-    by_real = [pairs.variogram(at.filter(F.col("real_id") == k).withColumnRenamed("cell_id", "id"), 0.3, 3, {"east": (1.0, 0.0, 0.0), "north": (0.0, 1.0, 0.0)}, 22.5) for k in range(3)]
-    sims = by_real[0].unionByName(by_real[1]).unionByName(by_real[2]).groupBy("direction", "lag").agg(F.avg("gamma").alias("gamma_sim_mean"))
+    by_real = pairs.variogram(at.withColumnRenamed("cell_id", "id"), 0.3, 3, {"east": (1.0, 0.0, 0.0), "north": (0.0, 1.0, 0.0)}, 22.5, by=("real_id",))
+    sims = by_real.groupBy("direction", "lag").agg(F.avg("gamma").alias("gamma_sim_mean"))
     data = pairs.variogram(scored(spark, sf), 0.3, 3, {"east": (1.0, 0.0, 0.0), "north": (0.0, 1.0, 0.0)}, 22.5, value="score")
     both = data.select("direction", "lag", F.col("gamma").alias("gamma_target"), F.col("pairs").alias("target_pairs")).join(sims, ["direction", "lag"], "left")
     return compare.reproduction(both, {"east": 0.45, "north": 0.4})

@@ -182,8 +182,6 @@ def test_folds_see_their_training_rows_only(spark):
     df = spark.createDataFrame(rows, "id long, x double, y double, z double, value double, fold int")
     out = {r["id"]: r["estimate"] for r in simulate.cross_validate(df, covariance.Model("exponential", 0.0, 1.0, 5.0), simulate.Search((3.0, 3.0, 3.0), 8)).collect()}
     assert out[7] <= 19.0 and max(out.values()) <= 1007.0
-    s = simulate.Scores(np.array([3.0, 1.0, 2.0]))
-    assert np.allclose(s.back(s.to(np.array([1.0, 2.5, 3.0]))), [1.0, 2.5, 3.0])
 
 
 def test_screen_scores(spark):
