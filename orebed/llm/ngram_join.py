@@ -92,7 +92,8 @@ def _suffix(percent: int) -> Callable:
 def _candidates(held: pa.Table, percent: int) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
     """Pairs of rows of one block, not in one component yet, that pass all filters; a pair is met under its first common key alone."""
     cols = {c: held.column(c).to_numpy() for c in ("key", "block", "node", "component", "n", "pos", "chunk")}
-    counts, prefixes = _histograms(held.column("counts")), held.column("prefix").to_pylist()
+    counts, prefixes = _histograms(held.column("counts")), held.column("prefix").combine_chunks()
+    values, starts = prefixes.flatten().to_numpy(), np.concatenate([[0], np.cumsum(prefixes.value_lengths().to_numpy())])
     new = np.flatnonzero((np.diff(cols["key"], prepend=cols["key"][0] - 1) != 0) | (np.diff(cols["block"], prepend=-1) != 0))
     end = np.repeat(np.append(new[1:], held.num_rows), np.diff(np.append(new, held.num_rows)))
     whole, n, pos = cols["block"] % 2 == 0, cols["n"].astype(np.int64), cols["pos"].astype(np.int64)
@@ -117,11 +118,14 @@ def _candidates(held: pa.Table, percent: int) -> tuple[dict[str, np.ndarray], np
             found_a.append(x[ok])
             found_b.append(y[ok])
     a, b = (np.concatenate(f) if f else np.zeros(0, np.int64) for f in (found_a, found_b))
-    sets: dict[int, set] = {}
-    for i in {*a.tolist(), *b.tolist()}:
-        sets[i] = set(prefixes[i])
-    first = [min(sets[i] & sets[j]) == cols["key"][i] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-    first = np.array(first, bool)
+    # Prefixes ascend: the first key of one that the other has.
+    first, key = np.zeros(len(a), bool), cols["key"]
+    for k, (i, j) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = values[starts[i] : starts[i + 1]], values[starts[j] : starts[j + 1]]
+        x, y = x[: np.searchsorted(x, key[i])], y[: np.searchsorted(y, key[i])]
+        at = np.searchsorted(x, y)
+        at[at == len(x)] = 0
+        first[k] = not (len(x) and len(y) and (x[at] == y).any())
     return cols, a[first], b[first]
 
 
@@ -235,7 +239,7 @@ def similar_groups(docs: DataFrame, percent: int = 80, size: int = SHINGLE, id_c
     met = _prefixes(signed, classes, percent)
     ends = met.groupBy("key").agg(F.min(F.struct("node", "n", "pos")).alias("least"), F.max(F.struct("node", "n", "pos")).alias("most")).filter("least.node < most.node")
     met = stored(met.join(ends.select(again("key").alias("key"), "least", "most"), "key"), "met")
-    prefix = met.groupBy("node").agg(F.collect_list("key").alias("prefix"))
+    prefix = met.groupBy("node").agg(F.array_sort(F.collect_list("key")).alias("prefix"))
     lean = signed.select(F.col("row").alias("node"), F.col("n"), "counts").join(prefix, "node")
     lean = stored(lean, "lean")
     # The n-grams of each class that meets another, from the text of one of its rows.
