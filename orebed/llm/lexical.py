@@ -18,7 +18,7 @@ FIT_DOCS, FIT_TERMS, FIT_VOCABULARY = 2048, 1000, 65_536
 #: Levels of bisection that are learnt, and rounds of swaps a level.
 DEPTH, ROUNDS = 5, 6
 #: Documents and postings that one task brings in order, and documents of a shard.
-CHUNK_DOCS, CHUNK_POSTINGS, SHARD_DOCS = 8192, 2_000_000, 256
+CHUNK_DOCS, CHUNK_POSTINGS, SHARD_DOCS = 4096, 1_000_000, 256
 #: Shards that a query visits in its first rounds; after them all that can still matter.
 VISITS = (4, 32)
 
