@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import hashlib
 
 import numpy as np
 import pandas as pd
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.covariance import Buckets, Model, basis, directional, fit, krige
+from ..sources.files import exists
 from ..sources.scratch import stored
 from . import compare, ensemble, pairs, samples
 from .grid import Grid
@@ -92,7 +94,10 @@ class _Blocks:
         return out.drop("_bx", "_by", "_bz")
 
 
-def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], search: Search, seed: int, nugget_on_diagonal: bool = False, block: float = BLOCK) -> DataFrame:
+_DRAWN = "real_id int, domain int, cell_id long, value double, neighbours int, x double, y double, z double"
+
+
+def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], search: Search, seed: int, nugget_on_diagonal: bool = False, block: float = BLOCK, progress: str | None = None) -> DataFrame:
     """Rows ``real_id, domain, cell_id, value, neighbours`` for cells ``real_id, domain, cell_id, x, y, z``.
 
     A domain of a realisation sees the samples of its own domain only
@@ -107,7 +112,12 @@ def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], sea
     is written after each.  A block run again gives the same values: its rows
     are sorted, and its seed is made of ``seed + real_id + 100000 * domain`` and
     its place.  Rows without a place are left out, as are samples without a score.
+
+    With ``progress``, a folder, a run that was cut off takes up again after its
+    last whole round, in the midst of its realisations: rounds lie under a
+    digest of cells, samples, models, search and seed, so others are not taken.
     """
+    spark = cells.sparkSession
     if block < 2:
         raise ValueError("blocks are 2 search radii wide at least")
     here = ["real_id", "domain", "bx", "by", "bz"]
@@ -115,6 +125,10 @@ def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], sea
     blocks = _Blocks(search, block).snapped(at)
     at = stored(blocks.dealt(at), "blocks")
     data = samples.select(F.col("domain").cast("int").alias("domain"), *[F.col(a).cast("double").alias(a) for a in ("x", "y", "z", "score")]).dropna()
+    if progress is not None:
+        mark = lambda d: list(d.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*d.columns).cast("decimal(38,0)"))).first())
+        given = [mark(at), mark(data), sorted(models.items()), search, seed, nugget_on_diagonal, block]
+        progress = f"{progress.rstrip('/')}/{hashlib.sha256(repr(given).encode()).hexdigest()[:24]}"
     data = blocks.around(data)
 
     def kernel(key: tuple, group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -129,6 +143,11 @@ def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], sea
 
     out: DataFrame | None = None
     for colour in sorted(r["colour"] for r in at.select("colour").distinct().collect()):
+        round_path = progress and f"{progress}/colour-{colour}"
+        if round_path and exists(spark, f"{round_path}/_SUCCESS"):
+            drawn = spark.read.schema(_DRAWN).parquet(round_path)
+            out = drawn if out is None else out.unionByName(drawn)
+            continue
         own = at.filter(F.col("colour") == colour)
         asked = own.select(*here).distinct()
         known = asked.join(data, ["domain", "bx", "by", "bz"]).select(*here, "x", "y", "z", "score")
@@ -136,8 +155,12 @@ def simulate(cells: DataFrame, samples: DataFrame, models: dict[int, Model], sea
             before = blocks.around(out.select("real_id", "domain", "x", "y", "z", F.col("value").alias("score")))
             known = known.unionByName(before.join(asked, here, "left_semi").select(*here, "x", "y", "z", "score"))
         known = known.withColumnsRenamed({c: f"of_{c}" for c in here})
-        drawn = own.groupBy(*here).cogroup(known.groupBy(*[f"of_{c}" for c in here])).applyInPandas(kernel, "real_id int, domain int, cell_id long, value double, neighbours int, x double, y double, z double")
-        drawn = stored(drawn, "simulated")
+        drawn = own.groupBy(*here).cogroup(known.groupBy(*[f"of_{c}" for c in here])).applyInPandas(kernel, _DRAWN)
+        if round_path:
+            drawn.write.mode("overwrite").parquet(round_path)
+            drawn = spark.read.schema(_DRAWN).parquet(round_path)
+        else:
+            drawn = stored(drawn, "simulated")
         out = drawn if out is None else out.unionByName(drawn)
     if out is None:
         return at.select("real_id", "domain", "cell_id", F.lit(0.0).alias("value"), F.lit(0).alias("neighbours"))

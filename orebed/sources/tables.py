@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import cleaned, number
+from .files import read_text, write_text
 from .scratch import scratch
 
 # Names that vendors give to the columns.
@@ -200,5 +201,40 @@ def pending(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
     return asked.join(done, "real_id", "left_anti")
 
 
-def write_metadata(meta: dict, path: str | Path) -> None:
-    Path(path).write_text(json.dumps(meta, indent=2, default=str))
+def write_metadata(spark: SparkSession, meta: dict, path: str) -> None:
+    """A JSON file on any Hadoop file system."""
+    write_text(spark, str(path), json.dumps(meta, indent=2, default=str))
+
+
+def load_config(spark: SparkSession, path: str, profile: str | None = None) -> dict:
+    """A configuration file, JSON or (where the yaml package is there) YAML, with its active profile, or the one
+    named, laid over it."""
+    text = read_text(spark, str(path))
+    if text is None:
+        raise FileNotFoundError(path)
+    if str(path).endswith(".json"):
+        found = json.loads(text)
+    else:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("YAML needs the yaml package; write the configuration as JSON") from e
+        found = yaml.safe_load(text)
+    if not isinstance(found, dict):
+        raise ValueError(f"{path} holds no configuration")
+    return with_profile(found, profile) if profile else active_profile(found)
+
+
+def write_scores(table: DataFrame, path: str) -> None:
+    """A table of scores (``value, score``) as rows of JSON."""
+    table.select("value", "score").write.mode("overwrite").json(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """A table of scores from rows of JSON, or from one document of the arrays ``sorted_data`` and ``norm_scores``."""
+    df = spark.read.option("multiLine", "false").json(path)
+    if "norm_scores" not in df.columns:
+        df = spark.read.option("multiLine", "true").json(path) if "value" not in df.columns else df
+    if "norm_scores" in df.columns:
+        df = df.select(F.explode(F.arrays_zip("sorted_data", "norm_scores")).alias("r")).select(F.col("r.sorted_data").alias("value"), F.col("r.norm_scores").alias("score"))
+    return df.select(F.col("value").cast("double").alias("value"), F.col("score").cast("double").alias("score"))
