@@ -42,6 +42,17 @@ def running(df: DataFrame, order: list[str], sums: dict[str, Column], most: dict
     )
 
 
+def running_by(df: DataFrame, by: list[str], order: list[str], sums: dict[str, Column], inclusive: bool = True) -> DataFrame:
+    """As ``running`` with sums that begin anew in each group, ``<name>_total`` being the group's.  One sort serves all
+    groups, and a group lies over as many ranges as it needs; what is joined back has a row for each group."""
+    out = running(df.withColumns({f"_of_{k}": c for k, c in sums.items()}), [*by, *order], {k: F.col(f"_of_{k}") for k in sums}, inclusive=inclusive)
+    whole = out.groupBy(*by).agg(*[F.sum(f"_of_{k}").alias(f"_sum_{k}") for k in sums], *[F.min_by(k, F.struct(*order)).alias(f"_low_{k}") for k in sums], *[F.min_by(f"_of_{k}", F.struct(*order)).alias(f"_first_{k}") for k in sums])
+    whole = whole.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    out = out.join(whole, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by])
+    base = {k: F.col(f"_low_{k}") - (F.col(f"_first_{k}") if inclusive else F.lit(0)) for k in sums}
+    return out.select(*df.columns, *[(F.col(k) - base[k]).alias(k) for k in sums], *[F.col(f"_sum_{k}").alias(f"{k}_total") for k in sums])
+
+
 def counted(df: DataFrame, value: str) -> DataFrame:
     """Distinct values (``v``) with their number ``n`` and how many values are smaller (``below``, of ``below_total``)."""
     v = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))

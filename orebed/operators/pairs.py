@@ -68,27 +68,40 @@ def nearest_anywhere(targets: DataFrame, samples: DataFrame, radius: float) -> D
         left, radius = tried.filter("distance IS NULL").select("id", "x", "y", "z"), 2 * radius
 
 
-def local_shares(targets: DataFrame, samples: DataFrame, radius: float, k: int, prior_weight: float, waste: int, classes: list[int]) -> DataFrame:
+def local_shares(targets: DataFrame, samples: DataFrame, radius: float, k: int, prior_weight: float, waste: int | None, classes: list[int], apart: str | None = None) -> DataFrame:
     """For each target the share of each class.
 
     Inverse distances (at least 1e-6) of its neighbours are summed by class;
     a class with any gets its overall share times ``prior_weight`` besides, and
     the waste class gets ``nearest / radius * prior_weight``.  A target with
-    no neighbour is all waste.
+    no neighbour is all waste, or of all classes alike where there is no waste
+    class.  With ``apart`` (a fold, in both) a target sees neighbours and
+    overall shares of the other folds alone, and ``supported`` says whether it
+    has a neighbour.
     """
-    near = neighbours(targets, samples, radius, k)
-    prior = samples.agg(*[F.avg((F.col("label") == c).cast("double")).alias(f"_p{c}") for c in classes])
+    near = neighbours(targets, samples, radius, k, apart)
+    one = lambda c: (F.col("label") == c).cast("double")
+    own = [] if apart is None else [apart]
+    counts = samples.groupBy(*own).agg(F.count("label").alias("_n"), *[F.sum(one(c)).alias(f"_s{c}") for c in classes])
+    whole = counts.agg(F.sum("_n").alias("_wn"), *[F.sum(f"_s{c}").alias(f"_w{c}") for c in classes])
+    if apart is None:
+        prior = whole.select(*[(F.col(f"_w{c}") / F.col("_wn")).alias(f"_p{c}") for c in classes])
+    else:
+        left = F.col("_wn") - F.col("_n")
+        prior = counts.crossJoin(F.broadcast(whole)).select(F.col(apart).alias("_fold"), *[F.when(left > 0, (F.col(f"_w{c}") - F.col(f"_s{c}")) / left).alias(f"_p{c}") for c in classes])
     sums = near.groupBy("target").agg(F.min("distance").alias("_nearest"), *[F.sum(F.when(F.col("label") == c, 1 / F.greatest("distance", F.lit(1e-6)))).alias(f"_w{c}") for c in classes])
-    x = targets.select(F.col("id").alias("target")).join(sums, "target", "left").crossJoin(F.broadcast(prior))
+    x = targets.select(F.col("id").alias("target"), *own).join(sums, "target", "left")
+    x = x.crossJoin(F.broadcast(prior)) if apart is None else x.join(prior, F.col(apart).eqNullSafe(F.col("_fold")), "left")
     raw = {}
     for c in classes:
-        w = F.coalesce(F.col(f"_w{c}") + F.col(f"_p{c}") * prior_weight, F.lit(0.0))
+        w = F.coalesce(F.col(f"_w{c}") + F.coalesce(F.col(f"_p{c}"), F.lit(0.0)) * prior_weight, F.lit(0.0))
         if c == waste:
             w = w + F.coalesce(F.col("_nearest") / radius * prior_weight, F.lit(1.0))
-        raw[c] = w
+        raw[c] = w if waste is not None else F.when(F.col("_nearest").isNull(), 1.0).otherwise(w)
     x = x.withColumns({f"_r{c}": w for c, w in raw.items()})
     total = sum((F.col(f"_r{c}") for c in classes[1:]), F.col(f"_r{classes[0]}"))
-    return x.select("target", *[(F.col(f"_r{c}") / total).alias(f"share_{c}") for c in classes])
+    extra = [] if apart is None else [F.col("_nearest").isNotNull().alias("supported")]
+    return x.select("target", *[(F.col(f"_r{c}") / total).alias(f"share_{c}") for c in classes], *extra)
 
 
 def nearest_label(targets: DataFrame, samples: DataFrame, radius: float) -> DataFrame:

@@ -1,6 +1,6 @@
 """All queries over the star-schema tables."""
 
-from . import drillholes, ensembles, models, reports
+from . import drillholes, ensembles, models, reports, validation
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "drillholes", "ensembles", "models", "reports"]
+__all__ = ["ORACLES", "QUERIES", "drillholes", "ensembles", "models", "reports", "validation"]
