@@ -62,8 +62,17 @@ class Model:
         f = sill / self.sill
         return dataclasses.replace(self, nugget=self.nugget * f, variance=self.variance * f)
 
+    def guarded(self) -> Model:
+        """Fit for simulation: a structured variance below 0.1 becomes 1, and a total sill below 0.5 is brought to 1."""
+        out = self if self.variance >= 0.1 else dataclasses.replace(self, variance=1.0)
+        return out if out.sill >= 0.5 else out.with_sill(1.0)
+
+    def bounded(self, low: float | None = None, high: float | None = None, target: float | None = None) -> Model:
+        """The same with a range that is given, or kept within limits; ranges along axes keep their ratios."""
+        return dataclasses.replace(self, reach=target if target is not None else min(max(self.reach, low or 0.0), math.inf if high is None else high))
+
     def tuned(self, nugget_ratio: float | None = None, reach_factor: float = 1.0) -> Model:
-        n = self.nugget if nugget_ratio is None else nugget_ratio * self.sill
+        n = self.nugget if nugget_ratio is None else min(max(nugget_ratio, 0.0), 0.95) * self.sill
         return dataclasses.replace(self, nugget=n, variance=self.sill - n, reach=self.reach * reach_factor)
 
 

@@ -29,9 +29,16 @@ def histogram_overlap(a: DataFrame, b: DataFrame, va: str, vb: str, bins: int =
     return each.agg(F.sum(F.least(F.col("ca") / F.col("na"), F.col("cb") / F.col("nb"))).alias("overlap"))
 
 
-def quantile_profile(a: DataFrame, b: DataFrame, va: str, vb: str, marks: int = 99) -> DataFrame:
-    """Correlation, root mean square and bias of two distributions' quantiles."""
+def seeded_sample(df: DataFrame, n: int, seed: int, key: str) -> DataFrame:
+    """The n rows of least seeded digest of the key; the limit is the feature."""
+    return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))), key).limit(n)
+
+
+def quantile_profile(a: DataFrame, b: DataFrame, va: str, vb: str, marks: int = 99, ends: bool = False) -> DataFrame:
+    """Correlation, root mean square and bias of two distributions' quantiles at so many marks between 0 and 1, with ``ends``
+    at 0 and 1 as well."""
     ps = [(k + 1) / (marks + 1) for k in range(marks)]
+    ps = [0.0, *ps, 1.0] if ends else ps
     x = order.quantiles(a, va, ps).select("k", F.col("q").alias("x"))
     y = order.quantiles(b, vb, ps).select("k", F.col("q").alias("y"))
     return errors(x.join(y, "k"), "x", "y")

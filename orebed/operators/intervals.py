@@ -46,8 +46,9 @@ def _buckets(start: Column, end: Column, width: float) -> Column:
     return F.explode(F.sequence(F.floor(start / width).cast("long"), F.floor(end / width).cast("long")))
 
 
-def stab(points: DataFrame, spans: DataFrame, value: str, by: str = "hole_id", at: str = "mid", tie: str | None = None, width: float = 16.0) -> DataFrame:
-    """For each point, the value of the span [from_m, to_m) that holds it, null if none does.
+def stab(points: DataFrame, spans: DataFrame, value: str, by: str = "hole_id", at: str = "mid", tie: str | None = None, width: float = 16.0, own: str | None = None, unknown: str | None = None) -> DataFrame:
+    """For each point, the value of the span [from_m, to_m) that holds it.  Where none does, the point keeps
+    its ``own`` value, if that column is named, and without one (null, empty, ``nan`` or ``None``) has ``unknown``.
 
     Of several the one that starts first counts, then by ``tie``.  Spans and
     points meet in depth buckets, an equi-join, not in a nested loop.
@@ -58,7 +59,11 @@ def stab(points: DataFrame, spans: DataFrame, value: str, by: str = "hole_id", a
     p = points.withColumn("_bucket", F.floor(F.col(at) / width).cast("long"))
     hit = p.join(s, (F.col(by) == F.col("_by")) & (p["_bucket"] == s["_bucket"]) & (F.col(at) >= F.col("_from")) & (F.col(at) < F.col("_to")))
     best = hit.groupBy("point_id").agg(F.min_by("_value", F.struct("_from", "_tie")).alias(value))
-    return points.join(best, "point_id", "left")
+    out = points.join(best, "point_id", "left")
+    if own is not None:
+        kept = F.when(~F.coalesce(F.trim(F.col(own).cast("string")), F.lit("")).isin("", "nan", "None"), F.col(own))
+        out = out.withColumn(value, F.coalesce(value, kept))
+    return out if unknown is None else out.withColumn(value, F.coalesce(value, F.lit(unknown)))
 
 
 def most_overlap(base: DataFrame, spans: DataFrame, value: str, by: str = "hole_id", tie: str = "span_id", width: float = 16.0) -> DataFrame:

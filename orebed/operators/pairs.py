@@ -48,24 +48,61 @@ def search_space(df: DataFrame, radii: tuple[float, float, float], axes: tuple[t
     return df.select(*[c for c in df.columns if c not in "xyz"], *[(v / size).alias(a) for a, v, size in zip("xyz", along, radii, strict=True)])
 
 
+#: Samples of a cell that a far target is compared with one by one; cells of more are halved first.
+CELL_SAMPLES = 64
+
+
 def nearest_anywhere(targets: DataFrame, samples: DataFrame, radius: float) -> DataFrame:
     """Label and distance of the nearest sample of each target, however far; null where there are no samples.
 
-    Targets without one within the radius are tried again with twice the
-    radius, until none is left; each round keeps only those that are.
+    Targets without one within the radius go down a tree of cells, all of them
+    a level at a time: of the cells that a target still has, each half-size
+    part that holds samples can't be nearer than its box, and one of its
+    samples is as far as it is; parts whose box lies beyond the nearest such
+    sample are left out.  So a target far away meets a few cells a level, not
+    all samples, and in the end those of cells with CELL_SAMPLES or fewer.
+    Equal distances go by the sample's id.
     """
-    spread = samples.select("x", "y", "z").unionByName(targets.select("x", "y", "z")).agg(*[(F.max(a) - F.min(a)).alias(a) for a in "xyz"]).first()
-    reach = math.sqrt(sum((spread[a] or 0.0) ** 2 for a in "xyz"))
-    left, out = targets.select("id", "x", "y", "z"), None
+    places = targets.select("id", "x", "y", "z")
+    tried = stored(places.join(nearest_label(places, samples, radius).withColumnRenamed("target", "id"), "id"), "nearest")
+    near, left = tried.filter("distance IS NOT NULL"), tried.filter("distance IS NULL")
+    ends = samples.agg(*[f(a).alias(f"{n}{a}") for a in "xyz" for n, f in (("lo", F.min), ("hi", F.max))]).first()
+    if left.isEmpty() or ends["lox"] is None:
+        return tried.select(F.col("id").alias("target"), "label", "distance")
+    origin = {a: ends[f"lo{a}"] for a in "xyz"}
+    extent = max(ends[f"hi{a}"] - ends[f"lo{a}"] for a in "xyz")
+    level = max(0, math.ceil(math.log2(max(extent / radius, 1.0))))
+    size = radius * 2.0**level
+    deepest = max(extent, radius) * 1e-12
+    held = stored(samples.select("id", "x", "y", "z", "label").dropna(subset=["x", "y", "z"]), "samples")
+
+    def cell(a: str, at: str, width: float) -> Column:
+        return F.floor((F.col(at) - origin[a]) / width).cast("long")
+
+    def cells(width: float) -> DataFrame:
+        keys = [cell(a, a, width).alias(f"c{a}") for a in "xyz"]
+        return held.groupBy(*keys).agg(F.min(F.struct("id", "x", "y", "z")).alias("one"), F.count(F.lit(1)).alias("n"))
+
+    # At most two cells along each axis.
+    now = left.select(F.col("id").alias("target"), F.col("x").alias("tx"), F.col("y").alias("ty"), F.col("z").alias("tz")).crossJoin(F.broadcast(cells(size)))
     while True:
-        tried = stored(left.join(nearest_label(left, samples, radius).withColumnRenamed("target", "id"), "id"), "nearest")
-        done = radius > reach or tried.filter("distance IS NULL").isEmpty()
-        now = tried if done else tried.filter("distance IS NOT NULL")
-        now = now.select(F.col("id").alias("target"), "label", "distance")
-        out = now if out is None else out.unionByName(now)
-        if done:
-            return out
-        left, radius = tried.filter("distance IS NULL").select("id", "x", "y", "z"), 2 * radius
+        beyond = [F.greatest(F.lit(0.0), origin[a] + F.col(f"c{a}") * size - F.col(f"t{a}"), F.col(f"t{a}") - origin[a] - (F.col(f"c{a}") + 1) * size) for a in "xyz"]
+        least = F.sqrt(sum((b * b for b in beyond[1:]), beyond[0] * beyond[0])) * (1 - 1e-9)
+        most = F.sqrt(sum((F.pow(F.col(f"one.{a}") - F.col(f"t{a}"), 2) for a in "yz"), F.pow(F.col("one.x") - F.col("tx"), 2)))
+        now = stored(now.select("target", "tx", "ty", "tz", "cx", "cy", "cz", "n", least.alias("least"), most.alias("most")), "cells")
+        best = now.groupBy(F.col("target").alias("of")).agg(F.min("most").alias("bound"))
+        now = stored(now.join(best, F.col("target") == F.col("of")).filter("least <= bound").drop("of", "bound", "least", "most"), "cells")
+        if now.agg(F.max("n")).first()[0] <= CELL_SAMPLES or size <= deepest:
+            break
+        size /= 2
+        parts = cells(size).withColumnsRenamed({"n": "m"}).withColumns({f"p{a}": F.floor(F.col(f"c{a}") / 2).cast("long") for a in "xyz"})
+        up = now.select("target", "tx", "ty", "tz", *[F.col(f"c{a}").alias(f"p{a}") for a in "xyz"])
+        now = up.join(parts, ["px", "py", "pz"]).withColumnRenamed("m", "n").drop("px", "py", "pz")
+    own = held.select(F.col("id").alias("sample"), "x", "y", "z", "label", *[cell(a, a, size).alias(f"c{a}") for a in "xyz"])
+    met = now.join(own, ["cx", "cy", "cz"])
+    distance = F.sqrt(sum((F.pow(F.col(a) - F.col(f"t{a}"), 2) for a in "yz"), F.pow(F.col("x") - F.col("tx"), 2)))
+    found = met.groupBy("target").agg(F.min_by(F.struct("label", distance.alias("distance")), F.struct(distance.alias("d"), "sample")).alias("b")).select("target", "b.*")
+    return near.select(F.col("id").alias("target"), "label", "distance").unionByName(found)
 
 
 def local_shares(targets: DataFrame, samples: DataFrame, radius: float, k: int, prior_weight: float, waste: int | None, classes: list[int], apart: str | None = None) -> DataFrame:

@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Rows that one section of a document may have.
+from ..sources.scratch import stored
+from . import order
+
+#: Rows of a list in one section of a document; further ones are in sections of their own.
 SECTION_ROWS = 10_000
 
 # Public names of the columns of a cutoff curve.
@@ -41,17 +44,26 @@ def key_figures(summary: DataFrame, cutoff: float = 3.0) -> DataFrame:
 
 
 def document(scalars: dict[str, DataFrame], lists: dict[str, DataFrame] | None = None) -> DataFrame:
-    """Rows ``section, body``: JSON of a one-row table, or an array of a small table's rows in their own order.
+    """Rows ``section, body``: JSON of a one-row table, or an array of a table's rows in their own order.
 
-    A section of more rows than ``SECTION_ROWS`` is an error: it is no summary.
-    An empty one-row table has no section, an empty list is ``[]``.
+    A list of more rows than ``SECTION_ROWS`` goes on in sections ``name.2``,
+    ``name.3`` and so on, each with so many rows: rows are numbered by ranges, and
+    no task holds more than a section.  An empty one-row table has no section,
+    an empty list is ``[]``.
     """
     row = lambda d: F.to_json(F.struct(*d.columns), {"ignoreNullFields": "false"})
     out = [d.limit(1).select(F.lit(n).alias("section"), row(d).alias("body")) for n, d in scalars.items()]
     for n, d in (lists or {}).items():
-        few = d.select(F.struct(*d.columns).alias("r")).limit(SECTION_ROWS + 1).agg(F.array_sort(F.collect_list("r")).alias("rows"))
-        body = F.when(F.size("rows") <= SECTION_ROWS, F.to_json("rows", {"ignoreNullFields": "false"})).otherwise(F.raise_error(F.lit(f"{n} has more than {SECTION_ROWS} rows")))
-        out.append(few.select(F.lit(n).alias("section"), body.alias("body")))
+        rows = stored(d.select(F.struct(*d.columns).alias("r")), "section")
+        count = rows.count()
+        if count <= SECTION_ROWS:
+            parts = rows.agg(F.array_sort(F.collect_list("r")).alias("rows")).withColumn("part", F.lit(0))
+        else:
+            tied = rows.withColumn("_tie", F.monotonically_increasing_id())
+            at = order.running(tied, ["r", "_tie"], {"_no": F.lit(1)}, inclusive=False)
+            parts = at.groupBy(F.floor(F.col("_no") / SECTION_ROWS).cast("int").alias("part")).agg(F.array_sort(F.collect_list("r")).alias("rows"))
+        name = F.when(F.col("part") == 0, F.lit(n)).otherwise(F.concat(F.lit(f"{n}."), F.col("part") + 1))
+        out.append(parts.select(name.alias("section"), F.to_json("rows", {"ignoreNullFields": "false"}).alias("body")))
     return reduce(DataFrame.unionByName, out)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import floor_bin, inverse_normal
@@ -300,10 +300,11 @@ def kruskal(df: DataFrame, value: str, group: str) -> DataFrame:
     return out.withColumns({"p": tail("h", "groups"), "epsilon_squared": F.when(F.col("n") > F.col("groups"), (F.col("h") - F.col("groups") + 1) / (F.col("n") - F.col("groups")))})
 
 
-def synthetic_field(spark: SparkSession, n: int, seed: int = 7) -> DataFrame:
-    """n points with a linear and a wavy part and noise, kept within 0 and 15.  Digests of the id
-    draw them, so that they are the same on any number of partitions."""
-    u = lambda salt: (F.conv(F.substring(F.md5(F.concat(F.col("id").cast("string"), F.lit(f":{salt}"))), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
-    p = spark.range(n).select("id", *[(u(seed + k) * 1000).alias(a) for k, a in enumerate("xyz")], u(seed + 4).alias("_e"))
+def synthetic_field(places: DataFrame, seed: int = 7, key: str = "id") -> DataFrame:
+    """A ``grade`` at given places (``x, y, z`` in metres and a key): a linear and a wavy part and noise, kept within 0 and 15.  A
+    digest of the key draws the noise, so it is the same on any number of partitions."""
+    text = F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))
+    u = (F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    held = places.withColumn("_e", u)
     g = 3 + 0.002 * F.col("x") + F.sin(F.col("y") / 150) + 0.5 * F.cos(F.col("z") / 80) + 0.3 * inverse_normal("_e")
-    return p.select("id", "x", "y", "z", F.greatest(F.lit(0.0), F.least(F.lit(15.0), g)).alias("grade"))
+    return held.withColumn("grade", F.greatest(F.lit(0.0), F.least(F.lit(15.0), g))).drop("_e")

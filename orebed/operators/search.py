@@ -31,6 +31,18 @@ def candidates(spark: SparkSession, most: int, seed: int = 1337, pools: dict[str
     return df.orderBy(F.md5(F.concat(F.col("candidate").cast("string"), F.lit(f":{seed}"))), "candidate").limit(most)
 
 
+def variogram_errors(df: DataFrame, variogram: DataFrame, reach: str = "target_range", nugget: str = "nugget_ratio", sill: float = 1.0) -> DataFrame:
+    """Adds ``weighted_rmse``: how far an exponential model of each candidate's range and nugget ratio lies from a variogram
+    (``distance, gamma, pairs``), lags weighed by their pairs; null without lags.
+
+    The variogram, a row a lag, goes along with each candidate as one array."""
+    lags = variogram.filter("pairs > 0").agg(F.array_sort(F.collect_list(F.struct("distance", "gamma", F.col("pairs").cast("double").alias("pairs")))).alias("_lags"))
+    model = lambda x: sill * (1 - (1 - F.col(nugget)) * F.exp(-x["distance"] / F.col(reach)))
+    add = lambda f: F.aggregate("_lags", F.lit(0.0), lambda s, x: s + f(x))
+    error, weight = add(lambda x: x["pairs"] * F.pow(model(x) - x["gamma"], 2)), add(lambda x: x["pairs"])
+    return df.crossJoin(F.broadcast(lags)).withColumn("weighted_rmse", F.when(F.size("_lags") > 0, F.sqrt(error / weight))).drop("_lags")
+
+
 def _over(value: Column, limit: float) -> Column:
     """How far a value lies over a limit; 0 below it, and for null and not-a-number."""
     return F.when((value > limit) & ~F.isnan(value), value - limit).otherwise(0.0)

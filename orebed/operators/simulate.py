@@ -7,7 +7,7 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.covariance import Buckets, Model, basis, directional, fit, krige
@@ -487,21 +487,23 @@ def spacing_sensitivity(points: DataFrame, share: float, cutoff: float, hole_see
     return compare.width_reduction(*both, cutoff)
 
 
-def model_warnings(model: Model, grid: Grid) -> list[str]:
-    """What makes a model doubtful for simulation on a grid: its range against the grid's extent and in itself, nugget and sill."""
+def model_warnings(models: DataFrame, grid: Grid) -> DataFrame:
+    """Rows ``model, warning`` of what makes models (``model, nugget, variance, reach``) doubtful for simulation on a grid: the range
+    against the grid's extent and in itself, nugget and sill."""
     extent = max(n * s for n, s in zip(grid.shape, grid.step, strict=True))
-    found = []
-    if model.reach < 0.05 * extent:
-        found.append("range is very small for the grid")
-    elif model.reach > 10 * extent:
-        found.append("range is extremely large for the grid")
-    if model.sill > 0 and model.nugget / model.sill > 0.8:
-        found.append("nugget effect is high")
-    if model.sill > 0 and model.variance < 0.01:
-        found.append("variance is very small")
-    if not 10 <= model.reach <= 10_000:
-        found.append("error: range is unrealistic")
-    return found
+    reach, sill = F.col("reach"), F.col("nugget") + F.col("variance")
+    found = [
+        F.when(reach < 0.05 * extent, "range is very small for the grid").when(reach > 10 * extent, "range is extremely large for the grid"),
+        F.when((sill > 0) & (F.col("nugget") / sill > 0.8), "nugget effect is high"),
+        F.when((sill > 0) & (F.col("variance") < 0.01), "variance is very small"),
+        F.when(~reach.between(10, 10_000), "error: range is unrealistic"),
+    ]
+    return models.select("model", F.explode(F.array_compact(F.array(*found))).alias("warning"))
+
+
+def model_rows(spark: SparkSession, models: dict) -> DataFrame:
+    """Rows ``model, nugget, variance, reach`` of named models."""
+    return spark.createDataFrame([(str(k), m.nugget, m.variance, m.reach) for k, m in models.items()], "model string, nugget double, variance double, reach double")
 
 
 def with_trend(cells: DataFrame, coefficients: list[float], columns: list[str], value: str = "value") -> DataFrame:

@@ -199,7 +199,7 @@ def multiclass_summary(df: DataFrame, classes: list[int], truth: str = "label",
     f1 = F.array_compact(F.array(*[F.when(F.col(f"t{c}") + F.col(f"g{c}") > 0, 2 * F.col(f"h{c}") / (F.col(f"t{c}") + F.col(f"g{c}"))) for c in classes]))
     recall = F.array_compact(F.array(*[F.when(F.col(f"t{c}") > 0, F.col(f"h{c}") / F.col(f"t{c}")) for c in classes]))
     mean = lambda a: F.when(F.size(a) > 0, F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / F.size(a))
-    accuracy = sum((F.col(f"h{c}") for c in classes), F.lit(0)) / F.col("n")
+    accuracy = F.try_divide(sum((F.col(f"h{c}") for c in classes), F.lit(0)), F.col("n"))
     return x.select(*by, "n", accuracy.alias("accuracy"), mean(f1).alias("macro_f1"), mean(recall).alias("balanced_accuracy"), "log_loss")
 
 

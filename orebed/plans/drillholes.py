@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import axis_angle, half_width, inverse_normal_sql, number, unit_vector
-from ..operators import checks, intervals, order, samples, trajectory
+from ..operators import checks, intervals, order, samples, tabulate, trajectory
 from ..sources import tables
 from . import views
 from .registry import query, r, rounded
@@ -66,14 +66,18 @@ def a3_value_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a36_logged_length", f"{with_views('intervals')} SELECT lith_code, sum(length) AS metres, {r('100 * sum(length) / sum(sum(length)) OVER ()', 'pct')} FROM intervals GROUP BY lith_code")
 def a36_logged_length(spark: SparkSession, sf: str) -> DataFrame:
-    x = views.intervals(spark, sf).groupBy("lith_code").agg(F.sum("length").alias("metres"))
-    return rounded(x.crossJoin(F.broadcast(x.agg(F.sum("metres").alias("all")))).select("lith_code", "metres", (100 * F.col("metres") / F.col("all")).alias("pct")))
+    return rounded(tabulate.shares(views.intervals(spark, sf), ["lith_code"], "length", "metres", "pct", 100.0))
 
 
-@query("a37_domain_summary", f"{with_views('intervals')} SELECT lith_code, count(*) AS n, count(DISTINCT hole_id) AS holes, {r('avg(grade)', 'mean')}, {r('median(grade)', 'median')} FROM intervals GROUP BY lith_code")
+@query("a37_domain_summary", f"{with_views('intervals')} SELECT lith_code, count(*) AS n, count(DISTINCT hole_id) AS holes, {r('avg(grade)', 'mean')}, {r('median(grade)', 'median')}, {r('count(*) / sum(count(*)) OVER ()', 'share')}, {r('avg(CAST(grade >= 50 AS INT))', 'share_rich')} FROM intervals GROUP BY lith_code")
 def a37_domain_summary(spark: SparkSession, sf: str) -> DataFrame:
-    x = views.intervals(spark, sf)
-    return rounded(x.groupBy("lith_code").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("hole_id").alias("holes"), F.avg("grade").alias("mean"), F.median("grade").alias("median")))
+    return rounded(tabulate.domain_summary(views.intervals(spark, sf), ["lith_code"], "grade", "hole_id", {"share_rich": F.col("grade") >= 50}))
+
+
+@query("a37_two_keys", f"{with_views('intervals')} SELECT lith_code, CASE WHEN from_m < 50 THEN 'upper' ELSE 'lower' END AS part, count(*) AS n, count(DISTINCT hole_id) AS holes, {r('avg(grade)', 'mean')}, {r('median(grade)', 'median')}, {r('count(*) / sum(count(*)) OVER ()', 'share')} FROM intervals GROUP BY ALL")
+def a37_two_keys(spark: SparkSession, sf: str) -> DataFrame:
+    x = views.intervals(spark, sf).withColumn("part", F.when(F.col("from_m") < 50, "upper").otherwise("lower"))
+    return rounded(tabulate.domain_summary(x, ["lith_code", "part"], "grade", "hole_id"))
 
 
 @query("a48_length_histogram", f"{with_views('intervals')}, {COMPOSITES} SELECT least(CAST(floor((length - 0.5) / 0.05) AS BIGINT), 29) AS bin, count(*) AS n FROM composites GROUP BY ALL")
@@ -99,6 +103,15 @@ def j4_stab(spark: SparkSession, sf: str) -> DataFrame:
     return out.select(F.col("point_id").alias("event_id"), "hole_id", F.coalesce("lith", F.lit("UNKNOWN")).alias("lith"))
 
 
+@query("j4_own_code", f"{with_views('intervals', 'lithology')}, {_STABBED} SELECT i.event_id, i.hole_id, coalesce(b.lith, CASE WHEN i.event_id % 2 = 0 THEN i.lith_code END, 'UNKNOWN') AS lith FROM intervals i LEFT JOIN best b USING (event_id)")
+def j4_own_code(spark: SparkSession, sf: str) -> DataFrame:
+    """Logged code at each interval's middle, else its own code, of which every other one is missing."""
+    own = F.when(F.col("event_id") % 2 == 0, F.col("lith_code")).otherwise(F.when(F.col("event_id") % 3 > 0, "nan"))
+    p = views.intervals(spark, sf).select(F.col("event_id").alias("point_id"), "hole_id", ((F.col("from_m") + F.col("to_m")) / 2).alias("mid"), own.alias("own"))
+    out = intervals.stab(p, views.lithology(spark, sf).withColumnRenamed("lith_code", "lith"), "lith", tie="lith_id", own="own", unknown="UNKNOWN")
+    return out.select(F.col("point_id").alias("event_id"), "hole_id", "lith")
+
+
 @query("j5_most_overlap", f"{with_views('intervals', 'lithology')}, best AS (SELECT event_id, lith, part FROM (SELECT i.event_id, l.lith_code AS lith, least(i.to_m, l.to_m) - greatest(i.from_m, l.from_m) AS part, row_number() OVER (PARTITION BY i.event_id ORDER BY least(i.to_m, l.to_m) - greatest(i.from_m, l.from_m) DESC, l.lith_id) AS k FROM intervals i JOIN lithology l ON i.hole_id = l.hole_id AND least(i.to_m, l.to_m) > greatest(i.from_m, l.from_m)) WHERE k = 1) SELECT i.event_id, lith, coalesce(part, 0e0) AS overlap_m, part IS NOT NULL AS matched FROM intervals i LEFT JOIN best USING (event_id)")
 def j5_most_overlap(spark: SparkSession, sf: str) -> DataFrame:
     base = views.intervals(spark, sf).select(F.col("event_id").alias("base_id"), "hole_id", "from_m", "to_m")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalar import even_bin
-from ..operators import compare, ensemble, order, pairs, samples
+from ..operators import compare, ensemble, order, pairs, samples, tabulate
 from . import views
 from .registry import query, r, rounded
 from .views import with_views
@@ -120,6 +120,13 @@ def a17_a19_quantile_profile(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare.quantile_profile(views.stack(spark, sf), p, "value", "v"))
 
 
+@query("a17_sampled_quantiles", f"{with_views('points', 'blocks')}, s AS (SELECT value FROM points ORDER BY md5(id || ':42'), id LIMIT 100), q AS (SELECT unnest(range(0, 101)) AS k), m AS (SELECT k, (SELECT quantile_cont(value, [{', '.join(str(k / 100) for k in range(101))}]) FROM s)[k + 1] AS x, (SELECT quantile_cont(grade, [{', '.join(str(k / 100) for k in range(101))}]) FROM blocks)[k + 1] AS y FROM q) SELECT count(*) AS n, {r('avg(y - x)', 'bias')}, {r('avg(abs(y - x))', 'mae')}, {r('sqrt(avg((y - x) * (y - x)))', 'rmse')}, {r('corr(x, y)', 'r')} FROM m")
+def a17_sampled_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantiles from 0 to 100 percent of a seeded sample, which is the feature, against those of all blocks."""
+    p = compare.seeded_sample(views.points(spark, sf), 100, 42, "id")
+    return rounded(compare.quantile_profile(p, views.blocks(spark, sf), "value", "grade", ends=True))
+
+
 @query("a18_distribution", f"{BLOCKS} SELECT count(grade) AS n, {r('avg(grade)', 'mean')}, {r('stddev_samp(grade)', 'std')}, {r('quantile_cont(grade, 0.1)', 'p10')}, {r('quantile_cont(grade, 0.5)', 'p50')}, {r('quantile_cont(grade, 0.9)', 'p90')}, {r('avg(CAST(grade >= 3 AS INT))', 'share_3')} FROM blocks")
 def a18_distribution(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(compare.distribution(views.blocks(spark, sf), "grade"))
@@ -181,8 +188,7 @@ def a28_g22_category_shares(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a29_prior_shares", f"{CATS} SELECT category_id, {r('count(*) / sum(count(*)) OVER ()', 'share')} FROM categories GROUP BY 1")
 def a29_prior_shares(spark: SparkSession, sf: str) -> DataFrame:
-    x = views.categories(spark, sf).groupBy("category_id").agg(F.count(F.lit(1)).alias("n"))
-    return rounded(x.crossJoin(F.broadcast(x.agg(F.sum("n").alias("all")))).select("category_id", (F.col("n") / F.col("all")).alias("share")))
+    return rounded(tabulate.shares(views.categories(spark, sf), ["category_id"]).drop("n"))
 
 
 @query("a30_entropy_summary", f"{CATS}, {_SHARES} SELECT {r('avg(entropy)', 'mean_entropy')}, {r('quantile_cont(entropy, 0.9)', 'p90_entropy')}, {r('avg(CAST(entropy >= 0.5 AS INT))', 'share_uncertain')}, {r('avg(CAST(s1 + s2 >= 0.1 AS INT))', 'share_ore')} FROM ce")
@@ -245,8 +251,7 @@ def a46_variance_ratio(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a52_physical_audit", f"{POINTS} SELECT {r('min(value - 4)', 'least')}, {r('avg(CAST(value - 4 < 0 AS INT))', 'negative_share')}, {r('avg(value - 4)', 'mean')}, {r('avg(greatest(value - 4, 0))', 'floored_mean')} FROM points")
 def a52_physical_audit(spark: SparkSession, sf: str) -> DataFrame:
-    v = F.col("value") - 4
-    return rounded(views.points(spark, sf).agg(F.min(v).alias("least"), F.avg((v < 0).cast("double")).alias("negative_share"), F.avg(v).alias("mean"), F.avg(F.greatest(v, F.lit(0.0))).alias("floored_mean")))
+    return rounded(tabulate.physical_audit(views.points(spark, sf).withColumn("value", F.col("value") - 4), "value"))
 
 
 @query("a53_binned_median", f"{CATS}, {_SHARES} SELECT CAST(CASE WHEN s1 < 0.2 THEN 0 WHEN s1 < 0.4 THEN 1 WHEN s1 < 0.6 THEN 2 WHEN s1 < 0.8 THEN 3 ELSE 4 END AS INT) AS class, count(*) AS n, {r('median(entropy)', 'median')} FROM ce GROUP BY 1")
@@ -257,14 +262,42 @@ def a53_binned_median(spark: SparkSession, sf: str) -> DataFrame:
 @query("a54_best_method", "SELECT l_returnflag AS family, l_linestatus AS method, round(rmse, 6) + 0e0 AS rmse FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY rmse, l_linestatus) AS k FROM (SELECT l_returnflag, l_linestatus, stddev_pop(l_quantity) AS rmse FROM lineitem GROUP BY ALL)) WHERE k = 1")
 def a54_best_method(spark: SparkSession, sf: str) -> DataFrame:
     x = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_returnflag").alias("family"), F.col("l_linestatus").alias("method")).agg(F.stddev_pop("l_quantity").alias("rmse"))
-    return rounded(x.groupBy("family").agg(F.min_by(F.struct("method", "rmse"), F.struct("rmse", "method")).alias("b")).select("family", "b.*"))
+    return rounded(tabulate.best_method(x, "family", "method", "rmse"))
 
 
 @query("a56_unpivoted_sums", "SELECT l_returnflag, measure, round(sum(v), 2) + 0e0 AS total FROM (SELECT l_returnflag, unnest(['quantity', 'tax']) AS measure, unnest([l_quantity, l_tax]) AS v FROM lineitem WHERE regexp_matches(l_linestatus, '^[OF]$')) GROUP BY ALL")
 def a56_unpivoted_sums(spark: SparkSession, sf: str) -> DataFrame:
-    x = spark.read.parquet(f"{sf}/lineitem.parquet").filter(F.col("l_linestatus").rlike("^[OF]$"))
-    x = x.groupBy("l_returnflag").agg(F.sum("l_quantity").alias("quantity"), F.sum("l_tax").alias("tax"))
-    return rounded(x.unpivot("l_returnflag", ["quantity", "tax"], "measure", "total"), 2)
+    x = tabulate.matching(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_linestatus", "^[OF]$")
+    x = x.select("l_returnflag", F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
+    return rounded(tabulate.unpivoted_sums(x, ["l_returnflag"], ["quantity", "tax"]), 2)
+
+
+@query("a56_means_by_state", f"SELECT l_linestatus AS state, count(*) AS n, {r('avg(l_quantity)', 'quantity')}, {r('avg(l_tax)', 'tax')} FROM lineitem WHERE regexp_matches(l_returnflag, '^[AR]$') GROUP BY 1")
+def a56_means_by_state(spark: SparkSession, sf: str) -> DataFrame:
+    x = tabulate.matching(spark.read.parquet(f"{sf}/lineitem.parquet"), "l_returnflag", "^[AR]$")
+    x = x.select(F.col("l_linestatus").alias("state"), F.col("l_quantity").alias("quantity"), F.col("l_tax").alias("tax"))
+    return rounded(tabulate.means_by_state(x, "state", ["quantity", "tax"]))
+
+
+@query("a56_category_totals", "SELECT sample, round(coalesce(sum(v) FILTER (f = 'A'), 0), 4) + 0e0 AS a, round(coalesce(sum(v) FILTER (f IN ('A', 'R')), 0), 4) + 0e0 AS a_and_r FROM (SELECT l_returnflag AS f, unnest(['l_quantity', 'l_tax', 'l_discount']) AS sample, unnest([l_quantity, l_tax, l_discount]) AS v FROM lineitem) GROUP BY 1")
+def a56_category_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Sums over one category and over two, of each of three columns."""
+    x = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_returnflag", "l_quantity", "l_tax", "l_discount")
+    return rounded(tabulate.category_totals(x, "l_returnflag", ["l_quantity", "l_tax", "l_discount"], {"a": ["A"], "a_and_r": ["A", "R"]}), 4)
+
+
+@query("a53_plan_quantiles", f"{STACK}, {_PCT}, q AS (SELECT pct.ix, pct.iy, quantile_cont(p90 - p10, 0.9) AS spread, quantile_cont(ch, 0.9) AS chance FROM pct JOIN (SELECT cell_id, avg(CAST(value > 25 AS INT)) AS ch FROM stack GROUP BY 1) USING (cell_id) GROUP BY ALL) SELECT ix, iy, {r('spread', 'spread')}, {r('chance', 'chance')} FROM q")
+def a53_plan_quantiles(spark: SparkSession, sf: str) -> DataFrame:
+    """The 90 percent mark over z of spread and of chance, by plan column."""
+    s = views.stack(spark, sf)
+    chance = s.groupBy("cell_id").agg(F.avg((F.col("value") > 25).cast("double")).alias("chance"))
+    x = ensemble.cell_percentiles(s).withColumn("spread", F.col("p90") - F.col("p10")).join(chance, "cell_id")
+    return rounded(tabulate.plan_quantiles(x, ["spread", "chance"]))
+
+
+@query("a53_association", f"{STACK}, {_PCT}, q AS (SELECT pct.ix, pct.iy, quantile_cont(p90 - p10, 0.9) AS spread, quantile_cont(ch, 0.9) AS chance FROM pct JOIN (SELECT cell_id, avg(CAST(value > 25 AS INT)) AS ch FROM stack GROUP BY 1) USING (cell_id) GROUP BY ALL) SELECT count(*) AS n, {r('corr(spread, chance)', 'r')} FROM q WHERE spread IS NOT NULL AND chance IS NOT NULL")
+def a53_association(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(tabulate.association(a53_plan_quantiles(spark, sf), "spread", "chance"))
 
 
 @query("a41_linear_trend", f"{POINTS} SELECT " + ", ".join(r(f"regr_{n}(value, {a})", f"{n}_{a}") for a in "xyz" for n in ("slope", "intercept")) + " FROM points")
@@ -282,7 +315,7 @@ def a40_panel_slopes(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("a39_spans", f"{POINTS} SELECT label, count(*) AS n, {r('avg(value)', 'mean')}, {r('stddev_samp(value)', 'std')}, {r('max(x) - min(x)', 'span_x')}, {r('max(y) - min(y)', 'span_y')}, {r('max(z) - min(z)', 'span_z')} FROM points GROUP BY label")
 def a39_spans(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(views.points(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), *[(F.max(a) - F.min(a)).alias(f"span_{a}") for a in "xyz"]))
+    return rounded(tabulate.spans(views.points(spark, sf), "label", "value"))
 
 
 @query("a4_a5_decluster", f"{POINTS}, m AS (SELECT min(x) AS mx, min(y) AS my, min(z) AS mz FROM points WHERE id % 9 > 0), c AS (SELECT p.*, CASE WHEN id % 9 > 0 THEN count(*) OVER (PARTITION BY id % 9 > 0, floor((x - mx) / 0.15), floor((y - my) / 0.15), floor((z - mz) / 0.15)) END AS k FROM points p, m), t AS (SELECT sum(1e0 / k) AS cells, count(k) AS n FROM c) SELECT id, {r('coalesce(n / cells / k, 1)', 'decluster_weight')}, coalesce(k, 1) AS cell_count FROM c, t")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import covariance
 from ..functions.scalar import inverse_normal_sql
-from ..operators import compare, ensemble, pairs, samples, screen, simulate
+from ..operators import compare, ensemble, pairs, samples, screen, simulate, tabulate
 from ..operators.grid import Grid
 from . import views
 from .registry import query, r, rounded
@@ -265,32 +265,36 @@ def t8_seeded_sample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("p4_inventory", "SELECT page_id, sha256(html) AS sha256, CAST(strlen(html) AS BIGINT) AS bytes, regexp_extract(url, '^[a-z]+') AS kind FROM pages")
 def p4_inventory(spark: SparkSession, sf: str) -> DataFrame:
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", F.sha2("html", 256).alias("sha256"), F.octet_length("html").cast("long").alias("bytes"), F.regexp_extract("url", "^[a-z]+", 0).alias("kind"))
+    return tabulate.inventory(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "html", "url")
 
 
 @query("p5_inner_fields", "SELECT page_id, string_split(url, '/')[1] AS first, array_to_string(string_split(url, '/')[2:len(string_split(url, '/')) - 1], '/') AS middle, string_split(url, '/')[len(string_split(url, '/'))] AS last FROM pages")
 def p5_inner_fields(spark: SparkSession, sf: str) -> DataFrame:
     """First and last field, and all between them joined again."""
-    parts = F.split("url", "/")
-    p = spark.read.parquet(f"{sf}/pages.parquet")
-    return p.select("page_id", F.element_at(parts, 1).alias("first"), F.array_join(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), "/").alias("middle"), F.element_at(parts, -1).alias("last"))
+    return tabulate.inner_fields(spark.read.parquet(f"{sf}/pages.parquet"), "page_id", "url", "/")
 
 
 @query("p6_drift_ids", "SELECT lang, count(*) AS n, count(DISTINCT sha256(regexp_replace(text, '[ \\t\\n]+', ' ', 'g'))) AS distinct_texts, CAST(coalesce(sum(len(regexp_extract_all(text, '[0-9]+'))), 0) AS BIGINT) AS ids FROM documents GROUP BY lang")
 def p6_drift_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return tabulate.text_drift(spark.read.parquet(f"{sf}/documents.parquet"), "lang", "text")
+
+
+@query("p6_id_differences", "WITH a AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS id FROM documents WHERE source <> 'src0'), b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[0-9]+')) AS id FROM documents WHERE source = 'src0') SELECT coalesce(a.id, b.id) AS id, b.id IS NULL AS missing, a.id IS NULL AS extra FROM a FULL JOIN b ON a.id = b.id WHERE a.id IS NULL OR b.id IS NULL")
+def p6_id_differences(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers in the texts of one source or of the others, but not of both."""
     d = spark.read.parquet(f"{sf}/documents.parquet")
-    flat = F.sha2(F.regexp_replace("text", "[ \\t\\n]+", " "), 256)
-    return d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(flat).alias("distinct_texts"), F.sum(F.size(F.regexp_extract_all("text", F.lit("([0-9]+)"), F.lit(1))).cast("long")).alias("ids"))
+    return tabulate.id_differences(d.filter("source <> 'src0'"), d.filter("source = 'src0'"), "text")
 
 
 def _uniform_sql(salt: int) -> str:
     return f"((CAST('0x' || substr(md5(id || ':{salt}'), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0)"
 
 
-@query("s16_synthetic_field", f"WITH i AS (SELECT range AS id FROM range(1000)), u AS (SELECT id, {_uniform_sql(7)} * 1000 AS x, {_uniform_sql(8)} * 1000 AS y, {_uniform_sql(9)} * 1000 AS z, {_uniform_sql(11)} AS e FROM i) SELECT id, {r('x', 'x', 4)}, {r('y', 'y', 4)}, {r('z', 'z', 4)}, {r('greatest(0, least(15, 3 + 0.002e0 * x + sin(y / 150) + 0.5e0 * cos(z / 80) + 0.3e0 * (' + inverse_normal_sql('e') + ')))', 'grade', 4)} FROM u")
+@query("s16_synthetic_field", f"{POINTS}, u AS (SELECT id, x * 1000 AS x, y * 1000 AS y, z * 1000 AS z, {_uniform_sql(7)} AS e FROM points) SELECT id, {r('greatest(0, least(15, 3 + 0.002e0 * x + sin(y / 150) + 0.5e0 * cos(z / 80) + 0.3e0 * (' + inverse_normal_sql('e') + ')))', 'grade', 4)} FROM u")
 def s16_synthetic_field(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(samples.synthetic_field(spark, 1000), 4)
+    """A made-up grade at the points' places, a thousand times as wide."""
+    p = views.points(spark, sf).select("id", *[(F.col(a) * 1000).alias(a) for a in "xyz"])
+    return rounded(samples.synthetic_field(p).select("id", "grade"), 4)
 
 
 @query("a24_support_errors", f"{with_views('stack', 'blocks')}, c AS (SELECT CAST(round_even(x / 12.5, 0) AS BIGINT) AS ix, CAST(round_even(y / 12.5, 0) AS BIGINT) AS iy, CAST(round_even(z / 2.5, 0) AS BIGINT) AS iz, sum(grade * volume * density) / sum(volume * density) AS grade, sum(volume) / 20 AS filled FROM blocks GROUP BY ALL), p AS (SELECT ix, iy, iz, quantile_cont(value, 0.5) AS p50 FROM stack GROUP BY ALL) SELECT count(*) AS n, {r('avg(p50 - grade)', 'bias')}, {r('avg(abs(p50 - grade))', 'mae')}, {r('sqrt(avg((p50 - grade) * (p50 - grade)))', 'rmse')}, {r('corr(grade, p50)', 'r')} FROM c JOIN p USING (ix, iy, iz)")
@@ -303,7 +307,7 @@ def a24_support_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query("t6_ranked_candidates", "SELECT l_suppkey AS candidate, round(score, 6) + 0e0 AS score FROM (SELECT l_suppkey, avg(l_discount) * 10 - stddev_samp(l_tax) AS score FROM lineitem GROUP BY 1) WHERE isfinite(score) ORDER BY round(score, 9) DESC, candidate LIMIT 10")
 def t6_ranked_candidates(spark: SparkSession, sf: str) -> DataFrame:
     x = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("candidate")).agg((F.avg("l_discount") * 10 - F.stddev_samp("l_tax")).alias("score"))
-    return rounded(x.filter(F.col("score").isNotNull() & ~F.isnan("score")).orderBy(F.desc(F.round("score", 9)), "candidate").limit(10))
+    return rounded(tabulate.ranked(x, "score", "candidate", 10))
 
 
 _FEATURES = "f AS (SELECT unnest(['num__l_tax', 'num__l_discount', 'cat__l_returnflag_A', 'cat__l_returnflag_R', 'cat__weathering_bin_HW']) AS feature, unnest([abs(corr(l_tax, l_quantity)), abs(corr(l_discount, l_quantity)), avg(CAST(l_returnflag = 'A' AS INT)), avg(CAST(l_returnflag = 'R' AS INT)), avg(l_tax)]) AS importance FROM lineitem), g AS (SELECT CASE feature WHEN 'num__l_tax' THEN 'l_tax' WHEN 'num__l_discount' THEN 'l_discount' WHEN 'cat__weathering_bin_HW' THEN 'weathering_bin' ELSE 'l' END AS feature, sum(importance) AS importance, avg(importance) AS mean, count(*) AS columns FROM f GROUP BY 1)"
@@ -337,9 +341,10 @@ def w4_centred_shares(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(samples.centred_shares(p, "label", "w", ["value", "id"]).select("id", "p"), 5)
 
 
-@query("v10_model_warnings", "SELECT * FROM (VALUES ('short', 'range is very small for the grid'), ('short', 'error: range is unrealistic'), ('long', 'range is extremely large for the grid'), ('long', 'error: range is unrealistic'), ('noisy', 'nugget effect is high'), ('flat', 'variance is very small')) AS t(model, warning)")
+@query("v10_model_warnings", "WITH m AS (SELECT CAST(p_partkey AS VARCHAR) AS model, p_size / 50e0 AS nugget, CASE WHEN p_partkey % 5 = 0 THEN 0.005e0 ELSE 1.2e0 - p_size / 50e0 END AS variance, CAST(p_size * p_size * p_size AS DOUBLE) / 2 AS reach FROM part) SELECT model, warning FROM (SELECT model, unnest([CASE WHEN reach < 0.05e0 * 4600 THEN 'range is very small for the grid' WHEN reach > 10 * 4600 THEN 'range is extremely large for the grid' END, CASE WHEN nugget / (nugget + variance) > 0.8e0 THEN 'nugget effect is high' END, CASE WHEN variance < 0.01e0 THEN 'variance is very small' END, CASE WHEN NOT reach BETWEEN 10 AND 10000 THEN 'error: range is unrealistic' END]) AS warning FROM m) WHERE warning IS NOT NULL")
 def v10_model_warnings(spark: SparkSession, sf: str) -> DataFrame:
+    """What is doubtful about models whose parameters the parts' sizes stand for."""
     grid = Grid((0.0, 0.0, 0.0), (25.0, 25.0, 2.0), (52, 184, 135))
-    models = {"fine": (0.2, 0.8, 300.0), "short": (0.2, 0.8, 5.0), "long": (0.2, 0.8, 50_000.0), "noisy": (0.9, 0.1, 300.0), "flat": (0.005, 0.009, 300.0)}
-    rows = [(n, w) for n, m in models.items() for w in simulate.model_warnings(covariance.Model("exponential", *m), grid)]
-    return spark.createDataFrame(rows, "model string, warning string")
+    size, k = F.col("p_size"), F.col("p_partkey")
+    p = spark.read.parquet(f"{sf}/part.parquet").select(k.cast("string").alias("model"), (size / 50.0).alias("nugget"), F.when(k % 5 == 0, 0.005).otherwise(1.2 - size / 50.0).alias("variance"), ((size * size * size).cast("double") / 2).alias("reach"))
+    return simulate.model_warnings(p, grid)

@@ -18,11 +18,16 @@ def _values(name: str, values: list) -> str:
 _POOLS = ", ".join(_values(n, v) for n, v in zip("abcde", search.POOLS.values(), strict=True))
 
 
-@query("e16_candidates", f"WITH c AS (SELECT (((a.k * 3 + b.k) * 4 + c.k) * 3 + d.k) * 2 + e.k AS candidate, CAST(a.v AS DOUBLE) AS target_range, CAST(b.v AS DOUBLE) AS nugget_ratio, c.v AS normal_range, d.v[1] AS strike_radius, e.v[2] AS most_neighbours FROM {_POOLS}) SELECT * FROM c ORDER BY md5(candidate || ':1337') LIMIT 60")
+_METRES = f"{with_views('points')}, v AS (SELECT CAST(floor(h / 25) AS INT) AS lag, count(*) AS n, avg(h) AS d, avg(g) AS gamma FROM (SELECT sqrt((a.x * 500 - b.x * 500) * (a.x * 500 - b.x * 500) + (a.y * 500 - b.y * 500) * (a.y * 500 - b.y * 500) + (a.z * 500 - b.z * 500) * (a.z * 500 - b.z * 500)) AS h, (a.value - b.value) * (a.value - b.value) / 2 AS g FROM points a JOIN points b ON a.id < b.id) WHERE h > 0 AND h < 150 GROUP BY 1)"
+
+
+@query("e16_candidates", f"{_METRES}, c AS (SELECT (((a.k * 3 + b.k) * 4 + c.k) * 3 + d.k) * 2 + e.k AS candidate, CAST(a.v AS DOUBLE) AS target_range, CAST(b.v AS DOUBLE) AS nugget_ratio, c.v AS normal_range, d.v[1] AS strike_radius, e.v[2] AS most_neighbours FROM {_POOLS}), t AS (SELECT * FROM c ORDER BY md5(candidate || ':1337') LIMIT 60) SELECT t.*, (SELECT round(sqrt(sum(n * pow(12e0 * (1 - (1 - nugget_ratio) * exp(-d / target_range)) - gamma, 2)) / sum(n)), 6) + 0e0 FROM v) AS weighted_rmse FROM t")
 def e16_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Sixty of the 360 combinations: the feature is the limit."""
-    c = search.candidates(spark, 60)
-    return c.select("candidate", "target_range", "nugget_ratio", "normal_range", F.col("search_radii")[0].alias("strike_radius"), F.col("neighbours")[1].alias("most_neighbours"))
+    """Sixty of the 360 combinations, the limit being the feature, each held against the points' variogram."""
+    p = views.points(spark, sf).withColumns({a: F.col(a) * 500 for a in "xyz"})
+    v = pairs.variogram(p, 150.0, 6, {"all": (1.0, 0.0, 0.0)}, 90.0)
+    c = search.variogram_errors(search.candidates(spark, 60), v, sill=12.0)
+    return rounded(c.select("candidate", "target_range", "nugget_ratio", "normal_range", F.col("search_radii")[0].alias("strike_radius"), F.col("neighbours")[1].alias("most_neighbours"), "weighted_rmse"))
 
 
 _METRICS = """m AS (SELECT l_suppkey AS candidate, avg(CAST(l_discount AS DOUBLE)) * 10 AS weighted_rmse, avg(CAST(l_tax AS DOUBLE)) * 15 AS along_strike_rmse, count(*) % 6 AS total_missing_lags, avg(CAST(l_tax AS DOUBLE)) - 0.26e0 AS along_strike_bias,
