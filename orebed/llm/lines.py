@@ -46,9 +46,13 @@ def _further(pool: DataFrame, min_docs: int, similarity: float) -> DataFrame | N
 
     A part starts as a leaf.  Its constant places are those where one word has
     ``similarity`` of the lines.  If they are CONSTANT of all, the lines near
-    them are a template and the others a new part; otherwise the part is split
-    by the words at the place where most lines have a word in ``min_docs`` lines
-    or more (then the one with fewest words), other words staying together.
+    them are a template.  Otherwise the part is split, at all places in one
+    round: places are ranked by the lines that have a word there which
+    ``min_docs`` lines or more have (then by fewest words, then by place), and a
+    line goes to the part of the first such word that it has; lines without
+    any are done.  As no word that splits a part has ``similarity`` of it, parts
+    shrink by that with every round: the number of rounds follows the logarithm
+    of the largest leaf, not the words of its lines.
     """
     found = []
     while not pool.isEmpty():
@@ -60,21 +64,26 @@ def _further(pool: DataFrame, min_docs: int, similarity: float) -> DataFrame | N
         parts = places.groupBy("part", "words").agg(
             F.max("total").alias("total"),
             F.collect_list(F.when(constant, F.struct("place", "top.word"))).alias("constants"),
-            F.max(F.when(~constant & (F.col("often") > 0), F.struct("often", (-F.col("kinds")).alias("kinds"), (-F.col("place")).alias("place")))).alias("best"),
+            F.array_sort(F.collect_list(F.when(~constant & (F.col("often") > 0), F.struct((-F.col("often")).alias("often"), "kinds", "place")))).alias("ranks"),
         )
         enough = F.size("constants") >= CONSTANT * (F.col("words") - DEPTH)
-        parts = parts.withColumn("enough", enough).filter((F.col("total") >= min_docs) & (F.col("enough") | F.col("best").isNotNull()))
-        parts = parts.select(F.concat("part", F.lit(b"")).alias("part"), "constants", "enough", (-F.col("best.place")).alias("at"))
+        parts = parts.withColumn("enough", enough).filter((F.col("total") >= min_docs) & (F.col("enough") | (F.size("ranks") > 0)))
+        parts = stored(parts.select(F.concat("part", F.lit(b"")).alias("part"), "constants", "enough", F.transform("ranks", lambda r: r["place"]).alias("ranks")), "open-parts")
         same = F.size(F.filter("constants", lambda c: F.get("tokens", c["place"]) == c["word"])) + DEPTH
         under = F.col("enough") & (same >= similarity * (F.size("constants") + DEPTH))
-        lines = pool.join(parts, "part").select("line_id", "part", "words", "tokens", "docs", under.alias("under"), F.when(~F.col("enough"), F.col("at")).alias("at"))
+        lines = pool.join(parts.select("part", "constants", "enough"), "part").select("line_id", "part", "words", "tokens", "docs", "enough", under.alias("under"))
         lines = stored(lines, "parted")
         found.append(lines.filter("under").select("line_id", F.col("part").alias("template")))
-        lines = lines.filter(~F.col("under")).withColumn("word", F.get("tokens", F.col("at")))
-        often = words.filter(often).select(F.concat("part", F.lit(b"")).alias("part"), F.col("place").alias("at"), "word", F.lit("=").alias("sign"))
-        lines = lines.join(often, ["part", "at", "word"], "left")
-        part = _digest(F.hex("part"), F.coalesce(F.col("at").cast("string"), F.lit("rest")), F.concat(F.col("sign"), F.col("word")))
-        pool = stored(lines.select("line_id", part.alias("part"), "words", "tokens", "docs"), "parts")
+        # Lines away from a template are a part of their own; those of a mixed part go by their words.
+        rest = lines.filter("enough AND NOT under").select("line_id", _digest(F.hex("part"), F.lit("rest")).alias("part"), "words", "tokens", "docs")
+        mixed = lines.filter("NOT enough")
+        split = parts.filter("NOT enough").select("part", F.posexplode("ranks").alias("rank", "place"))
+        split = words.filter(often).join(split, ["part", "place"]).select(F.concat("part", F.lit(b"")).alias("part"), "place", "word", "rank")
+        has = mixed.select("line_id", "part", F.posexplode("tokens").alias("place", "word")).join(split, ["part", "place", "word"])
+        first = has.groupBy("line_id").agg(F.min(F.struct("rank", "place", "word")).alias("first"))
+        first = mixed.join(first.select(F.concat("line_id", F.lit(b"")).alias("line_id"), "first"), "line_id")
+        part = _digest(F.hex("part"), F.col("first.place").cast("string"), F.concat(F.lit("="), F.col("first.word")))
+        pool = stored(first.select("line_id", part.alias("part"), "words", "tokens", "docs").unionByName(rest), "parts")
     return functools.reduce(DataFrame.unionAll, found) if found else None
 
 
@@ -106,6 +115,12 @@ def line_templates(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     # Busy leaves grow with the corpus: the same plan at every size, and it moves each line once.
     found = _sized(lines.join(busy.hint("merge"), "leaf", "left_semi")).withColumn("line_id", _digest(F.lit("line"), "line"))
     found = stored(found.select("doc_id", "key", "no", "words", "lead", "line", "line_id"), "lines")
+    # Rows that repeat an id and a text count once: only where there are any are their lines moved again.
+    again_there = rows.groupBy("doc_id", F.xxhash64("text").alias("key")).count().filter("count > 1").select("doc_id", "key")
+    if not again_there.isEmpty():
+        same = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("key") == F.col("of_key"))
+        twice = stored(again_there.select(F.col("doc_id").alias("of_doc"), F.col("key").alias("of_key")), "repeated-rows")
+        found = stored(found.join(twice, same, "left_anti").unionByName(found.join(twice, same, "left_semi").distinct()), "lines")
 
     kinds = stored(found.groupBy("words", "lead", "line", "line_id").agg(F.count(F.lit(1)).alias("n")), "distinct-lines")
     several = kinds.groupBy("words", "lead").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
@@ -166,7 +181,9 @@ def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, similarity: float
     # Dropped lines grow with the corpus: by merge at every size, as above.
     joined = plain.join(drops.hint("merge"), doc.eqNullSafe(F.col("to_doc")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("to_key")), "left")
     gone = F.col("gone")
-    left = F.array_join(F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i)), "\n")
+    # The lines are bound to a variable and the kept places taken by one hash lookup each: linear in the text.
+    kept = lambda lines: F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+    left = F.transform(F.array(F.split(text, "\n", -1)), lambda lines: F.array_join(F.transform(kept(lines), lambda i: F.get(lines, i)), "\n"))[0]
     taken = {n.lower() for n in names}
     added = [n + "_" if n in taken else n for n in ("n_lines", "n_dropped")]
     columns = [F.when(gone.isNull(), text).otherwise(left).alias(n) if n == text_column else F.col(f"_{i}").alias(n) for i, n in enumerate(names)]

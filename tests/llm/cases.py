@@ -143,20 +143,67 @@ def exact(data: list[tuple]) -> list[tuple]:
     return out
 
 
-def recurring(data: list[tuple], min_docs: int, similarity: float) -> list[tuple]:
-    def mask(t: str | None) -> list[str]:
-        return re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", t or "", flags=re.ASCII).split("\n")
+def masked_lines(t: str | None) -> list[str]:
+    return re.sub(r"(?<!\S)[^\s0-9]*[0-9]\S*", "<*>", t or "", flags=re.ASCII).split("\n")
+
+
+def further(pool: dict[str, int], min_docs: int, similarity: float) -> dict[str, tuple]:
+    """Template of lines (with the number of their documents) of one leaf that share one, by the rule, part by part."""
+    found: dict[str, tuple] = {}
+    parts = [((), list(pool))]
+    while parts:
+        path, own = parts.pop()
+        if not own or sum(pool[x] for x in own) < min_docs:
+            continue
+        tokens = {x: x.split(" ") for x in own}
+        size, total = len(tokens[own[0]]), sum(pool[x] for x in own)
+        counts = [Counter() for _ in range(size)]
+        for x in own:
+            for p in range(3, size):
+                counts[p][tokens[x][p]] += pool[x]
+        tops = {p: max(c.items(), key=lambda v: (v[1], v[0].encode())) for p, c in enumerate(counts) if p >= 3}
+        constants = {p: w for p, (w, n) in tops.items() if n >= similarity * total}
+        if len(constants) >= 0.5 * (size - 3):
+            rest = []
+            for x in own:
+                if sum(tokens[x][p] == w for p, w in constants.items()) + 3 >= similarity * (len(constants) + 3):
+                    found[x] = path
+                else:
+                    rest.append(x)
+            parts.append(((*path, "rest"), rest))
+            continue
+        ranks = sorted((-sum(n for n in counts[p].values() if n >= min_docs), len(counts[p]), p) for p in tops if p not in constants and any(n >= min_docs for n in counts[p].values()))
+        split = defaultdict(list)
+        for x in own:
+            for *_, p in ranks:
+                if counts[p][tokens[x][p]] >= min_docs:
+                    split[p, tokens[x][p]].append(x)
+                    break
+        parts += [((*path, k), v) for k, v in split.items()]
+    return found
+
 
+def recurring(data: list[tuple], min_docs: int, similarity: float) -> list[tuple]:
+    """The whole rule: first templates of leaves, lines by themselves, and further templates of what does not recur so."""
     distinct = list(dict.fromkeys(data))
     leaves: dict[tuple, Counter] = defaultdict(Counter)
-    for _, t in distinct:
-        for line in mask(t):
+    of_line = defaultdict(set)
+    for row in distinct:
+        for line in masked_lines(row[1]):
             if line.strip(" "):
                 w = line.split(" ")
                 leaves[len(w), " ".join(w[:3])][line] += 1
-    most = {k: [max(Counter({x: sum(n for y, n in c.items() if y.split(" ")[p] == x) for x in {y.split(" ")[p] for y in c}}).items(), key=lambda v: (v[1], v[0].encode()))[0] for p in range(k[0])] for k, c in leaves.items() if len(c) > 1}
-
-    def template(line: str) -> tuple:
+                of_line[line].add(row)
+    most = {}
+    for k, c in leaves.items():
+        if len(c) > 1:
+            at = [Counter() for _ in range(k[0])]
+            for line, n in c.items():
+                for p, w in enumerate(line.split(" ")):
+                    at[p][w] += n
+            most[k] = [max(x.items(), key=lambda v: (v[1], v[0].encode()))[0] for x in at]
+
+    def first(line: str) -> tuple:
         w = line.split(" ")
         k = len(w), " ".join(w[:3])
         if k in most and sum(a == b for a, b in zip(w, most[k], strict=True)) >= similarity * len(w):
@@ -164,15 +211,22 @@ def recurring(data: list[tuple], min_docs: int, similarity: float) -> list[tuple
         return ("line", line)
 
     docs = defaultdict(set)
-    for row in distinct:
-        for line in mask(row[1]):
-            if line.strip(" "):
-                docs[template(line)].add(row)
+    for line, rows_ in of_line.items():
+        docs[first(line)] |= rows_
+    named = {line: first(line) for line in of_line}
+    for k, c in leaves.items():
+        rest = {x: len(of_line[x]) for x in c if len(docs[named[x]]) < min_docs}
+        if k[0] > 3 and k in most and len(rest) > 1 and sum(c[x] for x in rest) >= min_docs:
+            for line, path in further(rest, min_docs, similarity).items():
+                named[line] = ("further", *k, path)
+    docs = defaultdict(set)
+    for line, rows_ in of_line.items():
+        docs[named[line]] |= rows_
     out = []
     for doc, t in data:
         kept, gone = [], 0
-        for line, shown in zip((t or "").split("\n"), mask(t), strict=True):
-            held = docs[template(shown)] if shown.strip(" ") else set()
+        for line, shown in zip((t or "").split("\n"), masked_lines(t), strict=True):
+            held = docs[named[shown]] if shown.strip(" ") else set()
             keeper = min((d for d, _ in held if d is not None), default=None)
             if len(held) >= min_docs and keeper is not None and doc != keeper:
                 gone += 1

@@ -8,6 +8,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import cases  # noqa: E402
 
 from orebed.llm import components, lines, naming, near, substrings  # noqa: E402
+from orebed.llm.common import stored  # noqa: E402
 
 
 @pytest.fixture(scope="module")
@@ -134,6 +135,59 @@ def test_lines_of_many_templates_in_a_leaf(spark, names):
     assert all(49 - (names == 7) <= n <= 49 for n in dropped[:4]) and dropped[4] == 0, dropped
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_further_templates_against_the_rule(spark, seed):
+    # Templates with fields of few and many words in a few leaves, lines away from all, repeated rows and nulls.
+    import random
+
+    r = random.Random(seed)
+
+    def word(n):
+        return "v" + "abcdefghijklmnopqrstuvwxyz"[r.randrange(n)]
+
+    shapes = [[None if r.random() < 0.35 else f"c{'xyz'[r.randrange(3)]}{'abcdefgh'[r.randrange(8)]}" for _ in range(8)] for _ in range(7)]
+    data = []
+    for i in range(170):
+        own = []
+        for _ in range(r.randrange(1, 4)):
+            shape = r.choice(shapes)
+            own.append("all lines begin " + " ".join(word(r.choice([2, 26])) if w is None or r.random() < 0.03 else w for w in shape))
+        data.append((i % 160, "\n".join(own)))
+    data += [(None, data[3][1]), (900, None), data[5], (901, "")]
+    for min_docs in (4, 10):
+        got = lines.drop_recurring(cases.frame(spark, data), min_docs).select("doc_id", "n_lines", "n_dropped", "text").toPandas()
+        want = cases.recurring(data, min_docs, 0.8)
+        cases.same(got, want)
+    assert sum(x[2] for x in cases.recurring(data, 4, 0.8)) > 60
+
+
+@pytest.mark.parametrize("places", [8, 40])
+def test_rounds_do_not_follow_the_words(spark, monkeypatch, places):
+    # A leaf in which 12 lines share a word at each place, and nothing else.
+    made = []
+    monkeypatch.setattr(lines, "stored", lambda df, name: made.append(name) or stored(df, name))
+    data = []
+    for p in range(places):
+        for k in range(12):
+            tail = [f"u{p}x{k}y{q}".translate(str.maketrans("0123456789", "abcdefghij")) for q in range(places)]
+            tail[p] = "same" + "abcdefghij"[p % 10] + "abcdefghij"[p // 10]
+            data.append((p * 12 + k, "one two three " + " ".join(tail)))
+    out = lines.drop_recurring(cases.frame(spark, data))
+    assert out.filter("n_dropped > 0").isEmpty()
+    assert made.count("words-of-parts") == 2
+
+
+def test_texts_of_many_lines(spark):
+    import time
+
+    text = "\n".join(f"w{'abcdefghij'[i % 10]}{'abcdefghij'[i // 10 % 10]}{'abcdefghij'[i // 100 % 10]}{'abcdefghij'[i // 1000 % 10]}{'abcdefghij'[i // 10000]}" for i in range(40_000))
+    docs = spark.createDataFrame([(i, text + f"\nown line of {'abcdefghijkl'[i]}") for i in range(12)], "doc_id long, text string")
+    began = time.time()
+    out = {r["doc_id"]: (r["n_lines"], r["n_dropped"], r["text"]) for r in lines.drop_recurring(docs).collect()}
+    assert out[0][1] == 0 and all(out[i] == (40_001, 40_000, f"own line of {'abcdefghijkl'[i]}") for i in range(1, 12))
+    assert time.time() - began < 120
+
+
 def test_lines_keep_columns(docs):
     clash = docs.withColumn("n_lines", F.lit("mine"))
     out = lines.drop_recurring(clash)
