@@ -4,25 +4,33 @@ from __future__ import annotations
 
 import dataclasses
 import operator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import order
 from .common import pick, stored, table
+from .words import Words, slices
 
-#: Labelled rows that a fit uses at most, those with the least hash of id and text.
+#: Labelled ids that a fit uses at most, those with the least hash.
 FIT_ROWS = 20_000
-#: Classes of strength over which scored texts are counted, and standard errors of the fitted share that the cut may be off.
-CLASSES, SLACK = 8192, 4.0
 #: Preferred texts that each rejected text is compared with, and the reverse.
-PARTNERS = 16
+PARTNERS = 4
+#: Classes of hashed words, and of hashed runs of three bytes, whose shares of a text are features.
+HASHED = 128
+#: Ridge of the named features' weights, and of the hashed ones'.
+RIDGE = (1.0, 30.0)
 NAMES = (
     "log_bytes", "log_words", "word_bytes", "upper", "digits", "other_bytes", "line_feeds", "commas_stops",
     "bangs", "bars", "signs", "brackets", "distinct_words", "repeats", "top_word", "long_words", "repeats_any", "signs_any",
+    *[f"word_{k}" for k in range(HASHED)], *[f"bytes_{k}" for k in range(HASHED)],
 )
+_FIRST, _SECOND, _THIRD = (np.random.default_rng(31).integers(0, 1 << 32, (3, 256), dtype=np.uint32))
 
 
 def features(text: str | None) -> list[float]:
@@ -45,72 +53,82 @@ def features(text: str | None) -> list[float]:
     ]
 
 
-@F.pandas_udf(T.ArrayType(T.DoubleType()))  # a type, not its name: workers import this without a session
-def measured(texts: pd.Series) -> pd.Series:
-    """The features of every text."""
-    return pd.Series([features(t) for t in texts])
+def hashed(texts: list[str | None]) -> np.ndarray:
+    """Of each whole text the square roots of the shares of its words, and of its runs of three bytes, in each class of hashes."""
+    w = Words(texts, lower=True)
+    out = np.zeros((len(texts), 2 * HASHED), np.float32)
+    n = w.counts
+    doc = np.repeat(np.arange(len(texts)), n)
+    words = np.bincount(doc * HASHED + (w.hashes() % np.uint64(HASHED)).astype(np.int64), minlength=len(texts) * HASHED).reshape(-1, HASHED)
+    out[:, :HASHED] = words / np.maximum(n, 1)[:, None]
+    raw = np.frombuffer(w.data, np.uint8)
+    ends = np.cumsum([len((t or "").encode()) + 1 for t in texts])
+    for k, (start, end) in enumerate(zip([0, *ends[:-1]], ends - 1, strict=True)):
+        x = raw[start:end]
+        if len(x) >= 3:
+            h = (_FIRST[x[:-2]] ^ _SECOND[x[1:-1]] ^ _THIRD[x[2:]]) & np.uint32(HASHED - 1)
+            out[k, HASHED:] = np.bincount(h, minlength=HASHED) / len(h)
+    return np.sqrt(out)
+
+
+def measured(texts: list[str | None]) -> np.ndarray:
+    """The features of each text, a row each."""
+    if not len(texts):
+        return np.zeros((0, len(NAMES)), np.float32)
+    return np.concatenate([np.array([features(t) for t in texts], np.float32), hashed(texts)], axis=1)
+
+
+def _measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for a, b in slices(texts):
+            x = measured(texts[a:b])
+            rows = batch.slice(a, b - a)
+            columns = [rows.column("doc_id"), rows.column("label"), rows.column("tie"), pa.array(list(x), pa.list_(pa.float32()))]
+            yield pa.record_batch(columns, names=["doc_id", "label", "tie", "x"])
 
 
 @dataclasses.dataclass
 class Ranker:
-    """Strength of a text is weights . (x - mean) / scale; its score is monotone in that.
-
-    ``quantile`` is the share of texts to reject, ``slack`` how far it may be off, and ``near`` the
-    strength that parted the labels best."""
+    """Strength of a text is weights . (x - mean) / scale, each term cut off at 8 deviations; ``near`` is the strength
+    that parts the labels of the fit best (balanced accuracy)."""
 
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
-    quantile: float
-    slack: float
     near: float = 0.0
 
-    def strength(self, x: Column) -> Column:
-        terms = [F.greatest(F.lit(-8.0), F.least(F.lit(8.0), (x[i] - float(m)) / float(s))) * float(w) for i, (m, s, w) in enumerate(zip(self.mean, self.scale, self.weights, strict=True))]
-        strength = terms[0]
-        for t in terms[1:]:
-            strength = strength + t
-        return strength
-
-    def cut(self, x: DataFrame) -> float:
-        """The strength at the quantile of all texts ``x``: counted in CLASSES classes, one row each.
-
-        The share that a bounded sample gives is a little off.  Of the shares
-        within its slack the one at ``near`` is taken, or else the closest."""
-        reach = 8.0 * float(np.abs(self.weights).sum())
-        if not reach:
-            return -1.0
-        k = F.least(F.floor((self.strength(F.col("x")) + reach) * (CLASSES / (2 * reach))), F.lit(CLASSES - 1)).cast("int")
-        count = np.zeros(CLASSES, np.int64)
-        for r in x.groupBy(k.alias("k")).count().collect():
-            count[r["k"]] = r["count"]
-        edge = np.concatenate([[0], np.cumsum(count)]) / max(1, count.sum())
-        at = int(np.clip((self.near + reach) * (CLASSES / (2 * reach)), 0, CLASSES))
-        lo, hi = self.quantile - self.slack, self.quantile + self.slack
-        if edge[at] < lo or edge[at] > hi:
-            at = int(np.searchsorted(edge, lo if edge[at] < lo else hi))
-        # Edges of the same share are one gap, in whose middle the cut is put, unless it is an open end.
-        same = np.flatnonzero(edge == edge[at])
-        middle = at if edge[at] in (0.0, 1.0) else (int(same[0]) + int(same[-1])) / 2
-        return middle * (2 * reach / CLASSES) - reach
-
-    def score(self, x: Column, cut: float, threshold: float) -> Column:
-        """From 0 to 1, and exactly the threshold where the strength is the cut."""
-        shift = float(np.log(threshold / (1 - threshold)))
-        return F.lit(1.0) / (F.lit(1.0) + F.exp(-(self.strength(x) - cut + shift)))
-
-
-def fit(x: np.ndarray, label: np.ndarray, quantile: float | None = None, seed: int = 5, ridge: float = 1.0) -> Ranker:
-    """Weights by Newton's method on the logistic loss of feature differences.
+    def strengths(self, x: np.ndarray) -> np.ndarray:
+        return np.clip((x - self.mean) / self.scale, -8, 8) @ self.weights
+
+    def column(self, text: Column) -> Column:
+        """The strength of every text."""
+
+        @F.pandas_udf(T.DoubleType())
+        def strength(texts: pd.Series) -> pd.Series:
+            held = texts.tolist()
+            parts = [self.strengths(measured(held[a:b])) for a, b in slices(held)]
+            return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
+
+        return strength(text)
+
+
+def score(strength: Column, cut: float, threshold: float) -> Column:
+    """From 0 to 1, and exactly the threshold where the strength is the cut."""
+    shift = float(np.log(threshold / (1 - threshold)))
+    return F.when(strength == cut, F.lit(threshold)).otherwise(F.lit(1.0) / (F.lit(1.0) + F.exp(-(strength - cut + shift))))
+
+
+def fit(x: np.ndarray, label: np.ndarray, seed: int = 5, ridge: tuple[float, float] = RIDGE) -> Ranker:
+    """Weights by Newton's method on the logistic loss of feature differences, held small by a ridge,
+    which is weaker for the named features than for the hashed ones.
 
     Each rejected text is paired with PARTNERS preferred ones and the reverse.
-    Without ``quantile`` the share to reject is the one that parts the two
-    labels best (balanced accuracy).  With one label only, or none, all weights
-    are 0 and every text passes.
-    """
+    With one label only, or none, all weights are 0."""
     d = x.shape[1] if x.size else len(NAMES)
     if not len(x) or label.min() == label.max():
-        return Ranker(np.zeros(d), np.ones(d), np.zeros(d), 0.0, 0.0)
+        return Ranker(np.zeros(d), np.ones(d), np.zeros(d))
+    x = x.astype(float)
     mean, scale = x.mean(0), x.std(0)
     scale[scale < 1e-9] = 1.0
     z = np.clip((x - mean) / scale, -8, 8)
@@ -118,26 +136,32 @@ def fit(x: np.ndarray, label: np.ndarray, quantile: float | None = None, seed: i
     rng = np.random.default_rng(seed)
     a = np.concatenate([rng.choice(good, PARTNERS * len(bad)), np.repeat(good, PARTNERS)])
     b = np.concatenate([np.repeat(bad, PARTNERS), rng.choice(bad, PARTNERS * len(good))])
-    diff = z[a] - z[b]
-    w = np.zeros(d)
+    w, share = np.zeros(d), len(x) / len(a)
+    hold = np.where(np.arange(d) < d - 2 * HASHED, *ridge) if d > 2 * HASHED else np.full(d, ridge[0])
     for _ in range(25):
-        p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
-        grad = -(diff * p[:, None]).mean(0) * len(x) + ridge * w
-        hess = (diff * (p * (1 - p))[:, None]).T @ diff * (len(x) / len(diff)) + ridge * np.eye(d)
+        grad, hess = hold * w, np.diag(hold)
+        # Differences are made a block at a time: what is held doesn't follow the number of pairs.
+        for k in range(0, len(a), 16_384):
+            diff = z[a[k : k + 16_384]] - z[b[k : k + 16_384]]
+            p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
+            grad = grad - share * (diff * p[:, None]).sum(0)
+            hess = hess + share * (diff * (p * (1 - p))[:, None]).T @ diff
         step = np.linalg.solve(hess, grad)
-        w -= step
-        if np.abs(step).max() < 1e-6:
+        w = w - step
+        if np.abs(step).max() < 1e-4:
             break
-    if quantile is not None:
-        return Ranker(mean, scale, w, quantile, 0.0)
-    s = z @ w
-    order = np.argsort(s, kind="stable")
-    gain = np.cumsum(label[order] == 0) / len(bad) - np.cumsum(label[order] == 1) / len(good)
+    return Ranker(mean, scale, w, parting(z @ w, label))
+
+
+def parting(strength: np.ndarray, label: np.ndarray) -> float:
+    """Halfway between the two strengths between which the labels part best; of equal partings the middle one."""
+    order = np.argsort(strength, kind="stable")
+    s, y = strength[order], label[order]
+    gain = np.cumsum(y == 0) / (y == 0).sum() - np.cumsum(y == 1) / (y == 1).sum()
+    gain[:-1][s[1:] == s[:-1]] = -np.inf  # equal strengths can't be parted
     best = np.flatnonzero(gain >= gain.max() - 1e-12)
     k = int(best[len(best) // 2])
-    share = (k + 1) / len(x)
-    near = float(s[order[k]] + s[order[min(k + 1, len(x) - 1)]]) / 2
-    return Ranker(mean, scale, w, share, SLACK * float(np.sqrt(share * (1 - share) / len(x))), near)
+    return float(s[k] + s[min(k + 1, len(s) - 1)]) / 2
 
 
 def held_out(column: str = "doc_id", folds: int = 5) -> Column:
@@ -145,55 +169,78 @@ def held_out(column: str = "doc_id", folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % folds == 0, F.lit(False))
 
 
-def learn(x: DataFrame, labels: DataFrame, label_column: str, quantile: float | None, fit_rows: int, id_column: str) -> Ranker:
-    """Fit on labelled rows of a features table (``doc_id, x``), those that aren't held out.
+def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> Ranker:
+    """The ranker fitted on labelled rows that are not held out, an id and a label counting once.
 
-    Of more than ``fit_rows`` the ones with the least hash of id and text: the
-    rows are counted first, and only about so many as are wanted move."""
-    marks = pick(labels, doc_id=id_column, label=label_column).filter(F.col("label").isin(0, 1) & ~held_out())
-    known = x.join(marks, "doc_id").select("x", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "x").alias("tie"))
-    known = stored(known, "labelled")
-    n = known.count()
-    if n > fit_rows:
+    The fit takes at most ``fit_rows`` ids, those with the least hash, and of rows that
+    repeat an id the one with the least hash of its text: so what reaches the
+    driver is bounded, whatever repeats."""
+    marks = pick(labels, doc_id=id_column, label=label_column).select(F.col("doc_id").cast("long").alias("doc_id"), "label")
+    marks = stored(marks.filter(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", F.col("label").cast("int").alias("label")).distinct(), "labels")
+    ids = marks.agg(F.count_distinct("doc_id")).first()[0]
+    if ids > fit_rows:
         # Below the limit by four deviations of what a hash lets through.
-        share = max(0.5 * fit_rows, fit_rows - 4 * fit_rows**0.5) / n
-        known = known.filter(F.pmod("tie", F.lit(1 << 40)) < int(share * (1 << 40)))
-    sample = sorted(known.collect(), key=lambda r: (r["tie"], r["label"]))[:fit_rows]
-    return fit(np.array([r["x"] for r in sample], dtype=float), np.array([r["label"] for r in sample], dtype=int), quantile)
+        share = max(0.5 * fit_rows, fit_rows - 4 * fit_rows**0.5) / ids
+        marks = marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < int(share * (1 << 40)))
+    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    # At most fit_rows ids, twice if both labels name one.
+    known = rows.join(F.broadcast(marks), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("tie"), "text")
+    x = known.mapInArrow(_measured, "doc_id long, label int, tie long, x array<float>")
+    x = x.groupBy("doc_id", "label").agg(F.min(F.struct("tie", "x")).alias("one")).select("doc_id", "label", "one.x")
+    sample = sorted(x.collect(), key=lambda r: (r["doc_id"], r["label"]))
+    return fit(np.array([r["x"] for r in sample], dtype=np.float32), np.array([r["label"] for r in sample], dtype=int))
+
+
+def cut_at(strengths: DataFrame, quantile: float) -> float:
+    """The exact quantile of the column ``strength`` of all rows; without rows, 0."""
+    found = order.quantiles(strengths, "strength", [quantile]).first()
+    return 0.0 if found is None else float(found["q"])
+
+
+def _decided(docs: DataFrame, labels: DataFrame, label_column: str, quantile: float | None, fit_rows: int, id_column: str, text_column: str) -> tuple[DataFrame, Ranker, float]:
+    """Strengths of all rows (``doc_id, strength``), the ranker, and the cut."""
+    ranker = learn(docs, labels, label_column, fit_rows, id_column, text_column)
+    rows = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), ranker.column(F.col("text")).alias("strength"))
+    strengths = stored(rows, "strengths")
+    if not ranker.weights.any():
+        return strengths, ranker, -1.0  # nothing to choose by: all pass
+    if quantile is None:
+        quantile = strengths.agg(F.avg((F.col("strength") < ranker.near).cast("double"))).first()[0] or 0.0
+    return strengths, ranker, cut_at(strengths, quantile)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", threshold: float = 0.3, quantile: float | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Rows ``doc_id, held_out, score, predicted``, one for each input row.
 
     Learns from labelled rows that are not held out, at most ``fit_rows`` of
-    them; only features of the text enter a score.  The texts below the
-    ``quantile`` of all scores are rejected (without one, the share that parts
-    the labels best, see ``Ranker.cut``); the score there is ``threshold``.
-
-    Null and empty texts are scored alike, very long ones whole; null ids are
-    never learnt from; repeated ids are learnt from as often as they are
-    labelled, and null labels not at all.  Without usable labels every text
-    passes.  An empty table gives an empty result.  Other columns are ignored.
+    them; only features of the text enter a score.  Texts below the exact
+    ``quantile`` of all texts' strengths are rejected; the score there is
+    ``threshold``.  Without ``quantile`` it is the share of all texts that are
+    weaker than the strength which parts the labels of the fit best.
+
+    Null and empty texts are scored alike, very long ones whole; equal texts
+    have equal scores.  Null ids are never learnt from; rows that repeat an id
+    are learnt from once; null labels not at all.  Without usable labels, or
+    with labels of one kind, every text passes.  An empty table gives an empty
+    result.  Other columns are ignored.
     """
-    x = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("x"))
-    x = stored(x, "features")
-    ranker = learn(x, labels, label_column, quantile, fit_rows, id_column)
-    scored = x.select("doc_id", held_out().alias("held_out"), ranker.score(F.col("x"), ranker.cut(x), threshold).alias("score"))
+    strengths, _, cut = _decided(docs, labels, label_column, quantile, fit_rows, id_column, text_column)
+    scored = strengths.select("doc_id", held_out().alias("held_out"), score(F.col("strength"), cut, threshold).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, label_column: str = "quality", threshold: float = 0.3, quantile: float | None = None, fit_rows: int = FIT_ROWS, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The input rows whose text ``score_quality`` accepts, with all their columns.
 
-    Features are taken once for the fit and the cut, and again where rows are
-    filtered: joining them back would move every text."""
-    x = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), measured("text").alias("x"))
-    x = stored(x, "features")
-    ranker = learn(x, labels, label_column, quantile, fit_rows, id_column)
+    Texts are measured once for the cut, and again where rows are filtered:
+    joining strengths back would move every text.  Rows with equal texts, at
+    the cut too, are kept or rejected alike; null, empty and very long texts
+    are treated as there; an empty table stays empty."""
+    _, ranker, cut = _decided(docs, labels, label_column, quantile, fit_rows, id_column, text_column)
     names = docs.columns
     plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
-    plain = plain.withColumn("x", measured(F.col(f"_{names.index(text_column)}")))
-    return plain.filter(ranker.score(F.col("x"), ranker.cut(x), threshold) >= threshold).drop("x").toDF(*names)
+    plain = plain.withColumn("strength", ranker.column(F.col(f"_{names.index(text_column)}")))
+    return plain.filter(F.col("strength") >= cut).drop("strength").toDF(*names)
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
