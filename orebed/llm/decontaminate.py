@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import dataclasses
+import functools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import pick, table
+from .common import pick, stored, table
 from .words import Words, mix, slices
 
 #: An overlap counts from so many words on (or the whole item, if that is shorter) ...
@@ -154,6 +155,21 @@ class Index:
                 yield int(pairs[a, 0]), places[i : i + step]
 
 
+def _hits(index, min_words: int, similarity: float) -> Callable:
+    """``row, items, overlap`` of the texts that overlap an item of the index."""
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            rows = batch.column("row").to_pylist()
+            found = [x for a, b in slices(texts) for x in index.value.overlaps(texts[a:b], min_words, similarity)]
+            own = [(r, sorted(x), max(x.values())) for r, x in zip(rows, found, strict=True) if x]
+            if own:
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*own, strict=True), (pa.int64(), pa.list_(pa.int64()), pa.int64()), strict=True)], names=["row", "items", "overlap"])
+
+    return find
+
+
 def _finder(index, min_words: int, similarity: float) -> Callable:
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +184,7 @@ def _finder(index, min_words: int, similarity: float) -> Callable:
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, index_words: int = INDEX_WORDS, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id") -> DataFrame:
-    """Rows ``doc_id, text, items, overlap``, one for each input row, in its order.
+    """Rows ``doc_id, text, items, overlap``, one for each input row.
 
     ``items`` has the sorted ids of benchmark items that the text overlaps and
     ``overlap`` the words of the longest overlap.  Words are runs of ASCII
@@ -181,7 +197,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     ``min_words`` words or more, ``similarity`` of them the same.
 
     The index is broadcast; it holds ``index_words`` words of items at most,
-    and a larger benchmark is taken in blocks, a pass over the documents each.
+    and a larger benchmark is taken in blocks.  Each block is a pass of its own
+    over the written texts, which writes what it finds and lets go of its index:
+    a task runs one Python stage and holds one index, whatever their number.
 
     Null and empty texts overlap nothing; very long ones are searched whole.
     Rows that repeat an id or a text are searched each.  Null item texts and
@@ -194,11 +212,24 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, min_words: int = MIN_WO
     words = items.agg(F.sum(F.size(F.split("text", r"[\s\p{Punct}]+")).cast("long"))).first()[0] or 0
     blocks = -(-words // index_words)
     out = pick(docs, doc_id=id_column, text=text_column).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.expr("CAST(array() AS array<bigint>)").alias("items"), F.lit(0).cast("long").alias("overlap"))
-    for k in range(blocks):
+
+    def built(k: int):
         block = items.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k).collect()
-        index = spark.sparkContext.broadcast(Index.build([(r["item"], r["text"]) for r in sorted(block)], min_words, similarity))
-        out = out.mapInArrow(_finder(index, min_words, similarity), "doc_id long, text string, items array<long>, overlap long")
-    return out
+        return spark.sparkContext.broadcast(Index.build([(r["item"], r["text"]) for r in sorted(block)], min_words, similarity))
+
+    if blocks == 1:
+        return out.mapInArrow(_finder(built(0), min_words, similarity), "doc_id long, text string, items array<long>, overlap long")
+    if not blocks:
+        return out
+    held = stored(out.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "texts")
+    found = []
+    for k in range(blocks):
+        index = built(k)
+        found.append(stored(held.mapInArrow(_hits(index, min_words, similarity), "row long, items array<long>, overlap long"), "overlaps"))
+        index.destroy()
+    every = functools.reduce(DataFrame.unionAll, found).groupBy(F.col("row").alias("of")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.max("overlap").alias("overlap"))
+    out = held.join(every, F.col("row") == F.col("of"), "left")
+    return out.select("doc_id", "text", F.coalesce("items", F.expr("CAST(array() AS array<bigint>)")).alias("items"), F.coalesce("overlap", F.lit(0).cast("long")).alias("overlap"))
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,9 +21,9 @@ LOW_BITS = 4
 #: Standard deviations by which an estimate may fall short of the threshold and be confirmed still.
 MARGIN = 5.0
 #: Members of a bucket that one block compares at most; larger buckets are compared block by block.
-BLOCK = 1024
+BLOCK = 4096
 #: ... and shingles of them.
-BLOCK_ITEMS = 1_000_000
+BLOCK_ITEMS = 4_000_000
 #: In buckets of more members what is left is confirmed where it is compared, and gives links, not pairs.
 LARGE = 64
 
@@ -170,6 +170,17 @@ def _pairs(percent: int) -> Callable:
     return _by_block(compare)
 
 
+def _open(percent: int) -> Callable:
+    """The rows ``key, block, node`` that have a candidate in their block."""
+
+    def compare(held: pa.Table) -> pa.RecordBatch:
+        cols, a, b, _ = _candidates(held, percent, _least(percent))
+        some = np.unique(np.concatenate([a, b])).astype(np.int64)
+        return pa.record_batch([pa.array(cols[c][some], pa.int64()) for c in ("key", "block", "node")], names=["key", "block", "node"])
+
+    return _by_block(compare)
+
+
 def _likely(percent: int) -> Callable:
     """The rows ``a, b, bits_a, bits_b`` whose estimate does not rule out a link."""
     least = _least(percent)
@@ -264,7 +275,8 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     for: all pairs of a bucket that are in different components yet and that
     the estimate does not rule out.  In a bucket of more than LARGE members
     only those outside its main component are met with all others, block by
-    block, with full sets at hand, for the links of a spanning forest; in
+    block: lean rows with signatures first, and then, with full sets at hand,
+    those that have a candidate, for the links of a spanning forest; in
     smaller ones pairs are confirmed by a join.  Pairs within a component
     can't change it and are never made.  Nothing is capped: blocks bound what
     is held at once, not what is compared.  A large bucket of which no two
@@ -346,7 +358,10 @@ def near_groups(docs: DataFrame, percent: int = 80, id_column: str = "doc_id", t
     def dealt(rows: DataFrame) -> DataFrame:
         return rows.join(placed, "node").repartition(F.col("key"), F.col("block")).sortWithinPartitions("key", "block", "node")
 
-    work = dealt(part.filter("large").join(sets, "node")).select(*given, "items")
+    # Lean rows first: full sets go only to members of large buckets that the estimate leaves a candidate.
+    asked_for = stored(dealt(part.filter("large")).select(*given).mapInArrow(_open(percent), "key long, block long, node long"), "open")
+    work = part.filter("large").join(asked_for, ["key", "block", "node"], "left_semi").join(sets, "node")
+    work = dealt(work).select(*given, "items")
     near = stored(work.mapInArrow(_confirmed(percent), "a long, b long").distinct(), "links")
     pairs = stored(dealt(part.filter("NOT large")).select(*given).mapInArrow(_pairs(percent), "a long, b long").distinct(), "pairs")
     near = near.unionByName(stored(confirmed(pairs).distinct(), "links"))

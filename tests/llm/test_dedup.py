@@ -49,6 +49,23 @@ def test_near_crowd(spark):
     cases.same(near.near_groups(cases.frame(spark, data), 85).toPandas(), cases.near(data, 85))
 
 
+def test_near_buckets_of_unlinked_texts_move_no_sets(spark, monkeypatch):
+    # A family that shares a long passage and is not linked: signatures rule all of its pairs out.
+    monkeypatch.setattr(near, "LARGE", 8)
+    sizes = {}
+
+    def held(df, name):
+        out = stored(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(near, "stored", held)
+    shared = [f"s{k}" for k in range(60)]
+    data = [(i, " ".join([*shared, *(f"o{i}_{k}" for k in range(22))])) for i in range(300)]
+    cases.same(near.near_groups(cases.frame(spark, data), 85).toPandas(), [(i, 78, i, True) for i in range(300)])
+    assert sizes["blocks"] > 300 and sizes["open"] == 0
+
+
 def test_near_chain(spark):
     # A chain: each text shares most with the next, the ends share little.
     words = [f"w{i}" for i in range(400)]

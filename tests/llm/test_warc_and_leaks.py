@@ -196,3 +196,15 @@ def test_arc_names_its_fields_and_dates(spark):
     df = spark.sql("SELECT 1L AS page_id, 'u' AS url, 'x' AS html, TIMESTAMP '2008-04-30 20:48:25' AS at UNION ALL SELECT 2L, 'u', 'y', NULL")
     files = warc.convert(warc.write_arc(df, common.scratch(spark, "arc"), date_column="at"), common.scratch(spark, "warc"))
     assert {r["page_id"]: r["warc_date"] for r in warc.read_archives(files).collect()} == {1: "2008-04-30T20:48:25Z", 2: "1970-01-01T00:00:00Z"}
+
+
+def test_many_blocks_of_items_are_one_stage(spark):
+    items = [(k, " ".join(f"i{k}w{j}" for j in range(30))) for k in range(10)]
+    docs = spark.createDataFrame([(1, items[3][1] + " and " + items[7][1]), (2, "none of it"), (3, None), (None, items[0][1]), (2, items[9][1])], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = decontaminate.find_overlaps(docs, bench)
+    many = decontaminate.find_overlaps(docs, bench, index_words=20)
+    key = lambda r: (r["doc_id"] or 0, r["text"] or "")
+    got = sorted(map(tuple, many.select("doc_id", "text", "items", "overlap").collect()), key=lambda r: (r[0] or 0, r[1] or ""))
+    assert got == [tuple(r) for r in sorted(one.select("doc_id", "text", "items", "overlap").collect(), key=key)] and got[1][2] == [3, 7]
+    assert "MapInArrow" not in many._jdf.queryExecution().executedPlan().toString()
