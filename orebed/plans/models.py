@@ -219,11 +219,11 @@ def e13_block_sizes(spark: SparkSession, sf: str) -> DataFrame:
     return out
 
 
-@query("e3_e4_domains", f"{POINTS}, d AS (SELECT *, CASE WHEN label % 2 = 0 THEN 'host_waste' ELSE 'fresh_graphitic' END AS g FROM points), m AS (SELECT g, min(x) AS mx, min(y) AS my, min(z) AS mz FROM d GROUP BY 1), c AS (SELECT d.*, count(*) OVER (PARTITION BY d.g, floor((x - mx) / 0.2), floor((y - my) / 0.2), floor((z - mz) / 0.2)) AS k FROM d JOIN m USING (g)), w AS (SELECT *, count(*) OVER (PARTITION BY g) / sum(1e0 / k) OVER (PARTITION BY g) / k AS w FROM c), v AS (SELECT g, value, sum(w) AS s, arg_max(w, id) AS last FROM w GROUP BY ALL), p AS (SELECT g, value, greatest(1e-6, least(1 - 1e-6, (sum(s) OVER (PARTITION BY g ORDER BY value) - last / 2) / sum(s) OVER (PARTITION BY g))) AS p FROM v) SELECT w.g AS domain_group, id, {r('w', 'weight')}, {r(inverse_normal_sql('p'), 'score', 4)} FROM w JOIN p ON w.g = p.g AND w.value = p.value")
+@query("e3_e4_domains", f"{POINTS}, d AS (SELECT *, CASE WHEN label % 2 = 0 THEN 'host_waste' ELSE 'fresh_graphitic' END AS g FROM points), m AS (SELECT g, min(x) AS mx, min(y) AS my, min(z) AS mz FROM d GROUP BY 1), c AS (SELECT d.*, count(*) OVER (PARTITION BY d.g, floor((x - mx) / 0.2), floor((y - my) / 0.2), floor((z - mz) / 0.2)) AS k FROM d JOIN m USING (g)), w AS (SELECT *, count(*) OVER (PARTITION BY g) / sum(1e0 / k) OVER (PARTITION BY g) / k AS w FROM c), v AS (SELECT g, value, sum(w) AS s, arg_max(w, id) AS last FROM w GROUP BY ALL), p AS (SELECT g, value, greatest(1e-6, least(1 - 1e-6, (sum(s) OVER (PARTITION BY g ORDER BY value) - last / 2) / sum(s) OVER (PARTITION BY g))) AS p FROM v) SELECT w.g AS domain_group, id, {r('w', 'weight', 10)}, {r(inverse_normal_sql('p'), 'score', 4)} FROM w JOIN p ON w.g = p.g AND w.value = p.value")
 def e3_e4_domains(spark: SparkSession, sf: str) -> DataFrame:
     """Declustering weights and weighted normal scores, by domain."""
     x = prepared(spark, sf).samples
-    return x.select("domain_group", "id", (F.round("decluster_weight", 6) + 0.0).alias("weight"), (F.round("score", 4) + 0.0).alias("score"))
+    return x.select("domain_group", "id", (F.round("decluster_weight", 10) + 0.0).alias("weight"), (F.round("score", 4) + 0.0).alias("score"))
 
 
 @query("e14_simulated_variograms")
