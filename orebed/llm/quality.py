@@ -187,8 +187,9 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", fit
     known = rows.join(F.broadcast(marks), "doc_id").select("doc_id", "label", F.xxhash64("text").alias("tie"), "text")
     x = known.mapInArrow(_measured, "doc_id long, label int, tie long, x array<float>")
     x = x.groupBy("doc_id", "label").agg(F.min(F.struct("tie", "x")).alias("one")).select("doc_id", "label", "one.x")
-    sample = sorted(x.collect(), key=lambda r: (r["doc_id"], r["label"]))
-    return fit(np.array([r["x"] for r in sample], dtype=np.float32), np.array([r["label"] for r in sample], dtype=int))
+    sample = x.toArrow().combine_chunks().sort_by([("doc_id", "ascending"), ("label", "ascending")])
+    flat = sample.column("x").combine_chunks().flatten().to_numpy()
+    return fit(flat.reshape(sample.num_rows, len(NAMES)), sample.column("label").to_numpy())
 
 
 def cut_at(strengths: DataFrame, quantile: float) -> float:
