@@ -21,6 +21,8 @@ from .words import Words, slices
 FIT_ROWS = 20_000
 #: Preferred texts that each rejected text is compared with, and the reverse.
 PARTNERS = 4
+#: Rows and pairs that the fit holds in full precision at a time.
+FIT_BLOCK = 4096
 #: Classes of hashed words, and of hashed runs of three bytes, whose shares of a text are features.
 HASHED = 128
 #: Ridge of the named features' weights, and of the hashed ones'.
@@ -128,10 +130,11 @@ def fit(x: np.ndarray, label: np.ndarray, seed: int = 5, ridge: tuple[float, flo
     d = x.shape[1] if x.size else len(NAMES)
     if not len(x) or label.min() == label.max():
         return Ranker(np.zeros(d), np.ones(d), np.zeros(d))
-    x = x.astype(float)
-    mean, scale = x.mean(0), x.std(0)
+    mean, scale = x.mean(0, dtype=float), x.std(0, dtype=float)
     scale[scale < 1e-9] = 1.0
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.empty(x.shape, np.float32)
+    for k in range(0, len(x), FIT_BLOCK):
+        z[k : k + FIT_BLOCK] = np.clip((x[k : k + FIT_BLOCK] - mean) / scale, -8, 8)
     good, bad = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
     rng = np.random.default_rng(seed)
     a = np.concatenate([rng.choice(good, PARTNERS * len(bad)), np.repeat(good, PARTNERS)])
@@ -141,8 +144,8 @@ def fit(x: np.ndarray, label: np.ndarray, seed: int = 5, ridge: tuple[float, flo
     for _ in range(25):
         grad, hess = hold * w, np.diag(hold)
         # Differences are made a block at a time: what is held doesn't follow the number of pairs.
-        for k in range(0, len(a), 16_384):
-            diff = z[a[k : k + 16_384]] - z[b[k : k + 16_384]]
+        for k in range(0, len(a), FIT_BLOCK):
+            diff = (z[a[k : k + FIT_BLOCK]] - z[b[k : k + FIT_BLOCK]]).astype(float)
             p = 1 / (1 + np.exp(np.clip(diff @ w, -30, 30)))
             grad = grad - share * (diff * p[:, None]).sum(0)
             hess = hess + share * (diff * (p * (1 - p))[:, None]).T @ diff
