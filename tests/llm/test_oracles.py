@@ -22,6 +22,9 @@ def folders(tmp_path_factory):
     own.assign(lang="en", source="s", n_chars=own["text"].str.len().fillna(0).astype("int64"))[d.columns].to_parquet(odd / "documents.parquet")
     pages = [(1152921504606846977, "u", "same"), (1152921504606846979, None, "same"), (1152921504606846978, "u", "other"), (3, "u", None), (4, "u", ""), (5, "http://e/ x", "é\r\n\r\n")]
     pd.DataFrame(pages, columns=["page_id", "url", "html"]).to_parquet(odd / "pages.parquet")
+    own = pd.read_parquet(f"{cases.SF}/documents.parquet").sort_values("doc_id").head(8)["text"].tolist()
+    items = [(1, own[1]), (2, None), (3, " .. "), (None, "x"), (4, "order number day"), (5, "a b"), (5, "SAME line"), (6, own[3])]
+    pd.DataFrame(items, columns=["item_id", "text"]).astype({"item_id": "Int64"}).to_parquet(odd / "benchmark.parquet")
     return {"driver": cases.SF, "odd": str(odd)}
 
 
