@@ -44,14 +44,14 @@ def quantile_profile(a: DataFrame, b: DataFrame, va: str, vb: str, marks: int =
     return errors(x.join(y, "k"), "x", "y")
 
 
-def to_support(blocks: DataFrame, origin: tuple[float, float, float], step: tuple[float, float, float], shape: tuple[int, int, int], cell_volume: float) -> DataFrame:
+def to_support(blocks: DataFrame, origin: tuple[float, float, float], step: tuple[float, float, float], shape: tuple[int | None, int | None, int | None], cell_volume: float) -> DataFrame:
     """Fine blocks gathered in the nearest coarse cell: count, volume, tonnage, grade by mass, filled fraction.
-    Blocks whose nearest cell lies outside the grid are left out."""
+    Blocks whose nearest cell lies outside the grid are left out; an axis of no given length is open on both sides."""
     x = blocks
     for a, o, s in zip("xyz", origin, step, strict=True):
         x = x.withColumn(f"i{a}", even_bin(F.col(a), o, s))
     for a, n in zip("xyz", shape, strict=True):
-        x = x.filter(F.col(f"i{a}").between(0, n - 1))
+        x = x if n is None else x.filter(F.col(f"i{a}").between(0, n - 1))
     t = F.col("volume") * F.col("density")
     out = x.groupBy("ix", "iy", "iz").agg(F.count(F.lit(1)).alias("n"), F.sum("volume").alias("volume"), F.sum(t).alias("tonnage"), (F.sum(F.col("grade") * t) / F.sum(t)).alias("grade"))
     return out.withColumn("filled", F.col("volume") / cell_volume)
