@@ -28,6 +28,27 @@ def test_crowded_neighbours_of_other_folds(spark, monkeypatch):
         assert sorted(got.get(i, [])) == [(k + 1, j, j % 3) for k, (_, j) in enumerate(best)]
 
 
+def test_a_search_moves_no_more_than_its_rows_ask_for(spark, monkeypatch):
+    """Samples once went to every block of targets within reach of theirs: four times the points moved seven times the rows."""
+    for name, rows in (("TARGET_ROWS", 64), ("SAMPLE_ROWS", 64)):
+        monkeypatch.setattr(pairs, name, rows)
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def moved():
+        stages = store.stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+        return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteRecords() for k in range(stages.size())}
+
+    xyz = np.random.default_rng(5).normal(0, 0.1, (16000, 3))
+    rows = [(i, *map(float, p), i % 3, i % 5) for i, p in enumerate(xyz)]
+    out = []
+    for n in (4000, 16000):
+        df = spark.createDataFrame(rows[:n], "id long, x double, y double, z double, label int, fold int")
+        before = moved()
+        assert pairs.neighbours(df, df, 0.5, 6, apart="fold").count() == 6 * n
+        out.append(sum(v for k, v in moved().items() if k not in before))
+    assert out[1] < 6 * out[0], out
+
+
 def test_blocks_are_bounded_where_points_crowd(spark):
     """One cell of the radius once held all of these: now no block has more rows than it may."""
     df = crowd(spark)[2]
