@@ -131,6 +131,16 @@ def test_folds_against_loops(spark):
     assert {(r["family"], r["method"]) for r in e} == set(itertools.product(["hole", "section"], [*simulate.KRIGING, "inverse_distance"])) and all(r["n"] == 90 for r in e)
 
 
+def test_kriging_of_many_at_once():
+    """One solution for all rows with as many neighbours; a row once took a call, and folds were kriged twice."""
+    rng, model = np.random.default_rng(3), covariance.directional(covariance.Model("exponential", 0.2, 0.8, 9.0), {"strike": 20.0, "dip": 12.0, "normal": 6.0}, AXES)
+    p, v, t = rng.uniform(0, 20, (40, 7, 3)), rng.normal(size=(40, 7)), rng.uniform(0, 20, (40, 3))
+    p[5], p[6, 1] = p[5, 0], p[6, 0]
+    for ordinary in (False, True):
+        want = [covariance.krige(model, *each, ordinary=ordinary)[0] for each in zip(p, v, t, strict=True)]
+        assert covariance.krige_many(model, p, v, t, ordinary) == pytest.approx(want, rel=1e-6, abs=1e-6)
+
+
 def test_inverse_distances_against_loops(spark):
     rows = points(70, 4)
     got = {r["id"]: r["estimate"] for r in simulate.inverse_distances(simulate.hole_folds(frame(spark, rows)), simulate.Search((12.0, 12.0, 12.0), 5), least=2).collect()}
