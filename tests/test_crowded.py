@@ -75,6 +75,22 @@ def test_pairs_of_copies(spark, monkeypatch):
                 assert r["pairs"] == at.sum() and np.isclose(r["distance"], h[at].mean()) and np.isclose(r["gamma"], np.nanmean(half[at]))
 
 
+def test_runs_off_all_axes_are_left_out():
+    """Of pairs of runs within reach all were compared, whatever their direction: few have pairs along an axis, and none of those may be lost."""
+    a, b = (np.random.default_rng(s).uniform(0, 1, (16384, 3)) for s in (1, 2))
+    a, b = a[pairs._in_order(a)], b[pairs._in_order(b)]
+    cones = [((1.0, 0.0, 0.0), math.cos(math.radians(22.5))), ((0.0, 1.0, 0.0), math.cos(math.radians(22.5)))]
+    made, along = [], []
+    for given in (None, cones):
+        n, held = 0, [0, 0]
+        for _, _, d, h, ok in pairs._met(a, b, False, 0.5, 0.0, given):
+            n += h.size
+            held = [x + int((ok & (np.abs(d[k]) >= c * h)).sum()) for k, (x, (_, c)) in enumerate(zip(held, cones, strict=True))]
+        made.append(n)
+        along.append(held)
+    assert along[0] == along[1] and made[1] < 0.8 * made[0], made
+
+
 def test_support_of_an_open_axis(spark):
     blocks = spark.createDataFrame([(0.0, 0.0, 2.5 * k, 1.0, 2.0, 1.0) for k in (0, 499, 500, 9000)], "x double, y double, z double, volume double, grade double, density double")
     got = compare.to_support(blocks, (0.0, 0.0, 0.0), (12.5, 12.5, 2.5), (20, 20, None), 20.0)
