@@ -9,6 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from . import order
 
 # Prefixes of encoded categories that are features of their own.
@@ -62,9 +63,15 @@ def scores(predicted: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows, written once, as each step of each fit reads them, in parts for all cores: a forest is fitted on as many as its table has."""
+    return stored(df.repartition(4 * df.sparkSession.sparkContext.defaultParallelism), "screened")
+
+
 def screen(df: DataFrame, numbers: list[str], texts: list[str], label: str, group: str, k: int = 5, trees: int = 100, seed: int = 42) -> DataFrame:
     """By method and fold, scores on holes that the fit has not seen; ``prior`` answers with the commoner class."""
     x = df.withColumn("label", F.col(label).cast("double")).withColumn("fold", F.pmod(F.xxhash64(group, F.lit(seed)), F.lit(k)).cast("int"))
+    x = spread(x.select(*numbers, *texts, "label", "fold"))
     methods = {
         "forest": [*stages(numbers, texts, scale=False), RandomForestClassifier(numTrees=trees, seed=seed, maxDepth=6)],
         "logistic": [*stages(numbers, texts, scale=True), LogisticRegression(regParam=0.01)],
@@ -77,6 +84,7 @@ def screen(df: DataFrame, numbers: list[str], texts: list[str], label: str, grou
         for name, steps in methods.items():
             got = Pipeline(stages=steps).fit(train).transform(test)
             runs[name] = got.select("label", "prediction", vector_to_array("probability")[1].alias("p"))
+            runs[name] = stored(runs[name], "answers")
         out += [scores(p).select(F.lit(name).alias("method"), F.lit(fold).alias("fold"), "*") for name, p in runs.items()]
     total = out[0]
     for o in out[1:]:

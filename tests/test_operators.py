@@ -192,6 +192,13 @@ def test_screen_scores(spark):
     assert set(out["method"]) == {"forest", "logistic", "prior"} and (out.loc[out["method"] == "forest", "auc"] > 0.8).all() and (out.loc[out["method"] == "prior", "auc"] == 0.5).all()
 
 
+def test_screen_is_fitted_on_all_cores(spark):
+    """A small table came in one part, and all trees were grown by one core."""
+    df = spark.range(1000).coalesce(1)
+    x = screen.spread(df)
+    assert x.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(r["id"] for r in x.collect()) == list(range(1000))
+
+
 def test_widths_and_models(spark):
     curve = lambda lo, hi: spark.createDataFrame([(5.0, lo, hi), (6.0, 0.0, 0.0)], "cutoff double, tonnage_p10 double, tonnage_p90 double")
     assert compare.width_reduction(curve(4.0, 7.0), curve(2.0, 8.0), 5.0).first()["reduction_pct"] == 50.0
