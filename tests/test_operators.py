@@ -6,10 +6,12 @@ from statistics import NormalDist
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from orebed.functions import covariance, scalar
-from orebed.operators import checks, compare, ensemble, grid, intervals, order, pairs, samples, screen, simulate, trajectory
+from orebed.operators import checks, compare, ensemble, forest, grid, intervals, order, pairs, samples, screen, simulate, trajectory
 from orebed.sources import tables
 from orebed.streaming.refresh import follow_curve
 
@@ -199,6 +201,45 @@ def test_screen_is_fitted_on_all_cores(spark):
     assert x.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism and sorted(r["id"] for r in x.collect()) == list(range(1000))
 
 
+def test_screen_counts_equal_rows(spark, monkeypatch):
+    """A forest once saw each of a table's equal rows by itself, for each tree: 60 times the rows took 60 times its time."""
+    seen, grow = [], forest.grow
+    monkeypatch.setattr(forest, "grow", lambda rows, *a: seen.append({r["of"]: (r["rows"], r["n"]) for r in rows.groupBy("of").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n")).collect()}) or grow(rows, *a))
+    rows = [(f"H{i % 12}", float(i % 7) if i % 5 else None, "g" if i % 2 else "w", i % 7 > 3) for i in range(420)]
+    df = spark.createDataFrame(rows, "hole_id string, n double, t string, rich boolean")
+    out = screen.screen(df.crossJoin(spark.range(60)), ["n"], ["t"], "rich", "hole_id", k=2, trees=5).toPandas()
+    assert len(out) == 6 and (out.loc[out["method"] == "forest", "auc"] > 0.8).all()
+    assert sum(n for _, n in seen[0].values()) == 420 * 60 and all(r <= 7 * 2 * 2 for r, _ in seen[0].values())
+
+
+@pytest.mark.parametrize("block", [1 << 16, 40])
+def test_counted_forest_is_the_forest_of_all_rows(spark, monkeypatch, block):
+    """Against MLlib's, which draws row by row; copies draw apart, and blocks of rows add up."""
+    monkeypatch.setattr(forest, "BLOCK_ROWS", block)
+    r = np.random.default_rng(3)
+    a, b, c = r.integers(0, 12, 1500), r.integers(0, 9, 1500), r.integers(0, 3, 1500)
+    y = (r.random(1500) < 1 / (1 + np.exp(-(0.5 * (a - 6) + 0.4 * (b > 4) * (c == 1) * 4 - 0.5)))).astype(int)
+    df = spark.createDataFrame(list(zip(*[map(int, v) for v in (a, b, c, y)], strict=True)), "f0 int, f1 int, f2 int, label int")
+    counted = df.groupBy("f0", "f1", "f2", "label").count().withColumnRenamed("count", "n").withColumn("of", F.lit(0))
+    grown = forest.grow(counted, ["f0", "f1", "f2"], [forest.Layout.of(2, [3])], 60, 6, 7)
+    ours = {(q["f0"], q["f1"], q["f2"]): q["p"] for q in forest.shares(counted, ["f0", "f1", "f2"], grown).collect()}
+    wide = df.selectExpr("*", "int(f2 = 0) g0", "int(f2 = 1) g1", "int(f2 = 2) g2", "double(label) y")
+    wide = VectorAssembler(inputCols=["f0", "f1", "g0", "g1", "g2"], outputCol="features").transform(wide)
+    theirs = RandomForestClassifier(labelCol="y", numTrees=60, maxDepth=6, seed=7).fit(wide).transform(wide).select("f0", "f1", "f2", "probability").collect()
+    apart = [abs(ours[q["f0"], q["f1"], q["f2"]] - q["probability"][1]) for q in theirs]
+    assert np.mean(apart) < 0.025 and max(apart) < 0.15, (np.mean(apart), max(apart))
+
+
+def test_edges_of_bins(spark):
+    rows = [(i % 2, float(i // 2 % 3), float(i // 2)) for i in range(2000)] + [(1, 9.0, math.nan), (1, None, None)]
+    x = spark.createDataFrame(rows, "fold int, few double, many double")
+    got = forest.edges(x, ["few", "many"], [[1.0, 500.0], [1.0, 500.0]])
+    few, many = got[0]
+    assert few == [0.5, 1.5, 5.5] and got[1][0] == [0.5, 1.5] and len(many) == 31
+    seen = np.array([500.0 if v is None or math.isnan(v) else v for f, _, v in rows if f == 1])
+    assert np.ptp(np.histogram(seen, [-math.inf, *many, math.inf])[0]) <= 3
+
+
 def test_widths_and_models(spark):
     curve = lambda lo, hi: spark.createDataFrame([(5.0, lo, hi), (6.0, 0.0, 0.0)], "cutoff double, tonnage_p10 double, tonnage_p90 double")
     assert compare.width_reduction(curve(4.0, 7.0), curve(2.0, 8.0), 5.0).first()["reduction_pct"] == 50.0
